@@ -2,10 +2,12 @@
 
 from __future__ import annotations
 
-from modelgraph.llm import bpe, quality
+from modelgraph.llm import bpe, langid, minhash, quality
 
 QUERIES = {
     "op6_bpe_prefix": bpe.op6_bpe_prefix,
+    "op7_language_unigrams": langid.op7_language_unigrams,
+    "op8_minhash_near_duplicates": minhash.op8_minhash_near_duplicates,
     "op10_quality_neighbours": quality.op10_quality_neighbours,
 }
 
