@@ -62,25 +62,27 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]]) -> None:
         self.ranks, self.made_of = ranks, made_of
         self.token = [b""] * (max(ranks.values()) + 1)
-        self.reach = [0] * 256  # longest token that ends in a byte
-        self.usable = {}
+        # Every beginning of a usable token: the token's rank, or -1 if it is only a beginning.
+        self.begins: dict[bytes, int] = {}
+        self.longest = 1
         for t, r in ranks.items():
             self.token[r] = t
             if len(t) == 1 or r in made_of:
-                self.usable[t] = r
-                self.reach[t[-1]] = max(self.reach[t[-1]], len(t))
-        self.longest = max(self.reach)
+                self.begins[t] = r
+                self.longest = max(self.longest, len(t))
+                for i in range(1, len(t)):
+                    self.begins.setdefault(t[:i], -1)
         self.merged = {pair: r for r, pair in made_of.items()}
-        self.beside: dict[tuple[int, int], bool] = {}
+        self.beside: dict[int, bool] = {}
 
     def may_stand(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves a border between these tokens: take them apart in
         reverse order of the merges and look for a pair at the border that would have merged
         first."""
-        key = (left, right)
+        key = left << 32 | right
         known = self.beside.get(key)
         if known is None:
-            if len(self.beside) > 2_000_000:
+            if len(self.beside) > 1_000_000:
                 self.beside.clear()
             known = self.beside[key] = self._may_stand(left, right)
         return known
@@ -105,13 +107,20 @@ class PrefixEncoder:
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
         """last holds the last tokens of data's first len(last) prefixes; adds the others."""
-        get, reach, may_stand = self.usable.get, self.reach, self.may_stand
-        for end in range(len(last) + 1, len(data) + 1):
-            for start in range(max(0, end - reach[data[end - 1]]), end):
-                t = get(data[start:end])
-                if t is not None and (start == 0 or may_stand(last[start - 1], t)):
-                    last.append(t)
+        begins, beside, size, old = self.begins.get, self.beside.get, len(data), len(last)
+        last += [-1] * (size - old)
+        for start in range(max(0, old - self.longest + 1), size):
+            left = last[start - 1] << 32 if start else -1
+            for end in range(start + 1, size + 1):
+                t = begins(data[start:end])
+                if t is None:
                     break
+                if t >= 0 and end > old and last[end - 1] < 0:
+                    if left >= 0:
+                        ok = beside(left | t)
+                        if not (self.may_stand(left >> 32, t) if ok is None else ok):
+                            continue
+                    last[end - 1] = t
         return last
 
     def walk(self, last: list[int]) -> list[int]:

@@ -23,7 +23,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelgraph.llm.common import U64, checkpointed, letters, mix64, prefix_hash, substring_hash, table
+from modelgraph.llm.common import U64, checkpointed, chosen, letters, mix64, prefix_hash, substring_hash, table
 from modelgraph.llm.graph import components
 
 _WORD = re.compile(rb"[^\x20\x09-\x0D]+")
@@ -112,12 +112,6 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
     return docs.select("doc_id", letters().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, bands array<long>")
 
 
-def chosen(df: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Rows of df whose doc_id is in ids(doc_id): by broadcast up to most ids, else by shuffle."""
-    ids = checkpointed(ids.distinct())
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
-
-
 def verified(pairs: DataFrame, docs: DataFrame, k: int, share: int, whole: int) -> DataFrame:
     """Of pairs(a, b) those whose full shingle sets have whole * intersection >= share * union."""
     pairs = checkpointed(pairs)

@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-from modelgraph.llm import bpe, langid, minhash, quality
+from modelgraph.llm import bpe, decontaminate, langid, minhash, quality
 
 QUERIES = {
+    "op4_template_contamination": decontaminate.op4_template_contamination,
     "op6_bpe_prefix": bpe.op6_bpe_prefix,
     "op7_language_unigrams": langid.op7_language_unigrams,
     "op8_minhash_near_duplicates": minhash.op8_minhash_near_duplicates,
     "op10_quality_neighbours": quality.op10_quality_neighbours,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES = {"op4_template_contamination": decontaminate.OP4_SQL}
