@@ -1,10 +1,65 @@
-"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next."""
+"""Corpus pipeline: stages over documents, each written as Parquet and read again by the next.
+
+Quality classifier, near-duplicates, benchmark decontamination, personal data, encoding.
+"""
 
 from __future__ import annotations
 
-STAGES: list = []
+import uuid
+
+import public_tokenizers
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from modelgraph.llm import bpe, decontaminate, minhash, pii, quality
+from modelgraph.llm.common import chosen, shared_folder, table
+
+
+def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that the nearest-neighbour classifier doesn't reject."""
+    scored = quality.score(docs, quality.fitted(spark, docs, sf_dir))
+    return scored.where(F.col("quality_score") >= quality.THRESHOLD).select(*docs.columns)
+
+
+def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
+    found = minhash.near_duplicates(docs)
+    return chosen(docs, found.where("not kept").select("doc_id"), how="left_anti")
+
+
+def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents that hold no benchmark item, as it is or with other parameters."""
+    found = decontaminate.contaminated(docs, table(spark, sf_dir, "benchmark"))
+    return chosen(docs, found.select("doc_id"), how="left_anti")
+
+
+def redacted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """All documents, personal data replaced by its kind; n_chars follows the text."""
+    out = pii.redact(docs, *pii.fit(docs))
+    return out.withColumn("n_chars", F.length("text").cast("long")) if "n_chars" in docs.columns else out
+
+
+def encoded(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """doc_id, n_tokens, ids and the hashes of the ids and of the decoded bytes."""
+    return bpe.encode_documents(docs, public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+
+
+STAGES = [
+    ("quality", good_quality),
+    ("near-duplicates", one_of_each),
+    ("decontamination", decontaminated),
+    ("personal data", redacted),
+    ("encoding", encoded),
+]
+
+#: SQL can't express the classifier, the boosted trees and the encoding.
 ORACLE_SQL = None
 
 
-def run(spark, sf_dir):
-    raise NotImplementedError
+def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    folder = f"{shared_folder(spark)}/pipeline-{uuid.uuid4().hex}"
+    for k, (_, stage) in enumerate(STAGES):
+        stage(spark, docs, sf_dir).write.parquet(f"{folder}/{k}")
+        docs = spark.read.parquet(f"{folder}/{k}")
+    return docs

@@ -19,23 +19,26 @@ def shuffle_partitions(spark: SparkSession) -> int:
     return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
 
 
-def checkpointed(df: DataFrame) -> DataFrame:
-    """Write df to the cluster's shared checkpoint folder and cut its lineage.
-
-    The folder is the session's spark.checkpoint.dir; only where that is unset (tests on one
-    machine) a folder of our own is used.
-    """
-    spark = df.sparkSession
+def shared_folder(spark: SparkSession) -> str:
+    """The cluster's shared checkpoint folder, the session's spark.checkpoint.dir; only where
+    that is unset (tests on one machine) a folder of our own."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+    return sc.getCheckpointDir()
+
+
+def checkpointed(df: DataFrame) -> DataFrame:
+    """Write df to the shared checkpoint folder and cut its lineage."""
+    shared_folder(df.sparkSession)
     return df.checkpoint()
 
 
-def chosen(df: DataFrame, ids: DataFrame, most: int = 1_000_000) -> DataFrame:
-    """Rows of df whose doc_id is in ids(doc_id): by broadcast up to most ids, else by shuffle."""
-    ids = checkpointed(ids.distinct())
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", "left_semi")
+def chosen(df: DataFrame, ids: DataFrame, most: int = 1_000_000, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose doc_id is (left_semi) or is not (left_anti) in ids(doc_id): by broadcast
+    up to most ids, else by shuffle. Rows of null doc_id count as not in ids."""
+    ids = checkpointed(ids.where("doc_id is not null").distinct())
+    return df.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", how).select(*df.columns)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:

@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from modelgraph.llm import bpe, decontaminate, langid, minhash, quality
+from modelgraph.llm import bpe, decontaminate, langid, minhash, pii, quality
 
 QUERIES = {
     "op4_template_contamination": decontaminate.op4_template_contamination,
+    "op5_pii_boosting": pii.op5_pii_boosting,
     "op6_bpe_prefix": bpe.op6_bpe_prefix,
     "op7_language_unigrams": langid.op7_language_unigrams,
     "op8_minhash_near_duplicates": minhash.op8_minhash_near_duplicates,
