@@ -10,8 +10,9 @@ coordinates.
 Coordinates are grouped in bands; sets that agree in a whole band meet in a bucket. Equal sets
 are one class. Each bucket links its members to its smallest and its largest one (pairs linear
 in the rows, however large a bucket is); candidates are compared on their full shingle sets.
-Then only buckets whose members are still in several components are looked at again, and every
-pair of theirs across components is compared, so no pair that shares a bucket is given up.
+Then only members of buckets that still hold several components are looked at again: an exact
+prefix-filtered join finds every pair of theirs across components that can be similar enough, so
+no pair that shares a bucket is given up.
 """
 
 from __future__ import annotations
@@ -20,7 +21,7 @@ import re
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modelgraph.llm.common import U64, checkpointed, chosen, letters, mix64, prefix_hash, substring_hash, table
@@ -141,6 +142,46 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, share: int, whole: int)
     return checkpointed(both.mapInArrow(run, f"a {kind}, b {kind}"))
 
 
+def across(left: DataFrame, docs: DataFrame, k: int, share: int, whole: int) -> DataFrame:
+    """Pairs (a, b) of left(rep, c) of different c whose sets may be similar enough: a superset
+    of those that are.
+
+    Shingles are ordered, rare ones first. Two sets of sizes n and m that are similar enough
+    have at least share * (n + m) / (share + whole) shingles in common, so they share one among
+    the first n - share * n / whole + 1 of each, and behind the first that they share enough
+    places must be left in both. Heavily changed copies begin with shingles of their own and
+    meet nothing, where comparing all members of a bucket would be quadratic."""
+
+    def run(batches):
+        for batch in batches:
+            for i in range(0, batch.num_rows, 64):
+                part = batch.slice(i, 64)
+                sets = [shingle_hashes(t, k).astype(np.int64) for t in part.column(1).to_pylist()]
+                n = np.array([len(x) for x in sets], np.int64)
+                at = pa.array(np.repeat(np.arange(len(n)), n))
+                yield pa.RecordBatch.from_pydict({"rep": part.column(0).take(at), "n": pa.array(np.repeat(n, n)), "s": pa.array(np.concatenate(sets))})
+
+    texts = chosen(docs.select("doc_id", letters().alias("text")), left.select(F.col("rep").alias("doc_id")))
+    rows = checkpointed(texts.mapInArrow(run, f"rep {dict(left.dtypes)['rep']}, n long, s long").distinct())
+    df = checkpointed(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
+    of = Window.partitionBy("rep")
+    rows = rows.join(df, "s").withColumn("i", F.row_number().over(of.orderBy("df", "s")) + F.col("n") - F.count("*").over(of))
+    rows = rows.where(F.col("i") <= F.col("n") - F.ceil(share * F.col("n") / F.lit(whole)) + 1)
+    rows = checkpointed(rows.select("rep", "n", "s", "i").join(left, "rep"))
+    sizes = rows.groupBy("s", "c").count()
+    mixed = sizes.groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    rest = checkpointed(rows.join(checkpointed(mixed.select("s", "main")), "s"))
+    out = rest.where("c <> main").select("s", *(F.col(x).alias(f"{x}2") for x in ("rep", "n", "i", "c")))
+    need = F.ceil(share * (F.col("n") + F.col("n2")) / F.lit(share + whole))
+    met = rest.join(out, "s").where(
+        (F.col("c") != F.col("c2"))
+        & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("rep2")))
+        & (F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) + 1 >= need)
+        & (whole * F.least("n", "n2") >= share * F.greatest("n", "n2"))
+    )
+    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+
+
 def near_duplicates(
     docs: DataFrame, k: int = 5, share: int = 80, whole: int = 100, bands: int = 40, rows: int = 6
 ) -> DataFrame:
@@ -172,15 +213,12 @@ def near_duplicates(
     links = verified(tried, docs, k, share, whole)
     first = checkpointed(components(links))
 
-    # Buckets that still hold several components: every pair across them.
-    placed = members.select("h", "rep", "n").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    # Members of buckets that still hold several components: an exact join across these.
+    placed = members.select("h", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     placed = placed.withColumn("c", F.coalesce("component", "rep")).drop("component")
-    sizes = placed.groupBy("h", "c").count()
-    mixed = sizes.groupBy("h").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    rest = checkpointed(placed.join(checkpointed(mixed.select("h", "main")), "h"))
-    out = rest.where("c <> main").select("h", F.col("rep").alias("r2"), F.col("n").alias("n2"), F.col("c").alias("c2"))
-    more = rest.join(out, "h").where((F.col("c") != F.col("c2")) & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("r2"))))
-    more = more.where(fits(F.col("n"), F.col("n2"))).select(*pair(F.col("rep"), F.col("r2"))).distinct()
+    mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
+    left = checkpointed(placed.join(checkpointed(mixed), "h").select("rep", "c").distinct())
+    more = across(left, docs, k, share, whole)
     more = verified(more.join(tried, ["a", "b"], "left_anti"), docs, k, share, whole)
 
     top = components(links.unionByName(more)).withColumnRenamed("node", "rep")
