@@ -96,19 +96,19 @@ class Space:
         return np.clip(np.where(there & (total > 1e-12), vote, self.prior), 0, 1)
 
 
-def fit(docs: DataFrame, labelled: DataFrame, max_labelled: int = 4096, dims: int = 2048, width: int = 64) -> Space:
-    """docs(text, ...): all documents, for the frequencies. labelled(doc_id, text, label 0/1):
-    the rows to learn from; at most max_labelled of them are used, the first by a hash of
-    doc_id, so the sample is spread evenly and stays the same from run to run. Rows of null
-    label are left out."""
+def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096, dims: int = 2048, width: int = 64) -> Space:
+    """docs(doc_id, text, ...): all documents. labels(doc_id, label 0/1): what to learn from; at
+    most max_labelled of them are used, the first by a hash of doc_id, so the sample is spread
+    evenly and stays the same from run to run. It is bounded, so it is broadcast to the scan of
+    the texts. Null labels and labels without a document teach nothing."""
     sample = (
-        labelled.where(F.col("label").isNotNull())
-        .select("doc_id", letters().alias("text"), F.col("label").cast("int").alias("label"))
-        .withColumn("_h", F.xxhash64("doc_id"))
-        .orderBy("_h", "doc_id", "label", F.xxhash64("text"))
+        labels.where("label is not null and doc_id is not null")
+        .select("doc_id", F.col("label").cast("int").alias("label"))
+        .distinct()
+        .orderBy(F.xxhash64("doc_id"), "doc_id", "label")
         .limit(max_labelled)
-        .select("text", "label")
     )
+    sample = docs.select("doc_id", letters().alias("text")).join(F.broadcast(sample), "doc_id").select("text", "label")
 
     def run(batches):
         for part, texts in _texts(batches, 0, 256):
@@ -153,9 +153,7 @@ def held_out():
 
 def fitted(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Space:
     """Learn from the labels of the documents that are not held out."""
-    labels = table(spark, sf_dir, "labels").select("doc_id", F.col("quality").alias("label"))
-    labelled = docs.select("doc_id", "text").where(~held_out()).join(labels, "doc_id")
-    return fit(docs, labelled)
+    return fit(docs, table(spark, sf_dir, "labels").where(~held_out()).select("doc_id", F.col("quality").alias("label")))
 
 
 def op10_quality_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
