@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from modelgraph.llm import bpe, decontaminate, langid, minhash, pii, quality
+from modelgraph.llm import bpe, decontaminate, langid, lattice, minhash, pii, quality
 
 QUERIES = {
+    "op3_lattice_near_duplicates": lattice.op3_lattice_near_duplicates,
     "op4_template_contamination": decontaminate.op4_template_contamination,
     "op5_pii_boosting": pii.op5_pii_boosting,
     "op6_bpe_prefix": bpe.op6_bpe_prefix,
