@@ -2,9 +2,10 @@
 
 from __future__ import annotations
 
-from modelgraph.llm import bpe, decontaminate, langid, lattice, minhash, pii, quality
+from modelgraph.llm import bpe, decontaminate, langid, lattice, minhash, pii, quality, warc
 
 QUERIES = {
+    "op1_revisit_resolution": warc.op1_revisit_resolution,
     "op3_lattice_near_duplicates": lattice.op3_lattice_near_duplicates,
     "op4_template_contamination": decontaminate.op4_template_contamination,
     "op5_pii_boosting": pii.op5_pii_boosting,
@@ -14,4 +15,4 @@ QUERIES = {
     "op10_quality_neighbours": quality.op10_quality_neighbours,
 }
 
-ORACLES = {"op4_template_contamination": decontaminate.OP4_SQL}
+ORACLES = {"op1_revisit_resolution": warc.OP1_SQL, "op4_template_contamination": decontaminate.OP4_SQL}
