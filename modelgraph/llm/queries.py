@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from modelgraph.llm import bpe, decontaminate, langid, lattice, minhash, pii, quality, warc
+from modelgraph.llm import bpe, decontaminate, langid, lattice, minhash, pii, quality, suffixes, warc
 
 QUERIES = {
     "op1_revisit_resolution": warc.op1_revisit_resolution,
@@ -12,6 +12,7 @@ QUERIES = {
     "op6_bpe_prefix": bpe.op6_bpe_prefix,
     "op7_language_unigrams": langid.op7_language_unigrams,
     "op8_minhash_near_duplicates": minhash.op8_minhash_near_duplicates,
+    "op9_suffix_sort_dedup": suffixes.op9_suffix_sort_dedup,
     "op10_quality_neighbours": quality.op10_quality_neighbours,
 }
 
