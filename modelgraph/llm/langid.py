@@ -124,13 +124,15 @@ def fit(
     """labelled(doc_id, text, lang) -> languages (sorted), probabilities [piece, language].
 
     Learns from at most docs_per_language texts of each language, the first by a hash of doc_id;
-    null languages and texts are left out. Word counts and expected counts are summed by Spark;
+    rows with a null among the three are left out. Word counts and expected counts are summed by Spark;
     the driver gets one number for each piece and language."""
     spark = labelled.sparkSession
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), F.xxhash64("text"))
-    rows = labelled.where("lang is not null and text is not null").select("lang", "doc_id", "text")
-    # The window keeps a running top list per language (WindowGroupLimit) before it shuffles.
-    sample = rows.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language).select("lang", "text")
+    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
+    rows = labelled.where("lang is not null and text is not null and doc_id is not null")
+    # Only ids are ranked (a running top list per language, before they are shuffled); the few
+    # chosen ones are bounded, so they are broadcast to the scan of the texts.
+    picked = rows.select("lang", "doc_id").withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language).select("lang", "doc_id").distinct()
+    sample = rows.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"], "left_semi").select("lang", "text")
 
     def count(batches):
         for batch in batches:

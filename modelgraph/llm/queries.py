@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from modelgraph.llm import bpe, decontaminate, langid, lattice, minhash, pii, quality, suffixes, warc
+from modelgraph.llm import bpe, decontaminate, langid, lattice, lmscore, minhash, pii, quality, suffixes, warc
 
 QUERIES = {
     "op1_revisit_resolution": warc.op1_revisit_resolution,
+    "op2_cross_entropy_difference": lmscore.op2_cross_entropy_difference,
     "op3_lattice_near_duplicates": lattice.op3_lattice_near_duplicates,
     "op4_template_contamination": decontaminate.op4_template_contamination,
     "op5_pii_boosting": pii.op5_pii_boosting,
@@ -16,4 +17,4 @@ QUERIES = {
     "op10_quality_neighbours": quality.op10_quality_neighbours,
 }
 
-ORACLES = {"op1_revisit_resolution": warc.OP1_SQL, "op4_template_contamination": decontaminate.OP4_SQL}
+ORACLES = {"op1_revisit_resolution": warc.OP1_SQL, "op2_cross_entropy_difference": lmscore.OP2_SQL, "op4_template_contamination": decontaminate.OP4_SQL}
