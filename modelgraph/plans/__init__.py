@@ -1 +1,4 @@
 """Registered queries and their SQL twins."""
+
+from modelgraph.plans import definitions  # noqa: F401
+from modelgraph.plans.views import ORACLES, QUERIES  # noqa: F401
