@@ -273,7 +273,7 @@ def operation_text(v):
 
 @query(
     "class_text", "classifiers attributes operations parameters",
-    f"""WITH {_OTEXT}, oo AS (SELECT class, string_agg(text, chr(10) ORDER BY op) AS t FROM o GROUP BY 1), aa AS (SELECT class, string_agg({_ATEXT}, chr(10) ORDER BY seq) AS t FROM attributes GROUP BY 1)
+    f"""WITH {_OTEXT}, oo AS (SELECT class, string_agg(text, chr(10) ORDER BY op, text) AS t FROM o GROUP BY 1), aa AS (SELECT class, string_agg({_ATEXT}, chr(10) ORDER BY seq, {_ATEXT}) AS t FROM attributes GROUP BY 1)
     SELECT c.class, CASE WHEN stereotype IS NOT NULL THEN '«' || stereotype || '» ' ELSE '' END || CAST(c.class AS VARCHAR) || CASE WHEN is_abstract THEN ' {{abstract}}' ELSE '' END
     || chr(10) || '---' || chr(10) || coalesce(aa.t || chr(10), '') || '---' || coalesce(chr(10) || oo.t, '') AS text FROM classifiers c LEFT JOIN aa ON c.class = aa.class LEFT JOIN oo ON c.class = oo.class""".replace("{{", "{").replace("}}", "}"),
 )
