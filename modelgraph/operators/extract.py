@@ -128,7 +128,7 @@ ENUM_BLOCK = r"(?isuU)(?<!КОНЕЦ )ПЕРЕЧИСЛЕНИЕ\s+\w+.*?КОНЕ
 ATTRIBUTE_LINE = r"(?iuU)^([-+#~])?\s*(\w+)\s*(?:\[([^\]]*)\])?\s*(?::\s*(\w+))?\s*(?:=\s*([^{]*?))?\s*(\{\s*только_чтение\s*\})?\s*$"
 OPERATION_LINE = r"(?iuU)^([-+#~])?\s*(\w+)\s*\(([^()]*)\)\s*(?::\s*(\w+))?\s*(?:\{([^}]*)\})?\s*$"
 RELATIONS = {"generalization": "ОБОБЩЕНИЕ", "dependency": "ЗАВИСИМОСТЬ", "realization": "РЕАЛИЗАЦИЯ"}
-ASSOCIATION = r"(?iuU)(АССОЦИАЦИЯ|КОМПОЗИЦИЯ|АГРЕГАЦИЯ)\s+(\w+)\s*(?:\[([^\]]*)\])?\s*(?::\s*(\w+))?\s*--\s*(\w+)\s*(?:\[([^\]]*)\])?\s*(?::\s*(\w+))?(?:\s+ИМЯ\s+(\w+))?(\s+производная)?"
+ASSOCIATION = r"(?iuU)(АССОЦИАЦИЯ|КОМПОЗИЦИЯ|АГРЕГАЦИЯ)\s+(\w+)\s*(?:\[([^\]]*)\])?\s*(?::\s*(\w+))?\s*--\s*(\w+)(?:\s*\[([^\]]*)\])?(?:\s*:\s*(\w+))?(?:\s+ИМЯ\s+(\w+))?(\s+производная)?"
 
 
 def _uncommented(sources: DataFrame) -> DataFrame:
