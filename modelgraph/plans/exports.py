@@ -80,20 +80,20 @@ def puml_export(v):
     return exports.puml(v("terms"), v("relationships"), titles)
 
 
-_DTERM = "name || ': ''' || label || ''', ''' || description || '''' || CASE WHEN color IS NULL AND note IS NULL THEN '' ELSE ', { ' || concat_ws(', ', 'color: ''' || color || ''' ', 'note: ''' || note || ''' ') || '}' END"
+DSL_TERM_SQL = "name || ': ''' || label || ''', ''' || description || '''' || CASE WHEN color IS NULL AND note IS NULL THEN '' ELSE ', { ' || concat_ws(', ', 'color: ''' || color || ''' ', 'note: ''' || note || ''' ') || '}' END"
 _DREL = "parent || ' ' || relationship || ' ' || child || CASE WHEN direction IS NULL THEN '' ELSE ', { direction: ''' || direction || ''' }' END"
 _DARGS = "dargs AS (SELECT function AS name, string_agg(term || ': ''' || label || '''', ', ' ORDER BY pos, term || ': ''' || label || '''') AS inputs FROM function_args GROUP BY 1)"
 _DFUN = "f.name || ': ''' || f.label || ''' (' || coalesce(inputs, '') || ') -> ' || output_term || ': ''''' || CASE WHEN type IS NULL THEN '' ELSE ', { type: ''' || type || ''' }' END"
 
 
-@query("dsl_lines", "terms relationships", f"SELECT ontology_id, 1 AS section, seq, {_DTERM} AS line FROM terms UNION ALL SELECT ontology_id, 5, seq, {_DREL} FROM relationships")
+@query("dsl_lines", "terms relationships", f"SELECT ontology_id, 1 AS section, seq, {DSL_TERM_SQL} AS line FROM terms UNION ALL SELECT ontology_id, 5, seq, {_DREL} FROM relationships")
 def dsl_lines(v):
     return exports.dsl_term_lines(v("terms")).unionByName(exports.dsl_relationship_lines(v("relationships")))
 
 
 @query(
     "dsl_export", "terms functions function_args relationships",
-    f"""WITH {_DARGS}, a AS (SELECT ontology_id, 'types:' || chr(10) || string_agg({_DTERM}, chr(10) ORDER BY seq) || chr(10) AS x FROM terms GROUP BY 1),
+    f"""WITH {_DARGS}, a AS (SELECT ontology_id, 'types:' || chr(10) || string_agg({DSL_TERM_SQL}, chr(10) ORDER BY seq) || chr(10) AS x FROM terms GROUP BY 1),
     b AS (SELECT ontology_id, 'functions:' || chr(10) || string_agg({_DFUN}, chr(10) ORDER BY seq) || chr(10) AS x FROM functions f LEFT JOIN dargs ON dargs.name = f.name GROUP BY 1),
     c AS (SELECT ontology_id, 'hierarchy:' || chr(10) || string_agg({_DREL}, chr(10) ORDER BY seq, {_DREL}) || chr(10) AS x FROM relationships GROUP BY 1)
     SELECT coalesce(a.ontology_id, b.ontology_id, c.ontology_id) AS ontology_id, concat_ws(chr(10), a.x, b.x, c.x) AS dsl FROM a FULL JOIN b ON a.ontology_id = b.ontology_id FULL JOIN c ON coalesce(a.ontology_id, b.ontology_id) = c.ontology_id""",

@@ -1,10 +1,15 @@
 """Queries that read models from texts: views are written as text and must come back."""
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from modelgraph.functions import render
 from modelgraph.operators import exports, extract
+from modelgraph.operators.graph import shared_folder
+from modelgraph.plans.exports import DSL_TERM_SQL
 from modelgraph.plans.views import query
+from modelgraph.sources.files import read_models
 
 
 def _sources(v, *sections):
@@ -176,3 +181,29 @@ def svg_translate(v):
 def svg_parse_status(v):
     warnings = v("classifiers").where("class % 3 = 0").select((F.col("class") % 20).alias("doc"))
     return extract.svg_status(extract.svg_elements(_svg(v)), warnings)
+
+
+def _read_back(v, texts):
+    """texts(file, content) written as one text file each, and read again as model files."""
+    folder = f"{shared_folder(v.spark)}/texts-{uuid.uuid4().hex}"
+    texts.write.partitionBy("file").text(folder)
+    found = read_models(v.spark, folder, "txt")
+    return found.select(F.regexp_extract("file", r"/file=(\d+)/", 1).cast("long").alias("file"), F.length(F.regexp_replace("content", r"\n$", "")).alias("n"))
+
+
+@query("read_sources", "terms", f"SELECT ontology_id AS file, CAST(sum(length({DSL_TERM_SQL})) + count(*) - 1 AS INT) AS n FROM terms GROUP BY 1")
+def read_sources(v):
+    return _read_back(v, exports.joined(exports.dsl_term_lines(v("terms")), "ontology_id", "content").withColumnRenamed("ontology_id", "file"))
+
+
+@query("read_tdl", "classifiers", "SELECT class % 20 AS file, CAST(sum(length('КЛАСС c' || class || chr(10) || 'КОНЕЦ КЛАСС')) + count(*) - 1 AS INT) AS n FROM classifiers GROUP BY 1")
+def read_tdl(v):
+    block = F.concat(F.lit("КЛАСС c"), F.col("class").cast("string"), F.lit("\nКОНЕЦ КЛАСС"))
+    return _read_back(v, v("classifiers").groupBy((F.col("class") % 20).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("content")))
+
+
+@query("read_svg", "classifiers", """SELECT class % 20 AS file, CAST(sum(length('<g data-type="class" data-name="' || class || '"></g>')) + 11 AS INT) AS n FROM classifiers GROUP BY 1""")
+def read_svg(v):
+    tag = F.concat(F.lit('<g data-type="class" data-name="'), F.col("class").cast("string"), F.lit('"></g>'))
+    docs = v("classifiers").groupBy((F.col("class") % 20).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(tag)), "").alias("t"))
+    return _read_back(v, docs.select("file", F.concat(F.lit("<svg>"), "t", F.lit("</svg>")).alias("content")))

@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 
 def read_models(spark: SparkSession, path: str, suffix: str = "ontol") -> DataFrame:
     """file, content of all files of a suffix (ontol, tdl, svg) below a folder, or of a glob."""
-    reader = spark.read.option("wholetext", True)
+    reader = spark.read
     if "*" not in path and not path.endswith(f".{suffix}"):
         reader = reader.option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}")
-    return reader.text(path).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
+    return reader.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
 
 
 def write_texts(df: DataFrame, key: str, text: str, path: str) -> None:

@@ -13,7 +13,7 @@ def watch_sources(spark: SparkSession, path: str, suffix: str = "ontol") -> Data
     """A stream of new files below a folder (file, content). A file source reads a path once;
     changes of known files come from the stream of edits."""
     return (
-        spark.readStream.schema("value string").option("wholetext", True).option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(path)
+        spark.readStream.schema("value string").option("recursiveFileLookup", True).option("pathGlobFilter", f"*.{suffix}").text(path, wholetext=True)
         .select(F.col("_metadata.file_path").alias("file"), F.col("value").alias("content"))
     )
 

@@ -113,11 +113,11 @@ def test_entries(spark):
 
 def test_sources_and_streams(spark, tmp_path):
     (tmp_path / "in" / "deep").mkdir(parents=True)
-    (tmp_path / "in" / "a.ontol").write_text("types:")
+    (tmp_path / "in" / "a.ontol").write_text("types:\n")
     (tmp_path / "in" / "deep" / "b.ontol").write_text("é")
     (tmp_path / "in" / "c.tdl").write_text("x")
     folder = str(tmp_path / "in")
-    assert {r.content for r in read_models(spark, folder).collect()} == {"types:", "é"}
+    assert {r.content for r in read_models(spark, folder).collect()} == {"types:\n", "é"}
     q = edits.watch_sources(spark, folder).writeStream.format("memory").queryName("watched").trigger(availableNow=True).start()
     q.awaitTermination()
     assert spark.table("watched").count() == 2
