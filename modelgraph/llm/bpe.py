@@ -82,7 +82,7 @@ class PrefixEncoder:
         key = left << 32 | right
         known = self.beside.get(key)
         if known is None:
-            if len(self.beside) > 1_000_000:
+            if len(self.beside) > 300_000:
                 self.beside.clear()
             known = self.beside[key] = self._may_stand(left, right)
         return known
@@ -168,7 +168,7 @@ class _Packed(dict):
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, cache_pieces: int = 600_000, keep_ids: bool = True
+    docs: DataFrame, ranks_path: str, pattern: str, cache_pieces: int = 150_000, keep_ids: bool = True
 ) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_tokens, ids array<int> (where keep_ids), ids_sha256,
     decoded_sha256, one row per input row.
@@ -187,7 +187,7 @@ def encode_documents(
             key, lambda: (_Packed(PrefixEncoder(*shared.value), cache_pieces), regex.compile(pattern))
         )
         token = packed.encoder.token
-        for batch in batches:
+        for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             counts, arrays, id_hash, text_hash = [], [], [], []
             for text in batch.column(1):
                 blob = b"".join(map(packed.__getitem__, split.findall(text.as_py() or "")))
