@@ -8,7 +8,7 @@ from modelgraph.operators import classmodel, definitions, exports, extract, grap
 from modelgraph.sources.files import read_models
 from modelgraph.streaming import edits
 
-ONTOL = """version: '1.0' # c
+SOURCE = """version: '1.0' # c
 title: ''
 import {a, b as c} from 'base.ontol'
 import * from 'http://x.org/o.ontol'
@@ -36,7 +36,7 @@ def lines(spark, text):
 
 
 def test_statements(spark):
-    x = lines(spark, ONTOL)
+    x = lines(spark, SOURCE)
     assert {(r.tag, r.value) for r in extract.meta(x).collect()} == {("version", "1.0"), ("title", "")}
     assert [tuple(r)[2:] for r in extract.terms(x).orderBy("line").collect()] == [("Parent", "Label #1", "A type", "#000000", None), ("Child", "", "", None, "n")]
     f = extract.functions(x).orderBy("line").collect()
