@@ -2,8 +2,9 @@
 
 Words of a text become template tokens: a word with a digit is a number slot, a unit behind a
 number a unit slot, a capitalised word inside a sentence a name slot, any other word its
-lower-case letters and digits. Windows of template tokens of the documents are joined by hash
-with those of the benchmark. Matches along one alignment of a document with an item are put
+lower-case letters and digits. In a second, loose form every capitalised word is a name slot, at
+the start of a sentence, possessive and hyphenated too. Windows of template tokens of the
+documents, in both forms, are joined by hash with those of the benchmark. Matches along one alignment of a document with an item are put
 together: the words in the slots must correspond one to one (every benchmark value has a single
 counterpart), so a question asked again with other parameters is found and a chance mixture of
 slots is not.
@@ -18,6 +19,8 @@ from modelgraph.llm.common import checkpointed, chosen, table
 
 # Marks of the slots (private-use letters) and the units.
 NUMBER, UNIT, NAME = "", "", ""
+HEAD = "\ue003"  # before a word that is a name slot in the loose form only
+_NAME_WORD = r"\p{Lu}\p{M}*+(?:['’]\p{Lu})?\p{Ll}[\p{L}\p{M}]*+(?:[-‐'’]\p{L}[\p{L}\p{M}]*+)*+"
 UNITS = (
     "mm cm m km in ft yd mi mg g kg t oz lb lbs ml cl l gal s sec min h hr hrs ms hz khz mhz ghz w kw mw v a j kj kcal cal "
     "k c f % percent usd eur gbp dollars euros pounds cents metres meters kilometres kilometers miles feet inches grams "
@@ -28,29 +31,45 @@ _SPACES = r"[\x20\x09-\x0D]+"
 
 
 def template(text: Column) -> tuple[Column, Column]:
-    """(words, template tokens): arrays of equal length."""
-    raw = F.array_remove(F.split(F.translate(text, NUMBER + UNIT + NAME, ""), _SPACES), "")
+    """(words, template tokens): arrays of equal length, but for an empty text. Tokens behind
+    HEAD are plain words in the strict form and name slots in the loose one."""
+    raw = F.array_remove(F.split(F.translate(text, NUMBER + UNIT + NAME + HEAD, ""), _SPACES), "")
     t = F.array_join(raw, " ")
     t = F.regexp_replace(t, r"(?<=[^.!?: ] )[^\p{L}\p{N} ]*+\p{Lu}\p{Ll}++[^\p{L}\p{N} ]*+(?![^ ])", NAME)
     t = F.regexp_replace(t, r"(?<![^ ])[^ 0-9]*+[0-9][^ ]*+", NUMBER)
     t = F.regexp_replace(t, rf"(?<={NUMBER} )(?i:{'|'.join(sorted(UNITS, key=len, reverse=True))})[^\p{{L}}\p{{N}} ]*+(?![^ ])", UNIT)
-    t = F.lower(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}} {NUMBER}{UNIT}{NAME}]++", ""))
-    return raw, F.split(t, " ")
+    t = F.regexp_replace(t, rf"(?<![^ ])(?=[^\p{{L}}\p{{N}} ]*+{_NAME_WORD}[^\p{{L}}\p{{N}} ]*+(?![^ ]))", HEAD)
+    t = F.lower(F.regexp_replace(t, rf"[^\p{{L}}\p{{N}} {NUMBER}{UNIT}{NAME}{HEAD}]++", ""))
+    return raw, t
 
 
 def tokens(texts: DataFrame, key: str, size: int) -> DataFrame:
-    """key, raw, canon of the texts that have at least size words."""
-    raw, canon = template(F.coalesce("text", F.lit("")))
-    return texts.select(key, raw.alias("raw"), canon.alias("canon")).where(F.size("raw") >= size)
+    """key, raw, canon, loose (tokens in the two forms) of the texts that have at least size words."""
+    raw, marked = template(F.coalesce("text", F.lit("")))
+    marked = texts.select(key, raw.alias("raw"), marked.alias("t")).where(F.size("raw") >= size)
+    loose = F.regexp_replace("t", HEAD + "[^ ]*+", NAME)
+    return marked.select(key, "raw", F.split(F.translate("t", HEAD, ""), " ").alias("canon"), F.split(loose, " ").alias("loose"))
 
 
 def windows(arrays: DataFrame, key: str, size: int) -> DataFrame:
-    """key, pos (from 1), h: the hash of each window of size tokens. The shifted arrays are
-    zipped, so hashes are computed in generated code; no array leaves the row it is in."""
-    shifted = [F.slice("canon", i + 1, F.size("canon")) if i else F.col("canon") for i in range(size)]
-    zipped = F.arrays_zip(*(x.alias(f"t{i}") for i, x in enumerate(shifted)))
-    rows = arrays.select(key, F.posexplode(zipped).alias("pos", "w")).where(f"w.t{size - 1} is not null")
-    return rows.select(key, (F.col("pos") + 1).alias("pos"), F.xxhash64(*(f"w.t{i}" for i in range(size))).alias("h"))
+    """key, pos (from 1), h: the hashes of each window of size tokens, one, or two if its forms
+    differ. Tokens are hashed once, and the shifted arrays of hashes zipped, so windows are
+    hashed in generated code; no array leaves the row it is in."""
+    hashed = arrays.select(key, *(F.transform(c, lambda t: F.xxhash64(t)).alias(c) for c in ("canon", "loose")))
+    shifted = [(F.slice(c, i + 1, F.size(c)) if i else F.col(c)).alias(f"{c}{i}") for c in ("canon", "loose") for i in range(size)]
+    rows = hashed.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w")).where(f"w.canon{size - 1} is not null")
+    rows = rows.select(key, (F.col("pos") + 1).alias("pos"), *(F.xxhash64(*(f"w.{c}{i}" for i in range(size))).alias(c) for c in ("canon", "loose")))
+    both = F.when(F.col("canon") == F.col("loose"), F.array("canon")).otherwise(F.array("canon", "loose"))
+    return rows.select(key, "pos", F.explode(both).alias("h"))
+
+
+def item_windows(items: DataFrame, size: int) -> DataFrame:
+    """item_id, form (0 strict, 1 loose), q (from 1), h, item_raw, item_canon: windows as above."""
+    part = lambda c: F.slice(c, F.col("q"), size)
+    rows = items.select("item_id", "raw", F.posexplode(F.array("canon", "loose")).alias("form", "canon"))
+    rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("raw") - size + 1)).alias("q"))
+    rows = rows.select("item_id", "form", "q", part("raw").alias("item_raw"), part("canon").alias("item_canon"))
+    return rows.withColumn("h", F.xxhash64(*(F.xxhash64(F.get("item_canon", F.lit(i))) for i in range(size))))
 
 
 def contaminated(
@@ -60,19 +79,19 @@ def contaminated(
     doc_id, item_id, n_windows (most item windows found along one alignment), n_slots (slots
     in it), n_changed (benchmark slot values with another value in the document), exact boolean.
 
-    A pair is reported if along one alignment at least least_windows windows of the item (all,
+    A pair is reported if along one alignment, in one form (the strict one if it is found in
+    both), at least least_windows windows of the item (all,
     if it has fewer) are found and the slots correspond one to one. Windows of fewer than
     least_words plain words are not used; items of fewer than size words are not searched. Null
     and short texts match nothing, rows of null doc_id or item_id are left out, repeated rows
     count once, other columns are not read. The benchmark's windows are broadcast up to
     most_broadcast rows and joined by shuffle beyond."""
-    part = lambda c, at: F.slice(c, F.col(at), size)
-    items = tokens(benchmark.where("item_id is not null").select("item_id", "text").distinct(), "item_id", size)
-    items = windows(items, "item_id", size).withColumnRenamed("pos", "q").join(items, "item_id")
-    plain = F.size(F.filter(part("canon", "q"), lambda t: ~t.isin("", NUMBER, UNIT, NAME)))
-    items = items.where(plain >= least_words).select("item_id", "q", "h", part("raw", "q").alias("item_raw"), part("canon", "q").alias("item_canon"))
-    totals = items.groupBy("item_id").agg(F.countDistinct("q").alias("n_item"))
-    items = checkpointed(items.join(totals, "item_id"))
+    part = lambda c: F.slice(c, F.col("pos"), size)
+    items = item_windows(tokens(benchmark.where("item_id is not null").select("item_id", "text").distinct(), "item_id", size), size)
+    plain = F.size(F.filter("item_canon", lambda t: ~t.isin("", NUMBER, UNIT, NAME)))
+    items = items.where(plain >= least_words)
+    totals = items.groupBy("item_id", "form").agg(F.countDistinct("q").alias("n_item"))
+    items = checkpointed(items.join(totals, ["item_id", "form"]))
     keys = items.select("h").distinct()
     if items.count() <= most_broadcast:
         items, keys = F.broadcast(items), F.broadcast(keys)
@@ -80,15 +99,17 @@ def contaminated(
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     found = checkpointed(windows(tokens(docs, "doc_id", size), "doc_id", size).join(keys, "h", "left_semi").distinct())
     arrays = tokens(chosen(docs, found.select("doc_id")), "doc_id", size)
-    hits = found.join(arrays, "doc_id").select("doc_id", "pos", "h", part("raw", "pos").alias("doc_raw"), part("canon", "pos").alias("doc_canon"))
-    hits = hits.join(items, "h").where("doc_canon = item_canon")
-    hits = checkpointed(hits.select("doc_id", "item_id", "n_item", "q", (F.col("pos") - F.col("q")).alias("shift"), "item_raw", "item_canon", "doc_raw"))
-    along = ["doc_id", "item_id", "shift"]
+    hits = found.join(arrays, "doc_id").select("doc_id", "pos", "h", part("raw").alias("doc_raw"), part("canon").alias("canon"), part("loose").alias("loose"))
+    hits = hits.join(items, "h").where(F.when(F.col("form") == 0, F.col("canon")).otherwise(F.col("loose")) == F.col("item_canon"))
+    hits = checkpointed(hits.select("doc_id", "item_id", "form", "n_item", "q", (F.col("pos") - F.col("q")).alias("shift"), "item_raw", "item_canon", "doc_raw"))
+    along = ["doc_id", "item_id", "form", "shift"]
     counts = hits.groupBy(*along).agg(F.countDistinct("q").alias("n_windows"), F.first("n_item").alias("n_item"))
 
     trio = F.arrays_zip("item_canon", "item_raw", "doc_raw")
     slots = hits.select(*along, "q", F.posexplode(trio).alias("i", "s")).where(F.col("s.item_canon").isin(NUMBER, UNIT, NAME))
-    bare = lambda c: F.lower(F.regexp_replace(c, r"[^\p{L}\p{N}]+", ""))
+    # In the loose form a possessive is the name itself.
+    owned = lambda c: F.when(F.col("form") == 1, F.regexp_replace(c, r"(?<=\p{L})['’][sS](?=[^\p{L}\p{N}]*$)", "")).otherwise(c)
+    bare = lambda c: F.lower(F.regexp_replace(owned(F.col(c)), r"[^\p{L}\p{N}]+", ""))
     slots = slots.select(*along, (F.col("q") + F.col("i")).alias("at"), bare("s.item_raw").alias("was"), bare("s.doc_raw").alias("is")).distinct()
     values = slots.groupBy(*along, "was").agg(F.count("*").alias("n"), F.min("is").alias("lo"), F.max("is").alias("hi"))
     values = values.groupBy(*along).agg(
@@ -98,10 +119,10 @@ def contaminated(
     good = (
         counts.where(f"n_windows >= least({least_windows}, n_item)")
         .join(values, along, "left")
-        .select("doc_id", "item_id", F.col("n_windows").cast("long"), *(F.coalesce(c, zero).alias(c) for c in ("n_slots", "n_mixed", "n_changed")))
+        .select("doc_id", "item_id", "form", F.col("n_windows").cast("long"), *(F.coalesce(c, zero).alias(c) for c in ("n_slots", "n_mixed", "n_changed")))
         .where("n_mixed = 0")
     )
-    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct("n_windows", (-F.col("n_changed")).alias("c"), "n_slots")).alias("b"))
+    best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct((-F.col("form")).alias("f"), "n_windows", (-F.col("n_changed")).alias("c"), "n_slots")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_windows", "b.n_slots", (-F.col("b.c")).alias("n_changed"), (F.col("b.c") == 0).alias("exact"))
 
 

@@ -30,3 +30,27 @@ def test_templates(spark):
     assert got[2, 10].n_changed == 3
     assert {r.doc_id for r in d.contaminated(docs, bench, most_broadcast=0).collect()} == {1, 2, 8}
     assert d.contaminated(docs.limit(0), bench).count() == 0 == d.contaminated(docs, bench.limit(0)).count()
+
+
+def pairs(spark, texts, items):
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    bench = spark.createDataFrame(list(enumerate(items)), "item_id long, text string")
+    return {(r.doc_id, r.item_id): r for r in d.contaminated(docs, bench).collect()}
+
+
+BEN = "Ben has 5 apples. Ben gives 2 to Tim. How many apples does Ben have left?"
+
+
+def test_names_that_begin_sentences(spark):
+    other = BEN.replace("Ben", "Zoe").replace("Tim", "Max").replace("5", "9").replace("2", "4")
+    owned = "Anna's box and Anne-Marie's bag hold 7 pens. Anna's sister takes away all the blue ones she can find"
+    texts = [
+        "Well. " + other,
+        other.replace("does Zoe", "does Kim"),  # no single counterpart
+        owned.replace("Anna", "Olga").replace("Anne-Marie", "Eva-Lotta").replace("7", "8"),
+        "now " + BEN,
+        "Mia has 5 pears. Mia sells 2 to Tim. How many coins does Mia have now?",
+    ]
+    got = pairs(spark, texts, [BEN, owned])
+    assert set(got) == {(0, 0), (2, 1), (3, 0)}
+    assert got[3, 0].exact and not got[0, 0].exact
