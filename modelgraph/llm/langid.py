@@ -50,43 +50,45 @@ class Unigrams:
         self.id = {piece: i + 1 for i, piece in enumerate(pieces)}
         self.p = p
 
-    def lattice(self, group: list[str]):
+    def lattice(self, group: list[str], back: bool = False):
         """For marked words of equal length: (start, end, piece ids of each word, 0 for none and
-        for an unknown letter) of all places with a piece."""
+        for an unknown letter) of all places with a piece, by end; back: the last end first."""
         get, n = self.id.get, len(group[0])
-        for end in range(1, n + 1):
+        for end in range(n, 0, -1) if back else range(1, n + 1):
             for start in range(max(0, end - LONGEST), end):
                 ids = np.array([get(w[start:end], 0) for w in group])
                 if end - start == 1 or ids.any():
                     yield start, end, ids
 
-    def weights(self, start: int, end: int, ids: np.ndarray) -> np.ndarray:
-        p = self.p[ids]
+    def weights(self, start: int, end: int, ids: np.ndarray, lang: np.ndarray | None = None) -> np.ndarray:
+        p = self.p[ids] if lang is None else self.p[ids, lang][:, None]
         if end - start > 1:
             p[ids == 0] = 0
         return p
 
-    def forward(self, group: list[str], keep: bool = False):
+    def forward(self, group: list[str], lang: np.ndarray | None = None):
         """log probabilities [word, language] of words of equal length. Rows are rescaled at
-        each position, so long words don't underflow. keep: also what backward needs."""
+        each position, so long words don't underflow; only the last LONGEST positions are kept,
+        so they take no more memory. lang (one for each word): of that language alone, and with
+        all positions, which backward needs."""
         group = ["▁" + w for w in group]
-        n, k = len(group[0]), self.p.shape[1]
-        alpha = np.zeros((n + 1, len(group), k))
+        n, k = len(group[0]), self.p.shape[1] if lang is None else 1
+        size = (min(n, LONGEST) if lang is None else n) + 1
+        alpha = np.zeros((size, len(group), k))
         alpha[0] = 1
-        scale = np.zeros((n + 1, len(group), k))
-        at, arcs = 0, []
+        scale = np.zeros((size, len(group), k))
+        at = 0
         for start, end, ids in self.lattice(group):
+            i, j = start % size, end % size
             if end != at:
-                self._close(alpha, scale, at)
+                self._close(alpha, scale, at % size)
                 at = end
-                scale[end] = scale[end - 1]
-            p = self.weights(start, end, ids)
-            alpha[end] += alpha[start] * p * np.exp(scale[start] - scale[end])
-            if keep:
-                arcs.append((start, end, ids, p))
-        self._close(alpha, scale, at)
-        logs = np.log(alpha[n]) + scale[n]
-        return (logs, alpha, scale, arcs) if keep else logs
+                alpha[j] = 0
+                scale[j] = scale[(end - 1) % size]
+            alpha[j] += alpha[i] * self.weights(start, end, ids, lang) * np.exp(scale[i] - scale[j])
+        self._close(alpha, scale, at % size)
+        logs = np.log(alpha[n % size]) + scale[n % size]
+        return logs if lang is None else (logs, alpha, scale)
 
     @staticmethod
     def _close(alpha, scale, at):
@@ -96,26 +98,30 @@ class Unigrams:
 
     def expected(self, group: list[str], count: np.ndarray, lang: np.ndarray, into: dict) -> None:
         """Adds the expected piece counts of words (count times each, in language lang)."""
-        logs, alpha, scale, arcs = self.forward(group, keep=True)
-        n, rows = len(group[0]) + 1, np.arange(len(group))
-        total = logs[rows, lang]
+        logs, alpha, scale = self.forward(group, lang)
+        n, total = len(group[0]) + 1, logs[:, 0]
         beta = np.full((n + 1, len(group)), -np.inf)
         beta[n] = 0
-        la = np.log(np.maximum(alpha[:, rows, lang], 1e-300)) + scale[:, rows, lang]
-        for start, end, ids, p in reversed(arcs):
+        la = np.log(np.maximum(alpha[:, :, 0], 1e-300)) + scale[:, :, 0]
+        for start, end, ids in self.lattice(["▁" + w for w in group], back=True):
             with np.errstate(divide="ignore"):
-                arc = np.log(p[rows, lang]) + beta[end]
+                arc = np.log(self.weights(start, end, ids, lang)[:, 0]) + beta[end]
             beta[start] = np.logaddexp(beta[start], arc)
             post = np.exp(la[start] + arc - total) * count
             for i in np.flatnonzero(post > 1e-12):
                 into[int(lang[i]), int(ids[i])] += post[i]
 
 
+def group_size(letters: int) -> int:
+    """How many words of so many letters are put together, one at least."""
+    return max(1, 4096 // max(1, letters // 16))
+
+
 def by_length(found: list[str]) -> list[list[str]]:
     groups = defaultdict(list)
     for w in found:
         groups[len(w)].append(w)
-    return [g[i : i + 4096 // max(1, len(g[0]) // 16)] for g in groups.values() for i in range(0, len(g), 4096 // max(1, len(g[0]) // 16) or 1)]
+    return [g[i : i + group_size(n)] for n, g in groups.items() for i in range(0, len(g), group_size(n))]
 
 
 def fit(
@@ -159,9 +165,10 @@ def fit(
                 groups = defaultdict(list)
                 for i, w in enumerate(word):
                     groups[len(w)].append(i)
-                for g in groups.values():
-                    for i in range(0, len(g), 2048):
-                        part = np.array(g[i : i + 2048])
+                for length, g in groups.items():
+                    size = min(2048, group_size(length))
+                    for i in range(0, len(g), size):
+                        part = np.array(g[i : i + size])
                         model.expected([word[j] for j in part], n[part], lang[part], into)
             keys = list(into)
             yield pa.RecordBatch.from_pydict({"lang": pa.array([a for a, _ in keys], pa.int32()), "piece": pa.array([b for _, b in keys], pa.int32()), "n": pa.array([into[x] for x in keys], pa.float64())})

@@ -67,3 +67,15 @@ def test_odd_rows(spark):
     langs, p = langid.fit(docs.limit(0), pieces)
     assert {r.lang_pred for r in langid.identify(docs, pieces, langs, p).collect()} == {"und"}
     assert langid.identify(docs.limit(0), pieces, langs, p).count() == 0
+
+
+def test_words_of_any_length(spark):
+    assert [len(g) for g in langid.by_length(["a" * 65_551, "a" * 65_552, "b" * 300_000, "c" * 300_000])] == [1, 1, 1, 1]
+    model = langid.Unigrams(["a", "b", "ab"], np.full((4, 2), [[0.1, 0.2]]))
+    logs = model.forward(["ab" * 35_000])
+    assert np.isfinite(logs).all() and logs[0, 0] < logs[0, 1]
+    rows = [(1, "the cat and the dog", "en"), (2, "le chat et le chien", "fr"), (3, "the " * 20 + "a" * 10_000, "en"), (4, "le chat " + "é" * 200_000, None)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = ["▁", "▁the", "▁le", "a", "c", "h", "t"]
+    langs, p = langid.fit(docs, pieces)
+    assert {r.doc_id for r in langid.identify(docs, pieces, langs, p).collect()} == {1, 2, 3, 4}
