@@ -12,6 +12,8 @@ slots is not.
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -43,32 +45,46 @@ def template(text: Column) -> tuple[Column, Column]:
     return raw, t
 
 
+def bare(word: Column) -> Column:
+    return F.lower(F.regexp_replace(word, r"[^\p{L}\p{N}]+", ""))
+
+
 def tokens(texts: DataFrame, key: str, size: int) -> DataFrame:
-    """key, raw, canon, loose (tokens in the two forms) of the texts that have at least size words."""
+    """key, raw, canon, loose (tokens in the two forms), plain (the words themselves) of the texts
+    that have at least size words."""
     raw, marked = template(F.coalesce("text", F.lit("")))
     marked = texts.select(key, raw.alias("raw"), marked.alias("t")).where(F.size("raw") >= size)
     loose = F.regexp_replace("t", HEAD + "[^ ]*+", NAME)
-    return marked.select(key, "raw", F.split(F.translate("t", HEAD, ""), " ").alias("canon"), F.split(loose, " ").alias("loose"))
+    return marked.select(key, "raw", F.split(F.translate("t", HEAD, ""), " ").alias("canon"), F.split(loose, " ").alias("loose")).withColumn(
+        "plain", F.transform("raw", lambda w: F.when(bare(w) == "", w).otherwise(bare(w)))
+    )
+
+
+FORMS = ("canon", "loose", "plain")
 
 
-def windows(arrays: DataFrame, key: str, size: int) -> DataFrame:
-    """key, pos (from 1), h: the hashes of each window of size tokens, one, or two if its forms
-    differ. Tokens are hashed once, and the shifted arrays of hashes zipped, so windows are
-    hashed in generated code; no array leaves the row it is in."""
-    hashed = arrays.select(key, *(F.transform(c, lambda t: F.xxhash64(t)).alias(c) for c in ("canon", "loose")))
-    shifted = [(F.slice(c, i + 1, F.size(c)) if i else F.col(c)).alias(f"{c}{i}") for c in ("canon", "loose") for i in range(size)]
-    rows = hashed.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w")).where(f"w.canon{size - 1} is not null")
-    rows = rows.select(key, (F.col("pos") + 1).alias("pos"), *(F.xxhash64(*(f"w.{c}{i}" for i in range(size))).alias(c) for c in ("canon", "loose")))
-    both = F.when(F.col("canon") == F.col("loose"), F.array("canon")).otherwise(F.array("canon", "loose"))
-    return rows.select(key, "pos", F.explode(both).alias("h"))
+def windows(arrays: DataFrame, key: str, size: int, forms: tuple[str, ...] = FORMS[:2]) -> DataFrame:
+    """key, pos (from 1), h: the different hashes of each window of size tokens in its forms.
+    Tokens are hashed once, and the shifted arrays of hashes zipped, so windows are hashed in
+    generated code; no array leaves the row it is in."""
+    hashed = arrays.where(F.size("raw") >= size).select(key, *(F.transform(c, lambda t: F.xxhash64(t)).alias(c) for c in forms))
+    shifted = [(F.slice(c, i + 1, F.size(c)) if i else F.col(c)).alias(f"{c}{i}") for c in forms for i in range(size)]
+    rows = hashed.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w")).where(f"w.{forms[0]}{size - 1} is not null")
+    rows = rows.select(key, (F.col("pos") + 1).alias("pos"), *(F.xxhash64(*(f"w.{c}{i}" for i in range(size))).alias(c) for c in forms))
+    alike = reduce(Column.__and__, [F.col(forms[0]) == F.col(c) for c in forms[1:]])
+    several = F.array_distinct(F.array(*forms))
+    return rows.select(key, "pos", F.explode(F.when(alike, F.array(forms[0])).otherwise(several)).alias("h"))
 
 
 def item_windows(items: DataFrame, size: int) -> DataFrame:
-    """item_id, form (0 strict, 1 loose), q (from 1), h, item_raw, item_canon: windows as above."""
+    """item_id, form (place in FORMS), size, q (from 1), h, item_raw, item_canon: windows as
+    above. In the loose form an item's first word may be a unit too, as behind a number."""
     part = lambda c: F.slice(c, F.col("q"), size)
-    rows = items.select("item_id", "raw", F.posexplode(F.array("canon", "loose")).alias("form", "canon"))
+    rows = items.select("item_id", "raw", F.posexplode(F.array(*FORMS)).alias("form", "canon"))
     rows = rows.select("*", F.explode(F.sequence(F.lit(1), F.size("raw") - size + 1)).alias("q"))
-    rows = rows.select("item_id", "form", "q", part("raw").alias("item_raw"), part("canon").alias("item_canon"))
+    rows = rows.select("item_id", "form", F.lit(size).alias("size"), "q", part("raw").alias("item_raw"), part("canon").alias("item_canon"))
+    unit = rows.where((F.col("q") == 1) & (F.col("form") == 1) & bare(F.get("item_raw", F.lit(0))).isin([u for u in UNITS if u != "%"]))
+    rows = rows.unionByName(unit.withColumn("item_canon", F.concat(F.array(F.lit(UNIT)), F.slice("item_canon", 2, size))))
     return rows.withColumn("h", F.xxhash64(*(F.xxhash64(F.get("item_canon", F.lit(i))) for i in range(size))))
 
 
@@ -82,25 +98,41 @@ def contaminated(
     A pair is reported if along one alignment, in one form (the strict one if it is found in
     both), at least least_windows windows of the item (all,
     if it has fewer) are found and the slots correspond one to one. Windows of fewer than
-    least_words plain words are not used; items of fewer than size words are not searched. Null
-    and short texts match nothing, rows of null doc_id or item_id are left out, repeated rows
+    least_words plain words are not used. An item of fewer than size words is one window of its
+    own length, in which only strict slots change; items without a usable window are searched
+    word for word. Null and empty texts match nothing, rows of null doc_id or item_id are left out, repeated rows
     count once, other columns are not read. The benchmark's windows are broadcast up to
     most_broadcast rows and joined by shuffle beyond."""
-    part = lambda c: F.slice(c, F.col("pos"), size)
-    items = item_windows(tokens(benchmark.where("item_id is not null").select("item_id", "text").distinct(), "item_id", size), size)
+    texts = checkpointed(tokens(benchmark.where("item_id is not null").select("item_id", "text").distinct(), "item_id", 1))
+    n_words = F.least(F.size("raw"), F.lit(size))
+    sizes = sorted(r.n for r in texts.select(n_words.alias("n")).distinct().collect()) or [size]
+    items = reduce(DataFrame.unionByName, [item_windows(texts.where(n_words == n), n) for n in sizes])
     plain = F.size(F.filter("item_canon", lambda t: ~t.isin("", NUMBER, UNIT, NAME)))
-    items = items.where(plain >= least_words)
-    totals = items.groupBy("item_id", "form").agg(F.countDistinct("q").alias("n_item"))
-    items = checkpointed(items.join(totals, ["item_id", "form"]))
+    usable = items.where((F.col("form") < 2) & (plain >= least_words))
+    # Items without a usable window are searched word for word.
+    items = checkpointed(usable.unionByName(items.where("form = 2").join(usable.select("item_id").distinct(), "item_id", "left_anti")))
+    totals = items.groupBy("item_id", "form", "size").agg(F.countDistinct("q").alias("n_item"))
+    items = checkpointed(items.join(totals, ["item_id", "form", "size"]))
+    searched = {r["size"]: r["f"] for r in items.groupBy("size").agg(F.max("form").alias("f")).collect()} or {size: 1}
     keys = items.select("h").distinct()
     if items.count() <= most_broadcast:
         items, keys = F.broadcast(items), F.broadcast(keys)
 
     docs = docs.where("doc_id is not null").select("doc_id", "text")
-    found = checkpointed(windows(tokens(docs, "doc_id", size), "doc_id", size).join(keys, "h", "left_semi").distinct())
-    arrays = tokens(chosen(docs, found.select("doc_id")), "doc_id", size)
-    hits = found.join(arrays, "doc_id").select("doc_id", "pos", "h", part("raw").alias("doc_raw"), part("canon").alias("canon"), part("loose").alias("loose"))
-    hits = hits.join(items, "h").where(F.when(F.col("form") == 0, F.col("canon")).otherwise(F.col("loose")) == F.col("item_canon"))
+    arrays = tokens(docs, "doc_id", min(searched))
+    each = [windows(arrays, "doc_id", n, FORMS[: max(2, f + 1)]).join(keys, "h", "left_semi").withColumn("size", F.lit(n)) for n, f in searched.items()]
+    found = checkpointed(reduce(DataFrame.unionByName, each).distinct())
+    part = lambda c: F.slice(c, F.col("pos"), F.col("size"))
+    hits = found.join(tokens(chosen(docs, found.select("doc_id")), "doc_id", min(searched)), "doc_id")
+    hits = hits.select("doc_id", "size", "pos", "h", part("raw").alias("doc_raw"), *(part(c).alias(c) for c in FORMS))
+    hits = hits.join(items, ["h", "size"]).where(F.get(F.array(*FORMS), F.col("form")) == F.col("item_canon"))
+    # One window is little to go by: in items of fewer than size words only a slot of the strict
+    # form may change, so a word at the start of a sentence must be the same.
+    same = lambda w, o: bare(w) == bare(o)
+    held = F.forall(F.arrays_zip("item_raw", "doc_raw", "strict", "canon"), lambda z: same(z.item_raw, z.doc_raw) | (z.strict == z.canon) & z.strict.isin(NUMBER, UNIT, NAME))
+    strict = texts.select("item_id", F.col("raw").alias("item_raw"), F.col("canon").alias("strict")).where(F.size("item_raw") < size)
+    short = hits.where(F.col("size") < size).join(strict, ["item_id", "item_raw"]).where(held).drop("strict")
+    hits = hits.where(F.col("size") >= size).unionByName(short) if min(searched) < size else hits
     hits = checkpointed(hits.select("doc_id", "item_id", "form", "n_item", "q", (F.col("pos") - F.col("q")).alias("shift"), "item_raw", "item_canon", "doc_raw"))
     along = ["doc_id", "item_id", "form", "shift"]
     counts = hits.groupBy(*along).agg(F.countDistinct("q").alias("n_windows"), F.first("n_item").alias("n_item"))
@@ -109,8 +141,7 @@ def contaminated(
     slots = hits.select(*along, "q", F.posexplode(trio).alias("i", "s")).where(F.col("s.item_canon").isin(NUMBER, UNIT, NAME))
     # In the loose form a possessive is the name itself.
     owned = lambda c: F.when(F.col("form") == 1, F.regexp_replace(c, r"(?<=\p{L})['’][sS](?=[^\p{L}\p{N}]*$)", "")).otherwise(c)
-    bare = lambda c: F.lower(F.regexp_replace(owned(F.col(c)), r"[^\p{L}\p{N}]+", ""))
-    slots = slots.select(*along, (F.col("q") + F.col("i")).alias("at"), bare("s.item_raw").alias("was"), bare("s.doc_raw").alias("is")).distinct()
+    slots = slots.select(*along, (F.col("q") + F.col("i")).alias("at"), bare(owned(F.col("s.item_raw"))).alias("was"), bare(owned(F.col("s.doc_raw"))).alias("is")).distinct()
     values = slots.groupBy(*along, "was").agg(F.count("*").alias("n"), F.min("is").alias("lo"), F.max("is").alias("hi"))
     values = values.groupBy(*along).agg(
         F.sum("n").alias("n_slots"), F.count_if(F.col("lo") != F.col("hi")).alias("n_mixed"), F.count_if((F.col("lo") != F.col("was")) | (F.col("hi") != F.col("was"))).alias("n_changed")

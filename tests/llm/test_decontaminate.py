@@ -54,3 +54,14 @@ def test_names_that_begin_sentences(spark):
     got = pairs(spark, texts, [BEN, owned])
     assert set(got) == {(0, 0), (2, 1), (3, 0)}
     assert got[3, 0].exact and not got[0, 0].exact
+
+
+def test_short_items(spark):
+    items = ["What is the capital of France and who founded it?", "A dog of the house barks at the moon", "What is the capital of France?", "2 + 2 = 4", "in which year was the bridge built"]
+    before = ["", "1) ", "(", "Question 5\n", "see this ", "End. "]
+    texts = [b + i for i in items for b in before]
+    got = pairs(spark, texts + ["Madrid is the capital of Spain?", "well 2 - 2 = 0 or 3 + 2 = 4", "What is the capital of Spain?"], items)
+    for k, text in enumerate(texts):
+        assert (k, k // len(before)) in got and got[k, k // len(before)].exact, text
+    n = len(texts)
+    assert {p for p in got if p[0] >= n} == {(n + 2, 2)}
