@@ -5,9 +5,9 @@ number a unit slot, a capitalised word inside a sentence a name slot, any other
 lower-case letters and digits. In a second, loose form every capitalised word is a name slot, at
 the start of a sentence, possessive and hyphenated too. Windows of template tokens of the
 documents, in both forms, are joined by hash with those of the benchmark. Matches along one alignment of a document with an item are put
-together: the words in the slots must correspond one to one (every benchmark value has a single
-counterpart), so a question asked again with other parameters is found and a chance mixture of
-slots is not.
+together: names must correspond (every name of the benchmark has a single counterpart), so a
+question asked again with other parameters is found and a chance mixture of names is not. Numbers
+and units change each for itself, as two of them may have the same value by chance.
 """
 
 from __future__ import annotations
@@ -96,10 +96,11 @@ def contaminated(
     in it), n_changed (benchmark slot values with another value in the document), exact boolean.
 
     A pair is reported if along one alignment, in one form (the strict one if it is found in
-    both), at least least_windows windows of the item (all,
-    if it has fewer) are found and the slots correspond one to one. Windows of fewer than
-    least_words plain words are not used. An item of fewer than size words is one window of its
-    own length, in which only strict slots change; items without a usable window are searched
+    both), at least least_windows windows of the item (all, if it has fewer) are found and each
+    name has a single counterpart, or so many of them, and over half of those found, agree word
+    for word. Windows of fewer than least_words plain words are not used. An item of fewer than
+    size words is one window of its own length, in which only strict slots change; items without
+    a usable window are searched
     word for word. Null and empty texts match nothing, rows of null doc_id or item_id are left out, repeated rows
     count once, other columns are not read. The benchmark's windows are broadcast up to
     most_broadcast rows and joined by shuffle beyond."""
@@ -135,23 +136,26 @@ def contaminated(
     hits = hits.where(F.col("size") >= size).unionByName(short) if min(searched) < size else hits
     hits = checkpointed(hits.select("doc_id", "item_id", "form", "n_item", "q", (F.col("pos") - F.col("q")).alias("shift"), "item_raw", "item_canon", "doc_raw"))
     along = ["doc_id", "item_id", "form", "shift"]
-    counts = hits.groupBy(*along).agg(F.countDistinct("q").alias("n_windows"), F.first("n_item").alias("n_item"))
+    # In the loose form a possessive is the name itself.
+    owned = lambda c: F.when(F.col("form") == 1, F.regexp_replace(c, r"(?<=\p{L})['’][sS](?=[^\p{L}\p{N}]*$)", "")).otherwise(c)
+    word_for_word = F.forall(F.arrays_zip("item_raw", "doc_raw"), lambda z: bare(z.item_raw) == bare(z.doc_raw))
+    counts = hits.groupBy(*along).agg(
+        F.countDistinct("q").alias("n_windows"), F.countDistinct(F.when(word_for_word, F.col("q"))).alias("n_same"), F.first("n_item").alias("n_item")
+    )
 
     trio = F.arrays_zip("item_canon", "item_raw", "doc_raw")
     slots = hits.select(*along, "q", F.posexplode(trio).alias("i", "s")).where(F.col("s.item_canon").isin(NUMBER, UNIT, NAME))
-    # In the loose form a possessive is the name itself.
-    owned = lambda c: F.when(F.col("form") == 1, F.regexp_replace(c, r"(?<=\p{L})['’][sS](?=[^\p{L}\p{N}]*$)", "")).otherwise(c)
-    slots = slots.select(*along, (F.col("q") + F.col("i")).alias("at"), bare(owned(F.col("s.item_raw"))).alias("was"), bare(owned(F.col("s.doc_raw"))).alias("is")).distinct()
-    values = slots.groupBy(*along, "was").agg(F.count("*").alias("n"), F.min("is").alias("lo"), F.max("is").alias("hi"))
+    slots = slots.select(*along, (F.col("s.item_canon") == NAME).alias("name"), (F.col("q") + F.col("i")).alias("at"), bare(owned(F.col("s.item_raw"))).alias("was"), bare(owned(F.col("s.doc_raw"))).alias("is")).distinct()
+    values = slots.groupBy(*along, "was").agg(F.count("*").alias("n"), F.min("is").alias("lo"), F.max("is").alias("hi"), F.countDistinct(F.when(F.col("name"), F.col("is"))).alias("n_names"))
     values = values.groupBy(*along).agg(
-        F.sum("n").alias("n_slots"), F.count_if(F.col("lo") != F.col("hi")).alias("n_mixed"), F.count_if((F.col("lo") != F.col("was")) | (F.col("hi") != F.col("was"))).alias("n_changed")
+        F.sum("n").alias("n_slots"), F.count_if(F.col("n_names") > 1).alias("n_mixed"), F.count_if((F.col("lo") != F.col("was")) | (F.col("hi") != F.col("was"))).alias("n_changed")
     )
     zero = F.lit(0).cast("long")
     good = (
         counts.where(f"n_windows >= least({least_windows}, n_item)")
         .join(values, along, "left")
-        .select("doc_id", "item_id", "form", F.col("n_windows").cast("long"), *(F.coalesce(c, zero).alias(c) for c in ("n_slots", "n_mixed", "n_changed")))
-        .where("n_mixed = 0")
+        .select("doc_id", "item_id", "form", "n_item", "n_same", F.col("n_windows").cast("long"), *(F.coalesce(c, zero).alias(c) for c in ("n_slots", "n_mixed", "n_changed")))
+        .where(f"n_mixed = 0 or n_same >= least({least_windows}, n_item) and 2 * n_same > n_windows")
     )
     best = good.groupBy("doc_id", "item_id").agg(F.max(F.struct((-F.col("form")).alias("f"), "n_windows", (-F.col("n_changed")).alias("c"), "n_slots")).alias("b"))
     return best.select("doc_id", "item_id", "b.n_windows", "b.n_slots", (-F.col("b.c")).alias("n_changed"), (F.col("b.c") == 0).alias("exact"))

@@ -65,3 +65,14 @@ def test_short_items(spark):
         assert (k, k // len(before)) in got and got[k, k // len(before)].exact, text
     n = len(texts)
     assert {p for p in got if p[0] >= n} == {(n + 2, 2)}
+
+
+def test_equal_numbers_and_single_changes(spark):
+    fruit = "Tom has 5 apples and Ann has 5 pears in a large basket that stands behind the door of the old house"
+    long = "the clerk sold 5 lamps on monday and later told Carla that a crate with the same goods would come back to the shop soon after that she went home and wrote to Carla about 5 chairs and a table that her uncle had built long ago"
+    texts = [fruit.replace("5 a", "7 a").replace("5 p", "9 p"), long.replace("5 chairs", "6 chairs"), long.replace("Carla about", "Clara about"), fruit.replace("Ann", "Eve").replace("5 p", "6 p")]
+    mixed = "then Anna met Boris at the gate before Anna took the train and Anna came home to see Boris again"
+    texts.append(mixed.replace("before Anna", "before Carla").replace("and Anna", "and Doris"))
+    got = pairs(spark, texts, [fruit, long, mixed])
+    assert set(got) == {(0, 0), (1, 1), (2, 1), (3, 0)}
+    assert not any(r.exact for r in got.values())
