@@ -74,6 +74,8 @@ def cycle_chains(edges: DataFrame, most_rounds: int = 1000) -> DataFrame:
         paths = settled(paths.join(done, ["node", "at"], "left_anti"))
         if paths.isEmpty():
             break
+    else:
+        raise RuntimeError(f"chains not closed in {most_rounds} rounds")
     out = found[0]
     for f in found[1:]:
         out = out.unionByName(f)

@@ -1,5 +1,6 @@
 """Small cases of the operators, with the results a single-file tool would give."""
 
+import pytest
 from pyspark.sql import functions as F
 
 from modelgraph.functions import classmodel as fn
@@ -135,3 +136,10 @@ def test_sources_and_streams(spark, tmp_path):
     out = str(tmp_path / "files")
     edits.start_upserts(stream, out, str(tmp_path / "cp")).awaitTermination()
     assert {(r.project_id, r.content) for r in spark.read.parquet(f"{out}/v0").collect()} == {(1, "c"), (2, "d")}
+
+
+def test_chains_stop_with_an_error(spark):
+    ring = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "a")], "a string, b string")
+    assert graph.cycle_chains(ring, most_rounds=3).count() == 3
+    with pytest.raises(RuntimeError):
+        graph.cycle_chains(ring, most_rounds=2)
