@@ -20,6 +20,8 @@ import base64
 import hashlib
 import uuid
 from collections.abc import Iterator
+from os.path import commonprefix
+from struct import pack
 
 import numpy as np
 import pyarrow as pa
@@ -62,30 +64,32 @@ class PrefixEncoder:
     def __init__(self, ranks: dict[bytes, int], made_of: dict[int, tuple[int, int]]) -> None:
         self.ranks, self.made_of = ranks, made_of
         self.token = [b""] * (max(ranks.values()) + 1)
-        # Every beginning of a usable token: the token's rank, or -1 if it is only a beginning.
-        self.begins: dict[bytes, int] = {}
+        # Every ending of a usable token: the token's rank, or -1 if it is only an ending.
+        self.ends: dict[bytes, int] = {}
         self.longest = 1
         for t, r in ranks.items():
             self.token[r] = t
             if len(t) == 1 or r in made_of:
-                self.begins[t] = r
+                self.ends[t] = r
                 self.longest = max(self.longest, len(t))
                 for i in range(1, len(t)):
-                    self.begins.setdefault(t[:i], -1)
+                    self.ends.setdefault(t[i:], -1)
         self.merged = {pair: r for r, pair in made_of.items()}
-        self.beside: dict[int, bool] = {}
+        # For each right token, the left ones that are known to (not) stand beside it.
+        self.beside: list[dict[int, bool]] = [{} for _ in self.token]
+        self.known = 0
 
     def may_stand(self, left: int, right: int) -> bool:
         """Whether merging by rank leaves a border between these tokens: take them apart in
         reverse order of the merges and look for a pair at the border that would have merged
-        first."""
-        key = left << 32 | right
-        known = self.beside.get(key)
-        if known is None:
-            if len(self.beside) > 300_000:
-                self.beside.clear()
-            known = self.beside[key] = self._may_stand(left, right)
-        return known
+        first. The answer is kept for the next time."""
+        if self.known > 300_000:
+            self.known = 0
+            for lefts in self.beside:
+                lefts.clear()
+        self.known += 1
+        ok = self.beside[right][left] = self._may_stand(left, right)
+        return ok
 
     def _may_stand(self, left: int, right: int) -> bool:
         # The merge that made a half happened at time (rank, side): of equal ranks the left one
@@ -106,21 +110,22 @@ class PrefixEncoder:
                 limit, right = (right, 2), r_parts[0]
 
     def extend(self, data: bytes, last: list[int]) -> list[int]:
-        """last holds the last tokens of data's first len(last) prefixes; adds the others."""
-        begins, beside, size, old = self.begins.get, self.beside.get, len(data), len(last)
-        last += [-1] * (size - old)
-        for start in range(max(0, old - self.longest + 1), size):
-            left = last[start - 1] << 32 if start else -1
-            for end in range(start + 1, size + 1):
-                t = begins(data[start:end])
-                if t is None:
-                    break
-                if t >= 0 and end > old and last[end - 1] < 0:
-                    if left >= 0:
-                        ok = beside(left | t)
-                        if not (self.may_stand(left >> 32, t) if ok is None else ok):
-                            continue
-                    last[end - 1] = t
+        """last holds the last tokens of data's first len(last) prefixes; adds the others. Of the
+        tokens that end at a place only one may stand there, so the search goes back from it and
+        stops at the first that may: as many steps as the token has bytes."""
+        ends, beside = self.ends.get, self.beside
+        for end in range(len(last) + 1, len(data) + 1):
+            start = end - 1
+            t = ends(data[start:end])
+            while start:
+                if t >= 0:
+                    left = last[start - 1]
+                    ok = beside[t].get(left)
+                    if self.may_stand(left, t) if ok is None else ok:
+                        break
+                start -= 1
+                t = ends(data[start:end])
+            last.append(t)
         return last
 
     def walk(self, last: list[int]) -> list[int]:
@@ -152,23 +157,60 @@ class PrefixEncoder:
         return b"".join(map(self.token.__getitem__, ids))
 
 
-class _Packed(dict):
-    """Piece -> its ids as little-endian unsigned 32-bit integers; filled on demand."""
+class _Packed:
+    """Piece -> its ids as little-endian unsigned 32-bit integers. Keeps the pieces of the last
+    most to 2 * most look-ups of new ones: when the young half is full it becomes the old one."""
 
     def __init__(self, encoder: PrefixEncoder, most: int) -> None:
         self.encoder, self.most = encoder, most
-
-    def __missing__(self, piece: str) -> bytes:
-        ids = np.array(self.encoder.piece(piece.encode()), "<u4").tobytes()
-        if len(self) >= self.most:
-            self.clear()
-        if len(piece) <= 64:
-            self[piece] = ids
-        return ids
+        self.young: dict[str, bytes] = {}
+        self.old: dict[str, bytes] = {}
+
+    def blobs(self, found: list[list[str]]) -> list[bytes]:
+        """The ids of each list of pieces. New pieces are encoded in sorted order, so that the
+        last tokens of the prefix that two neighbours share are computed once."""
+        if len(self.young) > self.most:
+            self.young, self.old = {}, self.young
+        young, old = self.young, self.old
+        new, long = [], []
+        for p in set().union(*found).difference(young):
+            known = old.get(p)
+            if known is not None:
+                young[p] = known
+            else:
+                new.append(p.encode())
+                if len(p) > 64:
+                    long.append(p)
+        before, last = b"", []
+        for data in sorted(new):
+            whole = self.encoder.ranks.get(data)
+            if whole is not None:
+                ids = [whole]
+            else:
+                same = len(commonprefix((before, data)))
+                before, last = data, self.encoder.extend(data, last[:same])
+                ids = self.encoder.walk(last)
+            young[data.decode()] = pack(f"<{len(ids)}I", *ids)
+        out = [b"".join(map(young.__getitem__, pieces)) for pieces in found]
+        for p in long:
+            del young[p]
+        return out
+
+
+def _portions(texts: list[str], letters: int) -> Iterator[tuple[int, int]]:
+    """Bounds of runs of texts with about so many letters together, one text at least."""
+    at, size = 0, 0
+    for i, t in enumerate(texts):
+        size += len(t)
+        if size >= letters:
+            yield at, i + 1
+            at, size = i + 1, 0
+    if at < len(texts):
+        yield at, len(texts)
 
 
 def encode_documents(
-    docs: DataFrame, ranks_path: str, pattern: str, cache_pieces: int = 150_000, keep_ids: bool = True
+    docs: DataFrame, ranks_path: str, pattern: str, cache_pieces: int = 100_000, keep_ids: bool = True
 ) -> DataFrame:
     """docs(doc_id, text, ...) -> doc_id, n_tokens, ids array<int> (where keep_ids), ids_sha256,
     decoded_sha256, one row per input row.
@@ -176,7 +218,7 @@ def encode_documents(
     Null texts count as empty: no tokens, the hashes of nothing. Other columns are not read, so
     names in them cannot clash. Repeated rows give repeated rows. The vocabulary (a fixed public
     file of about a megabyte, read on the driver) is the only thing broadcast; a worker keeps at
-    most cache_pieces encoded pieces.
+    most 2 * cache_pieces encoded pieces and those of the texts at hand.
     """
     ranks = read_ranks(ranks_path)
     shared = docs.sparkSession.sparkContext.broadcast((ranks, halves(ranks)))
@@ -189,14 +231,15 @@ def encode_documents(
         token = packed.encoder.token
         for batch in (b.slice(i, 256) for b in batches for i in range(0, b.num_rows, 256)):
             counts, arrays, id_hash, text_hash = [], [], [], []
-            for text in batch.column(1):
-                blob = b"".join(map(packed.__getitem__, split.findall(text.as_py() or "")))
-                ids = np.frombuffer(blob, "<u4")
-                counts.append(len(ids))
-                if keep_ids:
-                    arrays.append(ids.astype(np.int32))
-                id_hash.append(hashlib.sha256(blob).hexdigest())
-                text_hash.append(hashlib.sha256(b"".join(map(token.__getitem__, ids.tolist()))).hexdigest())
+            texts = [t or "" for t in batch.column(1).to_pylist()]
+            for at, end in _portions(texts, 1 << 19):
+                for blob in packed.blobs(list(map(split.findall, texts[at:end]))):
+                    ids = np.frombuffer(blob, "<u4")
+                    counts.append(len(ids))
+                    if keep_ids:
+                        arrays.append(ids.astype(np.int32))
+                    id_hash.append(hashlib.sha256(blob).hexdigest())
+                    text_hash.append(hashlib.sha256(b"".join(map(token.__getitem__, ids.tolist()))).hexdigest())
             out = {"doc_id": batch.column(0), "n_tokens": pa.array(counts, pa.int64())}
             if keep_ids:
                 out["ids"] = pa.array(arrays, pa.list_(pa.int32()))

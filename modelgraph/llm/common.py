@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -15,16 +16,17 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shuffle_partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions", "200"))
-
-
 def shared_folder(spark: SparkSession) -> str:
-    """The cluster's shared checkpoint folder, the session's spark.checkpoint.dir; only where
-    that is unset (tests on one machine) a folder of our own."""
+    """The cluster's shared checkpoint folder, the session's spark.checkpoint.dir. Only on one
+    machine (tests) a folder of our own stands in for it; on a cluster its absence is an error."""
     sc = spark.sparkContext
     if sc.getCheckpointDir() is None:
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp(prefix="spark-"))
+        folder = spark.conf.get("spark.checkpoint.dir", None)
+        if folder is None:
+            if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+                raise RuntimeError("spark.checkpoint.dir must name a folder that driver and executors share")
+            folder = tempfile.mkdtemp(prefix="spark-")
+        sc.setCheckpointDir(folder)
     return sc.getCheckpointDir()
 
 
@@ -34,11 +36,44 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint()
 
 
-def chosen(df: DataFrame, ids: DataFrame, most: int = 1_000_000, how: str = "left_semi") -> DataFrame:
-    """Rows of df whose doc_id is (left_semi) or is not (left_anti) in ids(doc_id): by broadcast
-    up to most ids, else by shuffle. Rows of null doc_id count as not in ids."""
-    ids = checkpointed(ids.where("doc_id is not null").distinct())
-    return df.join(F.broadcast(ids) if ids.count() <= most else ids, "doc_id", how).select(*df.columns)
+class Scratch:
+    """Tables written to the shared folder in place of a growing lineage, and removed when they
+    have been replaced. A lost executor's work is done again from them."""
+
+    def __init__(self, spark: SparkSession) -> None:
+        self.spark, self.folder = spark, f"{shared_folder(spark)}/scratch-{uuid.uuid4().hex}"
+        self.made: list[tuple[DataFrame, str]] = []
+        self.number = 0
+
+    def write(self, df: DataFrame) -> DataFrame:
+        path = f"{self.folder}/{self.number}"
+        self.number += 1
+        df.write.parquet(path)
+        out = self.spark.read.schema(df.schema).parquet(path)
+        self.made.append((out, path))
+        return out
+
+    def drop(self, *keep: DataFrame) -> None:
+        """Remove all tables but these."""
+        kept = [(df, path) for df, path in self.made if any(df is k for k in keep)]
+        for _, path in self.made:
+            if path not in {p for _, p in kept}:
+                remove(self.spark, path)
+        self.made = kept
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    """Delete a table of ours from the file system that it lies on."""
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
+
+
+def chosen(df: DataFrame, ids: DataFrame, how: str = "left_semi") -> DataFrame:
+    """Rows of df whose key is (left_semi) or is not (left_anti) in ids; the key is all columns
+    of ids. Rows with a null in it count as not in ids. Spark sends ids to all executors only
+    up to spark.sql.autoBroadcastJoinThreshold bytes, else both sides are shuffled."""
+    ids = checkpointed(ids.dropna().distinct())
+    return df.join(ids, ids.columns, how).select(*df.columns)
 
 
 def mix64(x: np.ndarray) -> np.ndarray:
