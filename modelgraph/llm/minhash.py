@@ -7,8 +7,9 @@ t log t hashes for a small set and one pass for a large one, and each coordinate
 two sets with their Jaccard similarity as probability, concentrated as for independent
 coordinates.
 
-Coordinates are grouped in bands; sets that agree in a whole band meet in a bucket. Equal sets
-are one class. Each bucket links its members to its smallest and its largest one (pairs linear
+Coordinates are grouped in bands; sets that agree in a whole band meet in a bucket. Equal
+sequences of words (by a 128-bit BLAKE2 digest of all of them) are one class; everything else is
+linked only after a comparison of full sets. Each bucket links its members to its smallest and its largest one (pairs linear
 in the rows, however large a bucket is); candidates are compared on their full shingle sets.
 Then only members of buckets that still hold several components are looked at again: an exact
 prefix-filtered join finds every pair of theirs across components that can be similar enough, so
@@ -17,45 +18,59 @@ no pair that shares a bucket is given up.
 
 from __future__ import annotations
 
-import re
+import hashlib
 
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modelgraph.llm.common import U64, checkpointed, chosen, letters, mix64, prefix_hash, substring_hash, table
+from modelgraph.llm.common import U64, Scratch, letters, mix64, table
 from modelgraph.llm.graph import components
 
-_WORD = re.compile(rb"[^\x20\x09-\x0D]+")
-_LOWER = np.array([i + 32 if 65 <= i <= 90 else i for i in range(256)], np.uint8)
-_SPACE = np.array([i == 32 or 9 <= i <= 13 for i in range(256)])
+
+def split(text: str) -> list[bytes]:
+    """Words of a text with A-Z lower-cased; bytes.split parts at just space and \\t to \\r."""
+    return text.encode().lower().split()
 
 
 def shingles(text: str, k: int) -> set[tuple[bytes, ...]]:
     """The distinct k-word shingles of a text with A-Z lower-cased; with fewer words the whole
     sequence as one; of no word none."""
-    words = _WORD.findall(text.encode().lower())
+    words = split(text)
     if not words:
         return set()
     return set(zip(*(words[i:] for i in range(k)))) if len(words) >= k else {tuple(words)}
 
 
-def shingle_hashes(text: str, k: int) -> np.ndarray:
-    """Distinct 64-bit hashes of shingles(text, k)."""
-    data = _LOWER[np.frombuffer(text.encode(), np.uint8)]
-    gap = np.ones(len(data) + 2, np.int8)
-    gap[1:-1] = _SPACE[data]
-    step = np.diff(gap)
-    start, end = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
-    if not len(start):
-        return np.zeros(0, U64)
-    word = mix64(substring_hash(prefix_hash(data), start, end) + (end - start).astype(U64))
+class _Digests(dict):
+    """Word -> 128-bit digest, filled on demand; a worker keeps at most so many short words."""
+
+    def __missing__(self, word: bytes) -> bytes:
+        digest = hashlib.blake2b(word, digest_size=16).digest()
+        if len(word) <= 40:
+            if len(self) >= 200_000:
+                self.clear()
+            self[word] = digest
+        return digest
+
+
+_DIGESTS = _Digests()
+
+
+def shingle_hashes(words: list[bytes], k: int) -> tuple[np.ndarray, int]:
+    """Distinct 64-bit hashes of the k-word shingles of a sequence of words, and the number of
+    distinct shingles. Two independent hashes are taken of each; where their numbers differ,
+    the shingles themselves are counted."""
+    if not words:
+        return np.zeros(0, U64), 0
+    word = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, words)), "<u8").reshape(-1, 2)
     n = min(k, len(word))
-    out = np.zeros(len(word) - n + 1, U64)
+    out = np.zeros((len(word) - n + 1, 2), U64)
     for i in range(n):
         out = mix64(out * U64(3) + word[i : len(word) - n + 1 + i])
-    return np.unique(out)
+    one, two = np.unique(out[:, 0]), np.unique(out[:, 1])
+    return one, len(one) if len(one) == len(two) else len(set(zip(*(words[i:] for i in range(n)))))
 
 
 _ROUND = mix64(np.arange(1, 1 << 12, dtype=U64) * U64(0x9E3779B97F4A7C15))
@@ -81,18 +96,19 @@ def sketch(h: np.ndarray, t: int) -> np.ndarray:
 
 
 def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, n (size of the set), s1, s2 (128-bit signature of the set), bands array<long>."""
+    """doc_id, tx (hash of the text: with doc_id the key of a text), n (size of the set), seq
+    (digest of the sequence of words), bands array<long>."""
 
     def run(batches):
         salt = mix64(np.arange(1, bands + 1, dtype=U64) * U64(0xC2B2AE3D27D4EB4F))
         for batch in batches:
-            sizes, one, two, keys = [], [], [], []
-            for text in batch.column(1):
-                h = shingle_hashes(text.as_py(), k)
-                sizes.append(len(h))
-                one.append(h.sum(dtype=U64).astype(np.int64))
-                two.append(mix64(h ^ U64(0x2545F4914F6CDD1D)).sum(dtype=U64).astype(np.int64))
-                if len(h):
+            sizes, seqs, keys = [], [], []
+            for text in batch.column(2):
+                words = split(text.as_py())
+                h, n = shingle_hashes(words, k)
+                sizes.append(n)
+                seqs.append(hashlib.blake2b(b" ".join(words), digest_size=16).digest())
+                if n:
                     band = salt
                     for column in sketch(h, bands * rows).reshape(bands, rows).T:
                         band = mix64(band * U64(3) ^ column)
@@ -102,49 +118,62 @@ def sketches(docs: DataFrame, k: int, bands: int, rows: int) -> DataFrame:
             yield pa.RecordBatch.from_pydict(
                 {
                     "doc_id": batch.column(0),
+                    "tx": batch.column(1),
                     "n": pa.array(sizes, pa.int64()),
-                    "s1": pa.array(one, pa.int64()),
-                    "s2": pa.array(two, pa.int64()),
+                    "seq": pa.array(seqs, pa.binary()),
                     "bands": pa.array(keys, pa.list_(pa.int64())),
                 }
             )
 
     kind = dict(docs.dtypes)["doc_id"]
-    return docs.select("doc_id", letters().alias("text")).mapInArrow(run, f"doc_id {kind}, n long, s1 long, s2 long, bands array<long>")
+    return keyed(docs).mapInArrow(run, f"doc_id {kind}, tx long, n long, seq binary, bands array<long>")
+
+
+def keyed(docs: DataFrame) -> DataFrame:
+    """doc_id, tx, text: rows of one doc_id may hold different texts, so a text's key has both."""
+    return docs.select("doc_id", F.xxhash64(letters()).alias("tx"), letters().alias("text"))
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, share: int, whole: int) -> DataFrame:
-    """Of pairs(a, b) those whose full shingle sets have whole * intersection >= share * union."""
-    pairs = checkpointed(pairs)
-    ids = pairs.select(F.explode(F.array("a", "b")).alias("doc_id"))
-    texts = chosen(docs.select("doc_id", letters().alias("text")), ids).dropDuplicates(["doc_id"])
-    texts = checkpointed(texts)
-    both = pairs.join(texts.select(F.col("doc_id").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("doc_id").alias("b"), F.col("text").alias("tb")), "b").select("a", "b", "ta", "tb")
+def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
+    """node, text of nodes(node), a struct of doc_id and tx each."""
+    ids = nodes.select(F.col("node.doc_id").alias("doc_id"), F.col("node.tx").alias("tx"))
+    found = keyed(docs).join(ids, ["doc_id", "tx"], "left_semi").dropDuplicates(["doc_id", "tx"])
+    return found.select(F.struct("doc_id", "tx").alias("node"), "text")
+
+
+def verified(pairs: DataFrame, docs: DataFrame, k: int, share: int, whole: int, tmp: Scratch) -> DataFrame:
+    """Of pairs(a, b, ...) those whose full shingle sets have whole * intersection >= share * union."""
+    texts = tmp.write(texts_of(tmp.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), docs))
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select(*pairs.columns, "ta", "tb")
 
     def run(batches):
         known: dict[str, set] = {}
+        size = 0
         for batch in batches:
             keep = []
-            for ta, tb in zip(batch.column(2), batch.column(3)):
+            for ta, tb in zip(*batch.columns[-2:]):
                 sets = []
                 for t in (ta.as_py(), tb.as_py()):
-                    if t not in known:
-                        if len(known) >= 64:
+                    found = known.get(t)
+                    if found is None:
+                        found = shingles(t, k)
+                        if size + len(found) > 300_000:
                             known.clear()
-                        known[t] = shingles(t, k)
-                    sets.append(known[t])
+                            size = 0
+                        known[t] = found
+                        size += len(found)
+                    sets.append(found)
                 common = len(sets[0] & sets[1])
                 keep.append(whole * common >= share * (len(sets[0]) + len(sets[1]) - common))
-            yield pa.RecordBatch.from_pydict({"a": batch.column(0), "b": batch.column(1)}).filter(pa.array(keep, pa.bool_()))
+            yield pa.RecordBatch.from_arrays(batch.columns[:-2], names=batch.schema.names[:-2]).filter(pa.array(keep, pa.bool_()))
 
-    kind = dict(pairs.dtypes)["a"]
-    return checkpointed(both.mapInArrow(run, f"a {kind}, b {kind}"))
+    return tmp.write(both.mapInArrow(run, pairs.schema))
 
 
-def across(left: DataFrame, docs: DataFrame, k: int, share: int, whole: int) -> DataFrame:
-    """Pairs (a, b) of left(rep, c) of different c whose sets may be similar enough: a superset
-    of those that are.
+def across(left: DataFrame, docs: DataFrame, k: int, share: int, whole: int, tmp: Scratch) -> DataFrame:
+    """Pairs (a, b, ca, cb) of left(rep, c) of different c whose sets may be similar enough: a
+    superset of those that are.
 
     Shingles are ordered, rare ones first. Two sets of sizes n and m that are similar enough
     have at least share * (n + m) / (share + whole) shingles in common, so they share one among
@@ -156,21 +185,23 @@ def across(left: DataFrame, docs: DataFrame, k: int, share: int, whole: int) ->
         for batch in batches:
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
-                sets = [shingle_hashes(t, k).astype(np.int64) for t in part.column(1).to_pylist()]
+                sets = [shingle_hashes(split(t), k)[0].view(np.int64) for t in part.column(2).to_pylist()]
                 n = np.array([len(x) for x in sets], np.int64)
                 at = pa.array(np.repeat(np.arange(len(n)), n))
-                yield pa.RecordBatch.from_pydict({"rep": part.column(0).take(at), "n": pa.array(np.repeat(n, n)), "s": pa.array(np.concatenate(sets))})
-
-    texts = chosen(docs.select("doc_id", letters().alias("text")), left.select(F.col("rep").alias("doc_id")))
-    rows = checkpointed(texts.mapInArrow(run, f"rep {dict(left.dtypes)['rep']}, n long, s long").distinct())
-    df = checkpointed(rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1"))
+                yield pa.RecordBatch.from_pydict(
+                    {"rep": part.column(0).take(at), "c": part.column(1).take(at), "n": pa.array(np.repeat(n, n)), "s": pa.array(np.concatenate(sets))}
+                )
+
+    kind = left.schema["rep"].dataType.simpleString()
+    texts = texts_of(left.select(F.col("rep").alias("node")), docs).withColumnRenamed("node", "rep").join(left, "rep")
+    rows = tmp.write(texts.select("rep", "c", "text").mapInArrow(run, f"rep {kind}, c {kind}, n long, s long"))
+    df = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     of = Window.partitionBy("rep")
     rows = rows.join(df, "s").withColumn("i", F.row_number().over(of.orderBy("df", "s")) + F.col("n") - F.count("*").over(of))
-    rows = rows.where(F.col("i") <= F.col("n") - F.ceil(share * F.col("n") / F.lit(whole)) + 1)
-    rows = checkpointed(rows.select("rep", "n", "s", "i").join(left, "rep"))
+    rows = tmp.write(rows.where(F.col("i") <= F.col("n") - F.ceil(share * F.col("n") / F.lit(whole)) + 1).select("rep", "c", "n", "s", "i"))
     sizes = rows.groupBy("s", "c").count()
     mixed = sizes.groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    rest = checkpointed(rows.join(checkpointed(mixed.select("s", "main")), "s"))
+    rest = tmp.write(rows.join(mixed.select("s", "main"), "s"))
     out = rest.where("c <> main").select("s", *(F.col(x).alias(f"{x}2") for x in ("rep", "n", "i", "c")))
     need = F.ceil(share * (F.col("n") + F.col("n2")) / F.lit(share + whole))
     met = rest.join(out, "s").where(
@@ -179,56 +210,66 @@ def across(left: DataFrame, docs: DataFrame, k: int, share: int, whole: int) ->
         & (F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) + 1 >= need)
         & (whole * F.least("n", "n2") >= share * F.greatest("n", "n2"))
     )
-    return met.select(F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b")).distinct()
+    first = F.col("rep") < F.col("rep2")
+    return met.select(
+        F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.when(first, F.col("c")).otherwise(F.col("c2")).alias("ca"), F.when(first, F.col("c2")).otherwise(F.col("c")).alias("cb")
+    ).distinct()
+
+
+def near_duplicates(docs: DataFrame, k: int = 5, **settings: int) -> DataFrame:
+    """docs(doc_id, text, ...) -> doc_id, n_shingles long, component_id, kept boolean, one row
+    per input row; as grouped_texts says."""
+    return grouped_texts(docs, k, **settings).drop("tx")
 
 
-def near_duplicates(
+def grouped_texts(
     docs: DataFrame, k: int = 5, share: int = 80, whole: int = 100, bands: int = 40, rows: int = 6
 ) -> DataFrame:
-    """docs(doc_id, text, ...) -> doc_id, n_shingles long, component_id, kept boolean, one row
-    per input row.
+    """docs(doc_id, text, ...) -> doc_id, n_shingles long, component_id, kept boolean, tx long
+    (the text's hash), one row per input row.
 
     Two documents are linked if whole * |intersection| >= share * |union| of their shingle sets;
     component_id is the smallest doc_id reachable by links, kept says doc_id = component_id.
     Null and wordless texts have no shingles and no links. A null doc_id is linked with nothing:
-    its component_id is null and it is kept. Repeated rows get equal answers. Other columns are
-    not read. With the default 40 bands of 6 a pair of similarity 0.8 misses every bucket with
-    probability 5e-6; similar sets of any size are then compared exactly."""
-    sk = checkpointed(sketches(docs, k, bands, rows))
+    its component_id is null and it is kept. Repeated rows get equal answers; rows of one doc_id
+    with different texts are linked each by its own text. Other columns are not read. With the default 40 bands of 6 a pair of similarity 0.8 misses every bucket
+    with probability 5e-6; similar sets of any size are then compared exactly."""
+    tmp = Scratch(docs.sparkSession)
+    sk = tmp.write(sketches(docs, k, bands, rows))
     sets = sk.where("n > 0 and doc_id is not null")
-    classes = checkpointed(sets.groupBy("s1", "s2", "n").agg(F.min("doc_id").alias("rep"), F.first("bands").alias("bands")))
+    classes = tmp.write(sets.groupBy("seq").agg(F.min(F.struct("doc_id", "tx")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
     cells = classes.select("rep", "n", F.explode("bands").alias("h"))
     shared = cells.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
-    members = checkpointed(cells.join(checkpointed(shared.where("c > 1").drop("c")), "h"))
+    members = tmp.write(cells.join(shared.where("c > 1").drop("c"), "h"))
 
     def fits(x, y):
         return (whole * F.least(x, y) >= share * F.greatest(x, y))
 
-    def pair(x, y):
-        return F.least(x, y).alias("a"), F.greatest(x, y).alias("b")
-
-    stars = members.select("rep", "n", F.explode(F.array("lo", "hi")).alias("top"))
-    stars = stars.where(fits(F.col("n"), F.col("top.n"))).select(*pair(F.col("rep"), F.col("top.rep"))).where("a <> b").distinct()
-    tried = checkpointed(stars)
-    links = verified(tried, docs, k, share, whole)
-    first = checkpointed(components(links))
+    stars = members.select("rep", "n", F.explode(F.array("lo", "hi")).alias("top")).where(fits(F.col("n"), F.col("top.n")))
+    stars = stars.select(F.least("rep", "top.rep").alias("a"), F.greatest("rep", "top.rep").alias("b")).where("a <> b")
+    tried = tmp.write(stars.distinct())
+    links = verified(tried, docs, k, share, whole, tmp)
+    first = components(links)
 
     # Members of buckets that still hold several components: an exact join across these.
     placed = members.select("h", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left")
-    placed = placed.withColumn("c", F.coalesce("component", "rep")).drop("component")
+    placed = placed.select("h", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    left = checkpointed(placed.join(checkpointed(mixed), "h").select("rep", "c").distinct())
-    more = across(left, docs, k, share, whole)
-    more = verified(more.join(tried, ["a", "b"], "left_anti"), docs, k, share, whole)
-
-    top = components(links.unionByName(more)).withColumnRenamed("node", "rep")
-    top = classes.select("s1", "s2", "n", "rep").join(top, "rep", "left")
-    top = checkpointed(top.select("s1", "s2", "n", F.coalesce("component", "rep").alias("component_id")))
-    linked = sets.select("doc_id", "n", "s1", "s2").join(top, ["s1", "s2", "n"])
+    left = tmp.write(placed.join(mixed, "h").select("rep", "c").distinct())
+    tmp.drop(sk, classes, tried, left)
+    top = classes.select("seq", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    top = top.select("seq", F.coalesce("component", "rep").alias("c"))
+    if not left.isEmpty():
+        more = tmp.write(across(left, docs, k, share, whole, tmp).join(tried, ["a", "b"], "left_anti"))
+        second = components(verified(more, docs, k, share, whole, tmp), "ca", "cb").withColumnRenamed("node", "c")
+        top = top.join(second, "c", "left").select("seq", F.coalesce("component", "c").alias("c"))
+    top = tmp.write(top.select("seq", F.col("c.doc_id").alias("component_id")))
+    tmp.drop(sk, top)
+    linked = sets.select("doc_id", "n", "tx", "seq").join(top, "seq")
     alone = sk.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
-    cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id"]
+    cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "tx"]
     found = linked.select(*cols).unionByName(alone.select(*cols))
-    return found.withColumn("kept", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    return found.select("doc_id", "n_shingles", "component_id", F.col("doc_id").eqNullSafe(F.col("component_id")).alias("kept"), "tx")
 
 
 def op8_minhash_near_duplicates(spark: SparkSession, sf_dir: str) -> DataFrame:

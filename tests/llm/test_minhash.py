@@ -68,3 +68,18 @@ def test_components(spark):
     links = [(i, i + 1) for i in range(1, 40)] + [(100, i) for i in range(101, 150)] + [(7, 7), (None, 3)]
     got = {r.node: r.component for r in components(spark.createDataFrame(links, "a long, b long")).collect()}
     assert got == {**{i: 1 for i in range(1, 41)}, **{i: 100 for i in range(100, 150)}}
+
+
+def test_words_that_polynomial_hashes_confuse(spark):
+    """Two Thue-Morse words have one polynomial hash modulo 2**64; their texts share nothing."""
+    word = "".join("ab"[bin(i).count("1") % 2] for i in range(2048))
+    other = word.translate(str.maketrans("ab", "ba"))
+    docs = spark.createDataFrame([(1, word), (2, other), (3, word + " " + other), (4, other + " " + word)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in minhash.near_duplicates(docs, k=2).collect()}
+    assert got == {1: 1, 2: 2, 3: 3, 4: 4}
+
+
+def test_several_texts_of_one_document(spark):
+    rows = [(1, "a b c d"), (2, "e f g h"), (2, "A  b c d"), (3, "e f g h"), (3, "e f g h")]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (3, 2, False)]
