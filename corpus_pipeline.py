@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from modelgraph.llm import bpe, decontaminate, minhash, pii, quality
-from modelgraph.llm.common import chosen, shared_folder, table
+from modelgraph.llm.common import checkpointed, chosen, shared_folder, table
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -23,8 +23,16 @@ def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates (five-word shingles, similarity 0.8)."""
-    found = minhash.near_duplicates(docs)
-    return chosen(docs, found.where("not kept").select("doc_id"), how="left_anti")
+    found = minhash.grouped_texts(docs)
+    rows = docs.withColumn("_key", F.xxhash64(F.coalesce("text", F.lit(""))))
+    gone = found.where("not kept").select("doc_id", F.col("tx").alias("_key"))
+    rows = chosen(rows, gone, how="left_anti")
+    # Of a row that is repeated, id and text alike, one stays.
+    again = found.where("kept").groupBy("doc_id", F.col("tx").alias("_key")).count().where("count > 1")
+    again = checkpointed(again.select("doc_id", "_key").dropna())
+    if not again.isEmpty():
+        rows = chosen(rows, again, how="left_anti").unionByName(chosen(rows, again).dropDuplicates(["doc_id", "_key"]))
+    return rows.drop("_key")
 
 
 def decontaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
