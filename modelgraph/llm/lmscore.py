@@ -11,7 +11,8 @@ with p(v) = c(v) / N in the background and own * ct(v) / Nt + (1 - own) * c(v) /
 (after an unknown, unseen or missing u just p(v)). A document's score is its mean loss per known
 word under the target minus that under the background: low is like the target.
 
-Words and bigrams are 64-bit hashes. Blocks of documents send their distinct ones with counts,
+Words and bigrams are 64-bit hashes, of BLAKE2 digests of the words. They are not checked against
+the words: of n distinct ones about n * n / 2**65 pairs share a hash and their counts, 3 of 10**10. Blocks of documents send their distinct ones with counts,
 packed, to buckets; buckets add up and send back to each block what it asked for, so a word that
 is in every document reaches its bucket once from each block. No model is broadcast.
 """
@@ -23,37 +24,33 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelgraph.llm.common import U64, checkpointed, letters, mix64, prefix_hash, substring_hash, table
-from modelgraph.llm.minhash import _LOWER, _SPACE
+from modelgraph.llm.common import U64, checkpointed, letters, mix64, table
+from modelgraph.llm.minhash import digests, split
 
 _PAIR = U64(0x9E3779B97F4A7C15)
 
 
-def word_hashes(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+def word_hashes(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
     """(hash of each word of all texts in turn, number of its text)."""
-    data = _LOWER[np.frombuffer(b" ".join(texts), np.uint8)]
-    gap = np.ones(len(data) + 2, np.int8)
-    gap[1:-1] = _SPACE[data]
-    step = np.diff(gap)
-    start, end = np.flatnonzero(step == -1), np.flatnonzero(step == 1)
-    word = mix64(substring_hash(prefix_hash(data), start, end) + (end - start).astype(U64))
-    ends = np.cumsum([len(t) + 1 for t in texts])
-    return word, np.searchsorted(ends, start, side="right")
+    found = [split(t) for t in texts]
+    word = np.concatenate([digests(x)[:, 0] for x in found])
+    return word, np.repeat(np.arange(len(found)), [len(x) for x in found])
 
 
 def pairs(word: np.ndarray, text: np.ndarray) -> np.ndarray:
     """Hash of each word with the one before it in its text; 0 for first words."""
     out = np.zeros(len(word), U64)
-    out[1:] = np.where(text[1:] == text[:-1], mix64(word[:-1] * U64(3) + (word[1:] ^ _PAIR)) | U64(1), U64(0))
+    two = mix64(word[:-1] * U64(3) + (word[1:] ^ _PAIR))
+    out[1:] = np.where(text[1:] == text[:-1], np.maximum(two, U64(1)), U64(0))
     return out
 
 
 def chunks(texts: list[str], size: int = 1 << 20):
-    """Runs of texts of about size bytes (or one longer text), as bytes."""
+    """Runs of texts of about size letters (or one longer text)."""
     part, n = [], 0
     for t in texts:
-        part.append(t.encode())
-        n += len(part[-1])
+        part.append(t)
+        n += len(t)
         if n >= size:
             yield part
             part, n = [], 0
@@ -72,18 +69,23 @@ def unpack_counts(blob: bytes, n: int) -> np.ndarray:
     return c
 
 
-def pack_keys(keys: np.ndarray) -> bytes:
-    """The upper six bytes of each key."""
-    return keys.view(np.uint8).reshape(-1, 8)[:, 2:].tobytes()
+_STEP = 2**48 - 1
 
 
-def unpack_keys(blob: bytes) -> np.ndarray:
-    out = np.zeros((len(blob) // 6, 8), np.uint8)
-    out[:, 2:] = np.frombuffer(blob, np.uint8).reshape(-1, 6)
-    return out.view(U64).ravel()
+def pack_keys(keys: np.ndarray) -> bytes:
+    """Sorted keys as their differences, six bytes each; those of larger ones in full behind."""
+    step = np.diff(keys, prepend=U64(0))
+    far = step >= U64(_STEP)
+    near = np.where(far, U64(_STEP), step)
+    return near.view(np.uint8).reshape(-1, 8)[:, :6].tobytes() + step[far].tobytes()
 
 
-_LOW = U64(0xFFFF)
+def unpack_keys(blob: bytes, n: int) -> np.ndarray:
+    step = np.zeros((n, 8), np.uint8)
+    step[:, :6] = np.frombuffer(blob, np.uint8, 6 * n).reshape(-1, 6)
+    step = step.view(U64).ravel()
+    step[step == U64(_STEP)] = np.frombuffer(blob, U64, offset=6 * n)
+    return np.cumsum(step, dtype=U64)
 
 
 def _count_block(buckets: int):
@@ -94,19 +96,21 @@ def _count_block(buckets: int):
                 word, text = word_hashes(part)
                 two = pairs(word, text)
                 for keys in (word, two[two != 0]):
-                    found.append(keys & ~_LOW)
+                    found.append(keys)
                     target.append(np.full(len(keys), flag))
         if not found:
-            return pd.DataFrame({"bucket": [], "block": [], "keys": [], "n": [], "t": []})
+            return pd.DataFrame({"bucket": [], "block": [], "m": [], "keys": [], "n": [], "t": []})
         keys, at, n = np.unique(np.concatenate(found), return_inverse=True, return_counts=True)
         t = np.bincount(at, np.concatenate(target), len(keys)).astype(np.int64)
         # Ranges of hashes are buckets, so keys stay sorted in them.
-        bucket = (keys >> U64(16)) % U64(buckets)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1, dtype=U64))
-        parts = [(i, order[cut[i] : cut[i + 1]]) for i in range(buckets) if cut[i] < cut[i + 1]]
+        bucket = (keys >> U64(32)) * U64(buckets) >> U64(32)
+        cut = np.searchsorted(bucket, np.arange(buckets + 1, dtype=U64)).tolist()
+        parts = [(i, slice(cut[i], cut[i + 1])) for i in range(buckets) if cut[i] < cut[i + 1]]
         return pd.DataFrame(
-            {"bucket": [i for i, _ in parts], "block": key[0], "keys": [pack_keys(keys[p]) for _, p in parts], "n": [pack_counts(n[p]) for _, p in parts], "t": [pack_counts(t[p]) for _, p in parts]}
+            {
+                "bucket": [i for i, _ in parts], "block": key[0], "m": [p.stop - p.start for _, p in parts],
+                "keys": [pack_keys(keys[p]) for _, p in parts], "n": [pack_counts(n[p]) for _, p in parts], "t": [pack_counts(t[p]) for _, p in parts],
+            }
         )
 
     return run
@@ -115,7 +119,7 @@ def _count_block(buckets: int):
 def _add_up(min_count: int):
     def run(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         """Totals of a bucket's keys; to each block those of its keys that are frequent."""
-        keys = [unpack_keys(x) for x in pdf["keys"]]
+        keys = [unpack_keys(x, m) for x, m in zip(pdf["keys"], pdf["m"])]
         every, at = np.unique(np.concatenate(keys), return_inverse=True)
         n = np.bincount(at, np.concatenate([unpack_counts(x, len(k)) for x, k in zip(pdf["n"], keys)])).astype(np.int64)
         t = np.bincount(at, np.concatenate([unpack_counts(x, len(k)) for x, k in zip(pdf["t"], keys)])).astype(np.int64)
@@ -125,15 +129,15 @@ def _add_up(min_count: int):
             first += len(k)
             mine = mine[n[mine] >= min_count]
             if len(mine):
-                out.append((block, pack_keys(every[mine]), pack_counts(n[mine]), pack_counts(t[mine])))
-        return pd.DataFrame(out, columns=["block", "keys", "n", "t"])
+                out.append((block, len(mine), pack_keys(every[mine]), pack_counts(n[mine]), pack_counts(t[mine])))
+        return pd.DataFrame(out, columns=["block", "m", "keys", "n", "t"])
 
     return run
 
 
 def _score_block(total: int, total_target: int, bigram: float, own: float):
     def run(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        keys = [unpack_keys(x) for x in replies["keys"]] or [np.zeros(0, U64)]
+        keys = [unpack_keys(x, m) for x, m in zip(replies["keys"], replies["m"])] or [np.zeros(0, U64)]
         n = np.concatenate([unpack_counts(x, len(k)) for x, k in zip(replies["n"], keys)] or [np.zeros(0, np.int64)])
         t = np.concatenate([unpack_counts(x, len(k)) for x, k in zip(replies["t"], keys)] or [np.zeros(0, np.int64)])
         keys = np.concatenate(keys)
@@ -141,7 +145,6 @@ def _score_block(total: int, total_target: int, bigram: float, own: float):
         keys, n, t = np.append(keys[order], U64(2**64 - 1)), np.append(n[order], 0), np.append(t[order], 0)
 
         def counts(wanted):
-            wanted = wanted & ~_LOW
             at = np.searchsorted(keys, wanted)
             hit = keys[at] == wanted
             return np.where(hit, n[at], 0), np.where(hit, t[at], 0)
@@ -190,8 +193,8 @@ def cross_entropy_difference(
     blocks = max(64, int((sums[2] or 0) / (block_mb * 1e6)))
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
     by_block = rows.select(block.alias("block"), "doc_id", "text", "target").groupBy("block")
-    sent = by_block.applyInPandas(_count_block(blocks), "bucket int, block int, keys binary, n binary, t binary")
-    back = sent.groupBy("bucket").applyInPandas(_add_up(min_count), "block int, keys binary, n binary, t binary")
+    sent = by_block.applyInPandas(_count_block(blocks), "bucket int, block int, m int, keys binary, n binary, t binary")
+    back = sent.groupBy("bucket").applyInPandas(_add_up(min_count), "block int, m int, keys binary, n binary, t binary")
     scored = by_block.cogroup(back.groupBy("block")).applyInPandas(
         _score_block(sums[0] or 0, sums[1] or 0, bigram, own), f"doc_id {dict(docs.dtypes)['doc_id']}, n_words long, n_known long, score double"
     )

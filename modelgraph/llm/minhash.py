@@ -58,13 +58,18 @@ class _Digests(dict):
 _DIGESTS = _Digests()
 
 
+def digests(words: list[bytes]) -> np.ndarray:
+    """The words' digests, two 64-bit numbers each."""
+    return np.frombuffer(b"".join(map(_DIGESTS.__getitem__, words)), "<u8").reshape(-1, 2)
+
+
 def shingle_hashes(words: list[bytes], k: int) -> tuple[np.ndarray, int]:
     """Distinct 64-bit hashes of the k-word shingles of a sequence of words, and the number of
     distinct shingles. Two independent hashes are taken of each; where their numbers differ,
     the shingles themselves are counted."""
     if not words:
         return np.zeros(0, U64), 0
-    word = np.frombuffer(b"".join(map(_DIGESTS.__getitem__, words)), "<u8").reshape(-1, 2)
+    word = digests(words)
     n = min(k, len(word))
     out = np.zeros((len(word) - n + 1, 2), U64)
     for i in range(n):

@@ -33,5 +33,5 @@ def test_scores_tell_target_from_rest(spark):
 def test_packing():
     c = np.array([0, 1, 254, 255, 256, 10**12, 3])
     assert (lmscore.unpack_counts(lmscore.pack_counts(c), len(c)) == c).all()
-    k = np.array([2**63, 2**16, 2**40 + 2**20], np.uint64)
-    assert (lmscore.unpack_keys(lmscore.pack_keys(k)) == k).all()
+    k = np.array([3, 2**16, 2**40 + 2**20, 2**63, 2**63 + 1, 2**64 - 1], np.uint64)
+    assert (lmscore.unpack_keys(lmscore.pack_keys(k), len(k)) == k).all()
