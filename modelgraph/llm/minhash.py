@@ -191,34 +191,39 @@ def across(left: DataFrame, docs: DataFrame, k: int, share: int, whole: int, tmp
             for i in range(0, batch.num_rows, 64):
                 part = batch.slice(i, 64)
                 sets = [shingle_hashes(split(t), k)[0].view(np.int64) for t in part.column(2).to_pylist()]
-                n = np.array([len(x) for x in sets], np.int64)
+                n = np.array([len(x) for x in sets], np.int32)
                 at = pa.array(np.repeat(np.arange(len(n)), n))
                 yield pa.RecordBatch.from_pydict(
-                    {"rep": part.column(0).take(at), "c": part.column(1).take(at), "n": pa.array(np.repeat(n, n)), "s": pa.array(np.concatenate(sets))}
+                    {"id": part.column(0).take(at), "cid": part.column(1).take(at), "n": pa.array(np.repeat(n, n)), "s": pa.array(np.concatenate(sets))}
                 )
 
-    kind = left.schema["rep"].dataType.simpleString()
+    # Short numbers (written, so they stay) stand for texts and components in the exploded rows.
+    groups = tmp.write(left.select("c").distinct().withColumn("cid", F.monotonically_increasing_id()))
+    left = tmp.write(left.join(groups, "c").withColumn("id", F.monotonically_increasing_id()))
     texts = texts_of(left.select(F.col("rep").alias("node")), docs).withColumnRenamed("node", "rep").join(left, "rep")
-    rows = tmp.write(texts.select("rep", "c", "text").mapInArrow(run, f"rep {kind}, c {kind}, n long, s long"))
+    rows = tmp.write(texts.select("id", "cid", "text").mapInArrow(run, "id long, cid long, n int, s long"))
     df = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
-    of = Window.partitionBy("rep")
-    rows = rows.join(df, "s").withColumn("i", F.row_number().over(of.orderBy("df", "s")) + F.col("n") - F.count("*").over(of))
-    rows = tmp.write(rows.where(F.col("i") <= F.col("n") - F.ceil(share * F.col("n") / F.lit(whole)) + 1).select("rep", "c", "n", "s", "i"))
-    sizes = rows.groupBy("s", "c").count()
-    mixed = sizes.groupBy("s").agg(F.max_by("c", F.struct("count", "c")).alias("main"), F.count("*").alias("k")).where("k > 1")
+    of = Window.partitionBy("id")
+    rows = rows.join(df.hint("merge"), "s").withColumn("i", F.row_number().over(of.orderBy("df", "s")) + F.col("n") - F.count("*").over(of))
+    rows = tmp.write(rows.where(F.col("i") <= F.col("n") - F.ceil(share * F.col("n") / F.lit(whole)) + 1).select("id", "cid", "n", "s", "i"))
+    sizes = rows.groupBy("s", "cid").count()
+    mixed = sizes.groupBy("s").agg(F.max_by("cid", F.struct("count", "cid")).alias("main"), F.count("*").alias("k")).where("k > 1")
     rest = tmp.write(rows.join(mixed.select("s", "main"), "s"))
-    out = rest.where("c <> main").select("s", *(F.col(x).alias(f"{x}2") for x in ("rep", "n", "i", "c")))
+    out = rest.where("cid <> main").select("s", *(F.col(x).alias(f"{x}2") for x in ("id", "n", "i", "cid")))
     need = F.ceil(share * (F.col("n") + F.col("n2")) / F.lit(share + whole))
     met = rest.join(out, "s").where(
-        (F.col("c") != F.col("c2"))
-        & ((F.col("c") == F.col("main")) | (F.col("rep") < F.col("rep2")))
+        (F.col("cid") != F.col("cid2"))
+        & ((F.col("cid") == F.col("main")) | (F.col("id") < F.col("id2")))
         & (F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) + 1 >= need)
         & (whole * F.least("n", "n2") >= share * F.greatest("n", "n2"))
     )
     first = F.col("rep") < F.col("rep2")
-    return met.select(
+    pairs = met.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct()
+    one, two = left, left.select(*(F.col(x).alias(f"{x}2") for x in ("rep", "c", "id")))
+    pairs = pairs.join(one, "id").join(two, "id2")
+    return pairs.select(
         F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.when(first, F.col("c")).otherwise(F.col("c2")).alias("ca"), F.when(first, F.col("c2")).otherwise(F.col("c")).alias("cb")
-    ).distinct()
+    )
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, **settings: int) -> DataFrame:
@@ -243,9 +248,14 @@ def grouped_texts(
     sk = tmp.write(sketches(docs, k, bands, rows))
     sets = sk.where("n > 0 and doc_id is not null")
     classes = tmp.write(sets.groupBy("seq").agg(F.min(F.struct("doc_id", "tx")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    cells = classes.select("rep", "n", F.explode("bands").alias("h"))
-    shared = cells.groupBy("h").agg(F.count("*").alias("c"), F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
-    members = tmp.write(cells.join(shared.where("c > 1").drop("c"), "h"))
+    # Most buckets have one member: they go before anything but their keys is gathered. Both ways
+    # of a join are shuffles whatever the size, as cells are many times the documents.
+    cells = classes.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.tx").alias("tx"), F.explode("bands").alias("h"))
+    shared = cells.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
+    met = cells.join(shared.hint("merge"), "h", "left_semi").select("h", F.struct("doc_id", "tx").alias("rep"))
+    met = tmp.write(met.join(classes.select("rep", "n"), "rep"))
+    tops = met.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
+    members = tmp.write(met.join(tops, "h"))
 
     def fits(x, y):
         return (whole * F.least(x, y) >= share * F.greatest(x, y))
