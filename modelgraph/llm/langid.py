@@ -21,8 +21,6 @@ from pyspark.sql import functions as F
 from modelgraph.llm.common import checkpointed, letters, table, worker_state
 
 _LETTERS = re.compile(r"[^\W\d_]+")
-#: Longest piece that is used, in letters.
-LONGEST = 12
 
 
 def read_pieces(path: str) -> list[str]:
@@ -34,7 +32,7 @@ def read_pieces(path: str) -> list[str]:
     found = set()
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and re.fullmatch("▁?[^\\W\\d_]*", piece) and len(piece) <= LONGEST:
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and re.fullmatch("▁?[^\\W\\d_]*", piece):
             found.add(piece)
     return sorted(found)
 
@@ -49,13 +47,14 @@ class Unigrams:
     def __init__(self, pieces: list[str], p: np.ndarray) -> None:
         self.id = {piece: i + 1 for i, piece in enumerate(pieces)}
         self.p = p
+        self.longest = max(map(len, pieces), default=1)
 
     def lattice(self, group: list[str], back: bool = False):
         """For marked words of equal length: (start, end, piece ids of each word, 0 for none and
         for an unknown letter) of all places with a piece, by end; back: the last end first."""
         get, n = self.id.get, len(group[0])
         for end in range(n, 0, -1) if back else range(1, n + 1):
-            for start in range(max(0, end - LONGEST), end):
+            for start in range(max(0, end - self.longest), end):
                 ids = np.array([get(w[start:end], 0) for w in group])
                 if end - start == 1 or ids.any():
                     yield start, end, ids
@@ -68,12 +67,12 @@ class Unigrams:
 
     def forward(self, group: list[str], lang: np.ndarray | None = None):
         """log probabilities [word, language] of words of equal length. Rows are rescaled at
-        each position, so long words don't underflow; only the last LONGEST positions are kept,
-        so they take no more memory. lang (one for each word): of that language alone, and with
+        each position, so long words don't underflow; only as many positions as the longest
+        piece has letters are kept, so they take no more memory. lang (one for each word): of that language alone, and with
         all positions, which backward needs."""
         group = ["▁" + w for w in group]
         n, k = len(group[0]), self.p.shape[1] if lang is None else 1
-        size = (min(n, LONGEST) if lang is None else n) + 1
+        size = (min(n, self.longest) if lang is None else n) + 1
         alpha = np.zeros((size, len(group), k))
         alpha[0] = 1
         scale = np.zeros((size, len(group), k))
@@ -133,11 +132,14 @@ def fit(
     rows with a null among the three are left out. Word counts and expected counts are summed by Spark;
     the driver gets one number for each piece and language."""
     spark = labelled.sparkSession
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id")
     rows = labelled.where("lang is not null and text is not null and doc_id is not null")
-    # Only ids are ranked (a running top list per language, before they are shuffled); the few
-    # chosen ones are bounded, so they are broadcast to the scan of the texts.
-    picked = rows.select("lang", "doc_id").withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language).select("lang", "doc_id").distinct()
+    # Only ids are ranked, first within slices of a language, so that no task gets all of one; the
+    # few chosen ones are bounded, so they are broadcast to the scan of the texts.
+    by = F.xxhash64("doc_id"), F.col("doc_id")
+    slices = Window.partitionBy("lang", F.pmod(F.shiftright(F.xxhash64("doc_id"), 20), F.lit(256))).orderBy(*by)
+    first = Window.partitionBy("lang").orderBy(*by)
+    picked = rows.select("lang", "doc_id").distinct().withColumn("r", F.row_number().over(slices)).where(F.col("r") <= docs_per_language)
+    picked = picked.withColumn("r", F.row_number().over(first)).where(F.col("r") <= docs_per_language).select("lang", "doc_id")
     sample = rows.select("lang", "doc_id", "text").join(F.broadcast(picked), ["lang", "doc_id"], "left_semi").select("lang", "text")
 
     def count(batches):

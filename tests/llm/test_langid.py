@@ -79,3 +79,39 @@ def test_words_of_any_length(spark):
     pieces = ["▁", "▁the", "▁le", "a", "c", "h", "t"]
     langs, p = langid.fit(docs, pieces)
     assert {r.doc_id for r in langid.identify(docs, pieces, langs, p).collect()} == {1, 2, 3, 4}
+
+
+def test_query_matches_brute_force(spark):
+    """Each text's language by sums over all segmentations, written out."""
+    pieces = sorted({"▁", "▁a", "a", "b", "ab", "ba", "▁ab", "c", "abcabcabcabca", "▁b"})
+    rng = np.random.default_rng(1)
+    p = rng.random((len(pieces) + 1, 3)) / 10
+    number = {x: i + 1 for i, x in enumerate(pieces)}
+
+    def total(word, k):
+        if not word:
+            return 1.0
+        heads = (word[:i] for i in range(1, len(word) + 1))
+        return sum((p[number[h], k] if h in number else p[0, k]) * total(word[len(h):], k) for h in heads if h in number or len(h) == 1)
+
+    words = ["".join(rng.choice(list("abcx"), rng.integers(1, 9))) for _ in range(40)] + ["abcabcabcabca"]
+    rows = [(i, " ".join(rng.choice(words, rng.integers(1, 5)))) for i in range(60)] + [(60, words[-1]), (60, words[-1]), (61, None)]
+    docs = spark.createDataFrame([(i, t, "clash", 1.0) for i, t in rows], "doc_id long, text string, lang_pred string, score double")
+    for langs, q in ((["x", "y", "z"], p), (["x", "y", "z"], p[:, [0, 0, 0]])):
+        for r in langid.identify(docs, pieces, langs, q).collect():
+            text = dict(rows)[r.doc_id]
+            if text is None:
+                assert (r.lang_pred, r.score) == ("und", 0)
+                continue
+            sums = [math.prod(total("▁" + w, list(p[0]).index(q[0, k])) for w in text.split()) for k in range(3)]
+            best = max(range(3), key=lambda k: (sums[k], -k))
+            assert r.lang_pred == langs[best] and r.score == pytest.approx(sums[best] / sum(sums), rel=1e-4)
+
+
+def test_sample_is_the_first_by_hash(spark):
+    rows = [(i, f"word{i % 7}", "en" if i % 3 else "fr") for i in range(900)] * 2
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    pieces = ["▁", *"dorw"]
+    few = langid.fit(docs, pieces, docs_per_language=5)[1]
+    chosen = docs.selectExpr("*", "dense_rank() over (partition by lang order by xxhash64(doc_id), doc_id) as r").where("r <= 5")
+    assert np.allclose(few, langid.fit(chosen, pieces, docs_per_language=99)[1])
