@@ -63,23 +63,28 @@ class Space:
         x = self.weighted(counts)
         width = min(width, *x.shape)
         rng = np.random.default_rng(seed)
-        q = np.linalg.qr(x.T @ (x @ rng.standard_normal((x.shape[1], min(width + 16, min(x.shape))))))[0]
-        for _ in range(3):
+        q = rng.standard_normal((x.shape[1], min(width + 16, *x.shape)), np.float32)
+        for _ in range(4):
             q = np.linalg.qr(x.T @ (x @ q))[0]
         v = np.linalg.svd(x @ q, full_matrices=False)[2]
-        self.axes = (q @ v.T)[:, :width].astype(np.float32)
-        z, there = self.placed(counts)
+        self.axes = np.ascontiguousarray((q @ v.T)[:, :width], np.float32)
+        z, there = self.projected(x)
         self.vectors, self.label = z[there], label[there].astype(np.float32)
 
     def weighted(self, counts: np.ndarray) -> np.ndarray:
-        x = np.log1p(counts) * self.idf
-        return x / np.maximum(np.linalg.norm(x, axis=1, keepdims=True), 1e-12)
+        x = np.log1p(counts)
+        x *= self.idf
+        x /= np.maximum(np.sqrt(np.einsum("ij,ij->i", x, x)), 1e-12)[:, None]
+        return x
 
-    def placed(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        z = self.weighted(counts) @ self.axes
+    def projected(self, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        z = x @ self.axes
         n = np.linalg.norm(z, axis=1, keepdims=True)
         return z / np.maximum(n, 1e-12), n[:, 0] > 1e-9
 
+    def placed(self, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        return self.projected(self.weighted(counts))
+
     def scores(self, counts: np.ndarray, neighbours: int) -> np.ndarray:
         """Similarity-weighted share of label 1 among the nearest; the labels' mean where a
         document has no direction (fewer than three bytes) or no similar neighbour. Equal
@@ -112,16 +117,22 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096, dims: int
 
     def run(batches):
         for part, texts in _texts(batches, 0, 256):
-            blob = [np.minimum(trigram_counts(t, dims), 65535).astype("<u2").tobytes() for t in texts]
+            blob = []
+            for t in texts:
+                c = trigram_counts(t, dims)
+                at = np.flatnonzero(c)
+                blob.append(at.astype("<u4").tobytes() + c[at].astype("<f4").tobytes())
             yield pa.RecordBatch.from_pydict({"counts": pa.array(blob, pa.binary()), "label": part.column(1)})
 
-    rows = sample.mapInArrow(run, "counts binary, label int").collect()
-    if rows:
-        counts = np.stack([np.frombuffer(r.counts, "<u2") for r in rows]).astype(np.float32)
-    else:
-        counts = np.zeros((1, dims), np.float32)
+    rows = sample.mapInArrow(run, "counts binary, label int").toArrow()
+    label = rows.column("label").to_numpy() if rows.num_rows else np.ones(1, np.int64)
+    counts = np.zeros((len(label), dims), np.float32)
+    for i, blob in enumerate(rows.column("counts")):
+        at, c = np.split(np.frombuffer(blob.as_py(), "<u4"), 2)
+        counts[i, at] = c.view("<f4")
+    del rows
     df, n = document_frequencies(docs, dims)
-    return Space(counts, np.array([r.label for r in rows] or [1]), df, n, width)
+    return Space(counts, label, df, n, width)
 
 
 def score(docs: DataFrame, space: Space, neighbours: int = 15, block: int = 256) -> DataFrame:

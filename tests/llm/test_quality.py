@@ -38,3 +38,26 @@ def test_odd_rows(spark):
     empty = docs.limit(0)
     assert quality.score(empty, quality.fit(empty, empty)).count() == 0
     assert quality.score(docs, quality.fit(docs, empty)).count() == len(rows)
+
+
+def test_query_matches_brute_force(spark):
+    """Every document's cosines with all labelled vectors, sorted; equal ones may vote either way."""
+    sf = "/root/testdata/sf0.001"
+    docs = spark.read.parquet(f"{sf}/documents.parquet")
+    space = quality.fitted(spark, docs, sf)
+    got = {r.doc_id: r.score for r in quality.op10_quality_neighbours(spark, sf).collect()}
+    texts = {r.doc_id: r.text for r in docs.collect()}
+    assert got.keys() == texts.keys()
+    for d, t in texts.items():
+        z, there = space.placed(quality.trigram_counts(t or "", len(space.idf))[None])
+        cos = np.maximum((z @ space.vectors.T)[0].astype(float), 0)
+        edge = np.sort(cos)[-15]
+        sure, tied = cos > edge + 1e-6, np.abs(cos - edge) <= 1e-6
+        free = 15 - sure.sum()
+        w, votes = (cos[sure] ** 8).sum() + free * edge**8, (cos[sure] ** 8 * space.label[sure]).sum()
+        ones = min(free, space.label[tied].sum())
+        least = max(0, free - (1 - space.label[tied]).sum())
+        if there[0] and w > 1e-12:
+            assert (votes + least * edge**8) / w - 1e-4 <= got[d] <= (votes + ones * edge**8) / w + 1e-4
+        else:
+            assert got[d] == space.prior
