@@ -11,26 +11,39 @@ from pyspark.sql import functions as F
 
 from modelgraph.functions.classmodel import multiplicity
 
-_ATTRS = r"(?:\s*,\s*\{(.*)\})?\s*$"
-TERM = r"^(\w+)\s*:\s*'([^']*)'\s*,\s*'([^']*)'" + _ATTRS
-FUNCTION = r"^(\w+)\s*:\s*'([^']*)'\s*\(([^()]*)\)\s*->\s*(\w+)\s*:\s*'([^']*)'" + _ATTRS
+#: A string in either kind of quotes; it may hold brackets, # and line breaks.
+STRING = r"""(?:'[^']*+'|"[^"]*+")"""
+_IN_BRACES = rf"(?:{STRING}|[^{{}}'\"])*+"
+_ATTRS = rf"(?:\s*,\s*\{{({_IN_BRACES})\}})?\s*$"
+TERM = rf"^(\w+)\s*:\s*({STRING})\s*,\s*({STRING})" + _ATTRS
+FUNCTION = rf"^(\w+)\s*:\s*({STRING})\s*\(((?:{STRING}|[^()'\"])*+)\)\s*->\s*(\w+)\s*:\s*({STRING})" + _ATTRS
 RELATIONSHIP = r"^(?:(\w+)\s*:\s*)?(\w+)\s+(\w+)\s+(\w+)" + _ATTRS
-META = r"^(\w+)\s*:\s*'([^']*)'\s*$"
-IMPORT = r"^import\s+(\*|\{[^}]*\})\s+from\s+'([^']*)'\s*$"
+META = rf"^(\w+)\s*:\s*({STRING})\s*$"
+IMPORT = rf"^import\s+(\*|\{{[^}}]*\}})\s+from\s+({STRING})\s*$"
+PAIR = rf"(\w+\s*:\s*{STRING})"
+
+_COMMENT = r"#[^\n]*+"
+_FOLDED = "|".join(rf"\{a}(?:{STRING}|{_COMMENT}|[^{a}{b}'\"#])*+\{b}" for a, b in ("{}", "()"))
+#: A line up to its end: strings, comments and bracketed parts are passed over as a whole.
+LINE = rf"((?:[^\n'\"#{{}}()]++|{STRING}|{_COMMENT}|{_FOLDED}|[^\n])*+(?:\n|$))"
 
 
 def part(text: Column, pattern: str, group: int) -> Column:
     return F.regexp_extract(text, pattern, group)
 
 
+def unquoted(text: Column) -> Column:
+    return F.substring(text, F.lit(2), F.length(text) - 2)
+
+
 def logical_lines(sources: DataFrame) -> DataFrame:
-    """file, line, text: statements without comments (# outside quotes); line breaks inside
-    braces and parentheses are folded, blank ones dropped; lines are numbered as folded."""
-    t = F.regexp_replace("content", r"(?m)^((?:[^'#\n]|'[^'\n]*')*+)#.*$", "$1")
-    t = F.regexp_replace(t, r"\n(?=[^{}]*\})", " ")
-    t = F.regexp_replace(t, r"\n(?=[^()]*\))", " ")
-    lines = sources.select("file", F.posexplode(F.split(t, "\n")).alias("line", "text"))
-    return lines.withColumn("text", F.trim("text")).where("text <> ''")
+    """file, line, text: statements without comments (# outside strings); line breaks inside
+    braces, parentheses and strings don't end one, outside strings they are left out; blank
+    lines are dropped; lines are numbered as folded. One pass over the content: no character is
+    looked at again but those behind a quote or bracket that is never closed."""
+    lines = sources.select("file", F.posexplode(F.regexp_extract_all("content", F.lit(LINE), F.lit(1))).alias("line", "text"))
+    text = F.regexp_replace("text", rf"({STRING})|{_COMMENT}|\n", "$1")
+    return lines.withColumn("text", F.trim(text, F.lit(" \t\r"))).where("text <> ''")
 
 
 def section_of_line(lines: DataFrame) -> DataFrame:
@@ -45,41 +58,47 @@ def _of(lines: DataFrame, section: str, pattern: str) -> DataFrame:
     return lines.where((F.col("section") == section) & F.col("text").rlike(pattern))
 
 
+def pairs(text: Column) -> Column:
+    """The 'key: string' parts of a text, as an array."""
+    return F.regexp_extract_all(text, F.lit(PAIR), F.lit(1))
+
+
 def attribute_value(text: Column, key: str) -> Column:
     """The last value of a key in an attribute block; null without one."""
-    return F.try_element_at(F.regexp_extract_all(text, F.lit(rf"(?<!\w){key}\s*:\s*'([^']*)'"), F.lit(1)), F.lit(-1))
+    last = F.try_element_at(F.filter(pairs(text), lambda p: p.rlike(rf"^{key}\s*:")), F.lit(-1))
+    return unquoted(part(last, f"({STRING})$", 1))
 
 
 def attributes(lines: DataFrame) -> DataFrame:
     """file, line, key, value of attribute blocks; a repeated key keeps the last value."""
-    block = F.regexp_extract("text", r",\s*\{(.*)\}\s*$", 1)
-    pairs = F.regexp_extract_all(block, F.lit(r"(\w+\s*:\s*'[^']*')"), F.lit(1))
-    rows = lines.select("file", "line", F.posexplode(pairs).alias("pos", "p"))
-    rows = rows.select("file", "line", "pos", F.regexp_extract("p", r"^(\w+)", 1).alias("key"), F.regexp_extract("p", r"'([^']*)'", 1).alias("value"))
+    block = part(F.col("text"), rf",\s*\{{({_IN_BRACES})\}}\s*$", 1)
+    rows = lines.select("file", "line", F.posexplode(pairs(block)).alias("pos", "p"))
+    rows = rows.select("file", "line", "pos", F.regexp_extract("p", r"^(\w+)", 1).alias("key"), unquoted(F.regexp_extract("p", f"({STRING})$", 1)).alias("value"))
     return rows.groupBy("file", "line", "key").agg(F.max_by("value", "pos").alias("value"))
 
 
 def meta(lines: DataFrame) -> DataFrame:
     x = _of(lines, "meta", META)
-    return x.select("file", "line", part(F.col("text"), META, 1).alias("tag"), part(F.col("text"), META, 2).alias("value"))
+    return x.select("file", "line", part(F.col("text"), META, 1).alias("tag"), unquoted(part(F.col("text"), META, 2)).alias("value"))
 
 
 def terms(lines: DataFrame) -> DataFrame:
     x, t = _of(lines, "types", TERM), F.col("text")
     return x.select(
-        "file", "line", part(t, TERM, 1).alias("name"), part(t, TERM, 2).alias("label"), part(t, TERM, 3).alias("description"),
+        "file", "line", part(t, TERM, 1).alias("name"), unquoted(part(t, TERM, 2)).alias("label"), unquoted(part(t, TERM, 3)).alias("description"),
         attribute_value(part(t, TERM, 4), "color").alias("color"), attribute_value(part(t, TERM, 4), "note").alias("note"),
     )
 
 
 def functions(lines: DataFrame) -> DataFrame:
-    """file, line, name, label, inputs (array of pos, term, label), output_term, output_label, type."""
+    """file, line, name, label, inputs (array of pos, term, label), output_term, output_label and
+    the attributes."""
     x, t = _of(lines, "functions", FUNCTION), F.col("text")
-    args = F.regexp_extract_all(part(t, FUNCTION, 3), F.lit(r"(\w+\s*:\s*'[^']*')"), F.lit(1))
-    inputs = F.transform(args, lambda a, i: F.struct((i + 1).alias("pos"), F.regexp_extract(a, r"^(\w+)", 1).alias("term"), F.regexp_extract(a, r"'([^']*)'", 1).alias("label")))
+    one = lambda a, i: F.struct((i + 1).alias("pos"), F.regexp_extract(a, r"^(\w+)", 1).alias("term"), unquoted(F.regexp_extract(a, f"({STRING})$", 1)).alias("label"))
     return x.select(
-        "file", "line", part(t, FUNCTION, 1).alias("name"), part(t, FUNCTION, 2).alias("label"), inputs.alias("inputs"),
-        part(t, FUNCTION, 4).alias("output_term"), part(t, FUNCTION, 5).alias("output_label"), attribute_value(part(t, FUNCTION, 6), "type").alias("type"),
+        "file", "line", part(t, FUNCTION, 1).alias("name"), unquoted(part(t, FUNCTION, 2)).alias("label"), F.transform(pairs(part(t, FUNCTION, 3)), one).alias("inputs"),
+        part(t, FUNCTION, 4).alias("output_term"), unquoted(part(t, FUNCTION, 5)).alias("output_label"),
+        *(attribute_value(part(t, FUNCTION, 6), k).alias(k) for k in ("color", "colorArrow", "type", "inputTitle", "outputTitle")),
     )
 
 
@@ -97,14 +116,15 @@ def relationships(lines: DataFrame) -> DataFrame:
 
 def figures(lines: DataFrame) -> DataFrame:
     """One row per member line of a figure."""
-    name = F.regexp_replace(F.regexp_extract("section", r"^figure\s+(.*)$", 1), "^'|'$", "")
+    name = F.regexp_extract("section", r"^figure\s+(.*)$", 1)
+    name = F.when(name.rlike(f"^{STRING}$"), unquoted(name)).otherwise(name)
     return lines.where("section like 'figure%'").select("file", name.alias("figure"), "line", F.col("text").alias("member"))
 
 
 def imports(lines: DataFrame) -> DataFrame:
     """file, line, src, star, name, alias: one row per imported name, one for a star."""
     t = F.col("text")
-    x = lines.where(t.rlike(IMPORT)).select("file", "line", part(t, IMPORT, 2).alias("src"), part(t, IMPORT, 1).alias("what"))
+    x = lines.where(t.rlike(IMPORT)).select("file", "line", unquoted(part(t, IMPORT, 2)).alias("src"), part(t, IMPORT, 1).alias("what"))
     names = F.filter(F.split(F.regexp_replace("what", r"[{}\s]+", " "), ","), lambda n: F.trim(n) != "")
     x = x.withColumn("star", F.col("what") == "*").withColumn("n", F.explode(F.when(F.col("star"), F.array(F.lit("*"))).otherwise(names)))
     n = F.trim("n")

@@ -31,51 +31,77 @@ def _named(v):
     return r.select("ontology_id", F.lit(5).alias("section"), F.col("seq").cast("long").alias("seq"), line.alias("line"))
 
 
-def _lines(v):
-    f = exports.dsl_function_lines(v("functions"), v("function_args"))
-    sources = _sources(v, (1, "types", exports.dsl_term_lines(v("terms"))), (3, "functions", f), (5, "hierarchy", _named(v)))
-    return extract.section_of_line(extract.logical_lines(sources))
+_VIEWS = "terms functions function_args relationships"
 
+# Hard texts: both kinds of quotes in turn, and brackets, a comment mark and the other quote in
+# strings. The same expressions make the texts in Spark and the expected lines in SQL.
+_Q = "CASE WHEN seq % 2 = 0 THEN chr(39) ELSE chr(34) END"
+_HARD = "' 1) } # {(' || CASE WHEN seq % 2 = 0 THEN chr(34) ELSE chr(39) END"
+_TERM_LINE = (
+    f"name || ': ' || {_Q} || label || {_Q} || ', ' || {_Q} || description || {_HARD} || {_Q} || CASE WHEN color IS NULL AND note IS NULL THEN '' "
+    f"ELSE ', {{ ' || concat_ws(', ', 'color: ' || {_Q} || color || {_Q}, 'note: ' || {_Q} || note || {_Q}) || ' }}' END"
+)
+_FUNCTION_LINE = (
+    f"name || ': ' || {_Q} || label || {_HARD} || {_Q} || ' (' || coalesce(inputs, '') || ') -> ' || output_term || ': ' || {_Q} || {_HARD} || {_Q} "
+    f"|| CASE WHEN type IS NULL THEN '' ELSE ', {{ type: ' || {_Q} || type || {_Q} || ' }}' END"
+)
+_ARG = "term || ': ' || chr(39) || label || ' (y) #' || chr(39)"
+_FUNCTIONS = f"(SELECT f.*, i.inputs FROM functions f LEFT JOIN (SELECT ontology_id, function, string_agg({_ARG}, ', ' ORDER BY pos, {_ARG}) AS inputs FROM function_args GROUP BY 1, 2) i ON i.function = f.name AND i.ontology_id = f.ontology_id)"
+_EDGE_LINE = "CASE WHEN name IS NULL THEN '' ELSE name || ': ' END || parent || ' ' || relationship || ' ' || child || CASE WHEN direction IS NULL THEN '' ELSE ', { direction: ''' || direction || ''' }' END"
 
-_VIEWS = "terms functions function_args relationships"
+
+def _term_lines(v):
+    return v("terms").select("ontology_id", F.lit(1).alias("section"), F.col("seq").cast("long").alias("seq"), F.expr(_TERM_LINE).alias("line"))
+
+
+def _function_lines(v):
+    a = v("function_args").groupBy("ontology_id", F.col("function").alias("name")).agg(F.array_sort(F.collect_list(F.struct("pos", F.expr(_ARG).alias("t")))).alias("a"))
+    f = v("functions").join(a, ["ontology_id", "name"], "left").withColumn("inputs", F.array_join(F.transform("a", lambda x: x.t), ", "))
+    return f.select("ontology_id", F.lit(3).alias("section"), F.col("seq").cast("long").alias("seq"), F.expr(_FUNCTION_LINE).alias("line"))
+
+
+def _all_sources(v):
+    return _sources(v, (1, "types", _term_lines(v)), (3, "functions", _function_lines(v)), (5, "hierarchy", _named(v)))
+
+
+_ALL_LINES = f"""SELECT ontology_id AS file, 'types' AS section, {_TERM_LINE} AS text FROM terms UNION ALL SELECT ontology_id, 'functions', {_FUNCTION_LINE} FROM {_FUNCTIONS}
+UNION ALL SELECT ontology_id, 'hierarchy', {_EDGE_LINE} FROM relationships"""
 
 
-@query("logical_lines", _VIEWS, "SELECT ontology_id AS file, count(*) + 3 AS n FROM (SELECT ontology_id FROM terms UNION ALL SELECT ontology_id FROM functions UNION ALL SELECT ontology_id FROM relationships) GROUP BY 1")
+@query("logical_lines", _VIEWS, f"SELECT file, text FROM ({_ALL_LINES}) UNION ALL SELECT DISTINCT file, section || ':' FROM ({_ALL_LINES})")
 def logical_lines(v):
-    f = exports.dsl_function_lines(v("functions"), v("function_args"))
-    sources = _sources(v, (1, "types", exports.dsl_term_lines(v("terms"))), (3, "functions", f), (5, "hierarchy", _named(v)))
-    return extract.logical_lines(sources).groupBy("file").agg(F.count("*").alias("n"))
+    return extract.logical_lines(_all_sources(v)).select("file", "text")
 
 
-@query("section_of_line", _VIEWS, "SELECT ontology_id AS file, section, count(*) AS n FROM (SELECT ontology_id, 'types' AS section FROM terms UNION ALL SELECT ontology_id, 'functions' FROM functions UNION ALL SELECT ontology_id, 'hierarchy' FROM relationships) GROUP BY 1, 2")
+@query("section_of_line", _VIEWS, _ALL_LINES)
 def section_of_line(v):
-    return _lines(v).groupBy("file", "section").agg(F.count("*").alias("n"))
+    return extract.section_of_line(extract.logical_lines(_all_sources(v))).select("file", "section", "text")
 
 
 @query("parse_meta", "meta_statements", "SELECT ontology_id AS file, tag, value FROM meta_statements")
 def parse_meta(v):
-    m = v("meta_statements").select("ontology_id", F.lit(0).alias("section"), F.col("seq").cast("long").alias("seq"), F.concat("tag", F.lit(": "), render.quoted(F.col("value")), F.lit(" # 'x'")).alias("line"))
+    q = F.when(F.col("seq") % 2 == 0, "'").otherwise('"')
+    m = v("meta_statements").select("ontology_id", F.lit(0).alias("section"), F.col("seq").cast("long").alias("seq"), F.concat("tag", F.lit(": "), q, "value", q, F.lit(" # 'x'")).alias("line"))
     sources = exports.joined(m, "ontology_id", "content").withColumnRenamed("ontology_id", "file")
     return extract.meta(extract.section_of_line(extract.logical_lines(sources))).drop("line")
 
 
-@query("parse_terms", "terms", "SELECT ontology_id AS file, name, label, description, color, note FROM terms")
+@query("parse_terms", "terms", f"SELECT ontology_id AS file, name, label, description || {_HARD} AS description, color, note FROM terms")
 def parse_terms(v):
-    sources = _sources(v, (1, "types", exports.dsl_term_lines(v("terms"))))
-    return extract.terms(extract.section_of_line(extract.logical_lines(sources))).drop("line")
+    return extract.terms(extract.section_of_line(extract.logical_lines(_sources(v, (1, "types", _term_lines(v)))))).drop("line")
 
 
 def _functions(v):
-    sources = _sources(v, (3, "functions", exports.dsl_function_lines(v("functions"), v("function_args"))))
-    return extract.functions(extract.section_of_line(extract.logical_lines(sources)))
+    return extract.functions(extract.section_of_line(extract.logical_lines(_sources(v, (3, "functions", _function_lines(v))))))
 
 
-@query("parse_functions", "functions function_args", "SELECT ontology_id AS file, name, label, (SELECT count(*) FROM function_args a WHERE a.function = f.name AND a.ontology_id = f.ontology_id) AS n_inputs, output_term, '' AS output_label, type FROM functions f")
+@query("parse_functions", "functions function_args", f"SELECT ontology_id AS file, name, label || {_HARD} AS label, coalesce(inputs, '') AS inputs, output_term, {_HARD} AS output_label, type FROM {_FUNCTIONS}")
 def parse_functions(v):
-    return _functions(v).select("file", "name", "label", F.size("inputs").cast("long").alias("n_inputs"), "output_term", "output_label", "type")
+    inputs = F.array_join(F.transform("inputs", lambda i: F.concat(i.term, F.lit(": '"), i.label, F.lit("'"))), ", ")
+    return _functions(v).select("file", "name", "label", inputs.alias("inputs"), "output_term", "output_label", "type")
 
 
-@query("function_args", "functions function_args", "SELECT ontology_id AS file, function, term, label, count(*) AS n FROM function_args GROUP BY 1, 2, 3, 4")
+@query("function_args", "functions function_args", "SELECT ontology_id AS file, function, term, label || ' (y) #' AS label, count(*) AS n FROM function_args GROUP BY 1, 2, 3, 4")
 def function_args(v):
     return extract.function_args(_functions(v)).groupBy("file", "function", "term", "label").agg(F.count("*").alias("n"))
 
@@ -98,7 +124,7 @@ def parse_figures(v):
 def parse_imports(v):
     t = F.col("target_id").cast("string")
     listed = F.concat(F.lit("{e"), t, F.when(F.col("file_id") % 5 == 0, F.concat(F.lit(" as x"), t)).otherwise(""), F.lit("}"))
-    line = F.concat(F.lit("import "), F.when(F.col("seq") % 2 == 1, "*").otherwise(listed), F.lit(" from 'f"), t, F.lit(".ontol'"))
+    line = F.concat(F.lit("import "), F.when(F.col("seq") % 2 == 1, "*").otherwise(listed), F.lit(' from "f'), t, F.lit('.ontol"'))
     rows = v("imports").select(F.col("file_id").alias("ontology_id"), F.lit(0).alias("section"), F.col("seq").cast("long").alias("seq"), line.alias("line")).distinct()
     sources = exports.joined(rows, "ontology_id", "content").withColumnRenamed("ontology_id", "file")
     return extract.imports(extract.section_of_line(extract.logical_lines(sources))).drop("line").distinct()
@@ -106,7 +132,7 @@ def parse_imports(v):
 
 @query("parse_attributes", "terms", "SELECT ontology_id AS file, key, value, count(*) AS n FROM (SELECT ontology_id, 'color' AS key, color AS value FROM terms UNION ALL SELECT ontology_id, 'note', note FROM terms) WHERE value IS NOT NULL GROUP BY 1, 2, 3")
 def parse_attributes(v):
-    sources = _sources(v, (1, "types", exports.dsl_term_lines(v("terms"))))
+    sources = _sources(v, (1, "types", _term_lines(v)))
     return extract.attributes(extract.logical_lines(sources)).groupBy("file", "key", "value").agg(F.count("*").alias("n"))
 
 

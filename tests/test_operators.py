@@ -14,19 +14,19 @@ title: ''
 import {a, b as c} from 'base.ontol'
 import * from 'http://x.org/o.ontol'
 types:
-Parent: 'Label #1', 'A type', { color: '#E6B8B7', color: '#000000' }
-Child: '', '', {
-  note: 'n'
+Parent: 'Label #1', 'A (type) :) 1) }', { color: '#102030', color: '#000000' }
+Child: "", '', {
+  note: "it's } # n",
 }
 broken line
 functions:
 F1: 'does' (Child: 'in1',
   Child: '') -> Parent: 'out', { type: 'inheritance' }
-F2: 'none' () -> Parent: ''
+F2: "none # (" () -> Parent: 'x (y)'
 hierarchy:
 Parent composition Child
 r1: Child association Parent, { direction: 'backward' }
-figure 'First':
+figure "First":
 Parent
 r1
 """
@@ -39,10 +39,10 @@ def lines(spark, text):
 def test_statements(spark):
     x = lines(spark, SOURCE)
     assert {(r.tag, r.value) for r in extract.meta(x).collect()} == {("version", "1.0"), ("title", "")}
-    assert [tuple(r)[2:] for r in extract.terms(x).orderBy("line").collect()] == [("Parent", "Label #1", "A type", "#000000", None), ("Child", "", "", None, "n")]
+    assert [tuple(r)[2:] for r in extract.terms(x).orderBy("line").collect()] == [("Parent", "Label #1", "A (type) :) 1) }", "#000000", None), ("Child", "", "", None, "it's } # n")]
     f = extract.functions(x).orderBy("line").collect()
     assert [(r.name, [tuple(i) for i in r.inputs], r.output_term, r.output_label, r.type) for r in f] == [
-        ("F1", [(1, "Child", "in1"), (2, "Child", "")], "Parent", "out", "inheritance"), ("F2", [], "Parent", "", None)
+        ("F1", [(1, "Child", "in1"), (2, "Child", "")], "Parent", "out", "inheritance"), ("F2", [], "Parent", "x (y)", None)
     ]
     assert [tuple(r)[2:] for r in extract.relationships(x).orderBy("line").collect()] == [(None, "Parent", "composition", "Child", None), ("r1", "Child", "association", "Parent", "backward")]
     assert [(r.figure, r.member) for r in extract.figures(x).orderBy("line").collect()] == [("First", "Parent"), ("First", "r1")]
@@ -54,10 +54,10 @@ def test_golden_lines(spark):
     row = spark.range(1)
     one = lambda c: row.select(c.alias("x")).first().x
     lit, none = F.lit, F.lit(None).cast("string")
-    assert one(render.puml_edge(lit("MyTypeChild"), lit("MyFunction1"), lit("directAssociation"), none, lit("#E6B8B7"), lit("2"), none, none)) == 'MyTypeChild "2" --[#E6B8B7]->  MyFunction1 '
-    assert one(render.puml_edge(lit("MyTypeParent"), lit("MyTypeChild"), lit("composition"), none, none, none, none, none)) == "MyTypeParent  --[#black]-*  MyTypeChild "
+    assert one(render.puml_edge(lit("wheel"), lit("turn"), lit("directAssociation"), none, lit("#123456"), lit("2"), none, none)) == 'wheel "2" --[#123456]->  turn '
+    assert one(render.puml_edge(lit("cart"), lit("wheel"), lit("composition"), none, none, none, none, none)) == "cart  --[#black]-*  wheel "
     assert one(render.arrow(lit("inheritance"), lit("bidirectional"), none)) == "<|-[#black]--|>"
-    assert one(render.dsl_attributes(color=lit("#E6B8B7"), note=none)) == ", { color: '#E6B8B7' }"
+    assert one(render.dsl_attributes(color=lit("#123456"), note=none)) == ", { color: '#123456' }"
     assert one(workspace.slug(lit("  Схема  №1: Ёлка-Shop "))) == "shema_1_elka_shop"
 
 
@@ -143,3 +143,11 @@ def test_chains_stop_with_an_error(spark):
     assert graph.cycle_chains(ring, most_rounds=3).count() == 3
     with pytest.raises(RuntimeError):
         graph.cycle_chains(ring, most_rounds=2)
+
+
+def test_lines_keep_their_own_brackets(spark):
+    text = "types:\na: 'A', 'x' # don't (\nb: 'B', 'see 1) foo'\nc: \"C\", 'l' , {\n note: '}'\n }\n(\n'open"
+    got = [r.text for r in extract.logical_lines(spark.createDataFrame([("f", text)], "file string, content string")).orderBy("line").collect()]
+    assert got == ["types:", "a: 'A', 'x'", "b: 'B', 'see 1) foo'", "c: \"C\", 'l' , { note: '}' }", "(", "'open"]
+    long = spark.createDataFrame([("f", "t: 'x', '" + "(" * 300_000 + "'\n" + "p r q\n" * 50_000 + "{" * 100_000), ("g", None), ("h", "")], "file string, content string")
+    assert extract.logical_lines(long).groupBy("file").count().collect() == [("f", 50_002)]
