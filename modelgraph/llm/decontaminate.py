@@ -65,12 +65,13 @@ FORMS = ("canon", "loose", "plain")
 
 def windows(arrays: DataFrame, key: str, size: int, forms: tuple[str, ...] = FORMS[:2]) -> DataFrame:
     """key, pos (from 1), h: the different hashes of each window of size tokens in its forms.
-    Tokens are hashed once, and the shifted arrays of hashes zipped, so windows are hashed in
+    Tokens are hashed once, all forms in one struct, and the shifted arrays of these zipped, so windows are hashed in
     generated code; no array leaves the row it is in."""
-    hashed = arrays.where(F.size("raw") >= size).select(key, *(F.transform(c, lambda t: F.xxhash64(t)).alias(c) for c in forms))
-    shifted = [(F.slice(c, i + 1, F.size(c)) if i else F.col(c)).alias(f"{c}{i}") for c in forms for i in range(size)]
-    rows = hashed.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w")).where(f"w.{forms[0]}{size - 1} is not null")
-    rows = rows.select(key, (F.col("pos") + 1).alias("pos"), *(F.xxhash64(*(f"w.{c}{i}" for i in range(size))).alias(c) for c in forms))
+    hashed = F.transform(F.arrays_zip(*forms), lambda t: F.struct(*(F.xxhash64(t[c]).alias(c) for c in forms)))
+    hashed = arrays.where(F.size("raw") >= size).select(key, hashed.alias("t"))
+    shifted = [(F.slice("t", i + 1, F.size("t")) if i else F.col("t")).alias(f"t{i}") for i in range(size)]
+    rows = hashed.select(key, F.posexplode(F.arrays_zip(*shifted)).alias("pos", "w")).where(f"w.t{size - 1} is not null")
+    rows = rows.select(key, (F.col("pos") + 1).alias("pos"), *(F.xxhash64(*(f"w.t{i}.{c}" for i in range(size))).alias(c) for c in forms))
     alike = reduce(Column.__and__, [F.col(forms[0]) == F.col(c) for c in forms[1:]])
     several = F.array_distinct(F.array(*forms))
     return rows.select(key, "pos", F.explode(F.when(alike, F.array(forms[0])).otherwise(several)).alias("h"))
