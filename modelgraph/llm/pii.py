@@ -1,13 +1,17 @@
 """Operator 5 (DataFrame functions only): personal data by candidate gradient boosting.
 
 Strict generators give the base spans (e-mail, ip, card, phone). Loose generators propose more
-spans, which may overlap those and each other: written-out e-mails, phone numbers without
-country code, digit groups of any shape. Every candidate is described by a few coarse features
-of its format and context. Base matches that pass their check (Luhn, octets, number of digits)
-are positive examples, those that fail it and loose matches of forms that are no personal data
-are negative ones; all documents' candidates are counted by feature cell. The cells are bounded
-(the product of the features' values), so boosted trees are fitted on the counts, thresholds
-are calibrated on them, and the trees go back to the executors as SQL expressions.
+spans, which may overlap those and each other: written-out e-mails and addresses, phone numbers
+without country code, grouped card numbers, long mixed runs that may be secrets. Every candidate
+is described by coarse features of its format (length, separators, validity) and context.
+
+There are no labels in the corpus, so two sets of examples are put together: the documents' own
+base matches (positive if they pass their check) and generated sentences (`labelled`) whose loose
+candidates are known to be personal data or to be versions, order and serial numbers, hashes or
+plain words of the same form. Examples are counted by feature cell; the cells are bounded (the
+product of the features' values), so boosted trees are fitted on the counts on the driver,
+thresholds are calibrated on the generated candidates, and the trees go back to the executors as
+SQL expressions. A fifth of the generated sentences is held out (`held_out_report`).
 """
 
 from __future__ import annotations
@@ -22,6 +26,8 @@ from modelgraph.llm.common import checkpointed, letters, table
 
 #: Fixed order of the kinds.
 KINDS = ("email", "ip", "card", "phone")
+#: Kinds of all spans: secrets have no base form.
+NAMES = (*KINDS, "secret")
 
 # Fixed patterns. Possessive forms and look-behinds only spare backtracking: they match what the
 # plain patterns match. \G lets a match begin where the one before ended.
@@ -43,14 +49,21 @@ LOOSE = {
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?\[\.\]\x20?[0-9]{1,3}+){3}+(?![0-9])",
     "card": r"(?<![0-9.])[0-9]{4}+(?:[._/][0-9]{4}+){3}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9A-Za-z-])",
+    "secret": r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/-]{0,128}+[0-9])(?=[0-9_+/-]{0,128}+[A-Za-z])[A-Za-z0-9_+/-]{20,128}+={0,2}(?![A-Za-z0-9_+/-])",
 }
 LOOSE_NEEDS = {
     "email": r"(?i)[(\[]at[)\]]",
     "ip": r"[0-9]\x20?\[\.\]",
     "card": r"[0-9]{4}[._/][0-9]{4}[._/][0-9]{4}",
     "phone": r"[0-9]{3}[.\x20-][0-9]{4}",
+    "secret": r"(?<![A-Za-z0-9_+/.-])[A-Za-z0-9_+/-]{20}",
 }
-CUES = r"(?i)(?:e-?mail|mail|contact|write|reach|phone|tel|call|fax|mobile|card|visa|payment|credit|ip|host|server|address|address:|from)[:.]?\x20{0,2}$"
+#: What stands just before a candidate: a way to reach somebody, a name of a secret, a number of a thing.
+CUES = (
+    r"(?i)(?:e-?mail|mail|contact|write|reach|phone|tel|call|fax|mobile|card|visa|payment|credit|ip|host|server|address|from)[:.]?\x20{0,2}$",
+    r"(?i)(?:token|secret|key|password|passwd|pwd|auth|bearer)[\x20\"']{0,2}[=:]?[\x20\"']{0,3}$",
+    r"(?i)(?:order|part|serial|invoice|ref|version|no|nr|id|isbn|commit|sha1|build|item|file|path|look|arrive)[.:#/]?\x20{0,2}$",
+)
 
 
 def located(text: Column, pattern: str) -> Column:
@@ -101,7 +114,20 @@ def passes(kind: str, m: Column) -> Column:
 
 
 #: Features and the number of their values: bounds the cells.
-FEATURES = {"kind": 4, "loose": 2, "length": 5, "seps": 4, "before": 4, "after": 4, "cue": 2}
+FEATURES = {"kind": 5, "loose": 2, "length": 5, "seps": 4, "before": 4, "after": 4, "cue": 4, "valid": 2}
+
+
+def valid(kind: str, m: Column) -> Column:
+    """A check of the format: Luhn, octets, a usual top-level domain, the mixture of characters."""
+    if kind == "email":
+        return m.rlike(r"(?i)(?:\.|dot[)\]])\x20?(?:com|org|net|edu|gov|info|biz|io|[a-z]{2})$")
+    if kind == "ip":
+        return F.forall(F.split(F.regexp_replace(m, r"[^0-9.]", ""), r"\."), lambda p: p.rlike("^(?:25[0-5]|2[0-4][0-9]|1?[0-9]?[0-9])$"))
+    if kind == "card":
+        return luhn(digits(m))
+    if kind == "phone":
+        return digits(m).rlike("^[2-9][0-9]{2}[2-9]") | m.startswith("+")
+    return m.rlike("^(?:[0-9a-f]{32,}|[0-9A-F]{32,})$") | m.rlike("^(?=.*[a-z])(?=.*[A-Z])(?=.*[0-9])[A-Za-z0-9+/=_-]+$")
 
 
 def described(text: Column, spans: Column, kind: str, loose: bool) -> Column:
@@ -111,15 +137,16 @@ def described(text: Column, spans: Column, kind: str, loose: bool) -> Column:
         left = F.substring(text, F.greatest(s.start - 23, F.lit(1)), F.least(s.start, F.lit(24)))
         right = F.substring(text, s.end + 1, F.lit(1))
         kind_of = lambda c: F.when(c == "", 0).when(c.rlike(r"^[\s.,;:!?]"), 1).when(c.rlike(r"^[\p{L}\p{N}]"), 2).otherwise(3)
-        n = F.length(s.m) if kind == "email" else F.length(digits(s.m))
+        n = F.length(s.m) if kind == "email" else F.length(s.m) / 4 if kind == "secret" else F.length(digits(s.m))
         seps = F.when(s.m.rlike(r"[()\[\]]"), 3).when(s.m.rlike(r"[\x20-]"), 2).when(s.m.rlike(r"[._/]"), 1).otherwise(0)
         return F.struct(
-            F.lit(KINDS.index(kind)).alias("kind"), s.start.alias("start"), s.end.alias("end"),
+            F.lit(NAMES.index(kind)).alias("kind"), s.start.alias("start"), s.end.alias("end"),
             F.lit(int(loose)).alias("loose"),
             (F.lit(False) if loose else passes(kind, s.m)).alias("ok"),
             F.when(n < 9, 0).when(n < 13, 1).when(n < 16, 2).when(n < 20, 3).otherwise(4).alias("length"),
             seps.alias("seps"), kind_of(F.substring(left, -1, 1)).alias("before"), kind_of(right).alias("after"),
-            left.rlike(CUES).cast("int").alias("cue"),
+            F.when(left.rlike(CUES[0]), 1).when(left.rlike(CUES[1]), 2).when(left.rlike(CUES[2]), 3).otherwise(0).alias("cue"),
+            valid(kind, s.m).cast("int").alias("valid"),
         )
 
     return F.transform(spans, one)
@@ -128,12 +155,13 @@ def described(text: Column, spans: Column, kind: str, loose: bool) -> Column:
 def candidates(text: Column) -> Column:
     """All generators' candidates of a text, as an array; most texts are dismissed by a search
     for what a generator needs."""
-    none = F.array().cast("array<struct<kind:int,start:int,end:int,loose:int,ok:boolean,length:int,seps:int,before:int,after:int,cue:int>>")
+    none = F.array().cast("array<struct<kind:int,start:int,end:int,loose:int,ok:boolean,length:int,seps:int,before:int,after:int,cue:int,valid:int>>")
     got = []
-    for kind in KINDS:
-        for loose, pattern, needs in ((False, BASE[kind], NEEDS[kind]), (True, LOOSE[kind], LOOSE_NEEDS[kind])):
-            found = described(text, located(text, pattern), kind, loose)
-            got.append(F.when(text.rlike(needs), found).otherwise(none))
+    for kind in NAMES:
+        for loose, pattern, needs in ((False, BASE, NEEDS), (True, LOOSE, LOOSE_NEEDS)):
+            if kind in pattern:
+                found = described(text, located(text, pattern[kind]), kind, loose)
+                got.append(F.when(text.rlike(needs[kind]), found).otherwise(none))
     return F.concat(*got)
 
 
@@ -141,18 +169,80 @@ def cells(cands: DataFrame) -> list[tuple]:
     """Feature cells with their number of positive and negative examples among base candidates
     (cands(c array)); at most the product of FEATURES rows."""
     c = cands.select(F.explode("c").alias("c")).select("c.*")
+    return _counted(c, F.col("ok"), ~F.col("ok") & (F.col("loose") == 0))
+
+
+def _counted(c: DataFrame, positive: Column, negative: Column) -> list[tuple]:
     keys = list(FEATURES)
-    rows = c.groupBy(*keys).agg(F.count_if("ok").alias("pos"), F.count_if(~F.col("ok") & (F.col("loose") == 0)).alias("neg")).collect()
+    rows = c.groupBy(*keys).agg(F.count_if(positive).alias("pos"), F.count_if(negative).alias("neg")).collect()
     return sorted((tuple(r[k] for k in keys), r.pos, r.neg) for r in rows)
 
 
-def boost(examples: list[tuple], rounds: int = 20, rate: float = 0.3, leaf: float = 5.0) -> list[tuple]:
+def labelled(spark: SparkSession, n: int = 20_000) -> DataFrame:
+    """id, kind, label, text: n generated sentences with one candidate of a loose form each, and
+    whether it is personal data. Both sorts come with telling words, misleading ones and none."""
+
+    def number(salt: int, below: int) -> Column:
+        return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(below))
+
+    def digit(salt: int, count: int) -> Column:
+        return F.lpad(number(salt, 10**count).cast("string"), count, "0")
+
+    def pick(salt: int, *words: str) -> Column:
+        return F.element_at(F.array(*(F.lit(w) for w in words)), (number(salt, len(words)) + 1).cast("int"))
+
+    join, good, t = F.concat, F.col("label"), F.lit
+    at, dot = pick(11, " (at) ", "(at)", " [at] "), pick(12, " (dot) ", "(dot)", " [dot] ", ".")
+    email = join(pick(13, "jane", "sam.lee", "office", "k_77"), at, pick(14, "example", "mail-7", "corp"), dot, F.when(good, pick(15, "com", "org", "de", "net", "fr")).otherwise(pick(15, "then", "and", "later", "Monday")))
+    octet = lambda salt: number(salt, 256).cast("string")
+    ip = join(octet(21), t("[.]"), octet(22), t("[.]"), F.when(good, octet(23)).otherwise((256 + number(23, 700)).cast("string")), t("[.]"), octet(24))
+    fifteen = digit(31, 15)
+    check = F.element_at(F.filter(F.array(*(t(str(i)) for i in range(10))), lambda c: luhn(join(fifteen, c)) == good), 1)
+    sixteen, mark = join(fifteen, check), pick(32, ".", "_", "/")
+    card = join(F.substring(sixteen, 1, 4), mark, F.substring(sixteen, 5, 4), mark, F.substring(sixteen, 9, 4), mark, F.substring(sixteen, 13, 4))
+    area = F.when(good, (200 + number(41, 800)).cast("string")).otherwise(digit(41, 3))
+    phone = join(F.when(number(42, 2) == 0, join(t("("), area, t(") "))).otherwise(join(area, pick(43, "-", "."))), F.when(good, (200 + number(44, 800)).cast("string")).otherwise(digit(44, 3)), pick(45, "-", ".", " "), digit(46, 4))
+    hexes = F.substring(F.sha2(F.col("id").cast("string"), 256), 1, 40)
+    secret = F.when(good, F.when(number(51, 3) == 0, F.upper(hexes)).when(number(51, 3) == 1, hexes).otherwise(F.translate(F.base64(F.unhex(hexes)), "=", "")))
+    secret = secret.otherwise(F.when(number(51, 3) == 0, hexes).otherwise(join(pick(52, "report_of_the_meeting_", "some-long-file-name-part-", "very_long_identifier_"), digit(53, 3))))
+    what = F.element_at(F.array(email, ip, card, phone, secret), F.col("kind") + 1)
+    reach = F.when(F.col("kind") == 4, pick(61, 'token = "', "secret: ", "api_key=", "password ")).otherwise(pick(61, "call ", "contact: ", "mail ", "card ", "address "))
+    thing = F.when(F.col("kind") == 0, pick(62, "look ", "arrive ")).otherwise(pick(62, "order ", "part ", "serial ", "version ", "no. ", "commit ", "ref. "))
+    neutral = pick(63, "and ", "the ", "with ", "", "; ")
+    lead = F.when(number(64, 100) < 70, F.when(good, reach).otherwise(thing)).when(number(64, 100) > 97, F.when(good, thing).otherwise(reach)).otherwise(neutral)
+    rows = spark.range(n).withColumn("kind", number(1, len(NAMES)).cast("int")).withColumn("label", number(2, 2) == 0)
+    text = join(pick(71, "You may ", "", "As said, ", "1 "), lead, what, F.when(lead.endswith('"'), t('"')).otherwise(t("")), pick(72, " today.", ", please", "", " or later"))
+    return rows.select("id", "kind", "label", text.alias("text"))
+
+
+def _generated(spark: SparkSession, held_out: bool) -> DataFrame:
+    """The loose candidates of the sentences' own kind, with their labels."""
+    rows = labelled(spark).where((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5)) == 0) == F.lit(held_out))
+    c = rows.select("label", F.col("kind").alias("k"), F.explode(candidates(F.col("text"))).alias("c"))
+    return c.where("c.loose = 1 and c.kind = k").select("label", "c.*")
+
+
+def examples_for(cands: DataFrame) -> list[tuple]:
+    """Cells of the documents' base candidates and of the generated ones to learn from."""
+    made = _generated(cands.sparkSession, False)
+    return sorted(cells(cands) + _counted(made, F.col("label"), ~F.col("label")))
+
+
+def held_out_report(spark: SparkSession, trees: list[tuple], limits: list[float]) -> dict[str, tuple[float, float]]:
+    """Precision and recall of the selected among the held-out generated candidates, by kind."""
+    test, keys = selected(trees, limits), ["kind", "loose", *list(FEATURES)[2:]]
+    c = _generated(spark, True).select("label", "kind", test(F.struct(*keys)).alias("taken"))
+    rows = c.groupBy("kind").agg(F.count_if(F.col("taken") & F.col("label")).alias("hit"), F.count_if("taken").alias("taken"), F.count_if("label").alias("all")).collect()
+    return {NAMES[r.kind]: (r.hit / max(r.taken, 1), r.hit / max(r["all"], 1)) for r in rows}
+
+
+def boost(examples: list[tuple], rounds: int = 30, rate: float = 0.3, leaf: float = 5.0) -> list[tuple]:
     """Gradient boosting (logistic loss, Newton leaves) of depth-two trees over the cells:
     [((feature, value), (feature, value), [leaf values])]. A tree asks for equality with two
     feature values. Ties are decided by the order of the tests."""
-    data = [(x, p, n) for x, p, n in examples if p + n and not x[1]]
+    data = [(x, p, n) for x, p, n in examples if p + n]
     score = [0.0] * len(data)
-    seen = sorted({(f, x[f]) for x, _, _ in data for f in range(len(FEATURES))})
+    seen = sorted({(f, v) for x, _, _ in data for f, v in enumerate(x)})
     trees = []
     for _ in range(rounds if data else 0):
         grads = []
@@ -178,12 +268,13 @@ def evaluate(trees: list[tuple], x: tuple) -> float:
     return sum(v[2 * (x[a[0]] == a[1]) + (x[b[0]] == b[1])] for a, b, v in trees)
 
 
-def thresholds(trees: list[tuple], examples: list[tuple], precision: float = 0.98) -> list[float]:
+def thresholds(trees: list[tuple], examples: list[tuple], precision: float = 0.95) -> list[float]:
     """For each kind the smallest score from which on its examples reach the precision; infinite
-    where none do."""
+    where none do. Loose examples decide where a kind has any."""
     out = []
-    for kind in range(len(KINDS)):
-        got = sorted(((evaluate(trees, x), p, n) for x, p, n in examples if x[0] == kind and not x[1] and p + n), reverse=True)
+    for kind in range(len(NAMES)):
+        mine = [(x, p, n) for x, p, n in examples if x[0] == kind and p + n]
+        got = sorted(((evaluate(trees, x), p, n) for x, p, n in mine if x[1] or not any(y[1] for y, _, _ in mine)), reverse=True)
         best, pos, total = math.inf, 0, 0
         for i, (s, p, n) in enumerate(got):
             pos, total = pos + p, total + p + n
@@ -193,40 +284,54 @@ def thresholds(trees: list[tuple], examples: list[tuple], precision: float = 0.9
     return out
 
 
-def selected(trees: list[tuple], limits: list[float]):
-    """A test of a loose candidate: whether the trees' sum reaches its kind's threshold."""
+def total_score(trees: list[tuple]):
+    """The trees' sum as an expression of a candidate."""
     keys = list(FEATURES)
 
-    def test(c):
-        total = F.lit(0.0)
+    def total(c):
+        out = F.lit(0.0)
         for a, b, v in trees:
             one, two = c[keys[a[0]]] == a[1], c[keys[b[0]]] == b[1]
-            total = total + F.when(one & two, v[3]).when(one, v[2]).when(two, v[1]).otherwise(v[0])
-        limit = F.element_at(F.array(*(F.lit(float(x)) for x in limits)), c["kind"] + 1)
-        return (c["loose"] == 1) & (total >= limit)
+            out = out + F.when(one & two, v[3]).when(one, v[2]).when(two, v[1]).otherwise(v[0])
+        return out
+
+    return total
+
+
+def selected(trees: list[tuple], limits: list[float]):
+    """A test of a loose candidate: whether the trees' sum reaches its kind's threshold."""
+    total = total_score(trees)
+
+    def test(c):
+        limit = F.try_element_at(F.array(*(F.lit(float(x)) for x in limits)), c["kind"] + 1)
+        return (c["loose"] == 1) & F.coalesce(total(c) >= limit, F.lit(False))
 
     return test
 
 
 def chosen_spans(c: Column, trees: list[tuple], limits: list[float]) -> Column:
     """array<struct<kind, start, end>> by kind and start: base spans that pass, and selected
-    candidates that overlap no base span (of overlapping candidates of one kind, that which
-    starts first stays)."""
+    candidates that overlap no base span and no selected one of a higher score (of equal ones
+    that which starts first stays, then the first kind)."""
     base = F.filter(c, lambda x: x.ok)
-    test = selected(trees, limits)
-    more = F.filter(c, lambda x: test(x) & ~F.exists(base, lambda b: (b.start < x.end) & (x.start < b.end)))
+    test, total = selected(trees, limits), total_score(trees)
+    meets = lambda x, y: (y.start < x.end) & (x.start < y.end)
+    more = F.filter(c, lambda x: test(x) & ~F.exists(base, lambda b: meets(x, b)))
+    more = F.transform(more, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"), F.struct(total(x).alias("s"), (-x.start).alias("a"), (-x.kind).alias("k")).alias("rank")))
+    best = lambda a: F.filter(a, lambda x: ~F.exists(a, lambda y: meets(x, y) & (y.rank > x.rank)))
+    more = F.flatten(F.transform(F.array(more), best))
     bare = lambda a: F.transform(a, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")))
     return F.array_sort(F.concat(bare(base), bare(more)))
 
 
 def as_text(spans: Column) -> Column:
-    names = F.array(*(F.lit(k) for k in KINDS))
+    names = F.array(*(F.lit(k) for k in NAMES))
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", F.element_at(names, s.kind + 1), s.start.cast("string"), s.end.cast("string"))), ",")
 
 
 def fit(docs: DataFrame) -> tuple[list[tuple], list[float]]:
-    """Trees and thresholds from all documents' candidates."""
-    examples = cells(docs.select(candidates(letters()).alias("c")))
+    """Trees and thresholds from all documents' candidates and the generated ones."""
+    examples = examples_for(docs.select(candidates(letters()).alias("c")))
     trees = boost(examples)
     return trees, thresholds(trees, examples)
 
@@ -244,7 +349,7 @@ def redact(docs: DataFrame, trees: list[tuple], limits: list[float]) -> DataFram
         return F.when(overlap, F.concat(F.slice(acc, 1, F.size(acc) - 1), F.array(F.struct(last.start.alias("start"), F.greatest(last.end, s.end).alias("end"), last.kind.alias("kind"))))).otherwise(F.concat(acc, F.array(s)))
 
     merged = F.aggregate(by_place, F.array().cast("array<struct<start:int,end:int,kind:int>>"), join)
-    names = F.array(*(F.lit(f"[{k.upper()}]") for k in KINDS))
+    names = F.array(*(F.lit(f"[{k.upper()}]") for k in NAMES))
 
     def cut(m):
         pieces = F.transform(m, lambda s, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.try_element_at(m, F.greatest(i, F.lit(1))).end + 1), s.start - F.when(i == 0, 0).otherwise(F.try_element_at(m, F.greatest(i, F.lit(1))).end)), F.element_at(names, s.kind + 1)))
@@ -261,7 +366,7 @@ def find(docs: DataFrame) -> DataFrame:
     give repeated rows; other columns are not read. Candidates are computed once and written,
     texts are read once."""
     cands = checkpointed(docs.select("doc_id", candidates(letters()).alias("c")))
-    examples = cells(cands)
+    examples = examples_for(cands)
     trees = boost(examples)
     limits = thresholds(trees, examples)
     return cands.select("doc_id", chosen_spans(F.filter("c", lambda x: x.ok), [], [math.inf] * 4).alias("base"), chosen_spans(F.col("c"), trees, limits).alias("spans"))
@@ -275,4 +380,5 @@ def op5_pii_boosting(spark: SparkSession, sf_dir: str) -> DataFrame:
         *(count(i).alias(f"n_{k}") for i, k in enumerate(KINDS)),
         F.sha2(as_text(F.col("base")), 256).alias("base_sha256"),
         as_text(F.col("spans")).alias("spans"),
+        (F.size("spans") - F.size("base")).cast("long").alias("n_added"),
     )

@@ -72,3 +72,49 @@ def test_redact(spark):
     docs = spark.createDataFrame([(1, "é a@b.cc and 1.2.3.4, +1 (555) 123-4567!"), (2, None), (3, "clean")], "doc_id long, text string")
     got = {r.doc_id: r.text for r in pii.redact(docs, [], [float("inf")] * 4).collect()}
     assert got == {1: "é [EMAIL] and [IP], [PHONE]!", 2: None, 3: "clean"}
+
+
+def test_added_spans_of_held_out_sentences(spark):
+    """Precision and recall by kind of what the trees add to the base spans."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trees, limits = pii.fit(docs)
+    report = pii.held_out_report(spark, trees, limits)
+    print(report)
+    assert set(report) == set(pii.NAMES)
+    assert all(p >= 0.95 and r >= 0.6 for p, r in report.values())
+    examples = pii.examples_for(docs.select(pii.candidates(F.col("text")).alias("c")))
+    for kind in range(5):
+        mine = [(p, n) for x, p, n in examples if x[0] == kind and x[1]]
+        assert sum(p for p, _ in mine) > 1000 < sum(n for _, n in mine)
+
+
+def test_spans_are_added(spark):
+    rows = [
+        (1, "mail jane (at) example (dot) com today", "email"), (2, "look (at) this.then we go", None), (3, 'token = "' + "0a1b2c3d4e" * 4 + '"', "secret"),
+        (4, "call (212) 555-0199 now", "phone"), (5, "order 012.055 0199", None), (6, "file report_of_the_meeting_of_2024_in_may", None), (7, "address 10[.]0[.]0[.]7", "ip"),
+    ]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, want string")
+    trees, limits = pii.fit(docs)
+    c = pii.candidates(F.col("text"))
+    for r in docs.select("want", "text", pii.as_text(pii.chosen_spans(c, trees, limits)).alias("s")).collect():
+        assert r.s.split(":")[0] == (r.want or ""), r
+    overlapping = F.filter(c, lambda x: F.lit(True))
+    pair = docs.where("doc_id = 3").select(F.concat(overlapping, F.transform(overlapping, lambda x: x.withField("start", x.start + 1).withField("cue", F.lit(0)))).alias("c"))
+    assert pair.select(pii.as_text(pii.chosen_spans(F.col("c"), trees, limits)).alias("s")).first().s == "secret:9:49"
+
+
+def test_query_spans_match_a_second_run_of_the_trees(spark):
+    """The whole result: base spans, and loose candidates that the trees choose, by plain Python."""
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trees, limits = pii.fit(docs)
+    got = {r.doc_id: (r.spans, r.n_added) for r in pii.op5_pii_boosting(spark, SF).collect()}
+    for r in docs.select("doc_id", pii.candidates(F.coalesce("text", F.lit(""))).alias("c")).collect():
+        kept = [x for x in r.c if x.ok]
+        n = len(kept)
+        score = lambda x: pii.evaluate(trees, tuple(x[k] for k in pii.FEATURES))
+        meets = lambda x, y: x.start < y.end and y.start < x.end
+        more = [x for x in r.c if x.loose and score(x) >= limits[x.kind] - 1e-9 and not any(meets(x, b) for b in kept)]
+        rank = lambda x: (round(score(x), 9), -x.start, -x.kind)
+        kept += [x for x in more if not any(meets(x, y) and rank(y) > rank(x) for y in more)]
+        spans = ",".join(f"{pii.NAMES[k]}:{a}:{b}" for k, a, b in sorted((x.kind, x.start, x.end) for x in kept))
+        assert got[r.doc_id] == (spans, len(kept) - n)
