@@ -75,13 +75,16 @@ def latest_version(files: DataFrame) -> DataFrame:
     return files.groupBy("project_id", "name").agg(F.max(last).alias("l")).select("project_id", "name", "l.updated_at", "l.content")
 
 
-def list_projects(projects: DataFrame, owner: int) -> DataFrame:
-    return projects.where(F.col("owner_id") == owner).orderBy("name", "id")
+def list_projects(projects: DataFrame, owner: int | None = None) -> DataFrame:
+    """Projects by owner and name; of one owner if that is given."""
+    mine = projects if owner is None else projects.where(F.col("owner_id") == owner)
+    return mine.orderBy("owner_id", "name", "id")
 
 
-def list_files(files: DataFrame, project: int) -> DataFrame:
-    """Files of a project by name, without their content."""
-    return files.where(F.col("project_id") == project).select("name", "updated_at").distinct().orderBy("name", "updated_at")
+def list_files(files: DataFrame, project: int | None = None) -> DataFrame:
+    """Files by project and name, without their content; of one project if that is given."""
+    mine = files if project is None else files.where(F.col("project_id") == project)
+    return mine.select("project_id", "name", "updated_at").distinct().orderBy("project_id", "name", "updated_at")
 
 
 def build_results(entries: DataFrame, exports: DataFrame, errors: DataFrame, warnings: DataFrame) -> DataFrame:

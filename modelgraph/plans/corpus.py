@@ -84,19 +84,19 @@ def latest_file_version(v):
     return workspace.latest_version(v("files"))
 
 
-@query("read_project_files", "files", f"SELECT name, content FROM ({_LATEST}) WHERE project_id % 100 = 7")
+@query("read_project_files", "files", f"SELECT project_id, name, content FROM ({_LATEST})")
 def read_project_files(v):
-    return workspace.latest_version(v("files").where("project_id % 100 = 7")).select("name", "content")
+    return workspace.latest_version(v("files")).select("project_id", "name", "content")
 
 
-@query("list_projects", "projects", "SELECT id, owner_id, name, created_at FROM projects WHERE owner_id = 7")
+@query("list_projects", "projects", "SELECT id, owner_id, name, created_at FROM projects")
 def list_projects(v):
-    return workspace.list_projects(v("projects"), 7)
+    return workspace.list_projects(v("projects"))
 
 
-@query("list_files", "files", "SELECT DISTINCT name, updated_at FROM files WHERE project_id = 7")
+@query("list_files", "files", "SELECT DISTINCT project_id, name, updated_at FROM files")
 def list_files(v):
-    return workspace.list_files(v("files"), 7)
+    return workspace.list_files(v("files"))
 
 
 @query("resolve_import_paths", "files", """SELECT project_id, seq, CASE seq % 4 WHEN 0 THEN '/m/p' || project_id || '/base.ontol' WHEN 1 THEN '/m/p' || project_id || '/base.ontol' WHEN 2 THEN '/m/shared/a.ontol' ELSE 'https://x.org/a/../b.ontol' END AS key FROM files""")
