@@ -138,7 +138,7 @@ def parse_attributes(v):
 
 def _tdl(v):
     """A class source for each of 20 diagrams."""
-    a = v("attributes").where("seq % 3 = 0").withColumn("line", F.concat(F.lit("    + "), "name", F.lit("_"), F.col("seq").cast("string"), F.lit(" [1..*]"), F.coalesce(F.concat(F.lit(" : "), "type_"), F.lit("")), F.lit(" = "), "initial_value", F.when(F.col("seq") % 2 == 0, " { только_чтение }").otherwise("")))
+    a = v("attributes").withColumn("line", F.concat(F.lit("    + "), "name", F.lit("_"), F.col("seq").cast("string"), F.lit(" [1..*]"), F.coalesce(F.concat(F.lit(" : "), "type_"), F.lit("")), F.lit(" = "), "initial_value", F.when(F.col("seq") % 2 == 0, " { только_чтение }").otherwise("")))
     attrs = a.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("attrs"))
     o = v("operations").withColumn("line", F.concat(F.lit("    "), "visibility", F.lit(" "), "name", F.lit("_"), F.col("op").cast("string"), F.lit("()"), F.coalesce(F.concat(F.lit(" : "), "return_type"), F.lit("")), F.when(F.col("is_query"), " {запрос}").otherwise("")))
     ops = o.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("ops"))
@@ -158,7 +158,7 @@ def parse_tdl_classes(v):
 
 @query(
     "parse_tdl_features", "attributes operations classifiers",
-    """SELECT class % 20 AS file, 'c' || class AS class, '+' AS visibility, name || '_' || seq AS name, type_, initial_value || CASE WHEN seq % 2 = 0 THEN ' ro' ELSE '' END AS detail, count(*) AS n FROM attributes WHERE seq % 3 = 0 AND class IN (SELECT class FROM classifiers) GROUP BY ALL
+    """SELECT class % 20 AS file, 'c' || class AS class, '+' AS visibility, name || '_' || seq AS name, type_, initial_value || CASE WHEN seq % 2 = 0 THEN ' ro' ELSE '' END AS detail, count(*) AS n FROM attributes WHERE class IN (SELECT class FROM classifiers) GROUP BY ALL
     UNION ALL SELECT class % 20, 'c' || class, visibility, name || '_' || op, return_type, CASE WHEN is_query THEN 'query' ELSE '' END, 1 FROM operations WHERE class IN (SELECT class FROM classifiers)""",
 )
 def parse_tdl_features(v):
