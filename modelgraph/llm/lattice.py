@@ -70,6 +70,32 @@ def cells(x: np.ndarray, tables: int, probes: int, scale: float, seed: int) -> n
     return np.concatenate(out, axis=1)
 
 
+def meeting(cosine: float, probes: int, scale: float, hits: int = 100) -> float:
+    """Probability that two vectors of this cosine meet in one table, whatever their dimension:
+    their projections are normal. Simulated until so many pairs have met."""
+    rng = np.random.default_rng(5)
+    met = tried = 0
+    while met < hits:
+        g, h = rng.standard_normal((2, 20_000, 8)) * scale
+        sides = []
+        for y in (g, cosine * g + math.sqrt(max(0.0, 1 - cosine**2)) * h):
+            home = nearest_e8(y)
+            near = np.argsort(-((y - home) @ ROOTS.T), axis=1, kind="stable")[:, :probes]
+            sides.append(np.concatenate([home[:, None, :], home[:, None, :] + ROOTS[near]], axis=1))
+        met += int((sides[0][:, :, None, :] == sides[1][:, None, :, :]).all(3).any((1, 2)).sum())
+        tried += len(g)
+    return met / tried
+
+
+def settings(n: int, least: float, probes: int, missed: float = 0.01) -> tuple[float, int]:
+    """Scale and number of tables for n vectors, one rule for every n: the scale grows with the
+    eighth root of n, so that cells of eight dimensions hold as many vectors by chance at every
+    size; the tables are as many as leave the share missed of the pairs of cosine least unmet."""
+    scale = 1.5 * (max(n, 1) / 50_000) ** 0.125
+    p = meeting(least, probes, scale)
+    return scale, 1 if p >= 1 - missed else math.ceil(math.log(missed) / math.log1p(-p))
+
+
 def unit(blobs: list[bytes]) -> np.ndarray:
     x = np.stack([np.frombuffer(b, "<f8") for b in blobs])
     # Dividing by the largest component first keeps squares in range.
@@ -156,17 +182,15 @@ def near_duplicates(
     component_id is the smallest vec_id reachable, kept says vec_id = component_id. Null, empty
     and zero vectors and those with null or non-finite components link with nothing, nor do
     vectors of different lengths; a null vec_id keeps its row, without links. Equal rows link
-    with each other. Other columns are not read. Every link reported is exact. Of pairs just at
-    the limit of 0.95 the default tables meet 99 in 100 (measured, 64 dimensions). Up to 50,000
-    classes these are 14 at scale 1.5; beyond, the scale grows with the eighth root of their
-    number, so that cells hold as many as before, and the tables with its power of 0.55, which
-    makes up for the smaller cells."""
+    with each other. Other columns are not read. Every link reported is exact. Unless given,
+    scale and number of tables (both or neither) come from the number of classes by settings, so pairs just at the
+    limit are met with probability 0.99 at every size (14 tables for 50,000 classes, 49 for
+    500,000, 243 for 5,000,000)."""
     rows = checkpointed(_read(vectors))
     good = rows.where("x is not null and vec_id is not null")
     classes = checkpointed(good.groupBy("s1", "s2").agg(F.min("vec_id").alias("rep"), F.count("*").alias("w"), F.first("x").alias("x")))
-    more = max(1.0, classes.count() / 50_000)
-    scale = 1.5 * more**0.125 if scale is None else scale
-    tables = round(14 * more**0.55) if tables is None else tables
+    if scale is None or tables is None:  # either is only of use with the other
+        scale, tables = settings(classes.count(), least, probes)
 
     def run(batches):
         for whole in batches:

@@ -1,4 +1,5 @@
 import numpy as np
+import pytest
 
 from modelgraph.llm import lattice
 
@@ -24,15 +25,20 @@ def test_decoding_is_nearest():
     assert len(lattice.ROOTS) == 240 and (p.sum(1) % 2 == 0).all()
 
 
-def test_recall_at_the_limit():
+@pytest.mark.parametrize("n", [1_000, 50_000, 100_000, 500_000, 5_000_000])
+def test_recall_at_the_limit(n):
+    """Pairs of cosine 0.95 and the settings that so many vectors get."""
     rng = np.random.default_rng(1)
     a = rng.normal(size=(1000, 64))
     a /= np.linalg.norm(a, axis=1, keepdims=True)
     b = rng.normal(size=a.shape)
     b -= (b * a).sum(1, keepdims=True) * a
     c = 0.95 * a + np.sqrt(1 - 0.95**2) * b / np.linalg.norm(b, axis=1, keepdims=True)
-    one, two = (lattice.cells(v, 14, 4, 1.5, 11) for v in (a, c))
-    assert np.mean([len(np.intersect1d(u, v)) > 0 for u, v in zip(one, two)]) > 0.97
+    scale, tables = lattice.settings(n, 0.95, 4)
+    one, two = (lattice.cells(v, tables, 4, scale, 11) for v in (a, c))
+    recall = np.mean([len(np.intersect1d(u, v)) > 0 for u, v in zip(one, two)])
+    print(n, round(scale, 2), tables, recall)
+    assert recall > 0.97
 
 
 def test_query_matches_brute_force(spark):
