@@ -62,9 +62,19 @@ def quoted(text: Column) -> Column:
     return F.concat(F.lit("'"), text, F.lit("'"))
 
 
+def literal(text: Column) -> Column:
+    """The text in quotes as a Python literal: double ones if it holds only single ones, with
+    backslashes, line ends and tabs escaped."""
+    t = text
+    for raw, written in (("\\", "\\\\"), ("\n", "\\n"), ("\r", "\\r"), ("\t", "\\t")):
+        t = F.replace(t, F.lit(raw), F.lit(written))
+    double = F.contains(t, F.lit("'")) & ~F.contains(t, F.lit('"'))
+    return F.when(double, F.concat(F.lit('"'), t, F.lit('"'))).otherwise(quoted(F.replace(t, F.lit("'"), F.lit("\\'"))))
+
+
 def dsl_attributes(**values: Column) -> Column:
     """', { k: 'v' , … }' of the values that are not null, '' if all are."""
-    parts = F.array_compact(F.array(*(F.concat(F.lit(f"{k}: "), quoted(v), F.lit(" ")) for k, v in values.items())))
+    parts = F.array_compact(F.array(*(F.concat(F.lit(f"{k}: "), literal(v), F.lit(" ")) for k, v in values.items())))
     return F.when(F.size(parts) == 0, "").otherwise(F.concat(F.lit(", { "), F.array_join(parts, ", "), F.lit("}")))
 
 

@@ -137,17 +137,39 @@ def date_default(meta: DataFrame, build_date: str) -> DataFrame:
     return meta.withColumn("date", F.coalesce(F.nullif("date", F.lit("")), F.lit(build_date)))
 
 
+def placed_members(lines: DataFrame, found: DataFrame) -> DataFrame:
+    """Figure lines with kind and place (declared) of the definition they name, nulls if no
+    earlier line declares it."""
+    d = found.select("ontology_id", F.col("name").alias("member"), F.col("kind").alias("k"), F.col("seq").alias("d"))
+    joined = lines.join(d, ["ontology_id", "member"], "left").withColumn("known", F.col("d") < F.col("seq"))
+    kind, declared = F.when(F.col("known"), F.col("k")).alias("kind"), F.when(F.col("known"), F.col("d")).alias("declared")
+    return joined.select("ontology_id", "figure", F.col("seq").cast("long").alias("seq"), "member", kind, declared)
+
+
 def figure_members(lines: DataFrame, found: DataFrame) -> DataFrame:
     """Figure lines with the definition they name (declared earlier); unknown ones have none."""
-    d = found.select("ontology_id", F.col("name").alias("member"), F.col("kind").alias("k"), F.col("seq").alias("declared"))
-    joined = lines.join(d, ["ontology_id", "member"], "left")
-    return joined.withColumn("kind", F.when(F.col("declared") < F.col("seq"), F.col("k"))).select("ontology_id", "figure", "seq", "member", "kind")
+    return placed_members(lines, found).drop("declared")
+
+
+def _of_members(members: DataFrame, kind: str, definitions: DataFrame) -> DataFrame:
+    """The definitions that members of a kind name, as often as they are listed, with figure."""
+    m = members.where(F.col("kind") == kind).select("ontology_id", "figure", F.col("member").alias("name"), F.col("declared").alias("seq"))
+    return m.join(definitions.withColumn("seq", F.col("seq").cast("long")), ["ontology_id", "name", "seq"])
+
+
+def figure_projection(members: DataFrame, terms: DataFrame, functions: DataFrame, relationships: DataFrame) -> DataFrame:
+    """Sub-ontologies by figure, titled by it: the terms, functions and relationships that its
+    placed members name (label of a relationship: its ends and type)."""
+    ends = F.concat_ws(" ", "parent", "relationship", "child").alias("label")
+    parts = (("term", terms, "label"), ("function", functions, "label"), ("relationship", relationships, ends))
+    found = [_of_members(members, kind, d).select("ontology_id", F.col("figure").alias("title"), F.lit(kind).alias("kind"), "seq", "name", label) for kind, d, label in parts]
+    return found[0].unionByName(found[1]).unionByName(found[2])
 
 
-def figure_projection(members: DataFrame, terms: DataFrame) -> DataFrame:
-    """Sub-ontologies by figure: the member terms, titled by the figure."""
-    m = members.where("kind = 'term'").select("ontology_id", "figure", F.col("member").alias("name")).distinct()
-    return m.join(terms, ["ontology_id", "name"]).select("ontology_id", F.col("figure").alias("title"), F.col("seq").cast("long").alias("seq"), "name", "label")
+def figure_meta(meta: DataFrame, lines: DataFrame) -> DataFrame:
+    """Meta of the sub-ontologies: that of the whole under the figure's name as title."""
+    figures = lines.select("ontology_id", F.col("figure").alias("name")).distinct()
+    return figures.join(meta, "ontology_id", "left").withColumn("title", F.col("name")).drop("name")
 
 
 def _used_terms(uses: DataFrame, terms: DataFrame, mark: str) -> DataFrame:
@@ -171,13 +193,20 @@ def functions_only(functions: DataFrame, args: DataFrame, terms: DataFrame) -> D
     return _used_terms(uses, terms, "Алгоритмы")
 
 
-def output_variants(terms: DataFrame, figures: DataFrame, hierarchy: DataFrame, functions: DataFrame) -> DataFrame:
-    """(ontology_id, variant, n_terms): the whole, each figure, and both part views."""
-    parts = [
-        terms.select("ontology_id", F.lit("base").alias("variant")), figures.select("ontology_id", F.col("title").alias("variant")),
-        hierarchy.select("ontology_id", F.lit("base_rels").alias("variant")), functions.select("ontology_id", F.lit("base_funcs").alias("variant")),
-    ]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
+def output_variants(terms: DataFrame, functions: DataFrame, args: DataFrame, relationships: DataFrame, members: DataFrame) -> DataFrame:
+    """(ontology_id, variant, n_terms): the whole, each figure, and both part views of each."""
+    known = terms.select("ontology_id", "name").distinct()
+    rels = relationships.select("ontology_id", F.lit("base").alias("of"), "parent", "child")
+    rels = rels.unionByName(_of_members(members, "relationship", relationships).select("ontology_id", F.col("figure").alias("of"), "parent", "child"))
+    funcs = functions.select("ontology_id", F.lit("base").alias("of"), "name", "output_term")
+    funcs = funcs.unionByName(_of_members(members, "function", functions).select("ontology_id", F.col("figure").alias("of"), "name", "output_term"))
+    inputs = args.select("ontology_id", F.col("function").alias("name"), "term")
+    used = [
+        rels.select("ontology_id", F.concat("of", F.lit("_rels")).alias("variant"), F.explode(F.array("parent", "child")).alias("name")),
+        funcs.select("ontology_id", F.concat("of", F.lit("_funcs")).alias("variant"), F.col("output_term").alias("name")),
+        funcs.join(inputs, ["ontology_id", "name"]).select("ontology_id", F.concat("of", F.lit("_funcs")).alias("variant"), F.col("term").alias("name")),
+    ]
+    out = terms.select("ontology_id", F.lit("base").alias("variant")).unionByName(_of_members(members, "term", terms).select("ontology_id", F.col("figure").alias("variant")))
+    for u in used:
+        out = out.unionByName(u.join(known, ["ontology_id", "name"], "left_semi").select("ontology_id", "variant"))
     return out.groupBy("ontology_id", "variant").agg(F.count("*").alias("n_terms"))

@@ -1,11 +1,12 @@
-"""Whole documents per ontology: diagram source, DSL text and JSON."""
+"""Whole documents per ontology: diagram source, DSL text and JSON, each of all sections."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelgraph.functions import render
+from modelgraph.operators.definitions import META_TAGS
 
 #: First and last lines of a diagram.
 HEADER = (
@@ -16,11 +17,23 @@ FOOTER = ("}", "@enduml")
 
 
 def joined(lines: DataFrame, key: str, text: str, separator: str = "\n") -> DataFrame:
-    """One text per key from lines(key, section, seq, line), sorted inside the group's array."""
-    arrays = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("section", "seq", "line"))).alias("l"))
+    """One text per key from lines(key, section, seq, at (optional), line), sorted inside the
+    group's array."""
+    order = [c for c in ("section", "seq", "at", "line") if c in lines.columns]
+    arrays = lines.groupBy(key).agg(F.array_sort(F.collect_list(F.struct(*order))).alias("l"))
     return arrays.select(key, F.array_join(F.transform("l", lambda x: x.line), separator).alias(text))
 
 
+def _whole(parts: list[DataFrame], text: str) -> DataFrame:
+    """ontology_id and the text of all parts' lines."""
+    zero = F.lit(0).cast("long")
+    parts = [p if "at" in p.columns else p.withColumn("at", zero) for p in parts]
+    out = parts[0].select("ontology_id", "section", "seq", "at", "line")
+    for p in parts[1:]:
+        out = out.unionByName(p.select("ontology_id", "section", "seq", "at", "line"))
+    return joined(out, "ontology_id", text)
+
+
 def _lines(df: DataFrame, section: int, line: Column) -> DataFrame:
     return df.select("ontology_id", F.lit(section).alias("section"), F.col("seq").cast("long").alias("seq"), line.alias("line"))
 
@@ -64,22 +77,25 @@ def function_edges(functions: DataFrame, bags: DataFrame, terms: DataFrame) -> D
     return one.unionByName(out)
 
 
-def puml(terms: DataFrame, relationships: DataFrame, titles: DataFrame) -> DataFrame:
-    """ontology_id, puml: header with the title, boxes and notes, relationships, footer."""
+def puml(terms: DataFrame, functions: DataFrame, args: DataFrame, bags: DataFrame, relationships: DataFrame, titles: DataFrame) -> DataFrame:
+    """ontology_id, puml: header with the title, boxes and notes, functions' boxes and edges,
+    relationships, footer."""
     head = titles.select("ontology_id", F.lit(0).alias("section"), F.lit(0).cast("long").alias("seq"), F.concat(F.lit("\n".join(HEADER) + '\npackage "'), F.coalesce("title", F.lit("Онтология")), F.lit('" {')).alias("line"))
     foot = titles.select("ontology_id", F.lit(9).alias("section"), F.lit(0).cast("long").alias("seq"), F.lit("\n".join(FOOTER)).alias("line"))
-    return joined(head.unionByName(term_lines(terms)).unionByName(edge_lines(relationships)).unionByName(foot), "ontology_id", "puml")
+    edges = function_edges(functions, bags, terms).withColumn("section", F.lit(3)).withColumn("line", F.concat("line", F.lit("\n")))
+    edges = edges.withColumn("seq", F.col("seq").cast("long"))
+    return _whole([head, term_lines(terms), function_boxes(functions, args), edges, edge_lines(relationships), foot], "puml")
 
 
 def dsl_term_lines(terms: DataFrame) -> DataFrame:
     c = F.col
-    line = F.concat(c("name"), F.lit(": "), render.quoted(c("label")), F.lit(", "), render.quoted(c("description")), render.dsl_attributes(color=c("color"), note=c("note")))
+    line = F.concat(c("name"), F.lit(": "), render.quoted(c("label")), F.lit(", "), render.literal(c("description")), render.dsl_attributes(color=c("color"), note=c("note")))
     return _lines(terms, 1, line)
 
 
 def dsl_function_lines(functions: DataFrame, args: DataFrame) -> DataFrame:
     c = F.col
-    one = F.concat(c("term"), F.lit(": "), render.quoted(c("label")))
+    one = F.concat(c("term"), F.lit(": "), render.literal(c("label")))
     a = args.groupBy("ontology_id", c("function").alias("name")).agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("t")))).alias("a"))
     f = functions.join(a, ["ontology_id", "name"], "left")
     inputs = F.array_join(F.coalesce(F.transform("a", lambda x: x.t), F.array().cast("array<string>")), ", ")
@@ -93,33 +109,79 @@ def dsl_relationship_lines(relationships: DataFrame) -> DataFrame:
     return _lines(relationships, 5, line)
 
 
-def dsl(terms: DataFrame, functions: DataFrame, args: DataFrame, relationships: DataFrame) -> DataFrame:
-    """ontology_id, dsl: sections in order, empty ones omitted."""
-    parts = []
+def dsl_meta_lines(meta: DataFrame) -> DataFrame:
+    """A line for each tag with a value, of meta(ontology_id, a column per tag)."""
+    lines = [F.struct(F.lit(i).cast("long").alias("seq"), F.concat(F.lit(f"{t}: "), render.literal(F.col(t))).alias("line")) for i, t in enumerate(META_TAGS)]
+    rows = meta.select("ontology_id", F.explode(F.array(*lines)).alias("x")).where("x.line is not null")
+    return rows.select("ontology_id", F.lit(0).alias("section"), "x.seq", "x.line")
+
+
+_LAST = 1 << 60
+
+
+def dsl_figure_lines(members: DataFrame) -> DataFrame:
+    """A block for each figure of placed members: its name, then terms, functions and
+    relationships, and an empty line."""
+    kinds = F.create_map(*(F.lit(x) for i, k in enumerate(("term", "function", "relationship")) for x in (k, i)))
+    # One exchange by figure gives every line its figure's place.
+    first = Window.partitionBy("ontology_id", "figure")
+    rows = members.withColumn("first", F.min("seq").over(first))
+    known = rows.where("kind is not null").select("ontology_id", F.col("first").alias("seq"), (kinds[F.col("kind")] * F.lit(1 << 50) + F.col("seq")).alias("at"), F.col("member").alias("line"))
+    ends = F.array(F.struct(F.lit(-1).cast("long").alias("at"), F.concat(F.lit("figure "), "figure", F.lit(":")).alias("line")), F.struct(F.lit(_LAST).alias("at"), F.lit("").alias("line")))
+    frame = rows.select("ontology_id", "figure", "first").distinct().select("ontology_id", F.col("first").alias("seq"), F.explode(ends).alias("x"))
+    return known.unionByName(frame.select("ontology_id", "seq", "x.at", "x.line")).withColumn("section", F.lit(7))
+
+
+def dsl(meta: DataFrame, terms: DataFrame, functions: DataFrame, args: DataFrame, relationships: DataFrame, members: DataFrame) -> DataFrame:
+    """ontology_id, dsl: meta, then the sections in order, empty ones omitted, then figures."""
+    parts, ids = [dsl_meta_lines(meta), dsl_figure_lines(members)], meta.select("ontology_id")
     for section, name, lines in ((1, "types", dsl_term_lines(terms)), (3, "functions", dsl_function_lines(functions, args)), (5, "hierarchy", dsl_relationship_lines(relationships))):
-        last = 1 << 60
-        head = lines.select("ontology_id").distinct().select("ontology_id", F.lit(section).alias("section"), F.explode(F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit(f"{name}:").alias("line")), F.struct(F.lit(last).alias("seq"), F.lit("").alias("line")))).alias("x"))
+        there = lines.select("ontology_id").distinct()
+        ids = ids.unionByName(there)
+        ends = F.array(F.struct(F.lit(-1).cast("long").alias("seq"), F.lit(f"{name}:").alias("line")), F.struct(F.lit(_LAST).alias("seq"), F.lit("").alias("line")))
+        head = there.select("ontology_id", F.lit(section).alias("section"), F.explode(ends).alias("x"))
         parts += [lines, head.select("ontology_id", "section", "x.seq", "x.line")]
-    out = parts[0]
-    for p in parts[1:]:
-        out = out.unionByName(p)
-    return joined(out, "ontology_id", "dsl")
+    every = ids.unionByName(members.select("ontology_id").distinct()).distinct()
+    parts.append(every.select("ontology_id", F.lit(0).alias("section"), F.lit(_LAST).alias("seq"), F.lit("").alias("line")))
+    return _whole(parts, "dsl")
 
 
-def json_rows(terms: DataFrame, relationships: DataFrame) -> DataFrame:
-    """ontology_id, kind, seq, json: null attributes are dropped, a null name is kept."""
+def json_rows(meta: DataFrame, terms: DataFrame, functions: DataFrame, args: DataFrame, relationships: DataFrame, members: DataFrame) -> DataFrame:
+    """ontology_id, kind, seq, json for all five sections: null attributes are dropped, null
+    names and meta values are kept; figures are those of placed members."""
     c, j = F.col, render.json_text
+    named = lambda name, label: render.json_object(name=j(name), label=j(label))
+    array = lambda parts: F.concat(F.lit("["), F.array_join(parts, ","), F.lit("]"))
+
+    def row(df, kind, json):
+        return df.select("ontology_id", F.lit(kind).alias("kind"), c("seq").cast("long").alias("seq"), json.alias("json"))
+
     t = render.json_object(name=j(c("name")), label=j(c("label")), description=j(c("description")), attributes=render.json_attributes(color=c("color"), note=c("note")))
     r = render.json_object(
         name=j(c("name")), parent=j(c("parent")), relationship=j(c("relationship")), children=F.concat(F.lit("["), j(c("child")), F.lit("]")), attributes=render.json_attributes(direction=c("direction"))
     )
-    one = terms.select("ontology_id", F.lit("terms").alias("kind"), c("seq").cast("long").alias("seq"), t.alias("json"))
-    return one.unionByName(relationships.select("ontology_id", F.lit("hierarchy").alias("kind"), c("seq").cast("long").alias("seq"), r.alias("json")))
+    a = args.groupBy("ontology_id", c("function").alias("name")).agg(F.array_sort(F.collect_list(F.struct("pos", named(c("term"), c("label")).alias("t")))).alias("a"))
+    inputs = array(F.coalesce(F.transform("a", lambda x: x.t), F.array().cast("array<string>")))
+    f = render.json_object(name=j(c("name")), label=j(c("label")), input_types=inputs, output_type=named(c("output_term"), F.lit("")), attributes=render.json_attributes(type=c("type")))
+    known = F.collect_list(F.when(c("kind").isNotNull(), F.struct("kind", "seq", "member")))
+    figures = members.groupBy("ontology_id", "figure").agg(F.min("seq").alias("seq"), F.array_sort(known).alias("m"))
+    of = lambda kind: array(F.transform(F.filter("m", lambda x: x.kind == kind), lambda x: j(x.member)))
+    g = render.json_object(name=j(c("figure")), terms=of("term"), functions=of("function"), hierarchy=of("relationship"))
+    parts = [
+        row(meta.withColumn("seq", F.lit(0)), "meta", render.json_object(**{tag: j(c(tag)) for tag in META_TAGS})), row(terms, "terms", t),
+        row(functions.join(a, ["ontology_id", "name"], "left"), "functions", f), row(relationships, "hierarchy", r), row(figures, "figures", g),
+    ]
+    out = parts[0]
+    for p in parts[1:]:
+        out = out.unionByName(p)
+    return out
 
 
 def json_documents(rows: DataFrame) -> DataFrame:
-    """ontology_id, json: terms and hierarchy as arrays in declaration order."""
+    """ontology_id, json: meta as an object, the other sections as arrays in declaration order."""
     texts = joined(rows.select(F.struct("ontology_id", "kind").alias("key"), F.lit(0).alias("section"), "seq", F.col("json").alias("line")), "key", "t", ",")
-    one = texts.groupBy("key.ontology_id").agg(F.max(F.when(F.col("key.kind") == "terms", F.col("t"))).alias("terms"), F.max(F.when(F.col("key.kind") == "hierarchy", F.col("t"))).alias("hierarchy"))
-    array = lambda c: F.concat(F.lit("["), F.coalesce(c, F.lit("")), F.lit("]"))
-    return one.select("ontology_id", render.json_object(terms=array(F.col("terms")), hierarchy=array(F.col("hierarchy"))).alias("json"))
+    kinds = ("meta", "terms", "functions", "hierarchy", "figures")
+    one = texts.groupBy("key.ontology_id").agg(*(F.max(F.when(F.col("key.kind") == k, F.col("t"))).alias(k) for k in kinds))
+    array = {k: F.concat(F.lit("["), F.coalesce(k, F.lit("")), F.lit("]")) for k in kinds[1:]}
+    none = F.lit("{" + ",".join(f'"{t}":null' for t in META_TAGS) + "}")
+    return one.select("ontology_id", render.json_object(meta=F.coalesce("meta", none), **array).alias("json"))

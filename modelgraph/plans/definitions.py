@@ -120,12 +120,19 @@ def date_default(v):
 
 
 _MEMBERS = "members AS (SELECT l.ontology_id, figure, l.seq, member, CASE WHEN f.seq < l.seq THEN kind END AS kind FROM figure_lines l LEFT JOIN found f ON l.ontology_id = f.ontology_id AND l.member = f.name)"
-_FIGURES = "figures AS (SELECT m.ontology_id, figure AS title, t.seq, t.name, label FROM (SELECT DISTINCT ontology_id, figure, member FROM members WHERE kind = 'term') m JOIN terms t ON m.ontology_id = t.ontology_id AND m.member = t.name)"
+_PLACED = "placed AS (SELECT l.ontology_id, figure, l.seq, member, kind, f.seq AS declared FROM figure_lines l JOIN found f ON l.ontology_id = f.ontology_id AND l.member = f.name WHERE f.seq < l.seq)"
+_FIGURES = """figures AS (SELECT m.ontology_id, figure AS title, kind, declared AS seq, member AS name, label FROM placed m JOIN (SELECT ontology_id, 'term' AS kind, seq, name, label FROM terms
+  UNION ALL SELECT ontology_id, 'function', seq, name, label FROM functions UNION ALL SELECT ontology_id, 'relationship', seq, name, parent || ' ' || relationship || ' ' || child FROM relationships) d
+  USING (ontology_id, kind) WHERE d.seq = declared AND d.name = member)"""
 _FIRST = "firsts AS (SELECT ontology_id, name, min_by(label, seq) AS label FROM terms GROUP BY 1, 2)"
 _RELS = "rels AS (SELECT u.ontology_id, 'None | Иерархия' AS title, u.seq, u.name, label FROM (SELECT ontology_id, seq, unnest([parent, child]) AS name FROM relationships) u JOIN firsts f ON u.ontology_id = f.ontology_id AND u.name = f.name)"
 _FUNCS = "funcs AS (SELECT u.ontology_id, 'None | Алгоритмы' AS title, u.seq, u.name, label FROM (SELECT ontology_id, seq, term AS name FROM function_args UNION ALL SELECT ontology_id, seq, output_term FROM functions) u JOIN firsts f ON u.ontology_id = f.ontology_id AND u.name = f.name)"
 
 
+def placed_members(v):
+    return op.placed_members(v("figure_lines"), op.find_definition(_all(v)))
+
+
 def _members(v):
     return op.figure_members(v("figure_lines"), op.find_definition(_all(v)))
 
@@ -135,9 +142,17 @@ def figure_members(v):
     return _members(v)
 
 
-@query("figure_projection", "terms functions relationships figure_lines", f"WITH {_ALL}, {_FOUND}, {_MEMBERS}, {_FIGURES} SELECT * FROM figures")
+@query("figure_projection", "terms functions relationships figure_lines", f"WITH {_ALL}, {_FOUND}, {_PLACED}, {_FIGURES} SELECT * FROM figures")
 def figure_projection(v):
-    return op.figure_projection(_members(v), v("terms"))
+    return op.figure_projection(placed_members(v), v("terms"), v("functions"), v("relationships"))
+
+
+_META_TITLED = _META.replace("AS title", "AS old_title")
+
+
+@query("figure_meta", "meta_statements figure_lines", f"SELECT f.ontology_id, {', '.join(op.META_TAGS).replace('title', 'f.figure AS title')} FROM (SELECT DISTINCT ontology_id, figure FROM figure_lines) f LEFT JOIN ({_META_TITLED}) m ON m.ontology_id = f.ontology_id")
+def figure_meta(v):
+    return op.figure_meta(op.meta_last_wins(v("meta_statements")), v("figure_lines"))
 
 
 @query("hierarchy_only_view", "terms relationships", f"WITH {_FIRST}, {_RELS} SELECT * FROM rels")
@@ -152,9 +167,13 @@ def functions_only_view(v):
 
 @query(
     "output_variants", "terms functions function_args relationships figure_lines",
-    f"""WITH {_ALL}, {_FOUND}, {_MEMBERS}, {_FIGURES}, {_FIRST}, {_RELS}, {_FUNCS} SELECT ontology_id, variant, count(*) AS n_terms FROM (SELECT ontology_id, 'base' AS variant FROM terms
-    UNION ALL SELECT ontology_id, title FROM figures UNION ALL SELECT ontology_id, 'base_rels' FROM rels UNION ALL SELECT ontology_id, 'base_funcs' FROM funcs) GROUP BY 1, 2""",
+    f"""WITH {_ALL}, {_FOUND}, {_PLACED}, {_FIGURES},
+    rels AS (SELECT ontology_id, 'base' AS variant, parent, child FROM relationships UNION ALL SELECT m.ontology_id, figure, parent, child FROM placed m JOIN relationships r ON kind = 'relationship' AND r.ontology_id = m.ontology_id AND r.name = member AND r.seq = declared),
+    funcs AS (SELECT ontology_id, 'base' AS variant, name, output_term FROM functions UNION ALL SELECT m.ontology_id, figure, name, output_term FROM placed m JOIN functions f ON kind = 'function' AND f.ontology_id = m.ontology_id AND f.name = member AND f.seq = declared),
+    uses AS (SELECT ontology_id, variant || '_rels' AS variant, unnest([parent, child]) AS name FROM rels UNION ALL SELECT ontology_id, variant || '_funcs', output_term FROM funcs
+      UNION ALL SELECT f.ontology_id, variant || '_funcs', term FROM funcs f JOIN function_args a ON a.function = f.name AND a.ontology_id = f.ontology_id)
+    SELECT ontology_id, variant, count(*) AS n_terms FROM (SELECT ontology_id, 'base' AS variant FROM terms UNION ALL SELECT ontology_id, title FROM figures WHERE kind = 'term'
+    UNION ALL SELECT ontology_id, variant FROM uses u WHERE EXISTS (SELECT 1 FROM terms t WHERE t.ontology_id = u.ontology_id AND t.name = u.name)) GROUP BY 1, 2""",
 )
 def output_variants(v):
-    figures = op.figure_projection(_members(v), v("terms"))
-    return op.output_variants(v("terms"), figures, op.hierarchy_only(v("relationships"), v("terms")), op.functions_only(v("functions"), v("function_args"), v("terms")))
+    return op.output_variants(v("terms"), v("functions"), v("function_args"), v("relationships"), placed_members(v))

@@ -50,7 +50,8 @@ VIEWS = {
         CASE p_partkey % 7 WHEN 0 THEN 'color' WHEN 1 THEN 'note' WHEN 2 THEN 'type' WHEN 3 THEN 'colorArrow' WHEN 4 THEN 'direction' WHEN 5 THEN 'title' ELSE 'bogus' END AS key,
         CASE WHEN p_partkey % 13 = 0 THEN '' ELSE p_brand END AS value FROM part""",
     "figure_lines": """SELECT p_partkey % 50 AS ontology_id, p_brand AS figure, 20000000 + p_partkey AS seq,
-        CASE WHEN p_partkey % 23 = 0 THEN 'nobody' WHEN p_partkey % 10 = 0 THEN replace(p_name,' ','_') ELSE 't' || CAST(p_partkey AS STRING) END AS member FROM part""",
+        CASE WHEN p_partkey % 23 = 0 THEN 'nobody' WHEN p_partkey % 19 = 5 THEN 'fn' || CAST(p_partkey AS STRING) WHEN p_partkey % 29 = 7 THEN 'r' || CAST(p_partkey % 500 AS STRING)
+        WHEN p_partkey % 10 = 0 THEN replace(p_name,' ','_') ELSE 't' || CAST(p_partkey AS STRING) END AS member FROM part""",
     "classifiers": """SELECT p_partkey AS class, p_partkey AS seq, CASE p_partkey % 9 WHEN 0 THEN 'Classifier' ELSE 'Class' END AS kind,
         CASE p_partkey % 12 WHEN 0 THEN 'interface' WHEN 1 THEN 'utility' WHEN 2 THEN 'dataType' WHEN 3 THEN 'enumeration' END AS stereotype, p_partkey % 5 = 0 AS is_abstract FROM part""",
     "operations": """SELECT o_custkey AS class, o_orderkey AS op, CASE o_orderkey % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '#' ELSE '~' END AS visibility,
