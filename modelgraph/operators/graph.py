@@ -60,6 +60,19 @@ def core(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
     raise RuntimeError(f"not peeled in {most_rounds} rounds")
 
 
+def into_cycles(edges: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """Nodes from which a cycle is reached: what is left after removing, again and again, the
+    edges whose end nothing leaves. No pairs of nodes are made."""
+    left = settled(edges.where("a is not null and b is not null").select("a", "b").distinct())
+    n = left.count()
+    for _ in range(most_rounds):
+        left = settled(left.join(left.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("a", "b"))
+        was, n = n, left.count()
+        if n == was:
+            return left.select(F.col("a").alias("node")).distinct()
+    raise RuntimeError(f"not peeled in {most_rounds} rounds")
+
+
 def on_cycles(edges: DataFrame) -> DataFrame:
     """Nodes on a cycle: the closure is taken of the core alone."""
     return closure(core(edges)).where("a = b").select(F.col("a").alias("node"))

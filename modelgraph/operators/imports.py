@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from modelgraph.operators.graph import closure, on_cycles, settled
+from modelgraph.operators.graph import into_cycles, settled
 
 
 def import_key(file_path: Column, src: Column) -> Column:
@@ -73,36 +73,28 @@ def content(label: Column, description: Column) -> Column:
 def acyclic(imports: DataFrame) -> DataFrame:
     """Imports of files from which no cycle is reached."""
     edges = imports.select(F.col("file_id").alias("a"), F.col("target_id").alias("b"))
-    bad = settled(on_cycles(edges))
-    reach = closure(edges).join(bad.select(F.col("node").alias("b")), "b", "left_semi").select(F.col("a").alias("file_id")).distinct()
-    return imports.join(reach, "file_id", "left_anti")
+    return imports.join(into_cycles(edges).withColumnRenamed("node", "file_id"), "file_id", "left_anti")
 
 
-def path_counts(imports: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """file_id, reached, paths: how many import paths lead from a file to another (acyclic
-    imports). Counts move level by level, paths are never listed."""
-    edges = settled(imports.select("file_id", "target_id"))
-    level = edges.groupBy("file_id", F.col("target_id").alias("reached")).agg(F.count("*").alias("paths"))
-    out = []
+def summed_over_paths(imports: DataFrame, values: DataFrame, most_rounds: int = 1000) -> DataFrame:
+    """values(file_id, n), acyclic imports -> file_id, n: the sum over all import paths that
+    leave the file. Sums move back level by level, one row a file: neither paths nor pairs of
+    files are listed."""
+    edges = settled(imports.select("file_id", F.col("target_id").alias("t")))
+    level = values.groupBy("file_id").agg(F.sum("n").alias("n"))
+    total = level.limit(0)
     for _ in range(most_rounds):
-        level = settled(level)
+        level = settled(edges.join(level.withColumnRenamed("file_id", "t"), "t").groupBy("file_id").agg(F.sum("n").alias("n")))
         if level.isEmpty():
-            break
-        out.append(level)
-        level = level.join(edges.withColumnsRenamed({"file_id": "reached", "target_id": "next"}), "reached").groupBy("file_id", F.col("next").alias("reached")).agg(F.sum("paths").alias("paths"))
-    else:
-        raise RuntimeError(f"import paths longer than {most_rounds}")
-    total = edges.limit(0).selectExpr("file_id", "target_id as reached", "cast(0 as bigint) as paths")
-    for part in out:
-        total = total.unionByName(part)
-    return total.groupBy("file_id", "reached").agg(F.sum("paths").alias("paths"))
+            return total.groupBy("file_id").agg(F.sum("n").alias("n"))
+        total = total.unionByName(level)
+    raise RuntimeError(f"import paths longer than {most_rounds}")
 
 
 def collected_warnings(imports: DataFrame, warnings: DataFrame) -> DataFrame:
     """warnings(file_id, n) -> file_id, n: own ones and those of imported files, once for each
     import path."""
-    paths = path_counts(imports)
-    brought = paths.join(warnings.select(F.col("file_id").alias("reached"), "n"), "reached").select("file_id", (F.col("n") * F.col("paths")).alias("n"))
+    brought = summed_over_paths(imports, warnings)
     return warnings.select("file_id", "n").unionByName(brought).groupBy("file_id").agg(F.sum("n").alias("n"))
 
 
@@ -112,14 +104,13 @@ def resolved(imports: DataFrame, definitions: DataFrame, most_rounds: int = 1000
     contents it has (above 1: a conflict). Each file is resolved once: a round passes on only
     what is new."""
     edges = settled(imports.select("file_id", F.col("target_id").alias("t"), F.col("name").alias("listed")).distinct())
-    every = settled(definitions.select("file_id", "name", "content").distinct())
-    new = every
+    new = every = settled(definitions.select("file_id", "name", "content").distinct())
     for _ in range(most_rounds):
         step = edges.join(new.withColumnRenamed("file_id", "t"), "t").where("listed is null or listed = name").select("file_id", "name", "content").distinct()
         new = settled(step.join(every, ["file_id", "name", "content"], "left_anti"))
         if new.isEmpty():
             return every.groupBy("file_id", "name").agg(F.countDistinct("content").alias("n_contents"))
-        every = settled(every.unionByName(new))
+        every = every.unionByName(new)  # of written parts: none is written again
     raise RuntimeError(f"imports deeper than {most_rounds}")
 
 

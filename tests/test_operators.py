@@ -58,6 +58,7 @@ def test_golden_lines(spark):
     assert one(render.puml_edge(lit("cart"), lit("wheel"), lit("composition"), none, none, none, none, none)) == "cart  --[#black]-*  wheel "
     assert one(render.arrow(lit("inheritance"), lit("bidirectional"), none)) == "<|-[#black]--|>"
     assert one(render.dsl_attributes(color=lit("#123456"), note=none)) == ", { color: '#123456' }"
+    assert one(render.literal(lit("it's"))) == '"it\'s"' and one(render.literal(lit("a'b\"\n\\"))) == repr("a'b\"\n\\")
     assert one(workspace.slug(lit("  Схема  №1: Ёлка-Shop "))) == "shema_1_elka_shop"
 
 
@@ -82,7 +83,8 @@ def test_diamond_imports(spark):
     d = spark.createDataFrame([(1, "own", "x"), (2, "n", "1"), (3, "n", "2"), (4, "base", "b"), (4, "hidden", "h")], "file_id long, name string, content string")
     got = {(r.file_id, r.name): r.n_contents for r in imports.resolved(i, d).collect()}
     assert got[1, "base"] == 1 and got[1, "n"] == 2 and got[1, "hidden"] == 1 and (3, "hidden") not in got
-    assert {(r.file_id, r.reached): r.paths for r in imports.path_counts(i).collect()}[1, 4] == 2
+    ring = i.unionByName(spark.createDataFrame([(5, 5, None), (6, 5, None), (5, 1, None), (7, 8, None)], i.schema))
+    assert {tuple(r)[:2] for r in imports.acyclic(ring).select("file_id", "target_id").collect()} == {(1, 2), (1, 3), (2, 4), (3, 4), (7, 8)}
     warnings = spark.createDataFrame([(1, 1), (4, 3)], "file_id long, n long")
     assert {r.file_id: r.n for r in imports.collected_warnings(i, warnings).collect()} == {1: 7, 2: 3, 3: 3, 4: 3}
 

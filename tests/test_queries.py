@@ -7,8 +7,6 @@ from modelgraph import plans
 
 SF = "/root/testdata/sf0.001"
 TABLES = "customer part orders lineitem events conversations".split()
-#: Loops over many rounds run in the driver's check; here their operators have cases of their own.
-SLOW = {"import_cycles", "collected_warnings", "resolved_definitions"}
 
 
 @pytest.fixture(scope="module")
@@ -24,7 +22,7 @@ def test_each_query_has_sql():
     assert set(plans.QUERIES) == set(plans.ORACLES) and len(plans.QUERIES) > 100
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.QUERIES) - SLOW))
+@pytest.mark.parametrize("name", sorted(plans.QUERIES))
 def test_query(spark, con, name):
     got = plans.QUERIES[name](spark, SF)
     want = con.execute(plans.ORACLES[name])
