@@ -78,9 +78,10 @@ def redefines_unknown(attributes: DataFrame, ancestors: DataFrame) -> DataFrame:
     """Attributes whose `redefines` names no attribute of an ancestor; classes without ancestors
     are not checked. ancestors(class, ancestor) is the closure."""
     wanted = attributes.where("redefines is not null").select("class", "seq", "redefines")
-    have = ancestors.join(attributes.select(F.col("class").alias("ancestor"), F.col("name").alias("redefines")).distinct(), "ancestor")
+    above = ancestors.join(wanted.select("class").distinct(), "class", "left_semi")
+    have = above.join(attributes.select(F.col("class").alias("ancestor"), F.col("name").alias("redefines")).distinct(), "ancestor")
     have = have.select("class", "redefines").distinct()
-    return wanted.join(ancestors.select("class").distinct(), "class", "left_semi").join(have, ["class", "redefines"], "left_anti")
+    return wanted.join(above.select("class").distinct(), "class", "left_semi").join(have, ["class", "redefines"], "left_anti")
 
 
 def composition_parts(ends: DataFrame) -> DataFrame:
