@@ -140,17 +140,19 @@ def keyed(docs: DataFrame) -> DataFrame:
 
 
 def texts_of(nodes: DataFrame, docs: DataFrame) -> DataFrame:
-    """node, text of nodes(node), a struct of doc_id and tx each."""
+    """node, text of nodes(node), a struct of doc_id and tx each. Whole texts move here, so this
+    is called once; later steps choose from its result. Nodes grow with the documents: this join
+    and the others of this module are shuffles at every size."""
     ids = nodes.select(F.col("node.doc_id").alias("doc_id"), F.col("node.tx").alias("tx"))
-    found = keyed(docs).join(ids, ["doc_id", "tx"], "left_semi").dropDuplicates(["doc_id", "tx"])
+    found = keyed(docs).join(ids.hint("merge"), ["doc_id", "tx"], "left_semi").dropDuplicates(["doc_id", "tx"])
     return found.select(F.struct("doc_id", "tx").alias("node"), "text")
 
 
-def verified(pairs: DataFrame, docs: DataFrame, k: int, share: int, whole: int, tmp: Scratch) -> DataFrame:
-    """Of pairs(a, b, ...) those whose full shingle sets have whole * intersection >= share * union."""
-    texts = tmp.write(texts_of(tmp.write(pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()), docs))
-    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")), "a")
-    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")), "b").select(*pairs.columns, "ta", "tb")
+def verified(pairs: DataFrame, texts: DataFrame, k: int, share: int, whole: int, tmp: Scratch) -> DataFrame:
+    """Of pairs(a, b, ...) those whose full shingle sets have whole * intersection >= share *
+    union; texts(node, text) holds their texts."""
+    both = pairs.join(texts.select(F.col("node").alias("a"), F.col("text").alias("ta")).hint("merge"), "a")
+    both = both.join(texts.select(F.col("node").alias("b"), F.col("text").alias("tb")).hint("merge"), "b").select(*pairs.columns, "ta", "tb")
 
     def run(batches):
         known: dict[str, set] = {}
@@ -176,9 +178,9 @@ def verified(pairs: DataFrame, docs: DataFrame, k: int, share: int, whole: int,
     return tmp.write(both.mapInArrow(run, pairs.schema))
 
 
-def across(left: DataFrame, docs: DataFrame, k: int, share: int, whole: int, tmp: Scratch) -> DataFrame:
+def across(left: DataFrame, texts: DataFrame, k: int, share: int, whole: int, tmp: Scratch) -> DataFrame:
     """Pairs (a, b, ca, cb) of left(rep, c) of different c whose sets may be similar enough: a
-    superset of those that are.
+    superset of those that are. texts(node, text) holds their texts.
 
     Shingles are ordered, rare ones first. Two sets of sizes n and m that are similar enough
     have at least share * (n + m) / (share + whole) shingles in common, so they share one among
@@ -199,19 +201,19 @@ def across(left: DataFrame, docs: DataFrame, k: int, share: int, whole: int, tmp
 
     # Short numbers (written, so they stay) stand for texts and components in the exploded rows.
     groups = tmp.write(left.select("c").distinct().withColumn("cid", F.monotonically_increasing_id()))
-    left = tmp.write(left.join(groups, "c").withColumn("id", F.monotonically_increasing_id()))
-    texts = texts_of(left.select(F.col("rep").alias("node")), docs).withColumnRenamed("node", "rep").join(left, "rep")
-    rows = tmp.write(texts.select("id", "cid", "text").mapInArrow(run, "id long, cid long, n int, s long"))
+    left = tmp.write(left.join(groups.hint("merge"), "c").withColumn("id", F.monotonically_increasing_id()))
+    found = texts.withColumnRenamed("node", "rep").join(left.hint("merge"), "rep")
+    rows = tmp.write(found.select("id", "cid", "text").mapInArrow(run, "id long, cid long, n int, s long"))
     df = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     of = Window.partitionBy("id")
     rows = rows.join(df.hint("merge"), "s").withColumn("i", F.row_number().over(of.orderBy("df", "s")) + F.col("n") - F.count("*").over(of))
     rows = tmp.write(rows.where(F.col("i") <= F.col("n") - F.ceil(share * F.col("n") / F.lit(whole)) + 1).select("id", "cid", "n", "s", "i"))
     sizes = rows.groupBy("s", "cid").count()
     mixed = sizes.groupBy("s").agg(F.max_by("cid", F.struct("count", "cid")).alias("main"), F.count("*").alias("k")).where("k > 1")
-    rest = tmp.write(rows.join(mixed.select("s", "main"), "s"))
+    rest = tmp.write(rows.join(mixed.select("s", "main").hint("merge"), "s"))
     out = rest.where("cid <> main").select("s", *(F.col(x).alias(f"{x}2") for x in ("id", "n", "i", "cid")))
     need = F.ceil(share * (F.col("n") + F.col("n2")) / F.lit(share + whole))
-    met = rest.join(out, "s").where(
+    met = rest.join(out.hint("merge"), "s").where(
         (F.col("cid") != F.col("cid2"))
         & ((F.col("cid") == F.col("main")) | (F.col("id") < F.col("id2")))
         & (F.least(F.col("n") - F.col("i"), F.col("n2") - F.col("i2")) + 1 >= need)
@@ -253,9 +255,10 @@ def grouped_texts(
     cells = classes.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.tx").alias("tx"), F.explode("bands").alias("h"))
     shared = cells.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
     met = cells.join(shared.hint("merge"), "h", "left_semi").select("h", F.struct("doc_id", "tx").alias("rep"))
-    met = tmp.write(met.join(classes.select("rep", "n"), "rep"))
+    met = tmp.write(met.join(classes.select("rep", "n").hint("merge"), "rep"))
     tops = met.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
-    members = tmp.write(met.join(tops, "h"))
+    members = tmp.write(met.join(tops.hint("merge"), "h"))
+    texts = tmp.write(texts_of(met.select(F.col("rep").alias("node")).distinct(), docs))
 
     def fits(x, y):
         return (whole * F.least(x, y) >= share * F.greatest(x, y))
@@ -263,7 +266,7 @@ def grouped_texts(
     stars = members.select("rep", "n", F.explode(F.array("lo", "hi")).alias("top")).where(fits(F.col("n"), F.col("top.n")))
     stars = stars.select(F.least("rep", "top.rep").alias("a"), F.greatest("rep", "top.rep").alias("b")).where("a <> b")
     tried = tmp.write(stars.distinct())
-    links = verified(tried, docs, k, share, whole, tmp)
+    links = verified(tried, texts, k, share, whole, tmp)
     first = components(links)
 
     # Members of buckets that still hold several components: an exact join across these.
@@ -271,16 +274,17 @@ def grouped_texts(
     placed = placed.select("h", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
     left = tmp.write(placed.join(mixed, "h").select("rep", "c").distinct())
-    tmp.drop(sk, classes, tried, left)
+    tmp.drop(sk, classes, tried, left, texts)
     top = classes.select("seq", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left")
     top = top.select("seq", F.coalesce("component", "rep").alias("c"))
     if not left.isEmpty():
-        more = tmp.write(across(left, docs, k, share, whole, tmp).join(tried, ["a", "b"], "left_anti"))
-        second = components(verified(more, docs, k, share, whole, tmp), "ca", "cb").withColumnRenamed("node", "c")
+        near = tmp.write(texts.join(left.select(F.col("rep").alias("node")).hint("merge"), "node", "left_semi"))
+        more = tmp.write(across(left, near, k, share, whole, tmp).join(tried, ["a", "b"], "left_anti"))
+        second = components(verified(more, near, k, share, whole, tmp), "ca", "cb").withColumnRenamed("node", "c")
         top = top.join(second, "c", "left").select("seq", F.coalesce("component", "c").alias("c"))
     top = tmp.write(top.select("seq", F.col("c.doc_id").alias("component_id")))
     tmp.drop(sk, top)
-    linked = sets.select("doc_id", "n", "tx", "seq").join(top, "seq")
+    linked = sets.select("doc_id", "n", "tx", "seq").join(top.hint("merge"), "seq")
     alone = sk.where("n = 0 or doc_id is null").withColumn("component_id", F.col("doc_id"))
     cols = ["doc_id", F.col("n").alias("n_shingles"), "component_id", "tx"]
     found = linked.select(*cols).unionByName(alone.select(*cols))
