@@ -178,9 +178,9 @@ def verified(pairs: DataFrame, texts: DataFrame, k: int, share: int, whole: int,
     return tmp.write(both.mapInArrow(run, pairs.schema))
 
 
-def across(left: DataFrame, texts: DataFrame, k: int, share: int, whole: int, tmp: Scratch) -> DataFrame:
+def across(left: DataFrame, texts: DataFrame, k: int, share: int, whole: int, tmp: Scratch) -> tuple[DataFrame, DataFrame]:
     """Pairs (a, b, ca, cb) of left(rep, c) of different c whose sets may be similar enough: a
-    superset of those that are. texts(node, text) holds their texts.
+    superset of those that are; and the texts (node, text) of left, chosen from texts.
 
     Shingles are ordered, rare ones first. Two sets of sizes n and m that are similar enough
     have at least share * (n + m) / (share + whole) shingles in common, so they share one among
@@ -202,7 +202,8 @@ def across(left: DataFrame, texts: DataFrame, k: int, share: int, whole: int, tm
     # Short numbers (written, so they stay) stand for texts and components in the exploded rows.
     groups = tmp.write(left.select("c").distinct().withColumn("cid", F.monotonically_increasing_id()))
     left = tmp.write(left.join(groups.hint("merge"), "c").withColumn("id", F.monotonically_increasing_id()))
-    found = texts.withColumnRenamed("node", "rep").join(left.hint("merge"), "rep")
+    found = texts.join(left.select(F.col("rep").alias("node"), "id", "cid").hint("merge"), "node")
+    found = tmp.write(found)
     rows = tmp.write(found.select("id", "cid", "text").mapInArrow(run, "id long, cid long, n int, s long"))
     df = rows.groupBy("s").agg(F.count("*").alias("df")).where("df > 1")
     of = Window.partitionBy("id")
@@ -223,9 +224,10 @@ def across(left: DataFrame, texts: DataFrame, k: int, share: int, whole: int, tm
     pairs = met.select(F.least("id", "id2").alias("id"), F.greatest("id", "id2").alias("id2")).distinct()
     one, two = left, left.select(*(F.col(x).alias(f"{x}2") for x in ("rep", "c", "id")))
     pairs = pairs.join(one, "id").join(two, "id2")
-    return pairs.select(
+    pairs = pairs.select(
         F.least("rep", "rep2").alias("a"), F.greatest("rep", "rep2").alias("b"), F.when(first, F.col("c")).otherwise(F.col("c2")).alias("ca"), F.when(first, F.col("c2")).otherwise(F.col("c")).alias("cb")
     )
+    return pairs, found.select("node", "text")
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, **settings: int) -> DataFrame:
@@ -249,13 +251,13 @@ def grouped_texts(
     tmp = Scratch(docs.sparkSession)
     sk = tmp.write(sketches(docs, k, bands, rows))
     sets = sk.where("n > 0 and doc_id is not null")
-    classes = tmp.write(sets.groupBy("seq").agg(F.min(F.struct("doc_id", "tx")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")))
-    # Most buckets have one member: they go before anything but their keys is gathered. Both ways
-    # of a join are shuffles whatever the size, as cells are many times the documents.
-    cells = classes.select(F.col("rep.doc_id").alias("doc_id"), F.col("rep.tx").alias("tx"), F.explode("bands").alias("h"))
+    classes = tmp.write(sets.groupBy("seq").agg(F.min(F.struct("doc_id", "tx")).alias("rep"), F.first("n").alias("n"), F.first("bands").alias("bands")).withColumn("id", F.monotonically_increasing_id()))
+    # Most buckets have one member: they go before anything but their keys is gathered. In the
+    # cells, forty a class, short numbers (written, so they stay) stand for classes.
+    cells = classes.select("id", F.explode("bands").alias("h"))
     shared = cells.groupBy("h").agg(F.count("*").alias("c")).where("c > 1").select("h")
-    met = cells.join(shared.hint("merge"), "h", "left_semi").select("h", F.struct("doc_id", "tx").alias("rep"))
-    met = tmp.write(met.join(classes.select("rep", "n").hint("merge"), "rep"))
+    met = cells.join(shared.hint("merge"), "h", "left_semi")
+    met = tmp.write(met.join(classes.select("id", "rep", "n").hint("merge"), "id").drop("id"))
     tops = met.groupBy("h").agg(F.min(F.struct("rep", "n")).alias("lo"), F.max(F.struct("rep", "n")).alias("hi"))
     members = tmp.write(met.join(tops.hint("merge"), "h"))
     texts = tmp.write(texts_of(met.select(F.col("rep").alias("node")).distinct(), docs))
@@ -270,16 +272,16 @@ def grouped_texts(
     first = components(links)
 
     # Members of buckets that still hold several components: an exact join across these.
-    placed = members.select("h", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    placed = members.select("h", "rep").join(first.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     placed = placed.select("h", "rep", F.coalesce("component", "rep").alias("c"))
     mixed = placed.groupBy("h").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo <> hi").select("h")
-    left = tmp.write(placed.join(mixed, "h").select("rep", "c").distinct())
+    left = tmp.write(placed.join(mixed.hint("merge"), "h").select("rep", "c").distinct())
     tmp.drop(sk, classes, tried, left, texts)
-    top = classes.select("seq", "rep").join(first.withColumnRenamed("node", "rep"), "rep", "left")
+    top = classes.select("seq", "rep").join(first.withColumnRenamed("node", "rep").hint("merge"), "rep", "left")
     top = top.select("seq", F.coalesce("component", "rep").alias("c"))
     if not left.isEmpty():
-        near = tmp.write(texts.join(left.select(F.col("rep").alias("node")).hint("merge"), "node", "left_semi"))
-        more = tmp.write(across(left, near, k, share, whole, tmp).join(tried, ["a", "b"], "left_anti"))
+        more, near = across(left, texts, k, share, whole, tmp)
+        more = tmp.write(more.join(tried, ["a", "b"], "left_anti"))
         second = components(verified(more, near, k, share, whole, tmp), "ca", "cb").withColumnRenamed("node", "c")
         top = top.join(second, "c", "left").select("seq", F.coalesce("component", "c").alias("c"))
     top = tmp.write(top.select("seq", F.col("c.doc_id").alias("component_id")))
