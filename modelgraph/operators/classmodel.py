@@ -17,10 +17,12 @@ def bad_multiplicities(ends: DataFrame) -> DataFrame:
     return ends.where(bad_multiplicity(F.col("multiplicity"))).select("assoc_id", "end_no", "multiplicity")
 
 
-def bad_defaults(attributes: DataFrame) -> DataFrame:
-    """Initial values that their primitive type can't hold."""
-    bad = F.col("initial_value").isNotNull() & coerced(F.col("initial_value"), F.col("type_")).isNull()
-    return attributes.where(F.col("type_").isin(*PRIMITIVES) & bad).select("class", "seq", "type_", "initial_value")
+def bad_defaults(attributes: DataFrame, parameters: DataFrame) -> DataFrame:
+    """Initial values of attributes (of a class) and defaults of parameters (of an operation)
+    that their primitive type can't hold: element, owner, place, type_, value."""
+    given = attributes.select(F.lit("attribute").alias("element"), F.col("class").alias("owner"), F.col("seq").alias("place"), "type_", F.col("initial_value").alias("value"))
+    given = given.unionByName(parameters.select(F.lit("parameter").alias("element"), F.col("op").alias("owner"), F.col("pos").alias("place"), "type_", F.col("default_value").alias("value")))
+    return given.where(F.col("type_").isin(*PRIMITIVES) & F.col("value").isNotNull() & coerced(F.col("value"), F.col("type_")).isNull())
 
 
 def relation_ends(generalizations: DataFrame, dependencies: DataFrame, realizations: DataFrame) -> DataFrame:
@@ -35,15 +37,19 @@ def self_references(ends: DataFrame) -> DataFrame:
     return ends.where("source = target")
 
 
-def stereotype_rules(classifiers: DataFrame, operations: DataFrame) -> DataFrame:
-    """Operations that break the rule of their class's stereotype."""
+def stereotype_rules(classifiers: DataFrame, operations: DataFrame, attributes: DataFrame) -> DataFrame:
+    """Features that break the rule of their class's stereotype: class, feature, seq, stereotype.
+    attributes(class, seq, scope) are checked in utility classes only."""
     classifier_scope = F.col("scope") == "classifier"
+    marked = classifiers.where("stereotype is not null").select("class", "stereotype")
     bad = (
         F.when(F.col("stereotype") == "interface", ~F.col("is_abstract"))
         .when(F.col("stereotype") == "utility", ~classifier_scope)
         .when(F.col("stereotype").isin("dataType", "enumeration"), ~(F.col("is_query") & classifier_scope))
     )
-    return operations.join(classifiers.where("stereotype is not null").select("class", "stereotype"), "class").where(bad).select("class", "op", "stereotype")
+    broken = operations.join(marked, "class").where(bad).select("class", F.lit("operation").alias("feature"), F.col("op").alias("seq"), "stereotype")
+    loose = attributes.where(~classifier_scope).join(marked.where("stereotype = 'utility'"), "class")
+    return broken.unionByName(loose.select("class", F.lit("attribute").alias("feature"), "seq", "stereotype"))
 
 
 def blank_names(rows: DataFrame, longest: int = 255) -> DataFrame:
@@ -130,10 +136,11 @@ def subset_ends(ends: DataFrame) -> DataFrame:
 
 
 def model_stats(classifiers: DataFrame, association_ends: DataFrame, ends: DataFrame) -> DataFrame:
-    """One row: how many classes and relations of each kind."""
+    """Per model: how many classes and relations of each kind; every table has a column model."""
     kinds = ["class", "association", "generalization", "dependency", "realization"]
-    rows = classifiers.select(F.lit("class").alias("k")).unionByName(association_ends.select("assoc_id").distinct().select(F.lit("association").alias("k"))).unionByName(ends.select(F.col("relation").alias("k")))
-    one = rows.groupBy().agg(*(F.count_if(F.col("k") == k).alias(f"n_{k}") for k in kinds))
+    associations = association_ends.select("model", "assoc_id").distinct()
+    rows = classifiers.select("model", F.lit("class").alias("k")).unionByName(associations.select("model", F.lit("association").alias("k"))).unionByName(ends.select("model", F.col("relation").alias("k")))
+    one = rows.groupBy("model").agg(*(F.count_if(F.col("k") == k).alias(f"n_{k}") for k in kinds))
     return one.withColumn("n_relations", sum((F.col(f"n_{k}") for k in kinds[1:]), F.lit(0).cast("long")))
 
 

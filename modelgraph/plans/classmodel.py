@@ -1,11 +1,14 @@
 """Queries over class models."""
 
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelgraph.functions import classmodel as fn
 from modelgraph.operators import classmodel as op
 from modelgraph.operators import graph
-from modelgraph.plans.views import query
+from modelgraph.plans.views import ORACLES, QUERIES, query
 
 _PRIM = "('String', 'str', 'Integer', 'int', 'Float', 'float', 'double', 'Boolean', 'bool')"
 _ENDS = """ends AS (SELECT 'generalization' AS relation, specific AS source, general AS target FROM generalizations UNION ALL SELECT 'dependency', client, supplier FROM dependencies
@@ -60,9 +63,14 @@ def bad_multiplicity(v):
     return op.bad_multiplicities(v("association_ends"))
 
 
-@query("coerce_defaults", "attributes", "SELECT class, seq, type_, initial_value FROM (SELECT * REPLACE (CASE WHEN seq % 6 = 0 THEN 'n/a' ELSE initial_value END AS initial_value) FROM attributes) WHERE type_ IN ('int', 'double') AND initial_value = 'n/a'")
+@query(
+    "coerce_defaults", "attributes parameters",
+    """SELECT 'attribute' AS element, class AS owner, seq AS place, type_, 'n/a' AS value FROM attributes WHERE seq % 6 = 0 AND type_ IN ('int', 'double')
+    UNION ALL SELECT 'parameter', op, pos, type_, 'n/a' FROM parameters WHERE pos % 3 = 0 AND type_ = 'int' AND default_value IS NOT NULL""",
+)
 def coerce_defaults(v):
-    return op.bad_defaults(v("attributes").withColumn("initial_value", F.expr("case when seq % 6 = 0 then 'n/a' else initial_value end")))
+    attributes = v("attributes").withColumn("initial_value", F.expr("case when seq % 6 = 0 then 'n/a' else initial_value end"))
+    return op.bad_defaults(attributes, v("parameters").withColumn("default_value", F.expr("case when pos % 3 = 0 and default_value is not null then 'n/a' else default_value end")))
 
 
 @query("self_references", _REL, f"WITH {_ENDS} SELECT * FROM ends WHERE source = target")
@@ -71,12 +79,14 @@ def self_references(v):
 
 
 @query(
-    "stereotype_rules", "classifiers operations",
-    """SELECT o.class, op, stereotype FROM operations o JOIN classifiers c ON o.class = c.class WHERE stereotype = 'interface' AND NOT o.is_abstract OR stereotype = 'utility' AND scope <> 'classifier'
-    OR stereotype IN ('dataType', 'enumeration') AND NOT (is_query AND scope = 'classifier')""",
+    "stereotype_rules", "classifiers operations attributes",
+    """SELECT o.class, 'operation' AS feature, op AS seq, stereotype FROM operations o JOIN classifiers c ON o.class = c.class WHERE stereotype = 'interface' AND NOT o.is_abstract OR stereotype = 'utility' AND scope <> 'classifier'
+    OR stereotype IN ('dataType', 'enumeration') AND NOT (is_query AND scope = 'classifier')
+    UNION ALL SELECT a.class, 'attribute', a.seq, stereotype FROM attributes a JOIN classifiers c ON a.class = c.class WHERE stereotype = 'utility' AND a.seq % 2 = 1""",
 )
 def stereotype_rules(v):
-    return op.stereotype_rules(v("classifiers"), v("operations"))
+    scoped = v("attributes").select("class", "seq", F.expr("case when seq % 2 = 0 then 'classifier' else 'instance' end as scope"))
+    return op.stereotype_rules(v("classifiers"), v("operations"), scoped)
 
 
 @query("blank_names", "terms", "SELECT ontology_id, seq, label AS name FROM terms WHERE trim(label) = '' OR length(trim(label)) > 24")
@@ -190,26 +200,48 @@ def subset_ends(v):
 
 @query(
     "model_stats", f"{_REL} association_ends classifiers",
-    f"""WITH {_ENDS}, n AS (SELECT (SELECT count(*) FROM classifiers) AS n_class, (SELECT count(DISTINCT assoc_id) FROM association_ends) AS n_association,
-    count(*) FILTER (relation = 'generalization') AS n_generalization, count(*) FILTER (relation = 'dependency') AS n_dependency, count(*) FILTER (relation = 'realization') AS n_realization FROM ends)
+    f"""WITH {_ENDS}, k AS (SELECT class % 50 AS model, 'class' AS k FROM classifiers UNION ALL SELECT assoc_id % 50, 'association' FROM (SELECT DISTINCT assoc_id FROM association_ends)
+    UNION ALL SELECT source % 50, relation FROM ends), n AS (SELECT model, count(*) FILTER (k = 'class') AS n_class, count(*) FILTER (k = 'association') AS n_association,
+    count(*) FILTER (k = 'generalization') AS n_generalization, count(*) FILTER (k = 'dependency') AS n_dependency, count(*) FILTER (k = 'realization') AS n_realization FROM k GROUP BY 1)
     SELECT *, n_association + n_generalization + n_dependency + n_realization AS n_relations FROM n""",
 )
 def model_stats(v):
-    return op.model_stats(v("classifiers"), v("association_ends"), _ends(v))
+    def of(df, key):
+        return df.withColumn("model", F.col(key) % 50)
+
+    return op.model_stats(of(v("classifiers"), "class"), of(v("association_ends"), "assoc_id"), of(_ends(v), "source"))
+
+
+# Rule order, query, and of its rows: model, place, what is reported. A model here is everything
+# with one number: the class, the association and the operation of that number.
+_RULES = [
+    (0, "bad_multiplicity", "assoc_id", "assoc_id * 10 + end_no", "multiplicity"),
+    (0, "coerce_defaults", "owner", "place", "value"),
+    (0, "self_references", "source", "target", "relation"),
+    (0, "stereotype_rules", "class", "seq", "stereotype"),
+    (0, "duplicate_signatures", "class", "class", "name"),
+    (0, "association_shape", "assoc_id", "assoc_id", "rule"),
+    (0, "subset_ends", "assoc_id", "assoc_id * 10 + end_no", "subsets"),
+    (1, "inheritance_cycles", "node", "node", "'inheritance cycle'"),
+    (2, "composition_parts", "participant", "participant", "'several compositions'"),
+    (3, "inheritance_conflicts", "specific", "specific", "name"),
+    (4, "redefines_unknown", "class", "seq", "redefines"),
+    (5, "unknown_attribute_types", "class", "seq", "type_"),
+    (6, "bad_parameter_types", "op", "op * 10 + place", "type_"),
+    (7, "bad_template_types", "op", "op * 10 + place", "type_"),
+    (8, "unknown_relation_ends", "class", "class", "relation"),
+]
 
 
 def _violations(v):
-    rows = v("association_ends").where(fn.bad_multiplicity(F.col("multiplicity"))).select((F.col("assoc_id") % 50).alias("model"), F.lit(0).alias("rule_order"), (F.col("assoc_id") * 10 + F.col("end_no")).alias("seq"), F.col("multiplicity").alias("detail"))
-    types = op.unknown_attribute_types(v("attributes"), v("classifiers").where("class % 3 > 0"))
-    return rows.where("model % 2 = 0").unionByName(types.select((F.col("class") % 50).alias("model"), F.lit(5).alias("rule_order"), "seq", F.col("type_").alias("detail")))
+    rows = [QUERIES[name](v.spark, v.sf_dir).selectExpr(f"{model} AS model", f"{order} AS rule_order", f"CAST({seq} AS BIGINT) AS seq", f"{detail} AS detail") for order, name, model, seq, detail in _RULES]
+    return reduce(DataFrame.unionByName, rows)
 
 
-@query(
-    "first_error", "association_ends attributes classifiers",
-    f"""WITH x AS (SELECT assoc_id % 50 AS model, 0 AS rule_order, assoc_id * 10 + end_no AS seq, multiplicity AS detail FROM association_ends WHERE multiplicity = '5..3' AND assoc_id % 2 = 0
-    UNION ALL SELECT class % 50, 5, seq, type_ FROM attributes WHERE type_ <> '' AND type_ NOT IN {_PRIM} AND type_ NOT IN (SELECT CAST(class AS VARCHAR) FROM classifiers WHERE class % 3 > 0))
-    SELECT model, rule_order, detail FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY rule_order, seq, detail) AS r FROM x) WHERE r = 1""",
-)
+_ALL = " UNION ALL ".join(f"SELECT {model} AS model, {order} AS rule_order, {seq} AS seq, {detail} AS detail FROM ({ORACLES[name]})" for order, name, model, seq, detail in _RULES)
+
+
+@query("first_error", "", f"SELECT model, rule_order, detail FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY rule_order, seq, detail) AS r FROM ({_ALL})) WHERE r = 1")
 def first_error(v):
     return op.first_error(_violations(v))
 
