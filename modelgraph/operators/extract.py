@@ -171,10 +171,14 @@ def _section_lines(classes: DataFrame, begin: str, end: str) -> DataFrame:
 
 
 def tdl_attributes(classes: DataFrame) -> DataFrame:
+    """file, class, pos, visibility, name, multiplicity, type_, initial_value, read_only of
+    attribute lines; the literals of an enumeration are attributes that have a name alone."""
     rows, t = _section_lines(classes.where("stereotype is null"), "АТРИБУТЫ", "ОПЕРАЦИИ|КОНЕЦ").where(F.col("text").rlike(ATTRIBUTE_LINE)), F.col("text")
     some = lambda i: F.nullif(part(t, ATTRIBUTE_LINE, i), F.lit(""))
     rows = rows.select("file", "class", "pos", some(1).alias("visibility"), some(2).alias("name"), multiplicity(some(3)).alias("multiplicity"), some(4).alias("type_"), some(5).alias("initial_value"), some(6).isNotNull().alias("read_only"))
-    return rows
+    words = F.regexp_extract("body", r"(?isuU)^\w+\s+\w+\s+(.*?)\s*КОНЕЦ\s+ПЕРЕЧИСЛЕНИЕ$", 1)
+    literals = classes.where("stereotype = 'enumeration'").select("file", "class", F.posexplode(F.split(words, r"\s+")).alias("pos", "name")).where("name <> ''")
+    return rows.unionByName(literals.withColumn("read_only", F.lit(False)), allowMissingColumns=True)
 
 
 def tdl_operations(classes: DataFrame) -> DataFrame:

@@ -137,7 +137,7 @@ def parse_attributes(v):
 
 
 def _tdl(v):
-    """A class source for each of 20 diagrams."""
+    """A class source for each diagram of ten classes."""
     a = v("attributes").withColumn("line", F.concat(F.lit("    + "), "name", F.lit("_"), F.col("seq").cast("string"), F.lit(" [1..*]"), F.coalesce(F.concat(F.lit(" : "), "type_"), F.lit("")), F.lit(" = "), "initial_value", F.when(F.col("seq") % 2 == 0, " { только_чтение }").otherwise("")))
     attrs = a.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("attrs"))
     o = v("operations").withColumn("line", F.concat(F.lit("    "), "visibility", F.lit(" "), "name", F.lit("_"), F.col("op").cast("string"), F.lit("()"), F.coalesce(F.concat(F.lit(" : "), "return_type"), F.lit("")), F.when(F.col("is_query"), " {запрос}").otherwise("")))
@@ -145,21 +145,23 @@ def _tdl(v):
     c = v("classifiers").join(attrs, "class", "left").join(ops, "class", "left")
     word = F.when(F.col("class") % 2 == 0, "КЛАСС c").otherwise("класс c")
     block = F.concat(word, F.col("class").cast("string"), F.when(F.col("is_abstract"), " АБСТРАКТНЫЙ").otherwise(""), F.lit("\n-- note\n"), F.coalesce(F.concat(F.lit("  АТРИБУТЫ\n"), "attrs", F.lit("\n")), F.lit("")), F.coalesce(F.concat(F.lit("  ОПЕРАЦИИ\n"), "ops", F.lit("\n")), F.lit("")), F.lit("КОНЕЦ КЛАСС\n"))
-    rel = v("generalizations").selectExpr("specific % 20 as file", "'ОБОБЩЕНИЕ c' || specific || ' -> c' || general as t").unionByName(v("dependencies").selectExpr("client % 20 as file", "'зависимость c' || client || ' -> c' || supplier || ' ' || stereotype as t")).unionByName(v("realizations").selectExpr("implementer % 20 as file", "'РЕАЛИЗАЦИЯ c' || implementer || ' -> c' || interface as t"))
-    two = v("dependencies").selectExpr("client % 20 as file", "case client % 3 when 0 then 'КОМПОЗИЦИЯ c' when 1 then 'АГРЕГАЦИЯ c' else 'Ассоциация c' end || client || ' [1] : r -- c' || supplier || ' [0..*]' || case when client % 2 = 0 then ' ИМЯ n' || client else '' end || case when client % 5 = 0 then ' производная' else '' end as t")
-    parts = c.select((F.col("class") % 20).alias("file"), block.alias("t")).unionByName(rel).unionByName(two)
+    rel = v("generalizations").selectExpr("CAST(floor(specific / 10) AS BIGINT) as file", "'ОБОБЩЕНИЕ c' || specific || ' -> c' || general as t").unionByName(v("dependencies").selectExpr("CAST(floor(client / 10) AS BIGINT) as file", "'зависимость c' || client || ' -> c' || supplier || ' ' || stereotype as t")).unionByName(v("realizations").selectExpr("CAST(floor(implementer / 10) AS BIGINT) as file", "'РЕАЛИЗАЦИЯ c' || implementer || ' -> c' || interface as t"))
+    two = v("dependencies").selectExpr("CAST(floor(client / 10) AS BIGINT) as file", "case client % 3 when 0 then 'КОМПОЗИЦИЯ c' when 1 then 'АГРЕГАЦИЯ c' else 'Ассоциация c' end || client || ' [1] : r -- c' || supplier || ' [0..*]' || case when client % 2 = 0 then ' ИМЯ n' || client else '' end || case when client % 5 = 0 then ' производная' else '' end as t")
+    enums = v("classifiers").where("class % 4 = 0").selectExpr("CAST(floor(class / 10) AS BIGINT) AS file", "'Перечисление e' || class || '\\n  one_' || class || ' two\\nКОНЕЦ ПЕРЕЧИСЛЕНИЕ\\n' AS t")
+    parts = c.select(F.floor(F.col("class") / 10).alias("file"), block.alias("t")).unionByName(rel).unionByName(two).unionByName(enums)
     return parts.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("t")), "\n").alias("content"))
 
 
-@query("parse_tdl_classes", "classifiers", "SELECT class % 20 AS file, 'c' || class AS class, is_abstract, CAST(NULL AS VARCHAR) AS stereotype FROM classifiers")
+@query("parse_tdl_classes", "classifiers", "SELECT CAST(floor(class / 10) AS BIGINT) AS file, 'c' || class AS class, is_abstract, CAST(NULL AS VARCHAR) AS stereotype FROM classifiers UNION ALL SELECT CAST(floor(class / 10) AS BIGINT), 'e' || class, false, 'enumeration' FROM classifiers WHERE class % 4 = 0")
 def parse_tdl_classes(v):
     return extract.tdl_classes(_tdl(v)).select("file", "class", "is_abstract", "stereotype")
 
 
 @query(
     "parse_tdl_features", "attributes operations classifiers",
-    """SELECT class % 20 AS file, 'c' || class AS class, '+' AS visibility, name || '_' || seq AS name, type_, initial_value || CASE WHEN seq % 2 = 0 THEN ' ro' ELSE '' END AS detail, count(*) AS n FROM attributes WHERE class IN (SELECT class FROM classifiers) GROUP BY ALL
-    UNION ALL SELECT class % 20, 'c' || class, visibility, name || '_' || op, return_type, CASE WHEN is_query THEN 'query' ELSE '' END, 1 FROM operations WHERE class IN (SELECT class FROM classifiers)""",
+    """SELECT CAST(floor(class / 10) AS BIGINT) AS file, 'c' || class AS class, '+' AS visibility, name || '_' || seq AS name, type_, initial_value || CASE WHEN seq % 2 = 0 THEN ' ro' ELSE '' END AS detail, count(*) AS n FROM attributes WHERE class IN (SELECT class FROM classifiers) GROUP BY ALL
+    UNION ALL SELECT CAST(floor(class / 10) AS BIGINT), 'c' || class, visibility, name || '_' || op, return_type, CASE WHEN is_query THEN 'query' ELSE '' END, 1 FROM operations WHERE class IN (SELECT class FROM classifiers)
+    UNION ALL SELECT CAST(floor(class / 10) AS BIGINT), 'e' || class, NULL, unnest(['one_' || class, 'two']), NULL, NULL, 1 FROM classifiers WHERE class % 4 = 0""",
 )
 def parse_tdl_features(v):
     classes = extract.tdl_classes(_tdl(v))
@@ -171,9 +173,9 @@ def parse_tdl_features(v):
 
 @query(
     "parse_tdl_relations", "generalizations dependencies realizations",
-    """SELECT specific % 20 AS file, 'generalization' AS relation, 'c' || specific AS source, 'c' || general AS target, CAST(NULL AS VARCHAR) AS stereotype FROM generalizations
-    UNION ALL SELECT client % 20, 'dependency', 'c' || client, 'c' || supplier, stereotype FROM dependencies WHERE supplier >= 0 UNION ALL SELECT implementer % 20, 'realization', 'c' || implementer, 'c' || interface, NULL FROM realizations
-    UNION ALL SELECT client % 20, CASE client % 3 WHEN 0 THEN 'composition' WHEN 1 THEN 'aggregation' ELSE 'none' END, 'c' || client, 'c' || supplier,
+    """SELECT CAST(floor(specific / 10) AS BIGINT) AS file, 'generalization' AS relation, 'c' || specific AS source, 'c' || general AS target, CAST(NULL AS VARCHAR) AS stereotype FROM generalizations
+    UNION ALL SELECT CAST(floor(client / 10) AS BIGINT), 'dependency', 'c' || client, 'c' || supplier, stereotype FROM dependencies WHERE supplier >= 0 UNION ALL SELECT CAST(floor(implementer / 10) AS BIGINT), 'realization', 'c' || implementer, 'c' || interface, NULL FROM realizations
+    UNION ALL SELECT CAST(floor(client / 10) AS BIGINT), CASE client % 3 WHEN 0 THEN 'composition' WHEN 1 THEN 'aggregation' ELSE 'none' END, 'c' || client, 'c' || supplier,
     '1 r 0..*' || CASE WHEN client % 2 = 0 THEN ' n' || client ELSE '' END || CASE WHEN client % 5 = 0 THEN ' derived' ELSE '' END FROM dependencies WHERE supplier >= 0""",
 )
 def parse_tdl_relations(v):
@@ -185,16 +187,16 @@ def parse_tdl_relations(v):
 def _svg(v):
     """A drawing per diagram; every seventh is cut off."""
     tag = F.concat(F.lit('<g class="uml-class" transform="translate('), (F.col("class") % 100).cast("string"), F.lit(","), (F.col("class") % 7).cast("string"), F.lit('.5)" data-type="class" data-id="" data-name="a&lt;'), F.col("class").cast("string"), F.lit('" data-abstract="'), F.col("is_abstract").cast("string"), F.lit('"></g>'))
-    docs = v("classifiers").groupBy((F.col("class") % 20).alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(tag)), "").alias("t"))
+    docs = v("classifiers").groupBy(F.floor(F.col("class") / 10).alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(tag)), "").alias("t"))
     return docs.select("doc", F.concat(F.lit("<svg>"), "t", F.when(F.col("doc") % 7 == 0, "").otherwise("</svg>")).alias("svg"))
 
 
-@query("svg_elements", "classifiers", "SELECT class % 20 AS doc, 'class' AS kind, 'a<' || class AS name FROM classifiers WHERE class % 20 NOT IN (0, 7, 14) UNION ALL SELECT DISTINCT class % 20, 'error', NULL FROM classifiers WHERE class % 20 IN (0, 7, 14)")
+@query("svg_elements", "classifiers", "SELECT CAST(floor(class / 10) AS BIGINT) AS doc, 'class' AS kind, 'a<' || class AS name FROM classifiers WHERE floor(class / 10) % 7 <> 0 UNION ALL SELECT DISTINCT CAST(floor(class / 10) AS BIGINT), 'error', NULL FROM classifiers WHERE floor(class / 10) % 7 = 0")
 def svg_elements(v):
     return extract.svg_elements(_svg(v)).select("doc", "kind", extract.svg_attribute(F.col("tag"), "data-id", "data-name").alias("name"))
 
 
-@query("svg_translate", "classifiers", "SELECT 'a<' || class AS name, CAST(class % 100 AS DOUBLE) AS x, class % 7 + 0.5::DOUBLE AS y FROM classifiers WHERE class % 20 NOT IN (0, 7, 14)")
+@query("svg_translate", "classifiers", "SELECT 'a<' || class AS name, CAST(class % 100 AS DOUBLE) AS x, class % 7 + 0.5::DOUBLE AS y FROM classifiers WHERE floor(class / 10) % 7 <> 0")
 def svg_translate(v):
     e = extract.svg_elements(_svg(v)).where("kind = 'class'")
     return e.select(extract.svg_attribute(F.col("tag"), "data-name").alias("name"), extract.svg_translate(F.col("tag")).alias("p")).select("name", "p.x", "p.y")
@@ -202,10 +204,11 @@ def svg_translate(v):
 
 @query(
     "svg_parse_status", "classifiers",
-    "SELECT class % 20 AS doc, class % 20 NOT IN (0, 7, 14) AS ok, CASE WHEN class % 20 IN (0, 7, 14) THEN 1 ELSE 0 END::BIGINT AS n_errors, CASE WHEN class % 20 IN (0, 7, 14) THEN 0 ELSE count(*) FILTER (class % 3 = 0) END AS n_warnings FROM classifiers GROUP BY 1, 2, 3",
+    """SELECT doc, doc % 7 <> 0 AS ok, CASE WHEN doc % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS n_errors, CASE WHEN doc % 7 = 0 THEN 0 ELSE count(*) FILTER (class % 3 = 0) END AS n_warnings
+    FROM (SELECT CAST(floor(class / 10) AS BIGINT) AS doc, class FROM classifiers) GROUP BY 1""",
 )
 def svg_parse_status(v):
-    warnings = v("classifiers").where("class % 3 = 0").select((F.col("class") % 20).alias("doc"))
+    warnings = v("classifiers").where("class % 3 = 0").select(F.floor(F.col("class") / 10).alias("doc"))
     return extract.svg_status(extract.svg_elements(_svg(v)), warnings)
 
 
@@ -222,14 +225,14 @@ def read_sources(v):
     return _read_back(v, exports.joined(exports.dsl_term_lines(v("terms")), "ontology_id", "content").withColumnRenamed("ontology_id", "file"))
 
 
-@query("read_tdl", "classifiers", "SELECT class % 20 AS file, CAST(sum(length('КЛАСС c' || class || chr(10) || 'КОНЕЦ КЛАСС')) + count(*) - 1 AS INT) AS n FROM classifiers GROUP BY 1")
+@query("read_tdl", "classifiers", "SELECT CAST(floor(class / 10) AS BIGINT) AS file, CAST(sum(length('КЛАСС c' || class || chr(10) || 'КОНЕЦ КЛАСС')) + count(*) - 1 AS INT) AS n FROM classifiers GROUP BY 1")
 def read_tdl(v):
     block = F.concat(F.lit("КЛАСС c"), F.col("class").cast("string"), F.lit("\nКОНЕЦ КЛАСС"))
-    return _read_back(v, v("classifiers").groupBy((F.col("class") % 20).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("content")))
+    return _read_back(v, v("classifiers").groupBy(F.floor(F.col("class") / 10).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(block)), "\n").alias("content")))
 
 
-@query("read_svg", "classifiers", """SELECT class % 20 AS file, CAST(sum(length('<g data-type="class" data-name="' || class || '"></g>')) + 11 AS INT) AS n FROM classifiers GROUP BY 1""")
+@query("read_svg", "classifiers", """SELECT CAST(floor(class / 10) AS BIGINT) AS file, CAST(sum(length('<g data-type="class" data-name="' || class || '"></g>')) + 11 AS INT) AS n FROM classifiers GROUP BY 1""")
 def read_svg(v):
     tag = F.concat(F.lit('<g data-type="class" data-name="'), F.col("class").cast("string"), F.lit('"></g>'))
-    docs = v("classifiers").groupBy((F.col("class") % 20).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(tag)), "").alias("t"))
+    docs = v("classifiers").groupBy(F.floor(F.col("class") / 10).alias("file")).agg(F.array_join(F.array_sort(F.collect_list(tag)), "").alias("t"))
     return _read_back(v, docs.select("file", F.concat(F.lit("<svg>"), "t", F.lit("</svg>")).alias("content")))
