@@ -144,8 +144,11 @@ def _gathered(sink: type):
     return run
 
 
-def _partitions(spark: SparkSession) -> int:
-    return int(spark.conf.get("spark.sql.shuffle.partitions"))
+def _partitions(texts: DataFrame, column: str, partition_bytes: int = 32 << 20) -> int:
+    """How many partitions to sort in: at least the session's number, and so many that one holds
+    about partition_bytes of text. Spark doesn't fit this number to the data for RDDs."""
+    total = texts.agg(F.sum(F.octet_length(column).cast("long"))).first()[0] or 0
+    return max(int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-total // partition_bytes))
 
 
 def assembled(docs: DataFrame, sink: type = Text, chunk: int = 16_384, **settings: int) -> DataFrame:
@@ -155,7 +158,7 @@ def assembled(docs: DataFrame, sink: type = Text, chunk: int = 16_384, **setting
 
     Null and empty texts give an empty output; a null doc_id counts as an empty number. Repeated
     rows give equal rows. Only doc_id and text are read, so other columns cannot clash."""
-    partitions = _partitions(docs.sparkSession)
+    partitions = _partitions(docs, "text")
     output = _sorted(_placed(cuts(docs, **settings), chunk), partitions)
     again = _sorted(output.mapPartitions(_written(sink), preservesPartitioning=True), partitions)
     kind = dict(docs.dtypes)["doc_id"]
@@ -182,7 +185,7 @@ def restored(outputs: DataFrame, chunk: int = 16_384) -> DataFrame:
                         place += 1
 
     rows = outputs.select(F.xxhash64("doc_id", "output"), "doc_id", "form", letters("output"))
-    pieces = _sorted(rows.rdd.mapPartitionsWithIndex(run), _partitions(outputs.sparkSession))
+    pieces = _sorted(rows.rdd.mapPartitionsWithIndex(run), _partitions(outputs, "output"))
     return outputs.sparkSession.createDataFrame(pieces.mapPartitions(_gathered(Text)), f"doc_id {dict(outputs.dtypes)['doc_id']}, text string", verifySchema=False)
 
 
