@@ -18,6 +18,7 @@ shards whose dictionary hash is not that of the dictionary at hand.
 from __future__ import annotations
 
 import hashlib
+import os
 import re
 import struct
 import uuid
@@ -41,16 +42,20 @@ class WordEncoder:
 
     The file's pattern begins a new match at every space before something that is no white space,
     whatever stands before it. So a text can be cut there and its parts encoded apart, without
-    a change of its ids; parts seen before are looked up. At most 2 * most parts are kept."""
+    a change of its ids; parts seen before are looked up, new ones are encoded some hundred in one
+    call: tokens that begin with a space show where each begins. At most 2 * most parts are kept."""
 
     #: A space that may be cut at; U+180E and U+FEFF count as white space in some versions.
     CUT = re.compile(r" (?=[^\s\u180e\ufeff])")
     NO_CUT = re.compile(r" (?![^\s\u180e\ufeff])")
 
     def __init__(self, path: str, width: int, most: int = 150_000) -> None:
+        os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")  # a task has one core
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
+        self.begins = np.zeros(self.tokenizer.get_vocab_size(), bool)
+        self.begins[[i for t, i in self.tokenizer.get_vocab().items() if t.startswith("Ġ")]] = True
         self.tokenizer.encode_special_tokens = True  # their strings in a text are ordinary text
         self.kind, self.most = f"<u{width}", most
         self.young: dict[str, bytes] = {}
@@ -59,6 +64,19 @@ class WordEncoder:
     def _ids(self, texts: list[str]) -> list[bytes]:
         return [np.array(e.ids, self.kind).tobytes() for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
+    def _parts(self, words: list[str], most: int = 500) -> Iterator[bytes]:
+        """Ids of words that a space stands before."""
+        for i in range(0, len(words), most):
+            some = [" " + w for w in words[i : i + most]]
+            (all_,) = self.tokenizer.encode_batch_fast(["".join(some)], add_special_tokens=False)
+            ids = np.array(all_.ids, self.kind)
+            at = np.flatnonzero(self.begins[ids])
+            if len(at) == len(some):
+                data, ends = ids.tobytes(), [*(at * ids.itemsize).tolist(), ids.nbytes]
+                yield from (data[a:b] for a, b in zip(ends, ends[1:]))
+            else:  # one holds more spaces
+                yield from self._ids(some)
+
     def encode(self, texts: list[str]) -> list[bytes]:
         # A part's key is what stands behind the space; a text's beginning has none before it.
         parts = [(self.CUT.split(t) if self.NO_CUT.search(t) else t.split(" ")) for t in texts]
@@ -73,7 +91,7 @@ class WordEncoder:
                 new.append(p)
             else:
                 young[p] = known
-        young.update(zip(new, self._ids([" " + p for p in new])))
+        young.update(zip(new, self._parts(new)))
         out = [head + b"".join(map(young.__getitem__, p[1:])) for head, p in zip(heads, parts)]
         for p in new:
             if len(p) > 64:
