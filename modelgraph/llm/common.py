@@ -135,6 +135,14 @@ def worker_state(key: str, make):
     return _STATE[key]
 
 
+def unused(df: DataFrame, name: str) -> str:
+    """A column name like this one that df has not, in any case of letters."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name += "_"
+    return name
+
+
 def letters(col: str = "text"):
     """The text column, null read as empty."""
     return F.coalesce(F.col(col), F.lit(""))

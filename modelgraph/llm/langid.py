@@ -9,18 +9,18 @@ bounded sample of labelled texts; the vocabulary itself is never trained.
 
 from __future__ import annotations
 
-import re
 import uuid
 from collections import Counter, defaultdict
 
 import numpy as np
 import pyarrow as pa
+import regex
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from modelgraph.llm.common import checkpointed, letters, table, worker_state
 
-_LETTERS = re.compile(r"[^\W\d_]+")
+_LETTERS = regex.compile(r"\p{L}+")
 
 
 def read_pieces(path: str) -> list[str]:
@@ -32,7 +32,7 @@ def read_pieces(path: str) -> list[str]:
     found = set()
     for i in range(model.get_piece_size()):
         piece = model.id_to_piece(i).lower()
-        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and re.fullmatch("▁?[^\\W\\d_]*", piece):
+        if not (model.is_control(i) or model.is_unknown(i) or model.is_byte(i)) and regex.fullmatch(r"▁?\p{L}*", piece):
             found.add(piece)
     return sorted(found)
 

@@ -22,7 +22,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelgraph.llm.common import checkpointed, letters, table
+from modelgraph.llm.common import checkpointed, letters, table, unused
 
 #: Fixed order of the kinds.
 KINDS = ("email", "ip", "card", "phone")
@@ -49,7 +49,7 @@ LOOSE = {
     "ip": r"(?<![0-9.])[0-9]{1,3}+(?:\x20?\[\.\]\x20?[0-9]{1,3}+){3}+(?![0-9])",
     "card": r"(?<![0-9.])[0-9]{4}+(?:[._/][0-9]{4}+){3}+(?![0-9])",
     "phone": r"(?<![0-9A-Za-z+.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9A-Za-z-])",
-    "secret": r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/-]{0,128}+[0-9])(?=[0-9_+/-]{0,128}+[A-Za-z])[A-Za-z0-9_+/-]{20,128}+={0,2}(?![A-Za-z0-9_+/-])",
+    "secret": r"(?<![A-Za-z0-9_+/.-])(?=[A-Za-z_+/-]*+[0-9])(?=[0-9_+/-]*+[A-Za-z])[A-Za-z0-9_+/-]{20,}+={0,2}(?![A-Za-z0-9_+/-])",
 }
 LOOSE_NEEDS = {
     "email": r"(?i)[(\[]at[)\]]",
@@ -340,8 +340,8 @@ def redact(docs: DataFrame, trees: list[tuple], limits: list[float]) -> DataFram
     """docs with every chosen span of text replaced by its kind in brackets ([EMAIL], ...);
     overlapping spans become one, named by the first. Null texts stay null, texts without spans
     and all other columns stay as they are."""
-    text = F.col("text")
-    by_place = F.array_sort(F.transform(chosen_spans(F.col("_c"), trees, limits), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+    text, cands = F.col("text"), unused(docs, "candidates")
+    by_place = F.array_sort(F.transform(chosen_spans(F.col(cands), trees, limits), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
 
     def join(acc, s):
         last = F.element_at(acc, -1)
@@ -356,8 +356,8 @@ def redact(docs: DataFrame, trees: list[tuple], limits: list[float]) -> DataFram
         return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(m, -1).end + 1, F.length(text)))
 
     new = F.element_at(F.transform(F.array(merged), cut), 1)
-    out = docs.withColumn("_c", candidates(text))
-    return out.withColumn("text", F.when(F.size("_c") > 0, F.when(F.size(chosen_spans(F.col("_c"), trees, limits)) > 0, new).otherwise(text)).otherwise(text)).drop("_c")
+    out = docs.withColumn(cands, candidates(text))
+    return out.withColumn("text", F.when(F.size(cands) > 0, F.when(F.size(chosen_spans(F.col(cands), trees, limits)) > 0, new).otherwise(text)).otherwise(text)).drop(cands)
 
 
 def find(docs: DataFrame) -> DataFrame:

@@ -135,12 +135,13 @@ def fit(docs: DataFrame, labels: DataFrame, max_labelled: int = 4096, dims: int
     return Space(counts, label, df, n, width)
 
 
-def score(docs: DataFrame, space: Space, neighbours: int = 15, block: int = 256) -> DataFrame:
-    """docs(doc_id, text, ...) -> the same rows and columns with quality_score double added."""
+def score(docs: DataFrame, space: Space, neighbours: int = 15, block: int = 256, name: str = "quality_score") -> DataFrame:
+    """docs(doc_id, text, ...) -> the same rows and columns with the score, a double, added under
+    name; a column that is already called so gives way."""
     shared = docs.sparkSession.sparkContext.broadcast(space)
     dims = len(space.idf)
     at = docs.columns.index("text")
-    fields = [f for f in docs.schema.fields if f.name != "quality_score"]
+    fields = [f for f in docs.schema.fields if f.name != name]
     names = [f.name for f in fields]
 
     def run(batches):
@@ -148,10 +149,10 @@ def score(docs: DataFrame, space: Space, neighbours: int = 15, block: int = 256)
         for part, texts in _texts(batches, at, block):
             counts = np.stack([trigram_counts(t or "", dims) for t in texts])
             got = pa.array(s.scores(counts, neighbours), pa.float64())
-            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), got], names=[*names, "quality_score"])
+            yield pa.RecordBatch.from_arrays([*(part.column(n) for n in names), got], names=[*names, name])
 
     kinds = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in fields)
-    return docs.mapInArrow(run, f"{kinds}, quality_score double")
+    return docs.mapInArrow(run, f"{kinds}, `{name}` double")
 
 
 #: A score of at least this is good quality.

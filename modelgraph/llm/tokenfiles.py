@@ -119,12 +119,13 @@ def width_of(path: str) -> int:
 
 
 def trained_dictionary(docs: DataFrame, path: str, end: int, train_documents: int = 1000, train_chars: int = 2000, size: int = 1 << 16) -> bytes:
-    """A dictionary from the id arrays of at most train_documents documents, those with the
-    smallest hashes, of each at most train_chars code points: the sample (some megabytes) is all
-    that comes to the driver. It sets how well documents are compressed, not what is read back.
-    Samples too small to train on serve as the dictionary themselves."""
-    rows = docs.select(F.xxhash64("doc_id", letters()).alias("h"), F.substring(letters(), 1, train_chars).alias("t"))
-    texts = [r.t for r in rows.orderBy("h", "t").limit(train_documents).collect()]
+    """A dictionary from the id arrays of at most train_documents documents drawn from all, of each
+    at most train_chars code points: the sample (some megabytes) is all that comes to the driver.
+    It sets how well documents are compressed, not what is read back. Samples too small to train
+    on serve as the dictionary themselves."""
+    share = min(1.0, 1.5 * train_documents / max(1, docs.count()))
+    rows = docs.select(F.substring(letters(), 1, train_chars).alias("t")).sample(share, seed=1)
+    texts = [r.t for r in rows.limit(train_documents).collect()]
     width = width_of(path)
     encoder = WordEncoder(path, width)
     last = end.to_bytes(width, "little")

@@ -115,3 +115,7 @@ def test_sample_is_the_first_by_hash(spark):
     few = langid.fit(docs, pieces, docs_per_language=5)[1]
     chosen = docs.selectExpr("*", "dense_rank() over (partition by lang order by xxhash64(doc_id), doc_id) as r").where("r <= 5")
     assert np.allclose(few, langid.fit(chosen, pieces, docs_per_language=99)[1])
+
+
+def test_numerals_are_no_letters():
+    assert langid.words("² ½ Ⅷ 12_3") == [] and langid.words("Été x² ß") == ["été", "x", "ß"]

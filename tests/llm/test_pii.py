@@ -118,3 +118,13 @@ def test_query_spans_match_a_second_run_of_the_trees(spark):
         kept += [x for x in more if not any(meets(x, y) and rank(y) > rank(x) for y in more)]
         spans = ",".join(f"{pii.NAMES[k]}:{a}:{b}" for k, a, b in sorted((x.kind, x.start, x.end) for x in kept))
         assert got[r.doc_id] == (spans, len(kept) - n)
+
+
+def test_secrets_of_any_length(spark):
+    token = "ab1" * 400
+    rows = [(1, f"token = {token} end"), (2, f"key: {'a1' * 10}"), (3, "x" * 5000)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    got = {r.doc_id: r.c for r in docs.select("doc_id", pii.candidates(F.col("text")).alias("c")).collect()}
+    secret = pii.NAMES.index("secret")
+    assert [(s.start, s.end) for s in got[1] if s.kind == secret] == [(8, 8 + len(token))]
+    assert [(s.start, s.end) for s in got[2] if s.kind == secret] == [(5, 25)] and not [s for s in got[3] if s.kind == secret]

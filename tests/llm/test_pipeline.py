@@ -32,3 +32,28 @@ def test_stages(spark, tmp_path):
     for r in docs.limit(50).collect():
         assert r.ids == lib.encode_ordinary(texts[r.doc_id])
     assert kept["quality"] > kept["near-duplicates"] > kept["decontamination"] == kept["personal data"] == kept["encoding"] > 500
+
+
+def test_stages_of_odd_rows(spark):
+    """Null and repeated ids, null, empty and long texts, columns that clash with the stages' own."""
+    item = spark.read.parquet(f"{SF}/benchmark.parquet").orderBy(F.length("text").desc()).first().text
+    clean = "the river runs past the old mill and the children count boats on a slow warm day in june"
+    long = " ".join(f"word{i}" for i in range(30_000))
+    rows = [(None, item), (7, item), (7, clean), (8, clean + " indeed"), (8, clean + " indeed"), (9, None), (10, ""), (None, clean + " twice"), (11, long), (12, "write to a.b@c.de now")]
+    kind = "doc_id long, text string, quality_score string, key string, key_ int, _c int, candidates string, n_chars long"
+    docs = spark.createDataFrame([(i, t, "q", "k", 1, 2, "c", len(t) if t else None) for i, t in rows], kind)
+    texts = lambda df: sorted(((r.doc_id, r.text) for r in df.collect()), key=str)
+    for name, stage in corpus_pipeline.STAGES[:-1]:
+        out = stage(spark, docs, SF)
+        assert out.columns == docs.columns and dict(out.dtypes) == dict(docs.dtypes)
+        assert all((r.quality_score, r.key, r.candidates) == ("q", "k", "c") for r in out.collect())
+        if name == "near-duplicates":
+            assert texts(out) == sorted({*rows} - {(8, clean + " indeed")}, key=str)
+        if name == "decontamination":
+            assert texts(out) == sorted((r for r in rows if r[1] != item), key=str)
+        if name == "personal data":
+            assert texts(out) == sorted((r if r[0] != 12 else (12, "write to [EMAIL] now") for r in rows), key=str)
+        assert stage(spark, docs.limit(0), SF).collect() == []
+    out = corpus_pipeline.encoded(spark, docs, SF)
+    assert sorted((r.doc_id for r in out.collect()), key=str) == sorted((i for i, _ in rows), key=str)
+    assert corpus_pipeline.encoded(spark, docs.limit(0), SF).collect() == []
