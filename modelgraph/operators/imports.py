@@ -10,15 +10,15 @@ from modelgraph.operators.graph import into_cycles, settled
 
 def import_key(file_path: Column, src: Column) -> Column:
     """What an import statement points to: a URL as it is, else an absolute normal path."""
-    folder = F.regexp_replace(file_path, "/[^/]*$", "")
-    parts = F.split(F.when(src.startswith("/"), src).otherwise(F.concat(folder, F.lit("/"), src)), "/")
+    folder = F.regexp_extract(file_path, "^(.*/)?[^/]*$", 1)
+    parts = F.split(F.when(src.startswith("/"), src).otherwise(F.concat(folder, src)), "/")
 
     def step(done, p):
         up = F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0)))
         return F.when(p.isin("", "."), done).when(p == "..", up).otherwise(F.concat(done, F.array(p)))
 
     normal = F.concat(F.lit("/"), F.array_join(F.aggregate(parts, F.array().cast("array<string>"), step), "/"))
-    return F.when(src.rlike("^[a-z]+://[^/]+"), src).otherwise(normal)
+    return F.when(src.rlike(r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]+"), src).otherwise(normal)
 
 
 def missing_files(imports: DataFrame, files: DataFrame) -> DataFrame:
@@ -46,7 +46,7 @@ def missing_names(listed: DataFrame, definitions: DataFrame) -> DataFrame:
 
 def dependencies(imported: DataFrame, functions: DataFrame, args: DataFrame, terms: DataFrame, relationships: DataFrame) -> DataFrame:
     """Terms that imported(ontology_id, source_id, name) functions and relationships bring along
-    where their name is still free: inputs and output, parent and child."""
+    where their name is still free, whatever has it: inputs and output, parent and child."""
     uses = (
         args.select("ontology_id", F.col("function").alias("name"), "term")
         .unionByName(functions.select("ontology_id", "name", F.col("output_term").alias("term")))
@@ -55,7 +55,8 @@ def dependencies(imported: DataFrame, functions: DataFrame, args: DataFrame, ter
     )
     wanted = imported.join(uses, ["source_id", "name"]).select("ontology_id", "source_id", "term").distinct()
     there = terms.select(F.col("ontology_id").alias("source_id"), F.col("name").alias("term"))
-    taken = terms.select("ontology_id", F.col("name").alias("term"))
+    taken = terms.select("ontology_id", "name").unionByName(functions.select("ontology_id", "name")).unionByName(relationships.where("name is not null").select("ontology_id", "name"))
+    taken = taken.withColumnRenamed("name", "term")
     return wanted.join(there, ["source_id", "term"], "left_semi").join(taken, ["ontology_id", "term"], "left_anti")
 
 
@@ -98,22 +99,6 @@ def collected_warnings(imports: DataFrame, warnings: DataFrame) -> DataFrame:
     return warnings.select("file_id", "n").unionByName(brought).groupBy("file_id").agg(F.sum("n").alias("n"))
 
 
-def resolved(imports: DataFrame, definitions: DataFrame, most_rounds: int = 1000) -> DataFrame:
-    """imports(file_id, target_id, name: null for all), definitions(file_id, name, content) ->
-    file_id, name, n_contents: every name of a file after imports (acyclic), and how many
-    contents it has (above 1: a conflict). Each file is resolved once: a round passes on only
-    what is new."""
-    edges = settled(imports.select("file_id", F.col("target_id").alias("t"), F.col("name").alias("listed")).distinct())
-    new = every = settled(definitions.select("file_id", "name", "content").distinct())
-    for _ in range(most_rounds):
-        step = edges.join(new.withColumnRenamed("file_id", "t"), "t").where("listed is null or listed = name").select("file_id", "name", "content").distinct()
-        new = settled(step.join(every, ["file_id", "name", "content"], "left_anti"))
-        if new.isEmpty():
-            return every.groupBy("file_id", "name").agg(F.countDistinct("content").alias("n_contents"))
-        every = every.unionByName(new)  # of written parts: none is written again
-    raise RuntimeError(f"imports deeper than {most_rounds}")
-
-
 def relationships_of_imported(names: DataFrame, relationships: DataFrame) -> DataFrame:
     """names(ontology_id, source_id, name, final): imported terms -> unnamed relationships of the
     source with both ends imported, under the final names, without repetition."""

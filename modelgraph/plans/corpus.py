@@ -2,7 +2,7 @@
 
 from pyspark.sql import functions as F
 
-from modelgraph.operators import graph, imports, suggestions, workspace
+from modelgraph.operators import graph, imports, resolution, suggestions, workspace
 from modelgraph.plans.views import query
 
 
@@ -138,13 +138,13 @@ def missing_imported_names(v):
 
 @query(
     "import_dependencies", "functions function_args terms relationships",
-    """WITH i AS (SELECT (ontology_id + 1) % 50 AS ontology_id, ontology_id AS source_id, name FROM functions WHERE seq % 20 = 0 UNION SELECT (ontology_id + 1) % 50, ontology_id, name FROM relationships WHERE name IS NOT NULL AND seq % 20 = 1),
+    """WITH i AS (SELECT (ontology_id + 1) % 50 AS ontology_id, ontology_id AS source_id, name FROM functions UNION SELECT (ontology_id + 1) % 50, ontology_id, name FROM relationships WHERE name IS NOT NULL),
     u AS (SELECT ontology_id, function AS name, term FROM function_args UNION ALL SELECT ontology_id, name, output_term FROM functions UNION ALL SELECT ontology_id, name, unnest([parent, child]) FROM relationships WHERE name IS NOT NULL)
     SELECT DISTINCT i.ontology_id, i.source_id, term FROM i JOIN u ON i.source_id = u.ontology_id AND i.name = u.name WHERE EXISTS (SELECT 1 FROM terms t WHERE t.ontology_id = i.source_id AND t.name = term)
-    AND NOT EXISTS (SELECT 1 FROM terms t WHERE t.ontology_id = i.ontology_id AND t.name = term)""",
+    AND NOT EXISTS (SELECT 1 FROM (SELECT ontology_id, name FROM terms UNION ALL SELECT ontology_id, name FROM functions UNION ALL SELECT ontology_id, name FROM relationships) t WHERE t.ontology_id = i.ontology_id AND t.name = term)""",
 )
 def import_dependencies(v):
-    picked = v("functions").where("seq % 20 = 0").select("ontology_id", "name").unionByName(v("relationships").where("name is not null and seq % 20 = 1").select("ontology_id", "name"))
+    picked = v("functions").select("ontology_id", "name").unionByName(v("relationships").where("name is not null").select("ontology_id", "name"))
     wanted = picked.select(((F.col("ontology_id") + 1) % 50).alias("ontology_id"), F.col("ontology_id").alias("source_id"), "name").distinct()
     return imports.dependencies(wanted, v("functions"), v("function_args"), v("terms"), v("relationships"))
 
@@ -171,26 +171,78 @@ def import_cycles(v):
     return chains.select("node", F.array_join(F.transform("chain", lambda x: x.cast("string")), " -> ").alias("chain"))
 
 
+_LEVELS = "edges AS (SELECT DISTINCT file_id, target_id FROM model_imports), lv AS (SELECT DISTINCT file_id, 0 AS d FROM model_definitions UNION SELECT e.file_id, lv.d + 1 FROM lv JOIN edges e ON e.target_id = lv.file_id), level AS (SELECT file_id, max(d) AS d FROM lv GROUP BY 1)"
+
+# The same resolution in SQL: iteration k adds the files of level k to all rows so far.
+_FULL = f"""{_LEVELS}, list AS (SELECT file_id, target_id, seq, name, arg_min(alias, pos) AS alias FROM (SELECT DISTINCT * FROM model_imports) GROUP BY 1, 2, 3, 4),
+r AS (SELECT -1 AS k, CAST(NULL AS BIGINT) AS file_id, CAST(NULL AS BIGINT) AS place, CAST(NULL AS VARCHAR) AS kind, CAST(NULL AS VARCHAR) AS name, CAST(NULL AS VARCHAR) AS body, CAST(NULL AS VARCHAR) AS n1, CAST(NULL AS VARCHAR) AS b1, CAST(NULL AS VARCHAR) AS n2, CAST(NULL AS VARCHAR) AS b2
+UNION ALL SELECT * FROM (
+  WITH k AS (SELECT max(k) + 1 AS k FROM r), ready AS (SELECT file_id FROM level WHERE d = (SELECT k FROM k)), loc AS (SELECT * FROM model_definitions WHERE file_id IN (SELECT file_id FROM ready)),
+  got AS (SELECT l.file_id, l.seq AS place, r.kind, l.alias, r.name, r.body, n1, b1, n2, b2, r.place AS spot FROM list l JOIN r ON r.file_id = l.target_id AND r.name IS NOT NULL AND (l.name IS NULL OR l.name = r.name) WHERE l.file_id IN (SELECT file_id FROM ready)),
+  al AS (SELECT DISTINCT file_id, place, name, body, alias FROM got WHERE kind = 'term' AND alias IS NOT NULL),
+  imp AS (SELECT g.file_id, g.place, g.kind, coalesce(g.alias, g.name) AS name, g.body, coalesce(x.alias, n1) AS n1, b1, coalesce(y.alias, n2) AS n2, b2, spot FROM got g
+    LEFT JOIN al x ON x.file_id = g.file_id AND x.place = g.place AND x.name = n1 AND x.body = b1 LEFT JOIN al y ON y.file_id = g.file_id AND y.place = g.place AND y.name = n2 AND y.body = b2),
+  taken AS (SELECT file_id, name, min(place) AS place FROM (SELECT file_id, name, place FROM imp UNION ALL SELECT file_id, name, seq FROM loc WHERE name IS NOT NULL) GROUP BY 1, 2),
+  cand AS (SELECT file_id, place, kind, spot, 0 AS i, n1 AS name, b1 AS body FROM imp WHERE b1 IS NOT NULL UNION ALL SELECT file_id, place, kind, spot, 1, n2, b2 FROM imp WHERE b2 IS NOT NULL),
+  brought AS (SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY file_id, name ORDER BY place, kind, spot, i, body) AS o FROM cand) c WHERE o = 1 AND NOT EXISTS (SELECT 1 FROM taken t WHERE t.file_id = c.file_id AND t.name = c.name AND t.place <= c.place)),
+  terms AS (SELECT file_id, seq AS place, name, body FROM loc WHERE kind = 'term' UNION ALL SELECT file_id, place, name, body FROM imp WHERE kind = 'term' UNION ALL SELECT file_id, place, name, body FROM brought),
+  firsts AS (SELECT file_id, name, place, body FROM (SELECT *, row_number() OVER (PARTITION BY file_id, name ORDER BY place, body) AS o FROM terms) WHERE o = 1),
+  own AS (SELECT l.file_id, l.seq AS place, l.kind, l.name, l.body, use1 AS n1, CASE WHEN x.place < l.seq THEN x.body END AS b1, use2 AS n2, CASE WHEN y.place < l.seq THEN y.body END AS b2
+    FROM loc l LEFT JOIN firsts x ON x.file_id = l.file_id AND x.name = use1 LEFT JOIN firsts y ON y.file_id = l.file_id AND y.name = use2 WHERE l.kind <> 'term'),
+  new AS (SELECT file_id, place, 'term' AS kind, name, body, NULL AS n1, NULL AS b1, NULL AS n2, NULL AS b2 FROM terms UNION ALL SELECT file_id, place, kind, name, body, n1, b1, n2, b2 FROM imp WHERE kind <> 'term' UNION ALL SELECT * FROM own)
+  SELECT (SELECT k FROM k), file_id, min(place), kind, name, body, n1, b1, n2, b2 FROM new WHERE (SELECT k FROM k) <= (SELECT max(d) FROM level) GROUP BY ALL
+  UNION ALL SELECT (SELECT k FROM k), file_id, place, kind, name, body, n1, b1, n2, b2 FROM r WHERE file_id IS NOT NULL AND (SELECT k FROM k) <= (SELECT max(d) FROM level))),
+model AS (SELECT * FROM r WHERE k = (SELECT max(k) FROM r) AND file_id IS NOT NULL)"""
+
+
+def _definitions(v):
+    uses = F.when(F.col("kind") == "term", F.array().cast("array<string>")).otherwise(F.array("use1", "use2"))
+    return v("model_definitions").select("file_id", "seq", "kind", "name", "body", uses.alias("uses"))
+
+
+def _model(v):
+    return resolution.resolved(v("model_imports"), _definitions(v))
+
+
+_PARTS = "CASE WHEN kind <> 'term' THEN n1 || '=' || coalesce(b1, '?') || ';' || n2 || '=' || coalesce(b2, '?') ELSE '' END"
+
+
+@query("resolved_definitions", "model_imports model_definitions", f"WITH RECURSIVE {_FULL} SELECT file_id, CAST(place AS BIGINT) AS place, kind, name, body, {_PARTS} AS parts FROM model")
+def resolved_definitions(v):
+    parts = F.array_join(F.transform("parts", lambda p: F.concat(p["name"], F.lit("="), F.coalesce(p["body"], F.lit("?")))), ";")
+    return _model(v).withColumn("parts", parts)
+
+
 @query(
-    "collected_warnings", "imports definitions",
-    f"""WITH RECURSIVE {_REACH}, {_SOUND}, own AS (SELECT file_id, file_id % 3 AS n FROM definitions WHERE seq = 1),
-    walk AS (SELECT file_id, target_id AS at FROM sound UNION ALL SELECT w.file_id, s.target_id FROM walk w JOIN sound s ON w.at = s.file_id)
-    SELECT file_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT file_id, n FROM own UNION ALL SELECT w.file_id, o.n FROM walk w JOIN own o ON w.at = o.file_id) GROUP BY 1""",
+    "undefined_references_imported", "model_imports model_definitions",
+    f"""WITH RECURSIVE {_FULL}, refs AS (SELECT file_id, seq, unnest(['first', 'second']) AS role, unnest([use1, use2]) AS term FROM model_definitions WHERE kind <> 'term'),
+    f AS (SELECT file_id, name, min(place) AS p FROM model WHERE kind = 'term' GROUP BY 1, 2) SELECT r.file_id, r.term, CAST(seq AS BIGINT) AS seq, role FROM refs r LEFT JOIN f ON f.file_id = r.file_id AND f.name = r.term WHERE p IS NULL OR p >= seq""",
+)
+def undefined_references_imported(v):
+    refs = v("model_definitions").where("kind <> 'term'").select("file_id", F.col("seq").cast("long").alias("seq"), F.explode(F.create_map(F.lit("first"), "use1", F.lit("second"), "use2")).alias("role", "term"))
+    return resolution.undefined_references(refs, _model(v))
+
+
+@query(
+    "collected_warnings", "model_imports model_definitions",
+    f"""WITH RECURSIVE {_LEVELS.replace("edges AS", "st AS (SELECT DISTINCT file_id, target_id, seq FROM model_imports), edges AS")}, own AS (SELECT file_id, seq, kind || ' ' || name || ': ' || body AS text FROM model_definitions WHERE name IS NOT NULL AND length(body) % 3 = 0),
+    walk AS (SELECT file_id, file_id AS at_file, CAST([] AS BIGINT[]) AS path FROM (SELECT DISTINCT file_id FROM st UNION SELECT file_id FROM own) UNION ALL SELECT w.file_id, s.target_id, list_append(path, s.seq) FROM walk w JOIN st s ON w.at_file = s.file_id)
+    SELECT w.file_id, array_to_string(list_append(path, o.seq), '.') AS "at", text FROM walk w JOIN own o ON w.at_file = o.file_id""",
 )
 def collected_warnings(v):
-    own = v("definitions").where("seq = 1").select("file_id", (F.col("file_id") % 3).alias("n"))
-    return imports.collected_warnings(imports.acyclic(v("imports")), own)
+    own = v("model_definitions").where("name is not null and length(body) % 3 = 0").select("file_id", "seq", F.concat("kind", F.lit(" "), "name", F.lit(": "), "body").alias("text"))
+    return resolution.collected_warnings(v("model_imports"), own).withColumn("at", F.array_join(F.transform("at", lambda x: x.cast("string")), "."))
 
 
 @query(
-    "resolved_definitions", "imports definitions",
-    f"""WITH RECURSIVE {_REACH}, {_SOUND}, edge AS (SELECT DISTINCT file_id, target_id, CASE WHEN seq % 2 = 0 THEN 'e' || CAST(target_id AS VARCHAR) END AS listed FROM sound),
-    r AS (SELECT file_id, name, label, description FROM definitions UNION SELECT e.file_id, r.name, r.label, r.description FROM r JOIN edge e ON r.file_id = e.target_id WHERE listed IS NULL OR listed = r.name)
-    SELECT file_id, name, count(*) AS n_contents FROM r GROUP BY 1, 2""",
+    "warning_counts", "imports definitions",
+    f"""WITH RECURSIVE {_REACH}, {_SOUND}, own AS (SELECT file_id, file_id % 3 AS n FROM definitions WHERE seq = 1),
+    walk AS (SELECT file_id, target_id AS at FROM sound UNION ALL SELECT w.file_id, s.target_id FROM walk w JOIN sound s ON w.at = s.file_id)
+    SELECT file_id, CAST(sum(n) AS BIGINT) AS n FROM (SELECT file_id, n FROM own UNION ALL SELECT w.file_id, o.n FROM walk w JOIN own o ON w.at = o.file_id) GROUP BY 1""",
 )
-def resolved_definitions(v):
-    edges = imports.acyclic(v("imports")).selectExpr("file_id", "target_id", "case when seq % 2 = 0 then 'e' || cast(target_id as string) end as name")
-    return imports.resolved(edges, v("definitions").select("file_id", "name", imports.content(F.col("label"), F.col("description")).alias("content")))
+def warning_counts(v):
+    own = v("definitions").where("seq = 1").select("file_id", (F.col("file_id") % 3).alias("n"))
+    return imports.collected_warnings(imports.acyclic(v("imports")), own)
 
 
 @query(
