@@ -142,69 +142,149 @@ def unparsed(lines: DataFrame) -> DataFrame:
     return lines.where(~ok)
 
 
-# Class models. The keywords, which ignore case.
-CLASS_BLOCK = r"(?isuU)(?<!КОНЕЦ )КЛАСС\s+\w+.*?КОНЕЦ\s+КЛАСС"
-ENUM_BLOCK = r"(?isuU)(?<!КОНЕЦ )ПЕРЕЧИСЛЕНИЕ\s+\w+.*?КОНЕЦ\s+ПЕРЕЧИСЛЕНИЕ"
-ATTRIBUTE_LINE = r"(?iuU)^([-+#~])?\s*(\w+)\s*(?:\[([^\]]*)\])?\s*(?::\s*(\w+))?\s*(?:=\s*([^{]*?))?\s*(\{\s*только_чтение\s*\})?\s*$"
-OPERATION_LINE = r"(?iuU)^([-+#~])?\s*(\w+)\s*\(([^()]*)\)\s*(?::\s*(\w+))?\s*(?:\{([^}]*)\})?\s*$"
-RELATIONS = {"generalization": "ОБОБЩЕНИЕ", "dependency": "ЗАВИСИМОСТЬ", "realization": "РЕАЛИЗАЦИЯ"}
-ASSOCIATION = r"(?iuU)(АССОЦИАЦИЯ|КОМПОЗИЦИЯ|АГРЕГАЦИЯ)\s+(\w+)\s*(?:\[([^\]]*)\])?\s*(?::\s*(\w+))?\s*--\s*(\w+)(?:\s*\[([^\]]*)\])?(?:\s*:\s*(\w+))?(?:\s+ИМЯ\s+(\w+))?(\s+производная)?"
+# Class models. The keywords, which ignore case; the first three may be names too.
+NAME_WORDS = ("имя", "в", "как")
+DECLARATIONS = ("класс", "перечисление", "обобщение", "ассоциация", "композиция", "агрегация", "зависимость", "реализация", "размещение")
+KEYWORDS = (
+    *DECLARATIONS, "конец", "абстрактный", "атрибуты", "операции", "выровнять", "распределить", "сгруппировать", "привязать", "зафиксировать", "повернуть",
+    "по", "левому", "правому", "верху", "низу", "горизонтали", "вертикали", "шаг", "левее", "правее", "выше", "ниже",
+    "производная", "подстановочное", "только_чтение", "абстрактная", "запрос", "лист",
+)
+
+_TEXT = r'"(?:\\[\s\S]|[^"\\])*+"?'
+_TOKEN = rf"{_TEXT}|\p{{Nd}}+|[\p{{L}}_][\p{{L}}\p{{N}}_]*|->|--|\.\.|\S"
+
+# A source's tokens as one text: each is the letter of its kind (Keyword, Word that may be a name,
+# Identifier, Number, Quoted text, Symbol), its value and \x01. So strings with brackets, keywords or line
+# breaks in them can't be taken for anything else, and statements are patterns over tokens.
+_AT = r"(?<![^\x01])"
+_START = rf"{_AT}(?<!Kконец\x01)K(?:{'|'.join(DECLARATIONS)})\x01"
+_NAME = r"[IW]([^\x01]+)\x01"
+_ANY_NAME = r"[IW][^\x01]+\x01"
+_ANY_VALUE = r"[NQIW][^\x01]*\x01"
+_RANGE = r"S\[\x01(?:N\d+\x01(?:S\.\.\x01(?:S\*|N\d+)\x01)?|S\*\x01)?S\]\x01"
+_END = rf"{_NAME}((?:{_RANGE})?(?:N\d+\x01|S\*\x01)?)(?:S:\x01{_NAME})?"
+ASSOCIATION = rf"^K(ассоциация|композиция|агрегация)\x01{_END}S--\x01{_END}((?:Wимя\x01[QIW][^\x01]*\x01|Kпроизводная\x01)*)$"
+ARROWS = {
+    "generalization": rf"^Kобобщение\x01{_NAME}S->\x01{_NAME}(?:Kподстановочное\x01)?()$",
+    "dependency": rf"^Kзависимость\x01{_NAME}S->\x01{_NAME}(?:[QI]([^\x01]*)\x01)?$",
+    "realization": rf"^Kреализация\x01{_NAME}S->\x01{_NAME}()$",
+}
+CLASS = rf"(?s)^Kкласс\x01{_NAME}(Kабстрактный\x01)?(?:K(?:атрибуты|операции)\x01.*)?Kконец\x01Kкласс\x01$"
+ENUMERATION = rf"(?s)^Kперечисление\x01{_NAME}(.*)Kконец\x01Kперечисление\x01$"
+ATTRIBUTE = rf"(?:S([-+#~])\x01)?{_NAME}((?:{_RANGE})?)(?:S:\x01{_NAME})?(?:S=\x01[NQIW]([^\x01]*)\x01)?(?:S\{{\x01((?:Kтолько_чтение\x01|S,\x01)*)S\}}\x01)?"
+PARAMETER = rf"{_NAME}(?:S:\x01{_NAME})?(S=\x01[NQIW]([^\x01]*)\x01)?"
+_ANY_PARAMETER = rf"{_ANY_NAME}(?:S:\x01{_ANY_NAME})?(?:S=\x01{_ANY_VALUE})?"
+OPERATION = rf"(?:S([-+#~])\x01)?{_NAME}S\(\x01((?:{_ANY_PARAMETER}(?:S,\x01{_ANY_PARAMETER})*)?)S\)\x01(?:S:\x01{_NAME})?(?:S\{{\x01((?:K(?:абстрактная|запрос|лист)\x01|S,\x01)*)S\}}\x01)?"
+
+
+def tdl_tokens(sources: DataFrame) -> DataFrame:
+    """file, pos, kind (one letter, as above), text of every token of sources(file, content). A comment
+    is a line that begins with --; elsewhere -- is the sign between ends."""
+    text = F.regexp_replace("content", rf"(?md)({_TEXT})|^--[^\n]*", "$1")
+    rows = sources.select("file", F.posexplode(F.regexp_extract_all(text, F.lit(rf"({_TOKEN})"), F.lit(1))).alias("pos", "t")).withColumn("t", _token(F.col("t")))
+    return rows.select("file", "pos", F.substring("t", 1, 1).alias("kind"), F.substring(F.col("t"), F.lit(2), F.length("t")).alias("text"))
+
+
+def _token(t: Column) -> Column:
+    low = F.lower(t)
+    quoted = F.regexp_replace(F.translate(F.regexp_extract(t, r'^"((?:\\[\s\S]|[^"\\])*+)', 1), "\x01", ""), r"\\([\s\S])", "$1")
+    word = F.when(low.isin(*NAME_WORDS), F.concat(F.lit("W"), low)).when(low.isin(*KEYWORDS), F.concat(F.lit("K"), low)).otherwise(F.concat(F.lit("I"), t))
+    return (
+        F.when(t.startswith('"'), F.concat(F.lit("Q"), quoted)).when(t.rlike(r"^[\p{L}_]"), word)
+        .when(t.rlike(r"^\p{Nd}"), F.concat(F.lit("N"), t)).otherwise(F.concat(F.lit("S"), t))
+    )
+
+
+def tdl_statements(sources: DataFrame) -> DataFrame:
+    """file, pos, text: one row per declaration, as a text of tokens; what stands before the first is one too.
+    The layout block and what follows it are left out."""
+    text = F.regexp_replace("content", rf"(?md)({_TEXT})|^--[^\n]*", "$1")
+    tokens = F.transform(F.regexp_extract_all(text, F.lit(rf"({_TOKEN})"), F.lit(1)), lambda t: F.concat(_token(t), F.lit("\x01")))
+    text = F.regexp_replace(F.array_join(tokens, ""), rf"(?s){_AT}(?<!Kконец\x01)Kразмещение\x01.*$", "")
+    rows = sources.select("file", F.posexplode(F.split(text, f"(?={_START})")).alias("pos", "text"))
+    return rows.where("text <> ''")
 
 
-def _uncommented(sources: DataFrame) -> DataFrame:
-    return sources.withColumn("content", F.regexp_replace("content", r"(?m)^\s*--.*$", ""))
+def tdl_unparsed(sources: DataFrame) -> DataFrame:
+    """Declarations that are none of the forms, as token texts."""
+    t = F.col("text")
+    known = t.rlike(ASSOCIATION) | (t.rlike(ENUMERATION) & part(t, ENUMERATION, 2).rlike(rf"^(?:{_ANY_NAME})*$"))
+    for pattern in ARROWS.values():
+        known = known | t.rlike(pattern)
+    return tdl_statements(sources).where(~(known | t.rlike(CLASS)))
 
 
 def tdl_classes(sources: DataFrame) -> DataFrame:
-    """file, pos, class, is_abstract, stereotype, body of class and enumeration blocks."""
-    s = _uncommented(sources)
-    block = lambda pattern, mark: s.select("file", F.posexplode(F.regexp_extract_all("content", F.lit(f"({pattern})"), F.lit(1))).alias("pos", "body"), F.lit(mark).alias("stereotype"))
-    rows = block(CLASS_BLOCK, None).unionByName(block(ENUM_BLOCK, "enumeration"))
-    name = F.regexp_extract("body", r"(?iuU)^\w+\s+(\w+)", 1)
-    return rows.select("file", "pos", name.alias("class"), F.col("body").rlike(r"(?iuU)^\w+\s+\w+\s+АБСТРАКТНЫЙ").alias("is_abstract"), "stereotype", "body")
+    """file, pos, class, is_abstract, stereotype, body (tokens) of classes and enumerations."""
+    t = F.col("text")
+    rows = tdl_statements(sources).withColumn("is_class", t.rlike(CLASS)).where(F.col("is_class") | t.rlike(ENUMERATION))
+    return rows.select(
+        "file", "pos", F.when(F.col("is_class"), part(t, CLASS, 1)).otherwise(part(t, ENUMERATION, 1)).alias("class"),
+        (F.col("is_class") & (part(t, CLASS, 2) != "")).alias("is_abstract"), F.when(~F.col("is_class"), "enumeration").alias("stereotype"), t.alias("body"),
+    )
 
 
-def _section_lines(classes: DataFrame, begin: str, end: str) -> DataFrame:
-    text = F.regexp_extract("body", rf"(?isuU){begin}\s*\n(.*?)(?:{end})", 1)
-    rows = classes.select("file", "class", F.posexplode(F.split(text, "\n")).alias("pos", "text"))
-    return rows.withColumn("text", F.trim("text")).where("text <> ''")
+def _features(classes: DataFrame, begin: str, pattern: str) -> DataFrame:
+    """file, class, pos, t: the features behind a keyword, as texts of tokens; each begins with its
+    visibility or with an identifier."""
+    section = F.regexp_extract("body", rf"(?s){_AT}K{begin}\x01(.*?){_AT}K(?:операции|конец)\x01", 1)
+    found = F.regexp_extract_all(section, F.lit(rf"{_AT}({pattern})"), F.lit(1))
+    return classes.where("stereotype is null").select("file", "class", F.posexplode(found).alias("pos", "t"))
+
+
+def _range(text: Column) -> Column:
+    """A multiplicity as it is written, from its tokens; null without one."""
+    return F.nullif(F.regexp_replace(text, r"[SN\x01\[\]]", ""), F.lit(""))
+
+
+def _some(text: Column, pattern: str, group: int) -> Column:
+    return F.nullif(part(text, pattern, group), F.lit(""))
 
 
 def tdl_attributes(classes: DataFrame) -> DataFrame:
     """file, class, pos, visibility, name, multiplicity, type_, initial_value, read_only of
-    attribute lines; the literals of an enumeration are attributes that have a name alone."""
-    rows, t = _section_lines(classes.where("stereotype is null"), "АТРИБУТЫ", "ОПЕРАЦИИ|КОНЕЦ").where(F.col("text").rlike(ATTRIBUTE_LINE)), F.col("text")
-    some = lambda i: F.nullif(part(t, ATTRIBUTE_LINE, i), F.lit(""))
-    rows = rows.select("file", "class", "pos", some(1).alias("visibility"), some(2).alias("name"), multiplicity(some(3)).alias("multiplicity"), some(4).alias("type_"), some(5).alias("initial_value"), some(6).isNotNull().alias("read_only"))
-    words = F.regexp_extract("body", r"(?isuU)^\w+\s+\w+\s+(.*?)\s*КОНЕЦ\s+ПЕРЕЧИСЛЕНИЕ$", 1)
-    literals = classes.where("stereotype = 'enumeration'").select("file", "class", F.posexplode(F.split(words, r"\s+")).alias("pos", "name")).where("name <> ''")
+    attributes; the literals of an enumeration are attributes that have a name alone."""
+    rows, t = _features(classes, "атрибуты", ATTRIBUTE), F.col("t")
+    some = lambda i: _some(t, rf"^{ATTRIBUTE}$", i)
+    rows = rows.select("file", "class", "pos", some(1).alias("visibility"), some(2).alias("name"), multiplicity(_range(part(t, rf"^{ATTRIBUTE}$", 3))).alias("multiplicity"), some(4).alias("type_"), some(5).alias("initial_value"), F.coalesce(some(6).contains("только_чтение"), F.lit(False)).alias("read_only"))
+    words = F.regexp_extract_all(part(F.col("body"), ENUMERATION, 2), F.lit(_NAME), F.lit(1))
+    literals = classes.where("stereotype = 'enumeration'").select("file", "class", F.posexplode(words).alias("pos", "name"))
     return rows.unionByName(literals.withColumn("read_only", F.lit(False)), allowMissingColumns=True)
 
 
 def tdl_operations(classes: DataFrame) -> DataFrame:
-    rows, t = _section_lines(classes.where("stereotype is null"), "ОПЕРАЦИИ", "КОНЕЦ").where(F.col("text").rlike(OPERATION_LINE)), F.col("text")
-    some = lambda i: F.nullif(part(t, OPERATION_LINE, i), F.lit(""))
-    mark = lambda word: F.coalesce(some(5).rlike(f"(?iuU){word}"), F.lit(False))
-    return rows.select("file", "class", "pos", some(1).alias("visibility"), some(2).alias("name"), some(3).alias("params"), some(4).alias("return_type"), mark("абстрактная").alias("is_abstract"), mark("запрос").alias("is_query"), mark("лист").alias("is_leaf"))
+    """file, class, pos, visibility, name, params (array of name, type_, default), return_type,
+    is_abstract, is_query, is_leaf."""
+    rows, t = _features(classes, "операции", OPERATION), F.col("t")
+    some = lambda i: _some(t, rf"^{OPERATION}$", i)
+    mark = lambda word: F.coalesce(some(5).contains(f"K{word}\x01"), F.lit(False))
+    one = lambda p: F.struct(part(p, PARAMETER, 1).alias("name"), _some(p, PARAMETER, 2).alias("type_"), F.when(part(p, PARAMETER, 3) != "", part(p, PARAMETER, 4)).alias("default"))
+    params = F.transform(F.regexp_extract_all(part(t, rf"^{OPERATION}$", 3), F.lit(f"({PARAMETER})"), F.lit(1)), one)
+    return rows.select("file", "class", "pos", some(1).alias("visibility"), some(2).alias("name"), params.alias("params"), some(4).alias("return_type"), mark("абстрактная").alias("is_abstract"), mark("запрос").alias("is_query"), mark("лист").alias("is_leaf"))
 
 
 def tdl_relations(sources: DataFrame) -> DataFrame:
-    """file, relation, source, target, stereotype of the three arrow relations."""
-    s, out = _uncommented(sources), None
-    for relation, word in RELATIONS.items():
-        pattern = rf"(?iuU){word}\s+(\w+)\s*->\s*(\w+)(?:[ \t]+(\w+))?"
-        rows = s.select("file", F.explode(F.regexp_extract_all("content", F.lit(f"({pattern})"), F.lit(1))).alias("t"))
-        rows = rows.select("file", F.lit(relation).alias("relation"), F.regexp_extract("t", pattern, 1).alias("source"), F.regexp_extract("t", pattern, 2).alias("target"), F.nullif(F.regexp_extract("t", pattern, 3), F.lit("")).alias("stereotype"))
-        out = rows if out is None else out.unionByName(rows)
-    return out
+    """file, pos, relation, source, target, stereotype of the three arrow relations."""
+    rows, t = tdl_statements(sources), F.col("text")
+    pick = lambda i: F.coalesce(*(F.when(t.rlike(p), _some(t, p, i)) for p in ARROWS.values()))
+    relation = F.coalesce(*(F.when(t.rlike(p), r) for r, p in ARROWS.items()))
+    return rows.select("file", "pos", relation.alias("relation"), pick(1).alias("source"), pick(2).alias("target"), pick(3).alias("stereotype")).where("relation is not null")
 
 
 def tdl_associations(sources: DataFrame) -> DataFrame:
-    """file, pos, aggregation, class1, multiplicity1, role1, class2, multiplicity2, role2, name, derived."""
-    rows = _uncommented(sources).select("file", F.posexplode(F.regexp_extract_all("content", F.lit(f"({ASSOCIATION})"), F.lit(1))).alias("pos", "t"))
-    some = lambda i: F.nullif(F.regexp_extract("t", ASSOCIATION, i), F.lit(""))
-    kind = F.when(F.lower(some(1)) == "композиция", "composition").when(F.lower(some(1)) == "агрегация", "aggregation").otherwise("none")
-    return rows.select("file", "pos", kind.alias("aggregation"), some(2).alias("class1"), some(3).alias("multiplicity1"), some(4).alias("role1"), some(5).alias("class2"), some(6).alias("multiplicity2"), some(7).alias("role2"), some(8).alias("name"), some(9).isNotNull().alias("derived"))
+    """file, pos, aggregation, class1, multiplicity1, role1, class2, multiplicity2, role2, name, derived.
+    A multiplicity may stand in brackets or bare; name and derived mark come in any order, of
+    several names the last counts."""
+    t = F.col("text")
+    rows = tdl_statements(sources).where(t.rlike(ASSOCIATION))
+    some = lambda i: _some(t, ASSOCIATION, i)
+    kind = F.when(some(1) == "композиция", "composition").when(some(1) == "агрегация", "aggregation").otherwise("none")
+    name = F.nullif(F.regexp_extract(some(8), r"(?s)^.*Wимя\x01[QIW]([^\x01]*)\x01", 1), F.lit(""))
+    return rows.select(
+        "file", "pos", kind.alias("aggregation"), some(2).alias("class1"), _range(some(3)).alias("multiplicity1"), some(4).alias("role1"), some(5).alias("class2"), _range(some(6)).alias("multiplicity2"), some(7).alias("role2"),
+        name.alias("name"), F.coalesce(some(8).contains("Kпроизводная\x01"), F.lit(False)).alias("derived"),
+    )
 
 
 # Tagged drawings.

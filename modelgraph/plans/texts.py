@@ -136,18 +136,28 @@ def parse_attributes(v):
     return extract.attributes(extract.logical_lines(sources)).groupBy("file", "key", "value").agg(F.count("*").alias("n"))
 
 
+# Types and defaults as they stand in the sources: names of classes begin with a letter; every third
+# default is a string with brackets, a quote and a keyword in it.
+_TYPE = "CASE WHEN {0} BETWEEN '0' AND '99999999' THEN 'c' || {0} ELSE {0} END"
+_DEFAULT = "CASE WHEN seq % 3 = 0 THEN initial_value || ' {x} \"y) КОНЕЦ' ELSE initial_value END"
+
+
 def _tdl(v):
     """A class source for each diagram of ten classes."""
-    a = v("attributes").withColumn("line", F.concat(F.lit("    + "), "name", F.lit("_"), F.col("seq").cast("string"), F.lit(" [1..*]"), F.coalesce(F.concat(F.lit(" : "), "type_"), F.lit("")), F.lit(" = "), "initial_value", F.when(F.col("seq") % 2 == 0, " { только_чтение }").otherwise("")))
+    initial = F.expr("case when seq % 3 = 0 then concat('\"', initial_value, ' {x} ', chr(92), '\"y) КОНЕЦ\"') else initial_value end")
+    a = v("attributes").withColumn("type_", F.expr(_TYPE.format("type_"))).withColumn("line", F.concat(F.lit("    + "), "name", F.lit("_"), F.col("seq").cast("string"), F.lit(" [1..*]"), F.coalesce(F.concat(F.lit(" : "), "type_"), F.lit("")), F.lit(" = "), initial, F.when(F.col("seq") % 2 == 0, " { только_чтение }").otherwise("")))
     attrs = a.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("attrs"))
-    o = v("operations").withColumn("line", F.concat(F.lit("    "), "visibility", F.lit(" "), "name", F.lit("_"), F.col("op").cast("string"), F.lit("()"), F.coalesce(F.concat(F.lit(" : "), "return_type"), F.lit("")), F.when(F.col("is_query"), " {запрос}").otherwise("")))
+    p = v("parameters").withColumn("t", F.expr(f"name || coalesce(' : ' || {_TYPE.format('type_')}, '') || coalesce(' = ' || default_value, '')"))
+    p = p.groupBy("op").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("pos", "t"))), lambda x: x["t"]), ", ").alias("params"))
+    o = v("operations").withColumn("return_type", F.expr(_TYPE.format("return_type"))).join(p, "op", "left")
+    o = o.withColumn("line", F.concat(F.lit("    "), "visibility", F.lit(" "), "name", F.lit("_"), F.col("op").cast("string"), F.lit("("), F.coalesce("params", F.lit("")), F.lit(")"), F.coalesce(F.concat(F.lit(" : "), "return_type"), F.lit("")), F.when(F.col("is_query"), " {запрос, лист}").otherwise("")))
     ops = o.groupBy("class").agg(F.array_join(F.array_sort(F.collect_list("line")), "\n").alias("ops"))
     c = v("classifiers").join(attrs, "class", "left").join(ops, "class", "left")
     word = F.when(F.col("class") % 2 == 0, "КЛАСС c").otherwise("класс c")
     block = F.concat(word, F.col("class").cast("string"), F.when(F.col("is_abstract"), " АБСТРАКТНЫЙ").otherwise(""), F.lit("\n-- note\n"), F.coalesce(F.concat(F.lit("  АТРИБУТЫ\n"), "attrs", F.lit("\n")), F.lit("")), F.coalesce(F.concat(F.lit("  ОПЕРАЦИИ\n"), "ops", F.lit("\n")), F.lit("")), F.lit("КОНЕЦ КЛАСС\n"))
-    rel = v("generalizations").selectExpr("CAST(floor(specific / 10) AS BIGINT) as file", "'ОБОБЩЕНИЕ c' || specific || ' -> c' || general as t").unionByName(v("dependencies").selectExpr("CAST(floor(client / 10) AS BIGINT) as file", "'зависимость c' || client || ' -> c' || supplier || ' ' || stereotype as t")).unionByName(v("realizations").selectExpr("CAST(floor(implementer / 10) AS BIGINT) as file", "'РЕАЛИЗАЦИЯ c' || implementer || ' -> c' || interface as t"))
-    two = v("dependencies").selectExpr("CAST(floor(client / 10) AS BIGINT) as file", "case client % 3 when 0 then 'КОМПОЗИЦИЯ c' when 1 then 'АГРЕГАЦИЯ c' else 'Ассоциация c' end || client || ' [1] : r -- c' || supplier || ' [0..*]' || case when client % 2 = 0 then ' ИМЯ n' || client else '' end || case when client % 5 = 0 then ' производная' else '' end as t")
-    enums = v("classifiers").where("class % 4 = 0").selectExpr("CAST(floor(class / 10) AS BIGINT) AS file", "'Перечисление e' || class || '\\n  one_' || class || ' two\\nКОНЕЦ ПЕРЕЧИСЛЕНИЕ\\n' AS t")
+    rel = v("generalizations").selectExpr("CAST(floor(specific / 10) AS BIGINT) as file", "'ОБОБЩЕНИЕ c' || specific || ' -> c' || general as t").unionByName(v("dependencies").selectExpr("CAST(floor(client / 10) AS BIGINT) as file", "'зависимость c' || client || ' -> c' || supplier || case when client % 2 = 0 then ' \"' || stereotype || '\"' else ' ' || stereotype end as t")).unionByName(v("realizations").selectExpr("CAST(floor(implementer / 10) AS BIGINT) as file", "'РЕАЛИЗАЦИЯ c' || implementer || ' -> c' || interface as t"))
+    two = v("dependencies").selectExpr("CAST(floor(client / 10) AS BIGINT) as file", "case client % 3 when 0 then 'КОМПОЗИЦИЯ c' when 1 then 'АГРЕГАЦИЯ c' else 'Ассоциация\\n  c' end || client || case when client % 4 = 1 then ' 1' else ' [1]' end || ' : r\\n  --\\n  c' || supplier || case when client % 4 = 1 then ' *' else ' [0..*]' end || case when client % 5 = 0 then ' производная' else '' end || case client % 4 when 0 then ' ИМЯ n' || client when 2 then ' ИМЯ \"n (' || client || '\"' else '' end as t")
+    enums = v("classifiers").where("class % 4 = 0").selectExpr("CAST(floor(class / 10) AS BIGINT) AS file", "'Перечисление e' || class || '\\n  one_' || class || ' имя\\nКОНЕЦ ПЕРЕЧИСЛЕНИЕ\\n' AS t")
     parts = c.select(F.floor(F.col("class") / 10).alias("file"), block.alias("t")).unionByName(rel).unionByName(two).unionByName(enums)
     return parts.groupBy("file").agg(F.array_join(F.array_sort(F.collect_list("t")), "\n").alias("content"))
 
@@ -158,15 +168,17 @@ def parse_tdl_classes(v):
 
 
 @query(
-    "parse_tdl_features", "attributes operations classifiers",
-    """SELECT CAST(floor(class / 10) AS BIGINT) AS file, 'c' || class AS class, '+' AS visibility, name || '_' || seq AS name, type_, initial_value || CASE WHEN seq % 2 = 0 THEN ' ro' ELSE '' END AS detail, count(*) AS n FROM attributes WHERE class IN (SELECT class FROM classifiers) GROUP BY ALL
-    UNION ALL SELECT CAST(floor(class / 10) AS BIGINT), 'c' || class, visibility, name || '_' || op, return_type, CASE WHEN is_query THEN 'query' ELSE '' END, 1 FROM operations WHERE class IN (SELECT class FROM classifiers)
-    UNION ALL SELECT CAST(floor(class / 10) AS BIGINT), 'e' || class, NULL, unnest(['one_' || class, 'two']), NULL, NULL, 1 FROM classifiers WHERE class % 4 = 0""",
+    "parse_tdl_features", "attributes operations parameters classifiers",
+    f"""WITH p AS (SELECT op, string_agg(name || ':' || coalesce({_TYPE.format("type_")}, '-') || '=' || coalesce(default_value, '-'), ',' ORDER BY pos, name || coalesce(' : ' || {_TYPE.format("type_")}, '') || coalesce(' = ' || default_value, '')) AS params FROM parameters GROUP BY 1)
+    SELECT CAST(floor(class / 10) AS BIGINT) AS file, 'c' || class AS class, '+' AS visibility, name || '_' || seq AS name, {_TYPE.format("type_")} AS type_, {_DEFAULT} || CASE WHEN seq % 2 = 0 THEN ' ro' ELSE '' END AS detail, count(*) AS n FROM attributes WHERE class IN (SELECT class FROM classifiers) GROUP BY ALL
+    UNION ALL SELECT CAST(floor(class / 10) AS BIGINT), 'c' || class, visibility, name || '_' || o.op, {_TYPE.format("return_type")}, coalesce(params, '') || CASE WHEN is_query THEN ' query leaf' ELSE '' END, 1 FROM operations o LEFT JOIN p ON p.op = o.op WHERE class IN (SELECT class FROM classifiers)
+    UNION ALL SELECT CAST(floor(class / 10) AS BIGINT), 'e' || class, NULL, unnest(['one_' || class, 'имя']), NULL, NULL, 1 FROM classifiers WHERE class % 4 = 0""",
 )
 def parse_tdl_features(v):
     classes = extract.tdl_classes(_tdl(v))
     a = extract.tdl_attributes(classes).withColumn("detail", F.concat("initial_value", F.when(F.col("read_only"), " ro").otherwise("")))
-    o = extract.tdl_operations(classes).withColumn("detail", F.when(F.col("is_query"), "query").otherwise("")).withColumnRenamed("return_type", "type_")
+    params = F.array_join(F.transform("params", lambda p: F.concat(p["name"], F.lit(":"), F.coalesce(p["type_"], F.lit("-")), F.lit("="), F.coalesce(p["default"], F.lit("-")))), ",")
+    o = extract.tdl_operations(classes).withColumn("detail", F.concat(params, F.when(F.col("is_query"), " query").otherwise(""), F.when(F.col("is_leaf"), " leaf").otherwise(""))).withColumnRenamed("return_type", "type_")
     cols = ["file", "class", "visibility", "name", "type_", "detail"]
     return a.select(*cols).unionByName(o.select(*cols)).groupBy(*cols).agg(F.count("*").alias("n"))
 
@@ -176,12 +188,12 @@ def parse_tdl_features(v):
     """SELECT CAST(floor(specific / 10) AS BIGINT) AS file, 'generalization' AS relation, 'c' || specific AS source, 'c' || general AS target, CAST(NULL AS VARCHAR) AS stereotype FROM generalizations
     UNION ALL SELECT CAST(floor(client / 10) AS BIGINT), 'dependency', 'c' || client, 'c' || supplier, stereotype FROM dependencies WHERE supplier >= 0 UNION ALL SELECT CAST(floor(implementer / 10) AS BIGINT), 'realization', 'c' || implementer, 'c' || interface, NULL FROM realizations
     UNION ALL SELECT CAST(floor(client / 10) AS BIGINT), CASE client % 3 WHEN 0 THEN 'composition' WHEN 1 THEN 'aggregation' ELSE 'none' END, 'c' || client, 'c' || supplier,
-    '1 r 0..*' || CASE WHEN client % 2 = 0 THEN ' n' || client ELSE '' END || CASE WHEN client % 5 = 0 THEN ' derived' ELSE '' END FROM dependencies WHERE supplier >= 0""",
+    '1 r ' || CASE WHEN client % 4 = 1 THEN '*' ELSE '0..*' END || CASE client % 4 WHEN 0 THEN ' n' || client WHEN 2 THEN ' n (' || client ELSE '' END || CASE WHEN client % 5 = 0 THEN ' derived' ELSE '' END FROM dependencies WHERE supplier >= 0""",
 )
 def parse_tdl_relations(v):
     s = _tdl(v)
     two = extract.tdl_associations(s).select("file", F.col("aggregation").alias("relation"), F.col("class1").alias("source"), F.col("class2").alias("target"), F.concat_ws(" ", "multiplicity1", "role1", "multiplicity2", "name", F.when(F.col("derived"), "derived")).alias("stereotype"))
-    return extract.tdl_relations(s).unionByName(two).where("target is not null")
+    return extract.tdl_relations(s).drop("pos").unionByName(two)
 
 
 def _svg(v):

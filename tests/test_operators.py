@@ -218,3 +218,80 @@ def test_import_keys(spark):
     cases = [("/m/a.ontol", "HTTP://x.org/a", "HTTP://x.org/a"), ("b.ontol", "c.ontol", "/c.ontol"), ("d/b.ontol", "../c.ontol", "/c.ontol"), ("/m/n/b.ontol", "./x/../c.ontol", "/m/n/c.ontol"), ("/m/a", "/z/./q", "/z/q"), ("/m/a", "file:c", "/m/file:c")]
     rows = spark.createDataFrame([c[:2] for c in cases], "p string, s string").select("p", "s", imports.import_key(F.col("p"), F.col("s")).alias("k"))
     assert sorted(map(tuple, rows.collect())) == sorted(cases)
+
+
+def _of_source(spark, text):
+    return spark.createDataFrame([("f", text)], "file string, content string")
+
+
+TDL = """-- a comment with АССОЦИАЦИЯ А -- Б
+класс А АБСТРАКТНЫЙ
+  АТРИБУТЫ
+    + x : String = "a{b КОНЕЦ КЛАСС" # y [ 1..* ] : цел = 5 { только_чтение }
+    имя
+  ОПЕРАЦИИ
+    - f(a : int = 3, b = "x, y)", c) : B {запрос, лист}
+    g() {абстрактная}
+КОНЕЦ КЛАСС
+ПЕРЕЧИСЛЕНИЕ Ц красный
+ имя В КОНЕЦ ПЕРЕЧИСЛЕНИЕ
+АССОЦИАЦИЯ
+  А 1
+  --
+  Призрак *
+  ИМЯ "связь с призраком"
+КОМПОЗИЦИЯ А [0..1] : часть -- Б [2..*] : имя производная ИМЯ владеет
+агрегация А -- Б
+ЗАВИСИМОСТЬ А -> Б "use" ЗАВИСИМОСТЬ А -> Б call ЗАВИСИМОСТЬ А -> Б
+ОБОБЩЕНИЕ Б -> А ПОДСТАНОВОЧНОЕ
+РЕАЛИЗАЦИЯ Б -> А
+АССОЦИАЦИЯ А [1 -- Б
+РАЗМЕЩЕНИЕ
+  ЗАФИКСИРОВАТЬ А В ( 80 , 80 )
+КОНЕЦ РАЗМЕЩЕНИЕ
+ОБОБЩЕНИЕ А -> Х
+"""
+
+
+def test_class_sources(spark):
+    s = _of_source(spark, TDL)
+    classes = extract.tdl_classes(s).cache()
+    assert [(r["class"], r.is_abstract, r.stereotype) for r in classes.orderBy("pos").collect()] == [("А", True, None), ("Ц", False, "enumeration")]
+    a = extract.tdl_attributes(classes).orderBy("class", "pos").collect()
+    assert [(r["class"], r.visibility, r.name, r.type_, r.initial_value, r.read_only) for r in a] == [
+        ("А", "+", "x", "String", "a{b КОНЕЦ КЛАСС", False), ("А", "#", "y", "цел", "5", True), ("А", None, "имя", None, None, False),
+        ("Ц", None, "красный", None, None, False), ("Ц", None, "имя", None, None, False), ("Ц", None, "в", None, None, False),
+    ]
+    assert (a[1].multiplicity.lower, a[1].multiplicity.upper) == (1, None)
+    o = extract.tdl_operations(classes).orderBy("pos").collect()
+    assert [(r.visibility, r.name, [tuple(p) for p in r.params], r.return_type, r.is_abstract, r.is_query, r.is_leaf) for r in o] == [
+        ("-", "f", [("a", "int", "3"), ("b", None, "x, y)"), ("c", None, None)], "B", False, True, True), (None, "g", [], None, True, False, False),
+    ]
+    two = extract.tdl_associations(s).orderBy("pos").drop("file", "pos").collect()
+    assert [tuple(r) for r in two] == [
+        ("none", "А", "1", None, "Призрак", "*", None, "связь с призраком", False),
+        ("composition", "А", "0..1", "часть", "Б", "2..*", "имя", "владеет", True),
+        ("aggregation", "А", None, None, "Б", None, None, None, False),
+    ]
+    arrows = extract.tdl_relations(s).orderBy("pos").drop("file", "pos").collect()
+    assert [tuple(r) for r in arrows] == [
+        ("dependency", "А", "Б", "use"), ("dependency", "А", "Б", "call"), ("dependency", "А", "Б", None), ("generalization", "Б", "А", None), ("realization", "Б", "А", None),
+    ]
+    assert [r.text.replace("\x01", " ") for r in extract.tdl_unparsed(s).collect()] == ["Kассоциация IА S[ N1 S-- IБ "]
+    kinds = {(r.kind, r.text) for r in extract.tdl_tokens(s).collect()}
+    assert {("K", "класс"), ("I", "Призрак"), ("Q", "a{b КОНЕЦ КЛАСС"), ("N", "80"), ("S", "--"), ("W", "имя")} <= kinds
+
+
+def test_errors_of_class_sources(spark):
+    """The kinds of errors that a model of one source can have: each is found from its text."""
+    ring = _of_source(spark, "КЛАСС А КОНЕЦ КЛАСС КЛАСС Б КОНЕЦ КЛАСС КЛАСС В КОНЕЦ КЛАСС\nОБОБЩЕНИЕ Б -> А\nОБОБЩЕНИЕ В -> Б\nОБОБЩЕНИЕ А -> В")
+    edges = extract.tdl_relations(ring).select(F.col("source").alias("a"), F.col("target").alias("b"))
+    assert {r.node for r in graph.on_cycles(edges).collect()} == {"А", "Б", "в"}  # a keyword as a name is in lower case
+    two = _of_source(spark, "КЛАСС П1\nАТРИБУТЫ + x : Строка КОНЕЦ КЛАСС КЛАСС П2 АТРИБУТЫ + x : цел КОНЕЦ КЛАСС\nКЛАСС Дитя КОНЕЦ КЛАСС\nОБОБЩЕНИЕ Дитя -> П1\nОБОБЩЕНИЕ Дитя -> П2")
+    up = extract.tdl_relations(two).join(extract.tdl_attributes(extract.tdl_classes(two)).withColumnRenamed("class", "target"), "target")
+    assert up.groupBy("source", "name").agg(F.countDistinct("type_").alias("n")).where("n > 1").select("source", "name").first() == ("Дитя", "x")
+    ghost = _of_source(spark, "КЛАСС А КОНЕЦ КЛАСС\nКЛАСС Б АТРИБУТЫ + что : Призрак КОНЕЦ КЛАСС\nАССОЦИАЦИЯ\n  А 1\n  --\n  Призрак *\n  ИМЯ \"связь\"\nОБОБЩЕНИЕ Б -> Нет")
+    known = extract.tdl_classes(ghost).select("class")
+    ends = extract.tdl_associations(ghost).select(F.explode(F.array("class1", "class2")).alias("class")).unionByName(extract.tdl_relations(ghost).select(F.col("target").alias("class")))
+    types = extract.tdl_attributes(extract.tdl_classes(ghost)).select(F.col("type_").alias("class"))
+    assert {r["class"] for r in ends.unionByName(types).join(known, "class", "left_anti").collect()} == {"Призрак", "Нет"}
