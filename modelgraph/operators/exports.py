@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelgraph.functions import render
-from modelgraph.operators.definitions import META_TAGS
+from modelgraph.operators.definitions import ATTRIBUTE_KEYS, META_TAGS
 
 #: First and last lines of a diagram.
 HEADER = (
@@ -38,6 +38,11 @@ def _lines(df: DataFrame, section: int, line: Column) -> DataFrame:
     return df.select("ontology_id", F.lit(section).alias("section"), F.col("seq").cast("long").alias("seq"), line.alias("line"))
 
 
+def _columns(kind: str) -> dict[str, Column]:
+    """The attributes of a kind, in the order in which they are written."""
+    return {k: F.col(k) for k in ATTRIBUTE_KEYS[kind]}
+
+
 def term_lines(terms: DataFrame) -> DataFrame:
     c = F.col
     both = F.concat(render.puml_box(c("name"), c("label"), c("description"), c("color")), F.lit("\n"), render.puml_note(c("name"), c("note")))
@@ -45,9 +50,9 @@ def term_lines(terms: DataFrame) -> DataFrame:
 
 
 def edge_lines(relationships: DataFrame) -> DataFrame:
-    c, none = F.col, F.lit(None).cast("string")
+    c = F.col
     known = relationships.where(c("relationship").isin(*render.ARROWS))
-    line = render.puml_edge(c("parent"), c("child"), c("relationship"), c("direction"), none, none, none, none)
+    line = render.puml_edge(c("parent"), c("child"), c("relationship"), c("direction"), c("color"), c("leftChar"), c("rightChar"), c("title"))
     return _lines(known, 4, F.concat(line, F.lit("\n")))
 
 
@@ -60,8 +65,8 @@ def described_functions(functions: DataFrame, args: DataFrame) -> DataFrame:
 
 def function_boxes(functions: DataFrame, args: DataFrame) -> DataFrame:
     f = described_functions(functions, args)
-    text = F.concat("inputs", F.lit(" -> "), "output_term")
-    return _lines(f, 2, render.puml_box(F.col("name"), F.col("label"), text, F.lit(None).cast("string")))
+    text = F.concat("inputs", F.lit(" -> "), render.argument(F.col("output_term"), F.col("output_label")))
+    return _lines(f, 2, render.puml_box(F.col("name"), F.col("label"), text, F.col("color")))
 
 
 def function_edges(functions: DataFrame, bags: DataFrame, terms: DataFrame) -> DataFrame:
@@ -70,13 +75,23 @@ def function_edges(functions: DataFrame, bags: DataFrame, terms: DataFrame) -> D
     type_ = F.coalesce("type", F.lit("directAssociation"))
     known = terms.select("ontology_id", c("name").alias("term")).distinct()
     bags = bags.join(known, ["ontology_id", "term"], "left_semi").withColumnRenamed("function", "name")
-    into = bags.join(functions.select("ontology_id", "name", "seq", "type"), ["ontology_id", "name"])
+    into = bags.join(functions.select("ontology_id", "name", "seq", "type", "colorArrow", "inputTitle"), ["ontology_id", "name"])
     mark = F.when(c("n") > 1, c("n").cast("string"))
-    one = into.select("ontology_id", "name", "seq", (c("first_pos").cast("long")).alias("at"), "term", render.puml_edge(c("term"), c("name"), type_, F.lit("forward"), none, mark, none, none).alias("line"))
-    out = functions.select("ontology_id", "name", "seq", F.lit(1_000_000).cast("long").alias("at"), c("output_term").alias("term"), render.puml_edge(c("name"), c("output_term"), type_, F.lit("forward"), none, none, none, none).alias("line"))
+    one = into.select("ontology_id", "name", "seq", (c("first_pos").cast("long")).alias("at"), "term", render.puml_edge(c("term"), c("name"), type_, F.lit("forward"), c("colorArrow"), mark, none, c("inputTitle")).alias("line"))
+    out = functions.select("ontology_id", "name", "seq", F.lit(1_000_000).cast("long").alias("at"), c("output_term").alias("term"), render.puml_edge(c("name"), c("output_term"), type_, F.lit("forward"), c("colorArrow"), none, none, c("outputTitle")).alias("line"))
     return one.unionByName(out)
 
 
+def class_lines(terms: DataFrame, functions: DataFrame, args: DataFrame, relationships: DataFrame) -> DataFrame:
+    """The class diagram style: terms and functions as classes, relationships as connectors."""
+    c = F.col
+    term = F.concat(F.lit("class "), "name", F.lit(" {\n  "), "description", F.lit("\n}"))
+    out = render.argument(c("output_term"), c("output_label"))
+    function = F.concat(F.lit("class "), "name", F.lit(" <<Function>>"), render.some(" ", c("color"), ""), F.lit(" {\n  +"), "name", F.lit("("), "inputs", F.lit(") : ("), out, F.lit(")\n  "), "label", F.lit("\n}"))
+    edges = _lines(relationships, 3, render.class_edge(c("parent"), c("relationship"), c("child")))
+    return _lines(terms, 1, term).unionByName(_lines(described_functions(functions, args), 2, function)).unionByName(edges)
+
+
 def puml(terms: DataFrame, functions: DataFrame, args: DataFrame, bags: DataFrame, relationships: DataFrame, titles: DataFrame) -> DataFrame:
     """ontology_id, puml: header with the title, boxes and notes, functions' boxes and edges,
     relationships, footer."""
@@ -99,13 +114,13 @@ def dsl_function_lines(functions: DataFrame, args: DataFrame) -> DataFrame:
     a = args.groupBy("ontology_id", c("function").alias("name")).agg(F.array_sort(F.collect_list(F.struct("pos", one.alias("t")))).alias("a"))
     f = functions.join(a, ["ontology_id", "name"], "left")
     inputs = F.array_join(F.coalesce(F.transform("a", lambda x: x.t), F.array().cast("array<string>")), ", ")
-    line = F.concat(c("name"), F.lit(": "), render.quoted(c("label")), F.lit(" ("), inputs, F.lit(") -> "), c("output_term"), F.lit(": ''"), render.dsl_attributes(type=c("type")))
+    line = F.concat(c("name"), F.lit(": "), render.quoted(c("label")), F.lit(" ("), inputs, F.lit(") -> "), c("output_term"), F.lit(": "), render.literal(c("output_label")), render.dsl_attributes(**_columns("function")))
     return _lines(f, 3, line)
 
 
 def dsl_relationship_lines(relationships: DataFrame) -> DataFrame:
     c = F.col
-    line = F.concat(c("parent"), F.lit(" "), c("relationship"), F.lit(" "), c("child"), render.dsl_attributes(direction=c("direction")))
+    line = F.concat(c("parent"), F.lit(" "), c("relationship"), F.lit(" "), c("child"), render.dsl_attributes(**_columns("relationship")))
     return _lines(relationships, 5, line)
 
 
@@ -158,11 +173,11 @@ def json_rows(meta: DataFrame, terms: DataFrame, functions: DataFrame, args: Dat
 
     t = render.json_object(name=j(c("name")), label=j(c("label")), description=j(c("description")), attributes=render.json_attributes(color=c("color"), note=c("note")))
     r = render.json_object(
-        name=j(c("name")), parent=j(c("parent")), relationship=j(c("relationship")), children=F.concat(F.lit("["), j(c("child")), F.lit("]")), attributes=render.json_attributes(direction=c("direction"))
+        name=j(c("name")), parent=j(c("parent")), relationship=j(c("relationship")), children=F.concat(F.lit("["), j(c("child")), F.lit("]")), attributes=render.json_attributes(**_columns("relationship"))
     )
     a = args.groupBy("ontology_id", c("function").alias("name")).agg(F.array_sort(F.collect_list(F.struct("pos", named(c("term"), c("label")).alias("t")))).alias("a"))
     inputs = array(F.coalesce(F.transform("a", lambda x: x.t), F.array().cast("array<string>")))
-    f = render.json_object(name=j(c("name")), label=j(c("label")), input_types=inputs, output_type=named(c("output_term"), F.lit("")), attributes=render.json_attributes(type=c("type")))
+    f = render.json_object(name=j(c("name")), label=j(c("label")), input_types=inputs, output_type=named(c("output_term"), c("output_label")), attributes=render.json_attributes(**_columns("function")))
     known = F.collect_list(F.when(c("kind").isNotNull(), F.struct("kind", "seq", "member")))
     figures = members.groupBy("ontology_id", "figure").agg(F.min("seq").alias("seq"), F.array_sort(known).alias("m"))
     of = lambda kind: array(F.transform(F.filter("m", lambda x: x.kind == kind), lambda x: j(x.member)))

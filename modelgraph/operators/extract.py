@@ -107,10 +107,12 @@ def function_args(found: DataFrame) -> DataFrame:
 
 
 def relationships(lines: DataFrame) -> DataFrame:
+    """file, line, name, parent, relationship, child and the attributes."""
     x, t = _of(lines, "hierarchy", RELATIONSHIP), F.col("text")
     return x.select(
         "file", "line", F.nullif(part(t, RELATIONSHIP, 1), F.lit("")).alias("name"), part(t, RELATIONSHIP, 2).alias("parent"), part(t, RELATIONSHIP, 3).alias("relationship"),
-        part(t, RELATIONSHIP, 4).alias("child"), attribute_value(part(t, RELATIONSHIP, 5), "direction").alias("direction"),
+        part(t, RELATIONSHIP, 4).alias("child"),
+        *(attribute_value(part(t, RELATIONSHIP, 5), k).alias(k) for k in ("color", "direction", "title", "rightChar", "leftChar")),
     )
 
 

@@ -9,12 +9,20 @@ from modelgraph.plans.views import query
 
 _BOX = "'rectangle \"' || label || CASE WHEN description = '' THEN '' ELSE '\\n(' || description || ')' END || '\" as ' || name || ' ' || coalesce(color, '#white')"
 _NOTE = "CASE WHEN note IS NULL THEN '' ELSE 'note right of ' || name || chr(10) || note || chr(10) || '    end note' END"
+def _opt(before, c, after=""):
+    return f"CASE WHEN coalesce({c}, '') = '' THEN '' ELSE '{before}' || {c} || '{after}' END"
+
+
+_COLORED = "'[' || coalesce(color, '#black') || ']'"
 _ARROW = (
     "CASE relationship "
-    + " ".join(f"WHEN '{k}' THEN CASE coalesce(direction, 'forward') WHEN 'forward' THEN '{(a + c)[:2]}[#black]{(a + c)[2:]}' ELSE '{(b + a)[:2]}[#black]{(b + a)[2:]}' END" for k, (a, b, c) in render.ARROWS.items())
+    + " ".join(
+        f"WHEN '{k}' THEN CASE coalesce(direction, 'forward') WHEN 'forward' THEN '{(a + c)[:2]}' || {_COLORED} || '{(a + c)[2:]}' WHEN 'backward' THEN '{(b + a)[:2]}' || {_COLORED} || '{(b + a)[2:]}' ELSE '{(b + a + c)[:3]}' || {_COLORED} || '{(b + a + c)[3:]}' END"
+        for k, (a, b, c) in render.ARROWS.items()
+    )
     + " END"
-)
-_EDGE = f"parent || '  ' || {_ARROW} || '  ' || child || ' '"
+)
+_EDGE = f"parent || ' ' || {_opt(chr(34), 'leftChar', chr(34))} || ' ' || {_ARROW} || ' ' || {_opt(chr(34), 'rightChar', chr(34))} || ' ' || child || ' ' || {_opt(': ' + chr(34), 'title', chr(34))}"
 _KNOWN = "relationship <> 'Inherits'"
 
 
@@ -32,20 +40,23 @@ _ARGS = "args AS (SELECT function AS name, string_agg(term || CASE WHEN label =
 _FTYPE = "coalesce(f.type, 'directAssociation')"
 
 
-@query("puml_function_boxes", "functions function_args", f"WITH {_ARGS} SELECT ontology_id, 2 AS section, seq, 'rectangle \"' || label || '\\n(' || coalesce(inputs, '') || ' -> ' || output_term || ')\" as ' || f.name || ' #white' AS line FROM functions f LEFT JOIN args ON f.name = args.name")
+_OUT = f"output_term || {_opt(': ', 'output_label')}"
+_FBOX = f"'rectangle \"' || f.label || '\\n(' || coalesce(inputs, '') || ' -> ' || {_OUT} || ')\" as ' || f.name || ' ' || coalesce(color, '#white')"
+
+
+@query("puml_function_boxes", "functions function_args", f"WITH {_ARGS} SELECT ontology_id, 2 AS section, seq, {_FBOX} AS line FROM functions f LEFT JOIN args ON f.name = args.name")
 def puml_function_boxes(v):
     return exports.function_boxes(v("functions"), v("function_args"))
 
 
 _PLACED = "placed AS (SELECT l.ontology_id, figure, l.seq, member, CASE WHEN f.seq < l.seq THEN kind END AS kind, kind_order FROM figure_lines l LEFT JOIN (SELECT * FROM found JOIN (VALUES ('term', 0), ('function', 1), ('relationship', 2)) k(kind, kind_order) USING (kind)) f ON l.ontology_id = f.ontology_id AND l.member = f.name)"
-_FARROW = "CASE f.type WHEN 'inheritance' THEN '--[#black]-|>' WHEN 'composition' THEN '--[#black]-*' ELSE '--[#black]->' END"
+_FARROW = "'--[' || coalesce(colorArrow, '#black') || ']' || CASE f.type WHEN 'inheritance' THEN '-|>' WHEN 'composition' THEN '-*' ELSE '->' END"
 
 
-_FLINES = f"""SELECT a.ontology_id, f.name, f.seq, a.first_pos AS "at", term, term || ' ' || CASE WHEN n > 1 THEN '"' || n || '"' ELSE '' END || ' ' || {_FARROW} || '  ' || f.name || ' ' AS line
+_FLINES = f"""SELECT a.ontology_id, f.name, f.seq, a.first_pos AS "at", term, term || ' ' || CASE WHEN n > 1 THEN '"' || n || '"' ELSE '' END || ' ' || {_FARROW} || '  ' || f.name || ' ' || {_opt(': ' + chr(34), 'inputTitle', chr(34))} AS line
     FROM (SELECT ontology_id, function, term, count(*) AS n, min(pos) AS first_pos FROM function_args GROUP BY 1, 2, 3) a JOIN functions f ON a.function = f.name
     WHERE EXISTS (SELECT 1 FROM terms t WHERE t.ontology_id = a.ontology_id AND t.name = a.term)
-    UNION ALL SELECT ontology_id, name, seq, 1000000, output_term, name || '  ' || {_FARROW} || '  ' || output_term || ' ' FROM functions f"""
-_FBOX = "'rectangle \"' || label || '\\n(' || coalesce(inputs, '') || ' -> ' || output_term || ')\" as ' || f.name || ' #white'"
+    UNION ALL SELECT ontology_id, name, seq, 1000000, output_term, name || '  ' || {_FARROW} || '  ' || output_term || ' ' || {_opt(': ' + chr(34), 'outputTitle', chr(34))} FROM functions f"""
 
 
 @query("puml_function_lines", "functions function_args terms", _FLINES)
@@ -54,17 +65,14 @@ def puml_function_lines(v):
 
 
 @query(
-    "class_style_lines", "relationships functions function_args",
-    f"""WITH {_ARGS} SELECT seq, parent || ' ' || CASE relationship WHEN 'dependence' THEN '..>' WHEN 'association' THEN '--' WHEN 'directAssociation' THEN '-->' WHEN 'inheritance' THEN '--|>' WHEN 'implementation' THEN '..|>'
+    "class_style_lines", "terms relationships functions function_args",
+    f"""WITH {_ARGS} SELECT ontology_id, 3 AS section, seq, parent || ' ' || CASE relationship WHEN 'dependence' THEN '..>' WHEN 'association' THEN '--' WHEN 'directAssociation' THEN '-->' WHEN 'inheritance' THEN '--|>' WHEN 'implementation' THEN '..|>'
     WHEN 'aggregation' THEN '--o' WHEN 'composition' THEN '--*' ELSE '-->' END || ' ' || child AS line FROM relationships
-    UNION ALL SELECT seq, 'class ' || f.name || ' <<Function>> {{' || chr(10) || '  +' || f.name || '(' || coalesce(inputs, '') || ') : (' || output_term || ')' || chr(10) || '  ' || label || chr(10) || '}}' FROM functions f LEFT JOIN args ON f.name = args.name""".replace("{{", "{").replace("}}", "}"),
+    UNION ALL SELECT ontology_id, 1, seq, 'class ' || name || ' {{' || chr(10) || '  ' || description || chr(10) || '}}' FROM terms
+    UNION ALL SELECT ontology_id, 2, seq, 'class ' || f.name || ' <<Function>>' || {_opt(" ", "color")} || ' {{' || chr(10) || '  +' || f.name || '(' || coalesce(inputs, '') || ') : (' || {_OUT} || ')' || chr(10) || '  ' || label || chr(10) || '}}' FROM functions f LEFT JOIN args ON f.name = args.name""",
 )
 def class_style_lines(v):
-    c = F.col
-    edges = v("relationships").select(c("seq").cast("long").alias("seq"), render.class_edge(c("parent"), c("relationship"), c("child")).alias("line"))
-    f = exports.described_functions(v("functions"), v("function_args"))
-    text = F.concat(F.lit("class "), "name", F.lit(" <<Function>> {\n  +"), "name", F.lit("("), "inputs", F.lit(") : ("), "output_term", F.lit(")\n  "), "label", F.lit("\n}"))
-    return edges.unionByName(f.select(c("seq").cast("long").alias("seq"), text.alias("line")))
+    return exports.class_lines(v("terms"), v("functions"), v("function_args"), v("relationships"))
 
 
 _HEAD = "chr(10)".join([""]) + "'" + "' || chr(10) || '".join(exports.HEADER) + "' || chr(10) || 'package \"'"
@@ -86,9 +94,15 @@ def puml_export(v):
 
 
 DSL_TERM_SQL = "name || ': ''' || label || ''', ''' || description || '''' || CASE WHEN color IS NULL AND note IS NULL THEN '' ELSE ', { ' || concat_ws(', ', 'color: ''' || color || ''' ', 'note: ''' || note || ''' ') || '}' END"
-_DREL = "parent || ' ' || relationship || ' ' || child || CASE WHEN direction IS NULL THEN '' ELSE ', { direction: ''' || direction || ''' }' END"
+def _dsl_attributes(kind):
+    """The attribute block in SQL."""
+    keys, q = definitions.ATTRIBUTE_KEYS[kind], "''"
+    return f"CASE WHEN coalesce({', '.join(keys)}) IS NULL THEN '' ELSE ', {{ ' || concat_ws(', ', {', '.join(f'{chr(39)}{k}: {q}{chr(39)} || {k} || {chr(39)}{q} {chr(39)}' for k in keys)}) || '}}' END"
+
+
+DSL_RELATIONSHIP_SQL = f"parent || ' ' || relationship || ' ' || child || {_dsl_attributes('relationship')}"
 _DARGS = "dargs AS (SELECT function AS name, string_agg(term || ': ''' || label || '''', ', ' ORDER BY pos, term || ': ''' || label || '''') AS inputs FROM function_args GROUP BY 1)"
-_DFUN = "f.name || ': ''' || f.label || ''' (' || coalesce(inputs, '') || ') -> ' || output_term || ': ''''' || CASE WHEN type IS NULL THEN '' ELSE ', { type: ''' || type || ''' }' END"
+_DFUN = "f.name || ': ''' || f.label || ''' (' || coalesce(inputs, '') || ') -> ' || output_term || ': ''' || output_label || '''' || " + _dsl_attributes("function")
 
 
 _FIGLINE = "SELECT ontology_id, min(seq) AS seq, 'figure ' || figure || ':' || chr(10) || coalesce(string_agg(member || chr(10), '' ORDER BY kind_order, seq) FILTER (kind IS NOT NULL), '') AS line FROM placed GROUP BY ontology_id, figure"
@@ -96,7 +110,7 @@ _FIGLINE = "SELECT ontology_id, min(seq) AS seq, 'figure ' || figure || ':' || c
 
 @query(
     "dsl_lines", "terms functions function_args relationships",
-    f"WITH {_DARGS} SELECT ontology_id, 1 AS section, seq, {DSL_TERM_SQL} AS line FROM terms UNION ALL SELECT ontology_id, 3, seq, {_DFUN} FROM functions f LEFT JOIN dargs ON dargs.name = f.name UNION ALL SELECT ontology_id, 5, seq, {_DREL} FROM relationships",
+    f"WITH {_DARGS} SELECT ontology_id, 1 AS section, seq, {DSL_TERM_SQL} AS line FROM terms UNION ALL SELECT ontology_id, 3, seq, {_DFUN} FROM functions f LEFT JOIN dargs ON dargs.name = f.name UNION ALL SELECT ontology_id, 5, seq, {DSL_RELATIONSHIP_SQL} FROM relationships",
 )
 def dsl_lines(v):
     lines = exports.dsl_term_lines(v("terms")).unionByName(exports.dsl_function_lines(v("functions"), v("function_args")))
@@ -112,7 +126,7 @@ _IDS = "ids AS (SELECT ontology_id FROM m UNION SELECT ontology_id FROM terms UN
     f"""WITH {_ALL}, {_FOUND}, {_PLACED}, {_DARGS}, m AS ({_META}), {_IDS}, mt AS (SELECT ontology_id, {_MLINE} AS x FROM m),
     a AS (SELECT ontology_id, 'types:' || chr(10) || string_agg({DSL_TERM_SQL}, chr(10) ORDER BY seq) || chr(10) AS x FROM terms GROUP BY 1),
     b AS (SELECT ontology_id, 'functions:' || chr(10) || string_agg({_DFUN}, chr(10) ORDER BY seq) || chr(10) AS x FROM functions f LEFT JOIN dargs ON dargs.name = f.name GROUP BY 1),
-    c AS (SELECT ontology_id, 'hierarchy:' || chr(10) || string_agg({_DREL}, chr(10) ORDER BY seq, {_DREL}) || chr(10) AS x FROM relationships GROUP BY 1),
+    c AS (SELECT ontology_id, 'hierarchy:' || chr(10) || string_agg({DSL_RELATIONSHIP_SQL}, chr(10) ORDER BY seq, {DSL_RELATIONSHIP_SQL}) || chr(10) AS x FROM relationships GROUP BY 1),
     g AS (SELECT ontology_id, string_agg(line, chr(10) ORDER BY seq) AS x FROM ({_FIGLINE}) GROUP BY 1)
     SELECT ids.ontology_id, concat_ws(chr(10), coalesce(mt.x, ''), a.x, b.x, c.x, g.x) AS dsl FROM ids LEFT JOIN mt ON mt.ontology_id = ids.ontology_id LEFT JOIN a ON a.ontology_id = ids.ontology_id
     LEFT JOIN b ON b.ontology_id = ids.ontology_id LEFT JOIN c ON c.ontology_id = ids.ontology_id LEFT JOIN g ON g.ontology_id = ids.ontology_id""",
@@ -123,9 +137,13 @@ def dsl_export(v):
 
 
 _JT = """'{"name":' || to_json(name) || ',"label":' || to_json(label) || ',"description":' || to_json(description) || ',"attributes":{' || concat_ws(',', '"color":' || to_json(color), '"note":' || to_json(note)) || '}}'"""
-_JR = """'{"name":' || coalesce(to_json(name), 'null') || ',"parent":' || to_json(parent) || ',"relationship":' || to_json(relationship) || ',"children":[' || to_json(child) || '],"attributes":{' || coalesce('"direction":' || to_json(direction), '') || '}}'"""
+def _json_attributes(kind):
+    return "concat_ws(',', " + ", ".join(f"'\"{k}\":' || to_json({k})" for k in definitions.ATTRIBUTE_KEYS[kind]) + ")"
+
+
+_JR = """'{"name":' || coalesce(to_json(name), 'null') || ',"parent":' || to_json(parent) || ',"relationship":' || to_json(relationship) || ',"children":[' || to_json(child) || '],"attributes":{' || """ + _json_attributes("relationship") + " || '}}'"
 _JARG = """'{"name":' || to_json(term) || ',"label":' || to_json(label) || '}'"""
-_JF = """'{"name":' || to_json(f.name) || ',"label":' || to_json(f.label) || ',"input_types":[' || coalesce(jargs.x, '') || '],"output_type":{"name":' || to_json(output_term) || ',"label":""},"attributes":{' || coalesce('"type":' || to_json(type), '') || '}}'"""
+_JF = """'{"name":' || to_json(f.name) || ',"label":' || to_json(f.label) || ',"input_types":[' || coalesce(jargs.x, '') || '],"output_type":{"name":' || to_json(output_term) || ',"label":' || to_json(output_label) || '},"attributes":{' || """ + _json_attributes("function") + " || '}}'"
 _JM = "'{' || " + " || ',' || ".join(f"""'"{t}":' || coalesce(CAST(to_json({t}) AS VARCHAR), 'null')""" for t in definitions.META_TAGS) + " || '}'"
 _JOF = "coalesce(string_agg(CAST(to_json(member) AS VARCHAR), ',' ORDER BY seq) FILTER (kind = '{}'), '')"
 _JG = "'{\"name\":' || to_json(figure) || ',\"terms\":[' || " + _JOF.format("term") + " || '],\"functions\":[' || " + _JOF.format("function") + " || '],\"hierarchy\":[' || " + _JOF.format("relationship") + " || ']}'"

@@ -6,8 +6,9 @@ from pyspark.sql import functions as F
 
 from modelgraph.functions import render
 from modelgraph.operators import exports, extract
+from modelgraph.operators.definitions import ATTRIBUTE_KEYS
 from modelgraph.operators.graph import shared_folder
-from modelgraph.plans.exports import DSL_TERM_SQL
+from modelgraph.plans.exports import DSL_RELATIONSHIP_SQL, DSL_TERM_SQL
 from modelgraph.plans.views import query
 from modelgraph.sources.files import read_models
 
@@ -27,7 +28,7 @@ def _sources(v, *sections):
 def _named(v):
     """Relationship lines with their names."""
     r = v("relationships")
-    line = F.concat(F.coalesce(F.concat("name", F.lit(": ")), F.lit("")), "parent", F.lit(" "), "relationship", F.lit(" "), "child", render.dsl_attributes(direction=F.col("direction")))
+    line = F.concat(F.coalesce(F.concat("name", F.lit(": ")), F.lit("")), "parent", F.lit(" "), "relationship", F.lit(" "), "child", render.dsl_attributes(**{k: F.col(k) for k in ATTRIBUTE_KEYS["relationship"]}))
     return r.select("ontology_id", F.lit(5).alias("section"), F.col("seq").cast("long").alias("seq"), line.alias("line"))
 
 
@@ -43,11 +44,11 @@ _TERM_LINE = (
 )
 _FUNCTION_LINE = (
     f"name || ': ' || {_Q} || label || {_HARD} || {_Q} || ' (' || coalesce(inputs, '') || ') -> ' || output_term || ': ' || {_Q} || {_HARD} || {_Q} "
-    f"|| CASE WHEN type IS NULL THEN '' ELSE ', {{ type: ' || {_Q} || type || {_Q} || ' }}' END"
+    f"|| CASE WHEN coalesce({', '.join(ATTRIBUTE_KEYS['function'])}) IS NULL THEN '' ELSE ', {{ ' || concat_ws(', ', {', '.join(f'{chr(39)}{k}: {chr(39)} || {_Q} || {k} || {_Q}' for k in ATTRIBUTE_KEYS['function'])}) || ' }}' END"
 )
 _ARG = "term || ': ' || chr(39) || label || ' (y) #' || chr(39)"
 _FUNCTIONS = f"(SELECT f.*, i.inputs FROM functions f LEFT JOIN (SELECT ontology_id, function, string_agg({_ARG}, ', ' ORDER BY pos, {_ARG}) AS inputs FROM function_args GROUP BY 1, 2) i ON i.function = f.name AND i.ontology_id = f.ontology_id)"
-_EDGE_LINE = "CASE WHEN name IS NULL THEN '' ELSE name || ': ' END || parent || ' ' || relationship || ' ' || child || CASE WHEN direction IS NULL THEN '' ELSE ', { direction: ''' || direction || ''' }' END"
+_EDGE_LINE = f"CASE WHEN name IS NULL THEN '' ELSE name || ': ' END || {DSL_RELATIONSHIP_SQL}"
 
 
 def _term_lines(v):
@@ -95,10 +96,10 @@ def _functions(v):
     return extract.functions(extract.section_of_line(extract.logical_lines(_sources(v, (3, "functions", _function_lines(v))))))
 
 
-@query("parse_functions", "functions function_args", f"SELECT ontology_id AS file, name, label || {_HARD} AS label, coalesce(inputs, '') AS inputs, output_term, {_HARD} AS output_label, type FROM {_FUNCTIONS}")
+@query("parse_functions", "functions function_args", f"SELECT ontology_id AS file, name, label || {_HARD} AS label, coalesce(inputs, '') AS inputs, output_term, {_HARD} AS output_label, type, color, colorArrow, inputTitle, outputTitle FROM {_FUNCTIONS}")
 def parse_functions(v):
     inputs = F.array_join(F.transform("inputs", lambda i: F.concat(i.term, F.lit(": '"), i.label, F.lit("'"))), ", ")
-    return _functions(v).select("file", "name", "label", inputs.alias("inputs"), "output_term", "output_label", "type")
+    return _functions(v).select("file", "name", "label", inputs.alias("inputs"), "output_term", "output_label", "type", "color", "colorArrow", "inputTitle", "outputTitle")
 
 
 @query("function_args", "functions function_args", "SELECT ontology_id AS file, function, term, label || ' (y) #' AS label, count(*) AS n FROM function_args GROUP BY 1, 2, 3, 4")
@@ -106,7 +107,7 @@ def function_args(v):
     return extract.function_args(_functions(v)).groupBy("file", "function", "term", "label").agg(F.count("*").alias("n"))
 
 
-@query("parse_relationships", "relationships", "SELECT ontology_id AS file, name, parent, relationship, child, direction FROM relationships")
+@query("parse_relationships", "relationships", "SELECT ontology_id AS file, name, parent, relationship, child, color, direction, title, rightChar, leftChar FROM relationships")
 def parse_relationships(v):
     return extract.relationships(extract.section_of_line(extract.logical_lines(_sources(v, (5, "hierarchy", _named(v)))))).drop("line")
 

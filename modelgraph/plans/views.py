@@ -24,11 +24,15 @@ VIEWS = {
     "function_args": """SELECT l_orderkey % 50 AS ontology_id, l_orderkey AS seq, 'fn' || CAST(l_orderkey AS STRING) AS function, l_linenumber AS pos,
         't' || CAST(l_partkey - l_partkey % 50 + l_orderkey % 50 AS STRING) AS term, CASE WHEN l_quantity > 48 THEN '' ELSE l_linestatus END AS label FROM lineitem""",
     "functions": """SELECT o_orderkey % 50 AS ontology_id, o_orderkey AS seq, 'fn' || CAST(o_orderkey AS STRING) AS name, o_orderpriority AS label,
-        't' || CAST(o_custkey - o_custkey % 50 + o_orderkey % 50 AS STRING) AS output_term, CASE o_orderstatus WHEN 'F' THEN 'inheritance' WHEN 'O' THEN 'composition' END AS type FROM orders""",
+        't' || CAST(o_custkey - o_custkey % 50 + o_orderkey % 50 AS STRING) AS output_term, CASE o_orderstatus WHEN 'F' THEN 'inheritance' WHEN 'O' THEN 'composition' END AS type,
+        CASE WHEN o_orderkey % 3 = 0 THEN '' ELSE o_orderstatus END AS output_label, CASE WHEN o_orderkey % 4 = 1 THEN '#' || CAST(100000 + o_orderkey % 1000 AS STRING) END AS color,
+        CASE WHEN o_orderkey % 6 = 2 THEN '#00ff0' || CAST(o_orderkey % 7 AS STRING) END AS colorArrow, CASE WHEN o_orderkey % 5 = 3 THEN 'in ' || o_orderpriority END AS inputTitle, CASE WHEN o_orderkey % 5 = 4 THEN 'out' END AS outputTitle FROM orders""",
     "relationships": """SELECT l_partkey % 50 AS ontology_id, 10000000 + l_orderkey * 10 + l_linenumber AS seq, CASE WHEN l_quantity > 45 THEN 'r' || CAST(l_orderkey % 500 AS STRING) END AS name,
         't' || CAST(l_partkey AS STRING) AS parent, CASE l_suppkey % 8 WHEN 0 THEN 'dependence' WHEN 1 THEN 'association' WHEN 2 THEN 'directAssociation' WHEN 3 THEN 'inheritance'
         WHEN 4 THEN 'implementation' WHEN 5 THEN 'aggregation' WHEN 6 THEN 'composition' ELSE 'Inherits' END AS relationship, 't' || CAST((l_partkey + 50 * (l_suppkey % 5)) AS STRING) AS child,
-        CASE l_returnflag WHEN 'R' THEN 'forward' WHEN 'A' THEN 'backward' ELSE NULL END AS direction FROM lineitem""",
+        CASE l_returnflag WHEN 'R' THEN 'forward' WHEN 'A' THEN 'backward' ELSE CASE WHEN l_quantity > 30 THEN 'bidirectional' END END AS direction,
+        CASE WHEN l_linenumber = 1 THEN '#' || CAST(100000 + l_suppkey AS STRING) END AS color, CASE WHEN l_linenumber = 2 THEN 'title ' || l_linestatus END AS title,
+        CASE WHEN l_quantity < 10 THEN '*' END AS rightChar, CASE WHEN l_quantity > 25 THEN CAST(l_linenumber AS STRING) END AS leftChar FROM lineitem""",
     "imports": """SELECT p_partkey AS file_id, p_partkey * 2 + s AS target_id, s AS seq FROM part CROSS JOIN (SELECT 0 AS s UNION ALL SELECT 1 AS s) x
         UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 4) AS BIGINT), 2 FROM part WHERE p_partkey % 97 = 0""",
     "definitions": """SELECT p_partkey AS file_id, 1 AS seq, 'd' || CAST(p_partkey % 40 AS STRING) AS name, p_brand AS label, p_type AS description FROM part
