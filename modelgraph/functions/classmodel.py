@@ -26,13 +26,14 @@ def map_dependency_stereotype(text: Column) -> Column:
 
 
 def multiplicity(text: Column) -> Column:
-    """struct<lower, upper>: null, '' and '*' are 0..unbounded (null), 'n' is n..n; both ends
-    null where the text is none of the forms."""
+    """struct<lower, upper> of longs: null, '' and '*' are 0..unbounded (null), 'n' is n..n; both
+    ends null where the text is none of the forms or beyond 64 bits. Spaces may stand around ends."""
     t = F.trim(F.coalesce(text, F.lit("")))
-    low = F.regexp_extract(t, r"^(-?\d+)(\.\.(-?\d+|\*))?$", 1)
-    high = F.regexp_extract(t, r"^(-?\d+)\.\.(-?\d+|\*)$", 2)
-    lower = F.when(t.isin("", "*"), 0).otherwise(low.try_cast("int"))
-    upper = F.when(t.isin("", "*"), F.lit(None)).when(high != "", high.try_cast("int")).otherwise(low.try_cast("int"))
+    low = F.regexp_extract(t, r"^(-?\d+)\s*(\.\.\s*(-?\d+|\*))?$", 1).try_cast("long")
+    high = F.regexp_extract(t, r"^(-?\d+)\s*\.\.\s*(-?\d+|\*)$", 2)
+    open_, sound = t.isin("", "*"), (high.isin("", "*")) | high.try_cast("long").isNotNull()
+    lower = F.when(open_, F.lit(0).cast("long")).when(sound, low)
+    upper = F.when(open_, F.lit(None)).when(high == "", low).otherwise(high.try_cast("long"))
     return F.struct(lower.alias("lower"), upper.alias("upper"))
 
 
@@ -45,12 +46,21 @@ def multiplicity_text(m: Column) -> Column:
     return F.when(m["upper"].isNull(), F.concat(m["lower"], F.lit("..*"))).when(m["lower"] == m["upper"], m["lower"].cast("string")).otherwise(F.concat(m["lower"], F.lit(".."), m["upper"]))
 
 
+def multiplicities(text: Column) -> Column:
+    """The ranges of a list such as '1..3, 5, 7..10'; nothing is the one range 0..unbounded."""
+    return F.transform(F.split(F.coalesce(text, F.lit("")), ","), multiplicity)
+
+
+def multiplicities_text(ranges: Column) -> Column:
+    return F.array_join(F.transform(ranges, multiplicity_text), ", ")
+
+
 def coerced(value: Column, type_: Column) -> Column:
     """The value as its primitive type would print it, null if it can't be; a non-empty text is
     true; values of other types stay as they are."""
     return (
-        F.when(type_.isin("int", "Integer"), value.try_cast("int").cast("string"))
-        .when(type_.isin("float", "Float", "double"), value.try_cast("double").cast("string"))
+        F.when(type_.isin("int", "Integer"), F.when(value.rlike(r"^\s*[+-]?\d+\s*$"), F.coalesce(value.try_cast("decimal(38,0)").cast("string"), F.trim(value))))
+        .when(type_.isin("float", "Float", "double"), F.when(value.rlike(r"(?i)^\s*[+-]?(\d+\.?\d*|\.\d+)(e[+-]?\d+)?\s*$|^\s*[+-]?(inf|infinity|nan)\s*$"), value.try_cast("double").cast("string")))
         .when(type_.isin("bool", "Boolean"), F.when(value == "", "false").otherwise("true"))
         .otherwise(value)
     )
@@ -61,8 +71,12 @@ def some(prefix: str, value: Column, suffix: str = "") -> Column:
     return F.concat(F.lit(prefix), F.nullif(value, F.lit("")), F.lit(suffix))
 
 
+def class_header(stereotype: Column, name: Column, abstract: Column, mult: Column) -> Column:
+    return F.concat_ws(" ", F.concat(F.lit("«"), stereotype, F.lit("»")), name, F.when(abstract, "{abstract}"), mult)
+
+
 def parameter_text(direction: Column, name: Column, type_: Column, default: Column) -> Column:
-    return F.concat_ws(" ", F.when(direction != "in", direction), name, some(": ", type_), some("= ", default))
+    return F.concat_ws(" ", F.when(direction != "in", direction), name, some(": ", type_), F.concat(F.lit(" = "), default))
 
 
 def attribute_text(visibility: Column, name: Column, mult: Column, type_: Column, initial: Column, change: Column) -> Column:
@@ -70,8 +84,8 @@ def attribute_text(visibility: Column, name: Column, mult: Column, type_: Column
     return F.concat_ws(" ", visibility, name, shown, some(": ", type_), some("= ", initial), some("{", change, "}"))
 
 
-def operation_text(visibility: Column, name: Column, params: Column, returns: Column, query: Column, leaf: Column) -> Column:
-    marks = F.array_compact(F.array(F.when(query, "isQuery"), F.when(leaf, "leaf")))
+def operation_text(visibility: Column, name: Column, params: Column, returns: Column, query: Column, leaf: Column, concurrency: Column) -> Column:
+    marks = F.array_compact(F.array(F.when(query, "isQuery"), F.when(leaf, "leaf"), F.when(concurrency != "sequential", concurrency)))
     return F.concat_ws(
         " ", visibility, F.concat(name, F.lit("("), F.array_join(params, ", "), F.lit(")")), some(": ", returns),
         F.when(F.size(marks) > 0, F.concat(F.lit("{"), F.array_join(marks, ", "), F.lit("}"))),

@@ -172,41 +172,67 @@ def figure_meta(meta: DataFrame, lines: DataFrame) -> DataFrame:
     return figures.join(meta, "ontology_id", "left").withColumn("title", F.col("name")).drop("name")
 
 
-def _used_terms(uses: DataFrame, terms: DataFrame, mark: str) -> DataFrame:
-    """Terms of the uses, as often as they are used; mark goes behind the title."""
-    title = F.concat(F.lit("None | "), F.lit(mark))
-    first = terms.groupBy("ontology_id", "name").agg(F.min_by("label", "seq").alias("label"))
-    return uses.join(first, ["ontology_id", "name"]).select("ontology_id", title.alias("title"), "seq", "name", "label")
+#: What the part views add to the title of their model.
+PARTS = {"rels": "Иерархия", "funcs": "Алгоритмы"}
+_ENDS = "concat_ws(' ', parent, relationship, child)"
 
 
-def hierarchy_only(relationships: DataFrame, terms: DataFrame) -> DataFrame:
-    """The terms of the relationships-only view: both ends of each, repeated."""
-    uses = relationships.select("ontology_id", F.col("seq").cast("long").alias("seq"), F.explode(F.array("parent", "child")).alias("name"))
-    return _used_terms(uses, terms, "Иерархия")
+def _rows(df: DataFrame, kind: str, label: str = "label") -> DataFrame:
+    """ontology_id, of (the model or figure), kind, seq, name, label."""
+    return df.select("ontology_id", "of", F.lit(kind).alias("kind"), F.col("seq").cast("long").alias("seq"), "name", F.expr(label).alias("label"))
 
 
-def functions_only(functions: DataFrame, args: DataFrame, terms: DataFrame) -> DataFrame:
-    """The terms of the functions-only view: inputs and output of each, repeated."""
-    uses = args.select("ontology_id", F.col("seq").cast("long").alias("seq"), F.col("term").alias("name")).unionByName(
-        functions.select("ontology_id", F.col("seq").cast("long").alias("seq"), F.col("output_term").alias("name"))
-    )
-    return _used_terms(uses, terms, "Алгоритмы")
+def _with_terms(rows: DataFrame, uses: DataFrame, terms: DataFrame) -> DataFrame:
+    """rows and the terms of uses(ontology_id, of, seq, name), as often as they are used."""
+    first = terms.groupBy("ontology_id", "name").agg(F.min_by("label", "seq").alias("label"))
+    return _rows(uses.join(first, ["ontology_id", "name"]), "term").unionByName(rows)
 
 
-def output_variants(terms: DataFrame, functions: DataFrame, args: DataFrame, relationships: DataFrame, members: DataFrame) -> DataFrame:
-    """(ontology_id, variant, n_terms): the whole, each figure, and both part views of each."""
-    known = terms.select("ontology_id", "name").distinct()
-    rels = relationships.select("ontology_id", F.lit("base").alias("of"), "parent", "child")
-    rels = rels.unionByName(_of_members(members, "relationship", relationships).select("ontology_id", F.col("figure").alias("of"), "parent", "child"))
-    funcs = functions.select("ontology_id", F.lit("base").alias("of"), "name", "output_term")
-    funcs = funcs.unionByName(_of_members(members, "function", functions).select("ontology_id", F.col("figure").alias("of"), "name", "output_term"))
+def _relationship_part(relationships: DataFrame, terms: DataFrame) -> DataFrame:
+    uses = relationships.select("ontology_id", "of", "seq", F.explode(F.array("parent", "child")).alias("name"))
+    return _with_terms(_rows(relationships, "relationship", _ENDS), uses, terms)
+
+
+def _function_part(functions: DataFrame, args: DataFrame, terms: DataFrame) -> DataFrame:
     inputs = args.select("ontology_id", F.col("function").alias("name"), "term")
-    used = [
-        rels.select("ontology_id", F.concat("of", F.lit("_rels")).alias("variant"), F.explode(F.array("parent", "child")).alias("name")),
-        funcs.select("ontology_id", F.concat("of", F.lit("_funcs")).alias("variant"), F.col("output_term").alias("name")),
-        funcs.join(inputs, ["ontology_id", "name"]).select("ontology_id", F.concat("of", F.lit("_funcs")).alias("variant"), F.col("term").alias("name")),
-    ]
-    out = terms.select("ontology_id", F.lit("base").alias("variant")).unionByName(_of_members(members, "term", terms).select("ontology_id", F.col("figure").alias("variant")))
-    for u in used:
-        out = out.unionByName(u.join(known, ["ontology_id", "name"], "left_semi").select("ontology_id", "variant"))
-    return out.groupBy("ontology_id", "variant").agg(F.count("*").alias("n_terms"))
+    uses = functions.join(inputs, ["ontology_id", "name"]).select("ontology_id", "of", "seq", F.col("term").alias("name"))
+    uses = uses.unionByName(functions.select("ontology_id", "of", "seq", F.col("output_term").alias("name")))
+    return _with_terms(_rows(functions, "function"), uses, terms)
+
+
+def _titled(rows: DataFrame, part: str, titles: DataFrame) -> DataFrame:
+    """The part's title: that of the model (None without one) and the part's name."""
+    known = titles.select("ontology_id", F.col("title").alias("t"))
+    title = F.concat(F.coalesce("t", F.lit("None")), F.lit(f" | {PARTS[part]}"))
+    return rows.join(known, "ontology_id", "left").select("ontology_id", title.alias("title"), "kind", "seq", "name", "label")
+
+
+def hierarchy_only(relationships: DataFrame, terms: DataFrame, titles: DataFrame) -> DataFrame:
+    """The relationships-only view under its title: relationships and both ends of each, repeated.
+    titles(ontology_id, title)."""
+    return _titled(_relationship_part(relationships.withColumn("of", F.lit("")), terms), "rels", titles)
+
+
+def functions_only(functions: DataFrame, args: DataFrame, terms: DataFrame, titles: DataFrame) -> DataFrame:
+    """The functions-only view under its title: functions, their inputs and outputs, repeated."""
+    return _titled(_function_part(functions.withColumn("of", F.lit("")), args, terms), "funcs", titles)
+
+
+def output_variants(terms: DataFrame, functions: DataFrame, args: DataFrame, relationships: DataFrame, members: DataFrame, titles: DataFrame) -> DataFrame:
+    """All models that a split build writes, as definitions: ontology_id, figure (null: the whole), part
+    ('', rels, funcs), title, kind, seq, name, label. The whole and each figure of placed members come
+    complete and as their relationships and their functions alone; titles(ontology_id, title)."""
+    none = F.lit(None).cast("string")
+    figure = lambda kind, d: _of_members(members, kind, d).withColumnRenamed("figure", "of")
+    every = {k: d.withColumn("of", none).unionByName(figure(k, d), allowMissingColumns=True) for k, d in (("term", terms), ("function", functions), ("relationship", relationships))}
+    whole = _rows(every["term"], "term").unionByName(_rows(every["function"], "function")).unionByName(_rows(every["relationship"], "relationship", _ENDS))
+    parts = {"": whole, "rels": _relationship_part(every["relationship"], terms), "funcs": _function_part(every["function"], args, terms)}
+    out = None
+    for part, rows in parts.items():
+        rows = rows.withColumn("part", F.lit(part))
+        out = rows if out is None else out.unionByName(rows)
+    base = F.coalesce("of", "t")
+    mark = F.create_map(*(F.lit(x) for k, v in PARTS.items() for x in (k, v)))[F.col("part")]
+    title = F.when(F.col("part") == "", base).otherwise(F.concat(F.coalesce(base, F.lit("None")), F.lit(" | "), mark))
+    out = out.join(titles.select("ontology_id", F.col("title").alias("t")), "ontology_id", "left")
+    return out.select("ontology_id", F.col("of").alias("figure"), "part", title.alias("title"), "kind", "seq", "name", "label")

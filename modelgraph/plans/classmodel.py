@@ -48,14 +48,15 @@ def map_dependency_stereotype(v):
 _MULT = "CASE multiplicity WHEN '1' THEN 1 WHEN '0..1' THEN 0 WHEN '1..*' THEN 1 WHEN '5..3' THEN 5 ELSE 0 END AS lower, CASE multiplicity WHEN '1' THEN 1 WHEN '0..1' THEN 1 WHEN '5..3' THEN 3 END AS upper"
 
 
-@query("parse_multiplicity", "association_ends", f"SELECT assoc_id, end_no, {_MULT} FROM association_ends")
+@query("parse_multiplicity", "association_ends", f"SELECT assoc_id, end_no, CAST(lower AS BIGINT) AS lower, CAST(upper AS BIGINT) AS upper FROM (SELECT assoc_id, end_no, {_MULT} FROM association_ends)")
 def parse_multiplicity(v):
     return v("association_ends").select("assoc_id", "end_no", fn.multiplicity(F.col("multiplicity")).alias("m")).select("assoc_id", "end_no", "m.lower", "m.upper")
 
 
-@query("multiplicity_text", "association_ends", "SELECT assoc_id, end_no, CASE multiplicity WHEN '1' THEN '1' WHEN '0..1' THEN '0..1' WHEN '1..*' THEN '1..*' WHEN '5..3' THEN '5..3' ELSE '0..*' END AS text FROM association_ends")
+@query("multiplicity_text", "association_ends", "SELECT assoc_id, end_no, CASE multiplicity WHEN '1' THEN '1' WHEN '0..1' THEN '0..1' WHEN '1..*' THEN '1..*' WHEN '5..3' THEN '5..3' ELSE '0..*' END || CASE WHEN end_no % 2 = 0 THEN ', ' || assoc_id || ', 7..10' ELSE '' END AS text FROM association_ends")
 def multiplicity_text(v):
-    return v("association_ends").select("assoc_id", "end_no", fn.multiplicity_text(fn.multiplicity(F.col("multiplicity"))).alias("text"))
+    text = F.expr("coalesce(multiplicity, '') || case when end_no % 2 = 0 then ', ' || assoc_id || ' , 7 .. 10' else '' end")
+    return v("association_ends").select("assoc_id", "end_no", fn.multiplicities_text(fn.multiplicities(text)).alias("text"))
 
 
 @query("bad_multiplicity", "association_ends", "SELECT assoc_id, end_no, multiplicity FROM association_ends WHERE multiplicity = '5..3'")
@@ -261,7 +262,7 @@ def inheritance_edges(v):
     return op.inheritance_edges(v("generalizations"), v("realizations").select(F.col("implementer").alias("specific"), F.col("interface").alias("general")))
 
 
-_PTEXT = "(CASE WHEN direction <> 'in' THEN direction || ' ' ELSE '' END || name || CASE WHEN type_ IS NOT NULL THEN ' : ' || type_ ELSE '' END || CASE WHEN default_value IS NOT NULL THEN ' = ' || default_value ELSE '' END)"
+_PTEXT = "(CASE WHEN direction <> 'in' THEN direction || ' ' ELSE '' END || name || CASE WHEN type_ IS NOT NULL THEN ' : ' || type_ ELSE '' END || CASE WHEN default_value IS NOT NULL THEN '  = ' || default_value ELSE '' END)"
 
 
 def _parameter_text(v):
@@ -288,14 +289,14 @@ def attribute_text(v):
 
 
 _OTEXT = f"""o AS (SELECT class, o.op, visibility || ' ' || o.name || '(' || coalesce(ps, '') || ')' || CASE WHEN return_type IS NOT NULL THEN ' : ' || return_type ELSE '' END
-  || CASE WHEN is_query AND is_leaf THEN ' {{isQuery, leaf}}' WHEN is_query THEN ' {{isQuery}}' WHEN is_leaf THEN ' {{leaf}}' ELSE '' END AS text
+  || CASE WHEN is_query OR is_leaf OR concurrency <> 'sequential' THEN ' {{' || concat_ws(', ', CASE WHEN is_query THEN 'isQuery' END, CASE WHEN is_leaf THEN 'leaf' END, nullif(concurrency, 'sequential')) || '}}' ELSE '' END AS text
   FROM operations o LEFT JOIN (SELECT op, string_agg({_PTEXT}, ', ' ORDER BY pos, {_PTEXT}) AS ps FROM parameters GROUP BY 1) p ON o.op = p.op)"""
 
 
 def _operation_text(v):
     params = _parameter_text(v).groupBy("op").agg(F.array_sort(F.collect_list(F.struct("pos", "text"))).alias("ps"))
     o = v("operations").join(params, "op", "left").withColumn("ps", F.coalesce(F.transform("ps", lambda x: x.text), F.array().cast("array<string>")))
-    return o.select("class", "op", fn.operation_text(*(F.col(c) for c in ("visibility", "name", "ps", "return_type", "is_query", "is_leaf"))).alias("text"))
+    return o.select("class", "op", fn.operation_text(*(F.col(c) for c in ("visibility", "name", "ps", "return_type", "is_query", "is_leaf", "concurrency"))).alias("text"))
 
 
 @query("operation_text", "operations parameters", f"WITH {_OTEXT} SELECT * FROM o")
@@ -306,7 +307,7 @@ def operation_text(v):
 @query(
     "class_text", "classifiers attributes operations parameters",
     f"""WITH {_OTEXT}, oo AS (SELECT class, string_agg(text, chr(10) ORDER BY op, text) AS t FROM o GROUP BY 1), aa AS (SELECT class, string_agg({_ATEXT}, chr(10) ORDER BY seq, {_ATEXT}) AS t FROM attributes GROUP BY 1)
-    SELECT c.class, CASE WHEN stereotype IS NOT NULL THEN '«' || stereotype || '» ' ELSE '' END || CAST(c.class AS VARCHAR) || CASE WHEN is_abstract THEN ' {{abstract}}' ELSE '' END
+    SELECT c.class, CASE WHEN stereotype IS NOT NULL THEN '«' || stereotype || '» ' ELSE '' END || CAST(c.class AS VARCHAR) || CASE WHEN is_abstract THEN ' {{abstract}}' ELSE '' END || coalesce(' ' || multiplicity, '')
     || chr(10) || '---' || chr(10) || coalesce(aa.t || chr(10), '') || '---' || coalesce(chr(10) || oo.t, '') AS text FROM classifiers c LEFT JOIN aa ON c.class = aa.class LEFT JOIN oo ON c.class = oo.class""".replace("{{", "{").replace("}}", "}"),
 )
 def class_text(v):
@@ -315,7 +316,8 @@ def class_text(v):
 
     none = F.array().cast("array<string>")
     c = v("classifiers").join(lines(_attribute_text(v), "seq").withColumnRenamed("l", "a"), "class", "left").join(lines(_operation_text(v), "op").withColumnRenamed("l", "o"), "class", "left")
-    head = F.concat_ws(" ", F.concat(F.lit("«"), "stereotype", F.lit("»")), F.col("class").cast("string"), F.when(F.col("is_abstract"), "{abstract}"))
+    mult = F.when(F.col("multiplicity").isNotNull(), fn.multiplicity_text(fn.multiplicity(F.col("multiplicity"))))
+    head = fn.class_header(F.col("stereotype"), F.col("class").cast("string"), F.col("is_abstract"), mult)
     return c.select("class", F.array_join(F.concat(F.array(head, F.lit("---")), F.coalesce("a", none), F.array(F.lit("---")), F.coalesce("o", none)), "\n").alias("text"))
 
 

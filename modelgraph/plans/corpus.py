@@ -256,9 +256,20 @@ def import_with_relationships(v):
     return imports.relationships_of_imported(names, v("relationships"))
 
 
-@query("prompt_text", "terms", "SELECT ontology_id, string_agg(name || ': ''' || lower(trim(label)) || '''', chr(10) ORDER BY seq) AS prompt FROM terms GROUP BY 1")
+def _quoted(c):
+    return f"chr(39) || lower(trim({c})) || chr(39)"
+
+
+@query(
+    "prompt_text", "terms functions function_args",
+    f"""WITH c AS (SELECT ontology_id, string_agg({_quoted('name')} || ', ' || {_quoted('label')} || ', ' || {_quoted('description')}, chr(10) ORDER BY seq) AS classes FROM terms GROUP BY 1),
+    a AS (SELECT ontology_id, function, string_agg({_quoted('term')} || ': ' || {_quoted('label')}, ', ' ORDER BY pos, {_quoted('term')} || ': ' || {_quoted('label')}) AS inputs FROM function_args GROUP BY 1, 2),
+    f AS (SELECT f.ontology_id, string_agg({_quoted('name')} || ', ' || {_quoted('label')} || ', (' || coalesce(inputs, '') || ') -> ' || {_quoted('output_term')} || ': ' || {_quoted('output_label')}, chr(10) ORDER BY seq) AS functions
+      FROM functions f LEFT JOIN a ON a.ontology_id = f.ontology_id AND a.function = f.name GROUP BY 1)
+    SELECT coalesce(c.ontology_id, f.ontology_id) AS ontology_id, coalesce(classes, '') AS classes, coalesce(functions, '') AS functions FROM c FULL JOIN f ON c.ontology_id = f.ontology_id""",
+)
 def prompt_text(v):
-    return suggestions.prompts(v("terms").withColumn("label", F.concat("label", F.lit("\\n "))))
+    return suggestions.prompts(v("terms").withColumn("label", F.concat("label", F.lit("\n 	"))), v("functions"), v("function_args"))
 
 
 @query("reply_json", "replies", "SELECT conv_id, turn, regexp_extract(reply, '(?s)(\\{.*\\})', 1) AS json FROM replies")
@@ -266,11 +277,11 @@ def reply_json(v):
     return v("replies").select("conv_id", "turn", suggestions.reply_json(F.col("reply")).alias("json"))
 
 
-_SUGGESTED = """sug AS (SELECT conv_id, turn, 't' || CAST(conv_id AS VARCHAR) AS p, 't' || CAST(conv_id + turn AS VARCHAR) AS c, CASE turn % 3 WHEN 0 THEN 'inheritance' ELSE 'composition' END AS relationship FROM replies WHERE turn % 3 < 2)"""
-_RESOLVED = """res AS (SELECT conv_id, turn, 0 AS pos, CASE WHEN relationship = 'inheritance' THEN c ELSE p END AS parent, CASE WHEN relationship = 'inheritance' THEN p ELSE c END AS child, relationship, false AS bidirectional, 'c' AS comment FROM sug
-  WHERE p IN (SELECT name FROM terms) AND c IN (SELECT name FROM terms))"""
-_KEPT = "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY parent, child ORDER BY conv_id, turn) AS r FROM {}) WHERE r = 1"
-_NEW = "new AS (" + _KEPT.format("(SELECT * FROM res WHERE NOT EXISTS (SELECT 1 FROM relationships x WHERE x.parent = res.parent AND x.child = res.child))") + ")"
+_SUGGESTED = """sug AS (SELECT ontology_id, conv_id, turn, conv_id % 5 = 0 AS bi, CASE WHEN conv_id % 3 = 0 THEN 'is a' END AS title, 't' || CAST(conv_id AS VARCHAR) AS p, 't' || CAST(conv_id + turn * 50 AS VARCHAR) AS c, CASE turn % 3 WHEN 0 THEN 'inheritance' ELSE 'composition' END AS relationship FROM replies WHERE turn % 3 < 2 AND conv_id % 7 > 0)"""
+_RESOLVED = """res AS (SELECT ontology_id, conv_id, turn, 0 AS pos, CASE WHEN relationship = 'inheritance' THEN c ELSE p END AS parent, CASE WHEN relationship = 'inheritance' THEN p ELSE c END AS child, relationship, title, bi AS bidirectional, 'c' AS comment FROM sug
+  WHERE EXISTS (SELECT 1 FROM terms t WHERE t.ontology_id = sug.ontology_id AND t.name = p) AND EXISTS (SELECT 1 FROM terms t WHERE t.ontology_id = sug.ontology_id AND t.name = c))"""
+_KEPT = "SELECT * EXCLUDE (r) FROM (SELECT *, row_number() OVER (PARTITION BY ontology_id, parent, child ORDER BY conv_id, turn) AS r FROM {}) WHERE r = 1"
+_NEW = "new AS (" + _KEPT.format("(SELECT * FROM res WHERE NOT EXISTS (SELECT 1 FROM relationships x WHERE x.ontology_id = res.ontology_id AND x.parent = res.parent AND x.child = res.child))") + ")"
 
 
 def _resolved(v):
@@ -281,7 +292,7 @@ def _new(v):
     return suggestions.new_only(_resolved(v), v("relationships"))
 
 
-@query("reply_relationships", "replies", f"WITH {_SUGGESTED} SELECT conv_id, turn, 0 AS pos, p AS parent, c AS child, relationship, false AS bidirectional, 'c' AS comment FROM sug")
+@query("reply_relationships", "replies", f"WITH {_SUGGESTED} SELECT ontology_id, conv_id, turn, 0 AS pos, p AS parent, c AS child, relationship, title, bi AS bidirectional, 'c' AS comment FROM sug")
 def reply_relationships(v):
     return suggestions.reply_relationships(v("replies"))
 
@@ -301,11 +312,11 @@ def new_edges_only(v):
     return _new(v)
 
 
-@query("suggestion_snippet", "replies terms relationships", f"WITH {_SUGGESTED}, {_RESOLVED}, {_NEW} SELECT conv_id, 'hierarchy:' || chr(10) || string_agg('  # c' || chr(10) || '  ' || parent || ' ' || relationship || ' ' || child, chr(10) ORDER BY turn) AS snippet FROM new GROUP BY 1")
+@query("suggestion_snippet", "replies terms relationships", f"WITH {_SUGGESTED}, {_RESOLVED}, {_NEW} SELECT conv_id, 'hierarchy:' || chr(10) || string_agg('  # c' || chr(10) || '  ' || parent || ' ' || relationship || ' ' || child || CASE WHEN title IS NOT NULL OR bidirectional THEN ', {{ ' || concat_ws(', ', 'title: ''' || title || '''', CASE WHEN bidirectional THEN 'direction: ''bidirectional''' END) || ' }}' ELSE '' END, chr(10) ORDER BY turn) AS snippet FROM new GROUP BY 1")
 def suggestion_snippet(v):
     return suggestions.snippets(_new(v))
 
 
-@query("merged_hierarchy", "replies terms relationships", f"WITH {_SUGGESTED}, {_RESOLVED}, {_NEW} SELECT 0 AS part, seq, parent, relationship, child FROM relationships UNION ALL SELECT 1, conv_id * 1000 + turn, parent, relationship, child FROM new")
+@query("merged_hierarchy", "replies terms relationships", f"WITH {_SUGGESTED}, {_RESOLVED}, {_NEW} SELECT ontology_id, 0 AS part, seq, parent, relationship, child FROM relationships UNION ALL SELECT ontology_id, 1, conv_id * 1000 + turn, parent, relationship, child FROM new")
 def merged_hierarchy(v):
     return suggestions.merged_hierarchy(v("relationships"), _new(v))

@@ -1,5 +1,7 @@
 """Queries over definitions of concept models."""
 
+from pyspark.sql import functions as F
+
 from modelgraph.operators import definitions as op
 from modelgraph.plans.views import query
 
@@ -125,8 +127,20 @@ _FIGURES = """figures AS (SELECT m.ontology_id, figure AS title, kind, declared
   UNION ALL SELECT ontology_id, 'function', seq, name, label FROM functions UNION ALL SELECT ontology_id, 'relationship', seq, name, parent || ' ' || relationship || ' ' || child FROM relationships) d
   USING (ontology_id, kind) WHERE d.seq = declared AND d.name = member)"""
 _FIRST = "firsts AS (SELECT ontology_id, name, min_by(label, seq) AS label FROM terms GROUP BY 1, 2)"
-_RELS = "rels AS (SELECT u.ontology_id, 'None | Иерархия' AS title, u.seq, u.name, label FROM (SELECT ontology_id, seq, unnest([parent, child]) AS name FROM relationships) u JOIN firsts f ON u.ontology_id = f.ontology_id AND u.name = f.name)"
-_FUNCS = "funcs AS (SELECT u.ontology_id, 'None | Алгоритмы' AS title, u.seq, u.name, label FROM (SELECT ontology_id, seq, term AS name FROM function_args UNION ALL SELECT ontology_id, seq, output_term FROM functions) u JOIN firsts f ON u.ontology_id = f.ontology_id AND u.name = f.name)"
+_TITLES = "titles AS (SELECT ontology_id, max_by(value, seq) AS title FROM meta_statements WHERE tag = 'title' GROUP BY 1)"
+_EACH = """rel AS (SELECT ontology_id, NULL AS of, seq, name, parent, relationship, child FROM relationships UNION ALL SELECT m.ontology_id, figure, r.seq, r.name, parent, relationship, child FROM placed m JOIN relationships r ON kind = 'relationship' AND r.ontology_id = m.ontology_id AND r.name = member AND r.seq = declared),
+  fun AS (SELECT ontology_id, NULL AS of, seq, name, label, output_term FROM functions UNION ALL SELECT m.ontology_id, figure, f.seq, f.name, label, output_term FROM placed m JOIN functions f ON kind = 'function' AND f.ontology_id = m.ontology_id AND f.name = member AND f.seq = declared)"""
+_ENDS_TEXT = "parent || ' ' || relationship || ' ' || child"
+_PARTS = f"""parts AS (SELECT ontology_id, of, 'rels' AS part, 'relationship' AS kind, seq, name, {_ENDS_TEXT} AS label FROM rel
+  UNION ALL SELECT u.ontology_id, of, 'rels', 'term', u.seq, u.name, label FROM (SELECT ontology_id, of, seq, unnest([parent, child]) AS name FROM rel) u JOIN firsts f ON u.ontology_id = f.ontology_id AND u.name = f.name
+  UNION ALL SELECT ontology_id, of, 'funcs', 'function', seq, name, label FROM fun
+  UNION ALL SELECT u.ontology_id, of, 'funcs', 'term', u.seq, u.name, f.label FROM (SELECT x.ontology_id, of, x.seq, term AS name FROM fun x JOIN function_args a ON a.ontology_id = x.ontology_id AND a.function = x.name UNION ALL SELECT ontology_id, of, seq, output_term FROM fun) u
+    JOIN firsts f ON u.ontology_id = f.ontology_id AND u.name = f.name)"""
+_PART_TITLE = "coalesce({}, 'None') || CASE part WHEN 'rels' THEN ' | Иерархия' ELSE ' | Алгоритмы' END"
+
+
+def _titles(v):
+    return v("meta_statements").where("tag = 'title'").groupBy("ontology_id").agg(F.max_by("value", "seq").alias("title"))
 
 
 def placed_members(v):
@@ -155,25 +169,26 @@ def figure_meta(v):
     return op.figure_meta(op.meta_last_wins(v("meta_statements")), v("figure_lines"))
 
 
-@query("hierarchy_only_view", "terms relationships", f"WITH {_FIRST}, {_RELS} SELECT * FROM rels")
+_VIEW_TABLES = "terms functions function_args relationships figure_lines meta_statements"
+_VIEW = f"WITH {_ALL}, {_FOUND}, {_PLACED}, {_FIGURES}, {_FIRST}, {_TITLES}, {_EACH}, {_PARTS}"
+
+
+@query("hierarchy_only_view", _VIEW_TABLES, f"{_VIEW} SELECT p.ontology_id, {_PART_TITLE.format('title')} AS title, kind, seq, name, label FROM parts p LEFT JOIN titles t ON t.ontology_id = p.ontology_id WHERE part = 'rels' AND of IS NULL")
 def hierarchy_only_view(v):
-    return op.hierarchy_only(v("relationships"), v("terms"))
+    return op.hierarchy_only(v("relationships"), v("terms"), _titles(v))
 
 
-@query("functions_only_view", "terms functions function_args", f"WITH {_FIRST}, {_FUNCS} SELECT * FROM funcs")
+@query("functions_only_view", _VIEW_TABLES, f"{_VIEW} SELECT p.ontology_id, {_PART_TITLE.format('title')} AS title, kind, seq, name, label FROM parts p LEFT JOIN titles t ON t.ontology_id = p.ontology_id WHERE part = 'funcs' AND of IS NULL")
 def functions_only_view(v):
-    return op.functions_only(v("functions"), v("function_args"), v("terms"))
+    return op.functions_only(v("functions"), v("function_args"), v("terms"), _titles(v))
 
 
 @query(
-    "output_variants", "terms functions function_args relationships figure_lines",
-    f"""WITH {_ALL}, {_FOUND}, {_PLACED}, {_FIGURES},
-    rels AS (SELECT ontology_id, 'base' AS variant, parent, child FROM relationships UNION ALL SELECT m.ontology_id, figure, parent, child FROM placed m JOIN relationships r ON kind = 'relationship' AND r.ontology_id = m.ontology_id AND r.name = member AND r.seq = declared),
-    funcs AS (SELECT ontology_id, 'base' AS variant, name, output_term FROM functions UNION ALL SELECT m.ontology_id, figure, name, output_term FROM placed m JOIN functions f ON kind = 'function' AND f.ontology_id = m.ontology_id AND f.name = member AND f.seq = declared),
-    uses AS (SELECT ontology_id, variant || '_rels' AS variant, unnest([parent, child]) AS name FROM rels UNION ALL SELECT ontology_id, variant || '_funcs', output_term FROM funcs
-      UNION ALL SELECT f.ontology_id, variant || '_funcs', term FROM funcs f JOIN function_args a ON a.function = f.name AND a.ontology_id = f.ontology_id)
-    SELECT ontology_id, variant, count(*) AS n_terms FROM (SELECT ontology_id, 'base' AS variant FROM terms UNION ALL SELECT ontology_id, title FROM figures WHERE kind = 'term'
-    UNION ALL SELECT ontology_id, variant FROM uses u WHERE EXISTS (SELECT 1 FROM terms t WHERE t.ontology_id = u.ontology_id AND t.name = u.name)) GROUP BY 1, 2""",
+    "output_variants", _VIEW_TABLES,
+    f"""{_VIEW}, whole AS (SELECT ontology_id, NULL AS of, '' AS part, 'term' AS kind, seq, name, label FROM terms UNION ALL SELECT ontology_id, NULL, '', 'function', seq, name, label FROM functions
+    UNION ALL SELECT ontology_id, NULL, '', 'relationship', seq, name, {_ENDS_TEXT} FROM relationships UNION ALL SELECT ontology_id, title, '', kind, seq, name, label FROM figures)
+    SELECT x.ontology_id, of AS figure, part, CASE WHEN part = '' THEN coalesce(of, title) ELSE {_PART_TITLE.format('coalesce(of, title)')} END AS title, kind, seq, name, label
+    FROM (SELECT * FROM whole UNION ALL SELECT * FROM parts) x LEFT JOIN titles t ON t.ontology_id = x.ontology_id""",
 )
 def output_variants(v):
-    return op.output_variants(v("terms"), v("functions"), v("function_args"), v("relationships"), placed_members(v))
+    return op.output_variants(v("terms"), v("functions"), v("function_args"), v("relationships"), placed_members(v), _titles(v))

@@ -55,8 +55,8 @@ VIEWS = {
     "association_ends": """SELECT l_orderkey AS assoc_id, l_linenumber AS end_no, l_partkey AS participant, CASE WHEN l_returnflag = 'R' AND l_linenumber = 1 THEN 'composition'
         WHEN l_returnflag = 'A' AND l_linenumber <= 2 THEN 'aggregation' ELSE 'none' END AS aggregation,
         CASE l_suppkey % 6 WHEN 0 THEN '*' WHEN 1 THEN '1' WHEN 2 THEN '0..1' WHEN 3 THEN '1..*' WHEN 4 THEN '5..3' ELSE NULL END AS multiplicity FROM lineitem""",
-    "replies": """SELECT conv_id, turn, role, text, concat('Sure. {"relationships": [{"parent": "t', CAST(conv_id AS STRING), '", "child": "t', CAST(conv_id + turn AS STRING), '", "relationship": "',
-        CASE turn % 3 WHEN 0 THEN 'inheritance' WHEN 1 THEN 'composition' ELSE 'likes' END, '", "label": null, "is_bidirectional": false, "comment": "c"}]} done') AS reply FROM conversations""",
+    "replies": """SELECT conv_id % 50 AS ontology_id, conv_id, turn, role, text, concat('Sure. {"relationships": [{"parent": "t', CAST(conv_id AS STRING), '", "child": "t', CAST(conv_id + turn * 50 AS STRING), '", "relationship": "',
+        CASE turn % 3 WHEN 0 THEN 'inheritance' WHEN 1 THEN 'composition' ELSE 'likes' END, '", "label": ', CASE WHEN conv_id % 3 = 0 THEN '"is a"' ELSE 'null' END, ', "is_bidirectional": ', CASE WHEN conv_id % 7 = 0 THEN 'null' WHEN conv_id % 5 = 0 THEN 'true' ELSE 'false' END, ', "comment": "c"}]} done') AS reply FROM conversations""",
     "meta_statements": """SELECT p_partkey % 50 AS ontology_id, p_partkey AS seq, CASE p_partkey % 8 WHEN 0 THEN 'version' WHEN 1 THEN 'title' WHEN 2 THEN 'author' WHEN 3 THEN 'description'
         WHEN 4 THEN 'type' WHEN 5 THEN 'date' WHEN 6 THEN 'colour' ELSE 'Title' END AS tag, CASE WHEN p_partkey % 9 = 0 THEN '' ELSE p_brand END AS value FROM part""",
     "attribute_rows": """SELECT p_partkey % 50 AS ontology_id, p_partkey AS seq, CASE p_partkey % 3 WHEN 0 THEN 'term' WHEN 1 THEN 'function' ELSE 'relationship' END AS kind,
@@ -66,10 +66,12 @@ VIEWS = {
         CASE WHEN p_partkey % 23 = 0 THEN 'nobody' WHEN p_partkey % 19 = 5 THEN 'fn' || CAST(p_partkey AS STRING) WHEN p_partkey % 29 = 7 THEN 'r' || CAST(p_partkey % 500 AS STRING)
         WHEN p_partkey % 10 = 0 THEN replace(p_name,' ','_') ELSE 't' || CAST(p_partkey AS STRING) END AS member FROM part""",
     "classifiers": """SELECT p_partkey AS class, p_partkey AS seq, CASE p_partkey % 9 WHEN 0 THEN 'Classifier' ELSE 'Class' END AS kind,
-        CASE p_partkey % 12 WHEN 0 THEN 'interface' WHEN 1 THEN 'utility' WHEN 2 THEN 'dataType' WHEN 3 THEN 'enumeration' END AS stereotype, p_partkey % 5 = 0 AS is_abstract FROM part""",
+        CASE p_partkey % 12 WHEN 0 THEN 'interface' WHEN 1 THEN 'utility' WHEN 2 THEN 'dataType' WHEN 3 THEN 'enumeration' END AS stereotype, p_partkey % 5 = 0 AS is_abstract,
+        CASE p_partkey % 7 WHEN 1 THEN '1' WHEN 2 THEN '0..4' WHEN 3 THEN '2..*' END AS multiplicity FROM part""",
     "operations": """SELECT o_custkey AS class, o_orderkey AS op, CASE o_orderkey % 4 WHEN 0 THEN '+' WHEN 1 THEN '-' WHEN 2 THEN '#' ELSE '~' END AS visibility,
         'op' || CAST(o_orderkey % 3 AS STRING) AS name, CASE o_orderkey % 5 WHEN 0 THEN 'int' WHEN 1 THEN CAST(o_custkey + 1 AS STRING) WHEN 2 THEN NULL WHEN 3 THEN 'nothing' ELSE 'String' END AS return_type,
-        o_orderkey % 2 = 0 AS is_abstract, o_orderkey % 3 = 0 AS is_query, CASE WHEN o_orderkey % 7 = 0 THEN 'classifier' ELSE 'instance' END AS scope, o_orderkey % 6 = 0 AS is_leaf FROM orders""",
+        o_orderkey % 2 = 0 AS is_abstract, o_orderkey % 3 = 0 AS is_query, CASE WHEN o_orderkey % 7 = 0 THEN 'classifier' ELSE 'instance' END AS scope, o_orderkey % 6 = 0 AS is_leaf,
+        CASE o_orderkey % 8 WHEN 1 THEN 'guarded' WHEN 6 THEN 'concurrent' ELSE 'sequential' END AS concurrency FROM orders""",
     "parameters": """SELECT l_orderkey AS op, l_linenumber AS pos, 'x' || CAST(l_linenumber AS STRING) AS name,
         CASE l_suppkey % 5 WHEN 0 THEN 'int' WHEN 1 THEN CAST(l_partkey AS STRING) WHEN 2 THEN NULL WHEN 3 THEN 'ghost' ELSE 'bool' END AS type_,
         CASE l_suppkey % 4 WHEN 0 THEN 'in' WHEN 1 THEN 'out' WHEN 2 THEN 'inout' ELSE 'return' END AS direction, CASE WHEN l_quantity > 30 THEN CAST(CAST(l_quantity AS INT) AS STRING) END AS default_value FROM lineitem""",

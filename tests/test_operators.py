@@ -100,10 +100,17 @@ def test_class_rules(spark):
 
 def test_replies(spark):
     good = 'Ok {"relationships": [{"parent": "a", "child": "b", "relationship": "inheritance", "label": null, "is_bidirectional": true, "comment": "b is a kind of a"}]} end'
-    r = spark.createDataFrame([(1, 1, good), (2, 1, "no json"), (3, 1, good.replace("inheritance", "likes")), (4, 1, None)], "conv_id long, turn long, reply string")
+    r = spark.createDataFrame([(5, 1, 1, good), (5, 2, 1, "no json"), (5, 3, 1, good.replace("inheritance", "likes")), (5, 4, 1, None), (5, 6, 1, good.replace("true", "null")), (5, 7, 1, good.replace('"label": null, ', ""))], "ontology_id long, conv_id long, turn long, reply string")
     s = suggestions.reply_relationships(r)
-    terms = spark.createDataFrame([("a",), ("b",)], "name string")
+    terms = spark.createDataFrame([(5, "a"), (5, "b")], "ontology_id long, name string")
     assert [(x.parent, x.child, x.bidirectional) for x in suggestions.resolve(s, terms).collect()] == [("b", "a", True)]
+    assert suggestions.resolve(s, terms.withColumn("ontology_id", F.lit(6).cast("long"))).count() == 0
+    two = suggestions.reply_relationships(r.unionByName(r.where("conv_id = 1").withColumn("ontology_id", F.lit(9).cast("long"))))
+    assert suggestions.keep_first(two).count() == 2
+    taken = spark.createDataFrame([(9, "a", "b")], "ontology_id long, parent string, child string")
+    assert [x.ontology_id for x in suggestions.new_only(two, taken).collect()] == [5]
+    titled = suggestions.reply_relationships(r.where("conv_id = 1").withColumn("reply", F.replace("reply", F.lit("null"), F.lit('"is a"'))))
+    assert suggestions.snippets(titled).first().snippet == "hierarchy:\n  # b is a kind of a\n  a inheritance b, { title: 'is a', direction: 'bidirectional' }"
     assert suggestions.snippets(s).first().snippet == "hierarchy:\n  # b is a kind of a\n  a inheritance b, { direction: 'bidirectional' }"
 
 
@@ -295,3 +302,24 @@ def test_errors_of_class_sources(spark):
     ends = extract.tdl_associations(ghost).select(F.explode(F.array("class1", "class2")).alias("class")).unionByName(extract.tdl_relations(ghost).select(F.col("target").alias("class")))
     types = extract.tdl_attributes(extract.tdl_classes(ghost)).select(F.col("type_").alias("class"))
     assert {r["class"] for r in ends.unionByName(types).join(known, "class", "left_anti").collect()} == {"Призрак", "Нет"}
+
+
+def test_numbers_of_any_size_and_texts(spark):
+    one = lambda c: spark.range(1).select(c.alias("x")).first().x
+    m = lambda t: tuple(one(fn.multiplicity(F.lit(t))))
+    assert m("0..3000000000") == (0, 3000000000) and m("1 .. 3") == (1, 3) and m("*") == (0, None) and m("2..*") == (2, None) and m("1..x") == (None, None) and m("1..99999999999999999999") == (None, None)
+    assert one(fn.multiplicities_text(fn.multiplicities(F.lit("1..3, 5, 7..*")))) == "1..3, 5, 7..*"
+    c = lambda v, t: one(fn.coerced(F.lit(v), F.lit(t)))
+    assert c("3000000000", "int") == "3000000000" and c("1d", "double") is None and c(" 1e3 ", "double") == "1000.0" and c("1.5", "int") is None and c("9" * 50, "Integer") == "9" * 50
+    text = fn.parameter_text(F.lit("out"), F.lit("x"), F.lit("int"), F.lit("5"))
+    assert one(text) == "out x : int  = 5" and one(fn.parameter_text(F.lit("in"), F.lit("x"), F.lit(None), F.lit(""))) == "x  = "
+    assert one(fn.operation_text(F.lit("+"), F.lit("f"), F.array(text), F.lit(None), F.lit(True), F.lit(False), F.lit("guarded"))) == "+ f(out x : int  = 5) {isQuery, guarded}"
+    assert one(fn.class_header(F.lit("utility"), F.lit("A"), F.lit(True), F.lit("0..4"))) == "«utility» A {abstract} 0..4"
+
+
+def test_prompts(spark):
+    t = spark.createDataFrame([(1, 1, "A", " Big\\n\t", "x")], "ontology_id long, seq long, name string, label string, description string")
+    f = spark.createDataFrame([(1, 2, "F", "Does", "A", "")], "ontology_id long, seq long, name string, label string, output_term string, output_label string")
+    a = spark.createDataFrame([(1, "F", 1, "A", "In")], "ontology_id long, function string, pos long, term string, label string")
+    assert tuple(suggestions.prompts(t, f, a).first()) == (1, "'a', 'big', 'x'", "'f', 'does', ('a': 'in') -> 'a': ''")
+    assert suggestions.prompts(t, f.limit(0), a).first().functions == ""
