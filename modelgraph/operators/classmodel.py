@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelgraph.functions.classmodel import PRIMITIVES, bad_multiplicity, coerced
+from modelgraph.operators.graph import settled
 
 
 def effective_classifiers(rows: DataFrame) -> DataFrame:
@@ -80,14 +81,29 @@ def bad_parameter_types(parameters: DataFrame, classifiers: DataFrame) -> DataFr
     return joined.withColumn("problem", problem).where("problem is not null").drop("kind")
 
 
-def redefines_unknown(attributes: DataFrame, ancestors: DataFrame) -> DataFrame:
-    """Attributes whose `redefines` names no attribute of an ancestor; classes without ancestors
-    are not checked. ancestors(class, ancestor) is the closure."""
-    wanted = attributes.where("redefines is not null").select("class", "seq", "redefines")
-    above = ancestors.join(wanted.select("class").distinct(), "class", "left_semi")
-    have = above.join(attributes.select(F.col("class").alias("ancestor"), F.col("name").alias("redefines")).distinct(), "ancestor")
-    have = have.select("class", "redefines").distinct()
-    return wanted.join(above.select("class").distinct(), "class", "left_semi").join(have, ["class", "redefines"], "left_anti")
+def redefines_unknown(attributes: DataFrame, generalizations: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """Attributes whose `redefines` names no attribute of an ancestor; classes without parents are
+    not checked. generalizations(specific, general) may hold cycles.
+
+    Each redefined name of a class walks up from its parents, a generation a round, and leaves at the first
+    ancestor that has it. Pairs of classes and ancestors are not listed: only names that are still
+    looked for are carried, and places seen before are not visited again."""
+    up = settled(generalizations.where("specific is not null and general is not null").select(F.col("specific").alias("at"), F.col("general").alias("next")).distinct())
+    have = attributes.select(F.col("class").alias("at"), F.col("name").alias("redefines")).distinct()
+    wanted = attributes.where("redefines is not null").select("class", "seq", "redefines").join(up.select(F.col("at").alias("class")).distinct(), "class", "left_semi")
+    sought = settled(wanted.select("class", "redefines").distinct())
+    front = settled(sought.join(up.withColumnRenamed("at", "class"), "class").select("class", "redefines", F.col("next").alias("at")).distinct())
+    seen = front
+    found = sought.limit(0)
+    for _ in range(most_rounds):
+        if front.isEmpty():
+            return wanted.join(found, ["class", "redefines"], "left_anti")
+        here = settled(front.join(have, ["at", "redefines"], "left_semi").select("class", "redefines").distinct())
+        found = found.unionByName(here)
+        left = front.join(here, ["class", "redefines"], "left_anti").join(up, "at").select("class", "redefines", F.col("next").alias("at")).distinct()
+        front = settled(left.join(seen, ["class", "redefines", "at"], "left_anti"))
+        seen = seen.unionByName(front)
+    raise RuntimeError(f"generalizations deeper than {most_rounds}")
 
 
 def composition_parts(ends: DataFrame) -> DataFrame:

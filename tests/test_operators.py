@@ -144,7 +144,7 @@ def test_sources_and_streams(spark, tmp_path):
     assert want == {(1, "b", 2), (1, "c", 1), (2, "d", 1)} and got <= want and (1, "b", 2) in got
     out = str(tmp_path / "files")
     edits.start_upserts(stream, out, str(tmp_path / "cp")).awaitTermination()
-    assert {(r.project_id, r.content) for r in spark.read.parquet(f"{out}/v0").collect()} == {(1, "c"), (2, "d")}
+    assert {(r.project_id, r.content) for r in edits.stored_files(spark, out).collect()} == {(1, "c"), (2, "d")}
 
 
 def test_chains_stop_with_an_error(spark):
@@ -323,3 +323,28 @@ def test_prompts(spark):
     a = spark.createDataFrame([(1, "F", 1, "A", "In")], "ontology_id long, function string, pos long, term string, label string")
     assert tuple(suggestions.prompts(t, f, a).first()) == (1, "'a', 'big', 'x'", "'f', 'does', ('a': 'in') -> 'a': ''")
     assert suggestions.prompts(t, f.limit(0), a).first().functions == ""
+
+
+def test_a_replayed_batch_changes_nothing(spark, tmp_path):
+    path = f"{tmp_path}/store"
+    rows = lambda *r: spark.createDataFrame(list(r), "project_id long, name string, t string, content string").select("project_id", "name", F.to_timestamp("t").alias("ts"), "content")
+    batches = [rows((1, "a", "2024-01-01", "one"), (2, "b", "2024-01-01", "b1")), rows((1, "a", "2024-01-02", "two"), (3, "c", "2024-01-02", "c1")), rows((1, "a", "2024-01-01 12:00:00", "late"), (2, "b", "2024-01-03", "b2")), rows((1, "a", "2024-01-04", "four"))]
+    held = lambda: sorted((r.project_id, r.name, r.content) for r in edits.stored_files(spark, path).collect())
+    for number, batch in enumerate(batches):
+        edits.write_upserts(batch, number, path, buckets=4)
+        once = held()
+        edits.write_upserts(batch, number, path, buckets=4)
+        assert held() == once
+    assert once == [(1, "a", "four"), (2, "b", "b2"), (3, "c", "c1")]
+    edits.write_upserts(batches[0].limit(0), 4, path, buckets=4)
+    assert held() == once
+    assert all(len(list(bucket.glob("batch=*"))) <= 2 for bucket in (tmp_path / "store").glob("bucket=*"))
+
+
+def test_redefined_names_are_looked_for_in_all_ancestors(spark):
+    up = spark.createDataFrame([("c", "b"), ("b", "a"), ("a", "b"), ("d", "x"), ("d", "c")], "specific string, general string")
+    rows = [("a", 1, "top", None), ("b", 2, "mid", None), ("c", 3, "own", "top"), ("c", 4, "o2", "own"), ("d", 5, "p", "mid"), ("d", 6, "q", "gone"), ("x", 7, "r", "gone"), ("a", 8, "s", "top"), ("b", 9, "t", "mid")]
+    attributes = spark.createDataFrame(rows, "class string, seq int, name string, redefines string")
+    got = {(r["class"], r.redefines) for r in classmodel.redefines_unknown(attributes, up).collect()}
+    # x has no parents; a and b are on a cycle, so each is its own ancestor.
+    assert got == {("c", "own"), ("d", "gone")}
