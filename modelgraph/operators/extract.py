@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from modelgraph.functions.classmodel import multiplicity
+from modelgraph.functions.classmodel import bad_multiplicity, multiplicity
 
 #: A string in either kind of quotes; it may hold brackets, # and line breaks.
 STRING = r"""(?:'[^']*+'|"[^"]*+")"""
@@ -290,34 +290,106 @@ def tdl_associations(sources: DataFrame) -> DataFrame:
 
 
 # Tagged drawings.
+_VALUE = r"""(?:"[^"]*+"|'[^']*+')"""
+_TAG = rf"""<[A-Za-z_][\w:.-]*+(?:[^>"']|{_VALUE})*+>"""
+_ATTRIBUTE = rf"""\s([\w:.-]+)\s*=\s*({_VALUE})"""
+_NO_MARKUP = r"(?s)<!--.*?-->|<!\[CDATA\[.*?\]\]>|<\?.*?\?>"
+#: Relations of drawings: the attributes that name their ends, newer names first.
+SVG_ENDS = {
+    "association": (("data-end1-class", "data-src"), ("data-end2-class", "data-tgt")),
+    "dependency": (("data-src",), ("data-tgt",)),
+    "generalization": (("data-src",), ("data-tgt",)),
+    "realization": (("data-src",), ("data-tgt",)),
+}
+
+
 def unescaped(text: Column) -> Column:
     for a, b in (("&lt;", "<"), ("&gt;", ">"), ("&quot;", '"'), ("&apos;", "'"), ("&amp;", "&")):
         text = F.replace(text, F.lit(a), F.lit(b))
     return text
 
 
-def svg_attribute(tag: Column, *names: str) -> Column:
-    """The first of the named attributes that is not empty."""
-    return F.coalesce(*(F.nullif(unescaped(F.regexp_extract(tag, rf"\s{n}=\"([^\"]*)\"", 1)), F.lit("")) for n in names))
+def svg_attributes(tag: Column) -> Column:
+    """array<struct<name, value>> of a tag's attributes, in either kind of quotes."""
+
+    def one(a: Column) -> Column:
+        quoted = F.regexp_extract(a, _ATTRIBUTE, 2)
+        plain = unescaped(F.substring(quoted, F.lit(2), F.length(quoted) - 2))
+        numbered = F.xpath_string(F.concat(F.lit("<a v="), quoted, F.lit("/>")), F.lit("/a/@v"))
+        return F.struct(F.regexp_extract(a, _ATTRIBUTE, 1).alias("name"), F.when(quoted.contains("&#"), numbered).otherwise(plain).alias("value"))
+
+    return F.transform(F.regexp_extract_all(tag, F.lit(f"({_ATTRIBUTE})"), F.lit(1)), one)
+
+
+def svg_attribute(tag: Column, *names: str, empty: bool = False) -> Column:
+    """The first of the named attributes that is there and, unless empty, has a value."""
+    there = svg_attributes(tag)
+    pick = lambda n: F.try_element_at(F.filter(there, lambda a: a["name"] == n), F.lit(1))["value"]
+    return F.coalesce(*(pick(n) if empty else F.nullif(pick(n), F.lit("")) for n in names))
 
 
 def svg_elements(drawings: DataFrame) -> DataFrame:
-    """doc, pos, kind, tag of tagged elements in drawings(doc, svg); a drawing that is not well
-    formed gives one row of kind 'error'."""
+    """doc, pos, kind, tag of every tagged element, whatever it is called, in drawings(doc, svg); a
+    drawing that is not well formed gives one row of kind 'error'. Comments and the like don't count."""
     ok = F.from_xml("svg", "bad string", {"columnNameOfCorruptRecord": "bad", "mode": "PERMISSIVE"})["bad"].isNull()
     rows = drawings.withColumn("ok", ok)
-    tags = F.regexp_extract_all("svg", F.lit(r"(<g\s[^>]*data-type=\"[^\"]+\"[^>]*>)"), F.lit(1))
-    good = rows.where("ok").select("doc", F.posexplode(tags).alias("pos", "tag")).withColumn("kind", svg_attribute(F.col("tag"), "data-type"))
+    tags = F.regexp_extract_all(F.regexp_replace("svg", _NO_MARKUP, ""), F.lit(f"({_TAG})"), F.lit(1))
+    good = rows.where("ok").select("doc", F.posexplode(tags).alias("pos", "tag")).where("tag like '%data-type%'")
+    good = good.withColumn("kind", svg_attribute(F.col("tag"), "data-type")).where("kind is not null")
     bad = rows.where("not ok").select("doc", F.lit(0).alias("pos"), F.lit(None).cast("string").alias("tag"), F.lit("error").alias("kind"))
     return good.unionByName(bad)
 
 
-def svg_status(elements: DataFrame, warnings: DataFrame) -> DataFrame:
-    """doc, ok, n_errors, n_warnings: warnings(doc) count only where there are no errors."""
-    e = elements.groupBy("doc").agg(F.count_if(F.col("kind") == "error").alias("n_errors"))
-    w = warnings.groupBy("doc").agg(F.count("*").alias("w"))
-    n = F.when(F.col("n_errors") == 0, F.coalesce("w", F.lit(0).cast("long"))).otherwise(F.lit(0).cast("long"))
-    return e.join(w, "doc", "left").select("doc", (F.col("n_errors") == 0).alias("ok"), "n_errors", n.alias("n_warnings"))
+def svg_classes(elements: DataFrame) -> DataFrame:
+    """doc, pos, id, name (without a name of its own the id), stereotype, is_abstract."""
+    a = lambda *n, **k: svg_attribute(F.col("tag"), *n, **k)
+    return elements.where("kind = 'class'").select(
+        "doc", "pos", a("data-id").alias("id"), F.coalesce(a("data-name", empty=True), a("data-id")).alias("name"), a("data-stereotype").alias("stereotype"), F.coalesce(a("data-abstract") == "true", F.lit(False)).alias("is_abstract")
+    )
+
+
+def svg_relations(elements: DataFrame) -> DataFrame:
+    """doc, pos, kind, source, target, multiplicity1, multiplicity2, known_source, known_target: the
+    relations of drawings, their ends looked up among the classes that have an id."""
+    a = lambda *n: svg_attribute(F.col("tag"), *n)
+    end = lambda i: F.coalesce(*(F.when(F.col("kind") == k, a(*ends[i])) for k, ends in SVG_ENDS.items()))
+    many = lambda i, old: F.when(F.col("kind") == "association", a(f"data-end{i}-multiplicity", f"data-{old}-multiplicity"))
+    rows = elements.where(F.col("kind").isin(*SVG_ENDS)).select("doc", "pos", "kind", end(0).alias("source"), end(1).alias("target"), many(1, "src").alias("multiplicity1"), many(2, "tgt").alias("multiplicity2"))
+    names = svg_classes(elements).where("id is not null").select("doc", "name").distinct()
+    for e in ("source", "target"):
+        rows = rows.join(names.select("doc", F.col("name").alias(e), F.lit(True).alias(f"known_{e}")), ["doc", e], "left")
+    return rows.withColumns({f"known_{e}": F.coalesce(f"known_{e}", F.lit(False)) for e in ("source", "target")})
+
+
+def svg_findings(drawings: DataFrame) -> DataFrame:
+    """doc, pos, level (error or warning), rule, subject: what is wrong with a drawing. One that is not
+    well formed, or that has no class, gets this one row."""
+    e = svg_elements(drawings)
+    row = lambda df, level, rule, subject: df.select("doc", "pos", F.lit(level).alias("level"), rule.alias("rule"), subject.alias("subject"))
+    none = F.lit(None).cast("string")
+    some = e.where("kind in ('class', 'error')").select("doc").distinct()
+    empty = drawings.select("doc", F.lit(0).alias("pos")).join(some, "doc", "left_anti")
+    classes = svg_classes(e).where("id is null")
+    r = svg_relations(e).join(some, "doc", "left_semi")
+    bad1, bad2 = (F.col(f"multiplicity{i}").isNotNull() & bad_multiplicity(F.col(f"multiplicity{i}")) for i in (1, 2))
+    rule = (
+        F.when(F.col("source").isNull() | F.col("target").isNull(), "without ends").when(~F.col("known_source"), "unknown source").when(~F.col("known_target"), "unknown target")
+        .when(bad1 | bad2, "bad multiplicity")
+    )
+    subject = F.when(F.col("rule") == "unknown source", F.col("source")).when(F.col("rule") == "unknown target", F.col("target")).when(F.col("rule") == "bad multiplicity", F.when(bad1, F.col("multiplicity1")).otherwise(F.col("multiplicity2")))
+    found = r.withColumn("rule", rule).where("rule is not null")
+    level = F.when(F.col("rule") == "without ends", "warning").otherwise("error")
+    out = row(e.where("kind = 'error'"), "error", F.lit("not well formed"), none).unionByName(row(empty, "error", F.lit("no classes"), none))
+    out = out.unionByName(row(classes, "error", F.lit("class without id"), F.col("name")))
+    return out.unionByName(found.select("doc", "pos", level.alias("level"), "rule", subject.alias("subject")))
+
+
+def svg_status(drawings: DataFrame) -> DataFrame:
+    """doc, ok, n_errors, n_warnings: warnings count only where there are no errors."""
+    n = svg_findings(drawings).groupBy("doc").agg(F.count_if(F.col("level") == "error").alias("e"), F.count_if(F.col("level") == "warning").alias("w"))
+    zero = F.lit(0).cast("long")
+    rows = drawings.select("doc").join(n, "doc", "left").select("doc", F.coalesce("e", zero).alias("n_errors"), F.coalesce("w", zero).alias("w"))
+    return rows.select("doc", (F.col("n_errors") == 0).alias("ok"), "n_errors", F.when(F.col("n_errors") == 0, F.col("w")).otherwise(zero).alias("n_warnings"))
 
 
 def svg_translate(transform: Column) -> Column:

@@ -197,32 +197,62 @@ def parse_tdl_relations(v):
     return extract.tdl_relations(s).drop("pos").unionByName(two)
 
 
+# The relation of every class but each third, to a neighbour in its drawing, as facts that the texts
+# are made of: k (the class), its kind, and the target's name (null: no such attribute).
+_LINKS = """SELECT class AS k, floor(class / 10) AS doc, CASE class % 4 WHEN 0 THEN 'association' WHEN 1 THEN 'dependency' WHEN 2 THEN 'generalization' ELSE 'realization' END AS kind,
+  CASE WHEN class % 11 = 0 THEN NULL WHEN class % 37 = 0 THEN 'ghost' ELSE 'a<' || CAST(CAST(floor(class / 10) AS BIGINT) * 10 + (class + 3) % 10 AS STRING) END AS target FROM classifiers WHERE class % 3 > 0"""
+
+
 def _svg(v):
-    """A drawing per diagram; every seventh is cut off."""
-    tag = F.concat(F.lit('<g class="uml-class" transform="translate('), (F.col("class") % 100).cast("string"), F.lit(","), (F.col("class") % 7).cast("string"), F.lit('.5)" data-type="class" data-id="" data-name="a&lt;'), F.col("class").cast("string"), F.lit('" data-abstract="'), F.col("is_abstract").cast("string"), F.lit('"></g>'))
-    docs = v("classifiers").groupBy(F.floor(F.col("class") / 10).alias("doc")).agg(F.array_join(F.array_sort(F.collect_list(tag)), "").alias("t"))
+    """A drawing per diagram; every seventh is cut off, some have no class, some classes no id."""
+    c = v("classifiers").where("floor(class / 10) % 13 <> 5").withColumn("t", F.expr("cast(class as string)"))
+    tag = F.concat(F.lit('<g class="uml-class" transform="translate('), (F.col("class") % 100).cast("string"), F.lit(","), (F.col("class") % 7).cast("string"), F.lit(".5)\" data-type='class' data-id=\""), F.when(F.col("class") % 41 > 0, F.col("t")).otherwise(""), F.lit('" data-name="a&#60;'), "t", F.lit('" data-abstract="'), F.col("is_abstract").cast("string"), F.lit('"></g>'))
+    links = v.spark.sql(_LINKS.replace("FROM classifiers", "FROM {c}"), c=v("classifiers"))
+    new = F.col("k") % 2 == 0
+    a = (F.col("kind") == "association") & new
+    one, two = F.when(a, "data-end1-class").otherwise("data-src"), F.when(a, "data-end2-class").otherwise("data-tgt")
+    line = F.concat(F.lit("<path data-note=\"data-src='x'\" data-type=\""), "kind", F.lit('" '), one, F.lit("='a&lt;"), F.col("k").cast("string"), F.lit("'"), F.coalesce(F.concat(F.lit("\n"), two, F.lit(' = "'), F.replace("target", F.lit("<"), F.lit("&lt;")), F.lit('"')), F.lit("")), F.when((F.col("kind") == "association") & (F.col("k") % 16 == 0), ' data-end2-multiplicity="5..3"').otherwise(" data-end2-multiplicity='0..*'"), F.lit("/>"))
+    every = v("classifiers").select(F.floor(F.col("class") / 10).alias("doc"), F.lit("<!-- <g data-type='class'/> -->").alias("x")).distinct()
+    rows = c.select(F.floor(F.col("class") / 10).alias("doc"), tag.alias("x")).unionByName(links.select("doc", line.alias("x"))).unionByName(every)
+    docs = rows.groupBy("doc").agg(F.array_join(F.array_sort(F.collect_list("x")), "").alias("t"))
     return docs.select("doc", F.concat(F.lit("<svg>"), "t", F.when(F.col("doc") % 7 == 0, "").otherwise("</svg>")).alias("svg"))
 
 
-@query("svg_elements", "classifiers", "SELECT CAST(floor(class / 10) AS BIGINT) AS doc, 'class' AS kind, 'a<' || class AS name FROM classifiers WHERE floor(class / 10) % 7 <> 0 UNION ALL SELECT DISTINCT CAST(floor(class / 10) AS BIGINT), 'error', NULL FROM classifiers WHERE floor(class / 10) % 7 = 0")
+_SOUND = "floor(class / 10) % 7 <> 0 AND floor(class / 10) % 13 <> 5"
+
+
+@query("svg_elements", "classifiers", f"SELECT CAST(floor(class / 10) AS BIGINT) AS doc, 'class' AS kind, 'a<' || class AS name FROM classifiers WHERE {_SOUND} UNION ALL SELECT CAST(doc AS BIGINT), kind, NULL FROM ({_LINKS}) WHERE doc % 7 <> 0 UNION ALL SELECT DISTINCT CAST(floor(class / 10) AS BIGINT), 'error', NULL FROM classifiers WHERE floor(class / 10) % 7 = 0")
 def svg_elements(v):
-    return extract.svg_elements(_svg(v)).select("doc", "kind", extract.svg_attribute(F.col("tag"), "data-id", "data-name").alias("name"))
+    return extract.svg_elements(_svg(v)).select("doc", "kind", extract.svg_attribute(F.col("tag"), "data-name").alias("name"))
 
 
-@query("svg_translate", "classifiers", "SELECT 'a<' || class AS name, CAST(class % 100 AS DOUBLE) AS x, class % 7 + 0.5::DOUBLE AS y FROM classifiers WHERE floor(class / 10) % 7 <> 0")
+@query("svg_translate", "classifiers", f"SELECT 'a<' || class AS name, CAST(class % 100 AS DOUBLE) AS x, class % 7 + 0.5::DOUBLE AS y FROM classifiers WHERE {_SOUND}")
 def svg_translate(v):
     e = extract.svg_elements(_svg(v)).where("kind = 'class'")
     return e.select(extract.svg_attribute(F.col("tag"), "data-name").alias("name"), extract.svg_translate(F.col("tag")).alias("p")).select("name", "p.x", "p.y")
 
 
+_FOUND = f"""links AS ({_LINKS}), known AS (SELECT 'a<' || class AS name FROM classifiers WHERE class % 41 > 0 AND floor(class / 10) % 13 <> 5),
+  docs AS (SELECT DISTINCT CAST(floor(class / 10) AS BIGINT) AS doc FROM classifiers),
+  r AS (SELECT CAST(doc AS BIGINT) AS doc, CASE WHEN target IS NULL THEN 'without ends' WHEN 'a<' || k NOT IN (SELECT name FROM known) THEN 'unknown source' WHEN target NOT IN (SELECT name FROM known) THEN 'unknown target'
+    WHEN kind = 'association' AND k % 16 = 0 THEN 'bad multiplicity' END AS rule, CAST('a<' || k AS VARCHAR) AS source, target FROM links WHERE doc % 7 <> 0 AND doc % 13 <> 5),
+  found AS (SELECT doc, 'error' AS level, 'not well formed' AS rule, NULL AS subject FROM docs WHERE doc % 7 = 0 UNION ALL SELECT doc, 'error', 'no classes', NULL FROM docs WHERE doc % 7 <> 0 AND doc % 13 = 5
+    UNION ALL SELECT CAST(floor(class / 10) AS BIGINT), 'error', 'class without id', 'a<' || class FROM classifiers WHERE {_SOUND} AND class % 41 = 0
+    UNION ALL SELECT doc, CASE WHEN rule = 'without ends' THEN 'warning' ELSE 'error' END, rule, CASE rule WHEN 'unknown source' THEN source WHEN 'unknown target' THEN target WHEN 'bad multiplicity' THEN '5..3' END FROM r WHERE rule IS NOT NULL)"""
+
+
+@query("svg_findings", "classifiers", f"WITH {_FOUND} SELECT * FROM found")
+def svg_findings(v):
+    return extract.svg_findings(_svg(v)).drop("pos")
+
+
 @query(
     "svg_parse_status", "classifiers",
-    """SELECT doc, doc % 7 <> 0 AS ok, CASE WHEN doc % 7 = 0 THEN 1 ELSE 0 END::BIGINT AS n_errors, CASE WHEN doc % 7 = 0 THEN 0 ELSE count(*) FILTER (class % 3 = 0) END AS n_warnings
-    FROM (SELECT CAST(floor(class / 10) AS BIGINT) AS doc, class FROM classifiers) GROUP BY 1""",
+    f"""WITH {_FOUND}, n AS (SELECT doc, count(*) FILTER (level = 'error') AS e, count(*) FILTER (level = 'warning') AS w FROM found GROUP BY 1)
+    SELECT docs.doc, coalesce(e, 0) = 0 AS ok, coalesce(e, 0) AS n_errors, CASE WHEN coalesce(e, 0) = 0 THEN coalesce(w, 0) ELSE 0 END AS n_warnings FROM docs LEFT JOIN n ON n.doc = docs.doc""",
 )
 def svg_parse_status(v):
-    warnings = v("classifiers").where("class % 3 = 0").select(F.floor(F.col("class") / 10).alias("doc"))
-    return extract.svg_status(extract.svg_elements(_svg(v)), warnings)
+    return extract.svg_status(_svg(v))
 
 
 def _read_back(v, texts):

@@ -348,3 +348,22 @@ def test_redefined_names_are_looked_for_in_all_ancestors(spark):
     got = {(r["class"], r.redefines) for r in classmodel.redefines_unknown(attributes, up).collect()}
     # x has no parents; a and b are on a cycle, so each is its own ancestor.
     assert got == {("c", "own"), ("d", "gone")}
+
+
+def test_drawings(spark):
+    good = "<svg xmlns='http://www.w3.org/2000/svg'><path data-type='class' data-id='1' data-name='A&#60;B'/><g data-id=\"2\" data-type=\"class\"/>"
+    link = '<g data-type="{}" data-src="A&lt;B" data-tgt="{}" {}/>'
+    docs = [
+        ("cut", good), ("none", "<svg><!-- <g data-type='class' data-id='x'/> --><g data-type='dependency' data-src='q'/></svg>"), ("fine", good + link.format("dependency", "2", "") + "</svg>"),
+        ("warned", good + "<g data-type='realization' data-src='2'/></svg>"), ("noid", good + "<g data-type='class' data-name='C'/>" + "<g data-type='realization' data-src='2'/></svg>"),
+        ("ghost", good + link.format("generalization", "ghost", "") + "<line data-type='association' data-end1-class='who' data-end2-class='2'/></svg>"),
+        ("range", good + link.format("association", "2", "data-tgt-multiplicity='5..3'") + link.format("association", "2", "data-src-multiplicity='1..*'") + "</svg>"),
+    ]
+    d = spark.createDataFrame(docs, "doc string, svg string")
+    got = sorted((r.doc, r.level, r.rule, r.subject or "") for r in extract.svg_findings(d).collect())
+    assert got == [
+        ("cut", "error", "not well formed", ""), ("ghost", "error", "unknown source", "who"), ("ghost", "error", "unknown target", "ghost"), ("noid", "error", "class without id", "C"),
+        ("noid", "warning", "without ends", ""), ("none", "error", "no classes", ""), ("range", "error", "bad multiplicity", "5..3"), ("warned", "warning", "without ends", ""),
+    ]
+    status = {r.doc: (r.ok, r.n_errors, r.n_warnings) for r in extract.svg_status(d).collect()}
+    assert status["fine"] == (True, 0, 0) and status["warned"] == (True, 0, 1) and status["noid"] == (False, 1, 0) and status["ghost"] == (False, 2, 0)
