@@ -87,9 +87,13 @@ def list_files(files: DataFrame, project: int | None = None) -> DataFrame:
     return mine.select("project_id", "name", "updated_at").distinct().orderBy("project_id", "name", "updated_at")
 
 
-def build_results(entries: DataFrame, exports: DataFrame, errors: DataFrame, warnings: DataFrame) -> DataFrame:
-    """One row per entry(id): ok, json, warnings (in order), error."""
+def build_results(entries: DataFrame, json: DataFrame, puml: DataFrame, errors: DataFrame, warnings: DataFrame) -> DataFrame:
+    """One row per entry(id): ok, json, puml, warnings, error. errors(id, seq, text): the first by place
+    is the result's, as a build stops there, and such an entry has neither exports nor warnings; warnings(id, seq,
+    text) come in order, without terminal codes. json(id, json) and puml(id, puml) are the exports."""
+    e = errors.groupBy("id").agg(F.min(F.struct("seq", "text"))["text"].alias("error"))
     w = warnings.groupBy("id").agg(F.array_sort(F.collect_list(F.struct("seq", "text"))).alias("w"))
-    out = entries.join(exports.select("id", "json"), "id", "left").join(errors.select("id", "error"), "id", "left").join(w, "id", "left")
-    texts = F.coalesce(F.transform("w", lambda x: strip_ansi(x.text)), F.array().cast("array<string>"))
-    return out.select("id", F.col("error").isNull().alias("ok"), F.when(F.col("error").isNull(), F.col("json")).alias("json"), texts.alias("warnings"), "error")
+    out = entries.join(e, "id", "left").join(json, "id", "left").join(puml, "id", "left").join(w, "id", "left")
+    ok = F.col("error").isNull()
+    texts = F.coalesce(F.when(ok, F.transform("w", lambda x: strip_ansi(x.text))), F.array().cast("array<string>"))
+    return out.select("id", ok.alias("ok"), F.when(ok, F.col("json")).alias("json"), F.when(ok, F.col("puml")).alias("puml"), texts.alias("warnings"), "error")

@@ -367,3 +367,11 @@ def test_drawings(spark):
     ]
     status = {r.doc: (r.ok, r.n_errors, r.n_warnings) for r in extract.svg_status(d).collect()}
     assert status["fine"] == (True, 0, 0) and status["warned"] == (True, 0, 1) and status["noid"] == (False, 1, 0) and status["ghost"] == (False, 2, 0)
+
+
+def test_results_of_builds(spark):
+    ids = spark.createDataFrame([(1,), (2,), (3,)], "id long")
+    text = lambda rows, name: spark.createDataFrame(rows, f"id long, {name} string")
+    said = lambda rows: spark.createDataFrame(rows, "id long, seq long, text string")
+    got = workspace.build_results(ids, text([(1, "{}"), (2, "{}")], "json"), text([(1, "@")], "puml"), said([(2, 9, "late"), (2, 3, "first")]), said([(1, 5, "b"), (1, 2, "\x1b[1ma\x1b[0m"), (2, 1, "c")]))
+    assert sorted(map(tuple, got.collect())) == [(1, True, "{}", "@", ["a", "b"], None), (2, False, None, None, [], "first"), (3, True, None, None, [], None)]
