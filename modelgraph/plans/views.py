@@ -37,15 +37,15 @@ VIEWS = {
         UNION ALL SELECT p_partkey, CAST(floor(p_partkey / 4) AS BIGINT), 2 FROM part WHERE p_partkey % 97 = 0""",
     "definitions": """SELECT p_partkey AS file_id, 1 AS seq, 'd' || CAST(p_partkey % 40 AS STRING) AS name, p_brand AS label, p_type AS description FROM part
         UNION ALL SELECT p_partkey, 2, 'e' || CAST(p_partkey AS STRING), p_name, p_type FROM part""",
-    "model_imports": """SELECT p_partkey AS file_id, p_partkey * 2 AS target_id, 1 AS seq, pos, CASE pos WHEN 0 THEN 'f' WHEN 1 THEN 't' ELSE 'r' END || CAST(p_partkey * 2 AS STRING) AS name,
+    "model_imports": """SELECT p_partkey AS file_id, p_partkey * 8 AS target_id, 1 AS seq, pos, CASE pos WHEN 0 THEN 'f' WHEN 1 THEN 't' ELSE 'r' END || CAST(p_partkey * 8 AS STRING) AS name,
         CASE WHEN pos = 0 AND p_partkey % 7 = 0 THEN 'g' || CAST(p_partkey AS STRING) WHEN pos = 1 AND p_partkey % 5 = 0 THEN 'x' || CAST(p_partkey AS STRING) END AS alias
         FROM part CROSS JOIN (SELECT 0 AS pos UNION ALL SELECT 1 AS pos UNION ALL SELECT 2 AS pos) x WHERE p_partkey > 0 AND (pos <> 1 OR p_partkey % 3 > 0)
-        UNION ALL SELECT p_partkey, p_partkey * 2 + 1, 2, 0, NULL, NULL FROM part WHERE p_partkey > 0""",
+        UNION ALL SELECT p_partkey, p_partkey * 8 + 1, 2, 0, NULL, NULL FROM part WHERE p_partkey > 0""",
     "model_definitions": """SELECT p_partkey AS file_id, 10 AS seq, 'term' AS kind, 't' || CAST(p_partkey AS STRING) AS name, p_brand || '/' || p_type AS body, '' AS use1, '' AS use2 FROM part
         UNION ALL SELECT p_partkey, 11, 'term', 'c' || CAST(p_partkey % 400 AS STRING), p_type, '', '' FROM part WHERE p_partkey % 4 = 0
-        UNION ALL SELECT p_partkey, 20, 'function', 'f' || CAST(p_partkey AS STRING), p_name, 't' || CAST(p_partkey AS STRING), CASE WHEN p_partkey % 6 = 0 THEN 'x' || CAST(p_partkey AS STRING) ELSE 't' || CAST(p_partkey * 2 + p_partkey % 2 AS STRING) END FROM part
-        UNION ALL SELECT p_partkey, 30, 'relationship', CASE WHEN p_partkey % 2 = 0 THEN 'r' || CAST(p_partkey AS STRING) END, 'composition', 't' || CAST(p_partkey * 2 + 1 AS STRING), 't' || CAST(p_partkey AS STRING) FROM part
-        UNION ALL SELECT p_partkey, 5, 'function', 'e' || CAST(p_partkey AS STRING), p_type, 't' || CAST(p_partkey * 2 + 1 AS STRING), 't' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 3 = 0""",
+        UNION ALL SELECT p_partkey, 20, 'function', 'f' || CAST(p_partkey AS STRING), p_name, 't' || CAST(p_partkey AS STRING), CASE WHEN p_partkey % 6 = 0 THEN 'x' || CAST(p_partkey AS STRING) ELSE 't' || CAST(p_partkey * 8 + p_partkey % 2 AS STRING) END FROM part
+        UNION ALL SELECT p_partkey, 30, 'relationship', CASE WHEN p_partkey % 2 = 0 THEN 'r' || CAST(p_partkey AS STRING) END, 'composition', 't' || CAST(p_partkey * 8 + 1 AS STRING), 't' || CAST(p_partkey AS STRING) FROM part
+        UNION ALL SELECT p_partkey, 5, 'function', 'e' || CAST(p_partkey AS STRING), p_type, 't' || CAST(p_partkey * 8 + 1 AS STRING), 't' || CAST(p_partkey AS STRING) FROM part WHERE p_partkey % 3 = 0""",
     "generalizations": """SELECT p_partkey AS specific, CAST(floor(p_partkey / 2) AS BIGINT) AS general FROM part WHERE p_partkey > 1
         UNION ALL SELECT CAST(floor(p_partkey / 8) AS BIGINT), p_partkey FROM part WHERE p_partkey % 97 = 0 AND p_partkey > 7
         UNION ALL SELECT p_partkey, p_partkey - 1 FROM part WHERE p_partkey % 20 = 3""",
