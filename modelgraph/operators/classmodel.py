@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from modelgraph.functions.classmodel import PRIMITIVES, bad_multiplicity, coerced
-from modelgraph.operators.graph import settled
+from modelgraph.operators.graph import on_cycles, settled
 
 
 def effective_classifiers(rows: DataFrame) -> DataFrame:
@@ -81,46 +83,59 @@ def bad_parameter_types(parameters: DataFrame, classifiers: DataFrame) -> DataFr
     return joined.withColumn("problem", problem).where("problem is not null").drop("kind")
 
 
-def redefines_unknown(attributes: DataFrame, generalizations: DataFrame, most_rounds: int = 10_000) -> DataFrame:
-    """Attributes whose `redefines` names no attribute of an ancestor; classes without parents are
-    not checked. generalizations(specific, general) may hold cycles.
+def features(attributes: DataFrame, operations: DataFrame) -> DataFrame:
+    """element, class, seq, name, redefines of attributes and operations (of these seq is op)."""
+    one = attributes.select(F.lit("attribute").alias("element"), "class", "seq", "name", "redefines")
+    return one.unionByName(operations.select(F.lit("operation").alias("element"), "class", F.col("op").alias("seq"), "name", "redefines"))
+
+
+def redefines_unknown(members: DataFrame, generalizations: DataFrame, most_rounds: int = 10_000) -> DataFrame:
+    """Members whose `redefines` names no member of the same `element` (attribute or operation; one
+    kind where that column lacks) of an ancestor; classes without parents are not checked.
+    generalizations(specific, general) may hold cycles.
 
     Each redefined name of a class walks up from its parents, a generation a round, and leaves at the first
     ancestor that has it. Pairs of classes and ancestors are not listed: only names that are still
     looked for are carried, and places seen before are not visited again."""
+    kind = [c for c in ("element",) if c in members.columns]
+    sought_by = [*kind, "class", "redefines"]
     up = settled(generalizations.where("specific is not null and general is not null").select(F.col("specific").alias("at"), F.col("general").alias("next")).distinct())
-    have = attributes.select(F.col("class").alias("at"), F.col("name").alias("redefines")).distinct()
-    wanted = attributes.where("redefines is not null").select("class", "seq", "redefines").join(up.select(F.col("at").alias("class")).distinct(), "class", "left_semi")
-    sought = settled(wanted.select("class", "redefines").distinct())
-    front = settled(sought.join(up.withColumnRenamed("at", "class"), "class").select("class", "redefines", F.col("next").alias("at")).distinct())
+    have = members.select(*kind, F.col("class").alias("at"), F.col("name").alias("redefines")).distinct()
+    wanted = members.where("redefines is not null").select(*sought_by, "seq").join(up.select(F.col("at").alias("class")).distinct(), "class", "left_semi")
+    sought = settled(wanted.select(*sought_by).distinct())
+    front = settled(sought.join(up.withColumnRenamed("at", "class"), "class").select(*sought_by, F.col("next").alias("at")).distinct())
     seen = front
     found = sought.limit(0)
     for _ in range(most_rounds):
         if front.isEmpty():
-            return wanted.join(found, ["class", "redefines"], "left_anti")
-        here = settled(front.join(have, ["at", "redefines"], "left_semi").select("class", "redefines").distinct())
+            return wanted.join(found, sought_by, "left_anti")
+        here = settled(front.join(have, [*kind, "at", "redefines"], "left_semi").select(*sought_by).distinct())
         found = found.unionByName(here)
-        left = front.join(here, ["class", "redefines"], "left_anti").join(up, "at").select("class", "redefines", F.col("next").alias("at")).distinct()
-        front = settled(left.join(seen, ["class", "redefines", "at"], "left_anti"))
+        left = front.join(here, sought_by, "left_anti").join(up, "at").select(*sought_by, F.col("next").alias("at")).distinct()
+        front = settled(left.join(seen, [*sought_by, "at"], "left_anti"))
         seen = seen.unionByName(front)
     raise RuntimeError(f"generalizations deeper than {most_rounds}")
 
 
 def composition_parts(ends: DataFrame) -> DataFrame:
-    """Parts in more than one composition: ends other than the composition's own."""
+    """Parts in more than one composition: each end that isn't the composition's own counts, two
+    ends of one association twice."""
     composite = ends.where("aggregation = 'composition'").select("assoc_id").distinct()
     parts = ends.where("aggregation <> 'composition'").join(composite, "assoc_id", "left_semi")
-    return parts.groupBy("participant").agg(F.countDistinct("assoc_id").alias("compositions")).where("compositions > 1")
+    return parts.groupBy("participant").agg(F.count("*").alias("compositions")).where("compositions > 1")
 
 
 def inheritance_conflicts(generalizations: DataFrame, attributes: DataFrame) -> DataFrame:
-    """Attributes that a class inherits from several direct parents with different types (null
-    is a type). More than one type is told from the smallest and the greatest."""
+    """Attributes that a class with several generalizations inherits from several sources with
+    different types (null is a type): specific, name, sources. A source is an attribute of a
+    parent, so one parent's two attributes of a name conflict as well. Attributes are counted by
+    class and name first; more than one type is told from the smallest and the greatest."""
     gens = generalizations.groupBy("specific").agg(F.count("*").alias("n")).where("n > 1").select("specific")
-    direct = generalizations.join(gens, "specific").distinct()
-    given = direct.join(attributes.select(F.col("class").alias("general"), "name", F.struct("type_").alias("t")).distinct(), "general")
-    found = given.groupBy("specific", "name").agg(F.countDistinct("general").alias("parents"), F.min("t").alias("lo"), F.max("t").alias("hi"))
-    return found.where(~F.col("lo").eqNullSafe(F.col("hi")) & (F.col("parents") > 1)).select("specific", "name", "parents")
+    t = F.struct("type_")
+    own = attributes.groupBy(F.col("class").alias("general"), "name").agg(F.count("*").alias("n"), F.min(t).alias("lo"), F.max(t).alias("hi"))
+    given = generalizations.join(gens, "specific", "left_semi").join(own, "general")
+    found = given.groupBy("specific", "name").agg(F.sum("n").alias("sources"), F.min("lo").alias("lo"), F.max("hi").alias("hi"))
+    return found.where(~F.col("lo").eqNullSafe(F.col("hi"))).select("specific", "name", "sources")
 
 
 def duplicate_signatures(operations: DataFrame, parameters: DataFrame) -> DataFrame:
@@ -174,6 +189,76 @@ def edge_list(association_ends: DataFrame, ends: DataFrame, classifiers: DataFra
     return every.join(known.withColumnRenamed("class", "source"), "source", "left_semi").join(known.withColumnRenamed("class", "target"), "target", "left_semi").select("source", "target", "kind")
 
 
-def inheritance_edges(generalizations: DataFrame, in_sets: DataFrame) -> DataFrame:
-    """All generalizations, those inside generalization sets included."""
-    return generalizations.select("specific", "general").unionByName(in_sets.select("specific", "general"))
+def inheritance_edges(generalizations: DataFrame, sets: DataFrame) -> DataFrame:
+    """All generalizations, those inside the sets' arrays of (specific, general) included; null and
+    empty sets add none."""
+    return generalizations.select("specific", "general").unionByName(sets.select(F.explode("generalizations").alias("g")).select("g.specific", "g.general"))
+
+
+def within(df: DataFrame, names: list[str], types: tuple[str, ...] = ()) -> DataFrame:
+    """df with its names, and types that are neither primitive nor empty, led by their diagram, so
+    that equal names of different diagrams differ. A null diagram counts as the empty one."""
+    lead = F.concat(F.url_encode(F.coalesce(F.col("diagram").cast("string"), F.lit(""))), F.lit("/"))
+    full = {c: F.concat(lead, F.col(c).cast("string")) for c in [*names, *types]}
+    for c in types:
+        full[c] = F.when(F.col(c).isin(*PRIMITIVES) | (F.col(c) == ""), F.col(c)).otherwise(full[c])
+    return df.withColumns(full).drop("diagram")
+
+
+def _bare(c: str) -> Column:
+    return F.expr(f"substring({c}, instr({c}, '/') + 1)")
+
+
+def diagram_violations(t: dict[str, DataFrame]) -> DataFrame:
+    """All checks on a corpus of diagrams: diagram, rule_order, rule, subject, place, detail.
+
+    t has the tables classifiers, generalizations, generalization_sets, dependencies, realizations,
+    association_ends, attributes, operations, parameters and template_parameters, each with a column
+    diagram; names mean something within their diagram only. Rows of all diagrams go through
+    the same joins, keyed by diagram and name, so that a diagram is never held in one task.
+    rule_order is the place of a check in the sequence of checks; those made while a diagram is
+    built come first."""
+    c = within(t["classifiers"], ["class"])
+    gens = within(t["generalizations"], ["specific", "general"])
+    members = t["generalization_sets"].select("diagram", F.explode("generalizations").alias("g")).select("diagram", "g.specific", "g.general")
+    inherited = settled(gens.select("specific", "general").unionByName(within(members, ["specific", "general"])))
+    ends = within(t["association_ends"], ["assoc_id", "participant"])
+    local_ends = within(t["association_ends"], ["assoc_id"])
+    attributes, operations = within(t["attributes"], ["class"], ("type_",)), within(t["operations"], ["class"], ("return_type",))
+    keyed_operations, parameters = within(t["operations"], ["class", "op"], ("return_type",)), within(t["parameters"], ["op"], ("type_",))
+    templates = within(t["template_parameters"], ["class"], ("type_", "default_value")).selectExpr("class as op", "stack(2, pos * 2, type_, pos * 2 + 1, default_value) as (place, type_)")
+    relations = relation_ends(inherited, within(t["dependencies"], ["client", "supplier"]), within(t["realizations"], ["implementer", "interface"]))
+    used = parameters.select("op", F.col("pos").cast("int").alias("place"), "type_").unionByName(keyed_operations.select("op", F.lit(0).alias("place"), F.col("return_type").alias("type_")))
+    blank = within(blank_names(t["classifiers"].withColumn("name", F.col("class").cast("string"))), ["class"])
+    none, kind = F.lit(0), F.col("problem")
+    rules = [
+        (0, "name", blank, "class", none, F.lit("blank or too long")),
+        (0, "multiplicity", bad_multiplicities(ends), "assoc_id", F.col("end_no"), F.col("multiplicity")),
+        (0, "value", bad_defaults(attributes, parameters), "owner", F.col("place"), F.col("value")),
+        (0, "self", self_references(relations), "source", none, F.col("relation")),
+        (0, "stereotype", stereotype_rules(c, operations, attributes), "class", F.col("seq"), F.col("stereotype")),
+        (0, "signature", duplicate_signatures(keyed_operations, parameters), "class", none, F.col("name")),
+        (0, "association", association_shape(ends), "assoc_id", none, F.col("rule")),
+        (0, "subset", subset_ends(local_ends), "assoc_id", F.col("end_no"), F.col("subsets")),
+        (1, "cycle", on_cycles(inherited.toDF("a", "b")), "node", none, F.lit("inheritance cycle")),
+        (2, "composition", composition_parts(ends), "participant", none, F.concat_ws(" ", F.col("compositions").cast("string"), F.lit("compositions"))),
+        (3, "conflict", inheritance_conflicts(gens, attributes), "specific", none, F.col("name")),
+        (4, "redefines", redefines_unknown(features(attributes, operations), inherited), "class", F.col("seq"), F.col("redefines")),
+        (5, "attribute type", unknown_attribute_types(attributes, c), "class", F.col("seq"), _bare("type_")),
+        (6, "parameter type", bad_parameter_types(used, c), "op", F.col("place"), F.concat_ws(" ", kind, _bare("type_"))),
+        (7, "template type", bad_parameter_types(templates, c), "op", F.col("place"), F.concat_ws(" ", kind, _bare("type_"))),
+        (8, "end", unknown_ends(relations, ends, c), "class", none, F.col("relation")),
+    ]
+    rows = [
+        df.select(F.url_decode(F.substring_index(owner, "/", 1)).alias("diagram"), F.lit(order).alias("rule_order"), F.lit(name).alias("rule"), _bare(f"`{owner}`").alias("subject"), place.cast("long").alias("place"), detail.alias("detail"))
+        for order, name, df, owner, place, detail in rules
+    ]
+    return reduce(DataFrame.unionByName, rows)
+
+
+def first_by_step(violations: DataFrame) -> DataFrame:
+    """The first violation of every diagram and step (rule_order), and whether checking stops there
+    (`raised`, one row a diagram): what is reported once the steps before are mended."""
+    first = violations.groupBy("diagram", "rule_order").agg(F.min(F.struct("place", "rule", "subject", "detail")).alias("e"))
+    lowest = F.min("rule_order").over(Window.partitionBy("diagram"))
+    return first.select("diagram", "rule_order", "e.rule", "e.subject", "e.detail", (F.col("rule_order") == lowest).alias("raised"))

@@ -1,14 +1,13 @@
 """Queries over class models."""
 
-from functools import reduce
+import re
 
-from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from modelgraph.functions import classmodel as fn
 from modelgraph.operators import classmodel as op
 from modelgraph.operators import graph
-from modelgraph.plans.views import ORACLES, QUERIES, query
+from modelgraph.plans.views import query
 
 _PRIM = "('String', 'str', 'Integer', 'int', 'Float', 'float', 'double', 'Boolean', 'bool')"
 _ENDS = """ends AS (SELECT 'generalization' AS relation, specific AS source, general AS target FROM generalizations UNION ALL SELECT 'dependency', client, supplier FROM dependencies
@@ -131,13 +130,17 @@ def bad_template_types(v):
     return op.bad_parameter_types(used, v("classifiers"))
 
 
+_REDEFINING = "CASE WHEN op % 9 = 0 THEN 'op' || CAST(op % 4 AS STRING) END AS redefines"
+
+
 @query(
-    "redefines_unknown", "generalizations attributes",
-    f"""WITH RECURSIVE {_CLOSURE} SELECT class, redefines, seq FROM attributes x WHERE redefines IS NOT NULL AND class IN (SELECT a FROM reach)
-    AND NOT EXISTS (SELECT 1 FROM reach r JOIN attributes y ON r.b = y.class WHERE r.a = x.class AND y.name = x.redefines)""",
+    "redefines_unknown", "generalizations attributes operations",
+    f"""WITH RECURSIVE {_CLOSURE}, f AS (SELECT 'attribute' AS element, class, seq, name, redefines FROM attributes UNION ALL SELECT 'operation', class, op, name, {_REDEFINING} FROM operations)
+    SELECT element, class, redefines, seq FROM f x WHERE redefines IS NOT NULL AND class IN (SELECT a FROM reach)
+    AND NOT EXISTS (SELECT 1 FROM reach r JOIN f y ON r.b = y.class WHERE r.a = x.class AND y.name = x.redefines AND y.element = x.element)""",
 )
 def redefines_unknown(v):
-    return op.redefines_unknown(v("attributes"), v("generalizations"))
+    return op.redefines_unknown(op.features(v("attributes"), v("operations").selectExpr("*", _REDEFINING)), v("generalizations"))
 
 
 @query("ancestors", "generalizations", f"WITH RECURSIVE {_CLOSURE} SELECT a AS class, b AS ancestor FROM reach")
@@ -152,8 +155,8 @@ def inheritance_cycles(v):
 
 @query(
     "composition_parts", "association_ends",
-    """SELECT participant, count(DISTINCT assoc_id) AS compositions FROM association_ends WHERE aggregation <> 'composition' AND assoc_id IN (SELECT assoc_id FROM association_ends WHERE aggregation = 'composition')
-    GROUP BY 1 HAVING count(DISTINCT assoc_id) > 1""",
+    """SELECT participant, count(*) AS compositions FROM association_ends WHERE aggregation <> 'composition' AND assoc_id IN (SELECT assoc_id FROM association_ends WHERE aggregation = 'composition')
+    GROUP BY 1 HAVING count(*) > 1""",
 )
 def composition_parts(v):
     return op.composition_parts(v("association_ends"))
@@ -161,8 +164,8 @@ def composition_parts(v):
 
 @query(
     "inheritance_conflicts", "generalizations attributes",
-    """SELECT specific, name, count(DISTINCT general) AS parents FROM generalizations g JOIN attributes a ON g.general = a.class
-    WHERE specific IN (SELECT specific FROM generalizations GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2 HAVING count(DISTINCT general) > 1 AND count(DISTINCT coalesce(type_, '<null>')) > 1""",
+    """SELECT specific, name, count(*) AS sources FROM generalizations g JOIN attributes a ON g.general = a.class
+    WHERE specific IN (SELECT specific FROM generalizations GROUP BY 1 HAVING count(*) > 1) GROUP BY 1, 2 HAVING count(*) > 1 AND count(DISTINCT coalesce(type_, '<null>')) > 1""",
 )
 def inheritance_conflicts(v):
     return op.inheritance_conflicts(v("generalizations"), v("attributes"))
@@ -213,38 +216,72 @@ def model_stats(v):
     return op.model_stats(of(v("classifiers"), "class"), of(v("association_ends"), "assoc_id"), of(_ends(v), "source"))
 
 
-# Rule order, query, and of its rows: model, place, what is reported. A model here is everything
-# with one number: the class, the association and the operation of that number.
-_RULES = [
-    (0, "bad_multiplicity", "assoc_id", "assoc_id * 10 + end_no", "multiplicity"),
-    (0, "coerce_defaults", "owner", "place", "value"),
-    (0, "self_references", "source", "target", "relation"),
-    (0, "stereotype_rules", "class", "seq", "stereotype"),
-    (0, "duplicate_signatures", "class", "class", "name"),
-    (0, "association_shape", "assoc_id", "assoc_id", "rule"),
-    (0, "subset_ends", "assoc_id", "assoc_id * 10 + end_no", "subsets"),
-    (1, "inheritance_cycles", "node", "node", "'inheritance cycle'"),
-    (2, "composition_parts", "participant", "participant", "'several compositions'"),
-    (3, "inheritance_conflicts", "specific", "specific", "name"),
-    (4, "redefines_unknown", "class", "seq", "redefines"),
-    (5, "unknown_attribute_types", "class", "seq", "type_"),
-    (6, "bad_parameter_types", "op", "op * 10 + place", "type_"),
-    (7, "bad_template_types", "op", "op * 10 + place", "type_"),
-    (8, "unknown_relation_ends", "class", "class", "relation"),
-]
-
-
-def _violations(v):
-    rows = [QUERIES[name](v.spark, v.sf_dir).selectExpr(f"{model} AS model", f"{order} AS rule_order", f"CAST({seq} AS BIGINT) AS seq", f"{detail} AS detail") for order, name, model, seq, detail in _RULES]
-    return reduce(DataFrame.unionByName, rows)
+def _local(c: str, n: int = 100) -> str:
+    return f"'c' || CAST({c} % {n} AS STRING)"
+
+
+def _type(c: str) -> str:
+    return f"CASE WHEN substr({c}, 1, 1) BETWEEN '0' AND '9' THEN 'c' || {c} ELSE {c} END"
+
+
+# A diagram is a hundred classes with what belongs to them, and names are local to it.
+_OF_CLASS, _OF_OP = "CAST(floor({} / 100) AS BIGINT) AS diagram", "CAST(floor({} / 750) AS BIGINT) AS diagram"
+_DIAGRAMS = {
+    "classifiers": f"SELECT {_OF_CLASS.format('class')}, {_local('class')} AS class, kind, stereotype FROM classifiers",
+    "generalizations": f"SELECT {_OF_CLASS.format('specific')}, {_local('specific')} AS specific, {_local('general')} AS general FROM generalizations WHERE specific % 7 > 0",
+    "generalization_sets": f"SELECT {_OF_CLASS.format('specific')}, {_local('specific')} AS specific, {_local('general')} AS general FROM generalizations WHERE specific % 7 = 0",
+    "dependencies": f"SELECT {_OF_CLASS.format('client')}, {_local('client')} AS client, {_local('supplier', 120)} AS supplier FROM dependencies",
+    "realizations": f"SELECT {_OF_CLASS.format('implementer')}, {_local('implementer')} AS implementer, {_local('interface')} AS interface FROM realizations",
+    "association_ends": f"SELECT {_OF_OP.format('assoc_id')}, assoc_id, end_no, {_local('participant', 101)} AS participant, aggregation, multiplicity, {_SUBSETS} FROM association_ends",
+    "attributes": f"SELECT {_OF_CLASS.format('class')}, {_local('class')} AS class, seq, name, {_type('type_')} AS type_, CASE WHEN seq % 6 = 0 THEN 'n/a' ELSE initial_value END AS initial_value, CASE WHEN seq % 2 = 0 THEN 'classifier' ELSE 'instance' END AS scope, redefines FROM attributes",
+    "operations": f"SELECT {_OF_OP.format('op')}, {_local('class')} AS class, op, name, {_type('return_type')} AS return_type, is_abstract, is_query, scope, {_REDEFINING} FROM operations",
+    "parameters": f"SELECT {_OF_OP.format('op')}, op, pos, {_type('type_')} AS type_, direction, default_value FROM parameters",
+    "template_parameters": f"SELECT {_OF_OP.format('op')}, {_local('op')} AS class, pos, {_type('type_')} AS type_, {_type('default_value')} AS default_value FROM parameters WHERE pos = 2",
+}
+_BASES = {**{n: n for n in _DIAGRAMS}, "generalization_sets": "generalizations", "template_parameters": "parameters"}
+_PROBLEM = f"""FROM (%s) p LEFT JOIN d_classifiers c ON p.diagram = c.diagram AND type_ = c.class WHERE type_ <> '' AND type_ NOT IN {_PRIM} AND (c.class IS NULL OR kind NOT IN ('Class', 'Template'))"""
+_VIOLATIONS = f"""{", ".join(f"d_{n} AS ({text})" for n, text in _DIAGRAMS.items())}, inh AS (FROM d_generalizations UNION ALL FROM d_generalization_sets),
+  rel AS (SELECT diagram, 'generalization' AS relation, specific AS source, general AS target FROM inh UNION ALL SELECT diagram, 'dependency', client, supplier FROM d_dependencies UNION ALL SELECT diagram, 'realization', implementer, interface FROM d_realizations),
+  reach AS (SELECT diagram, specific AS a, general AS b FROM inh UNION SELECT r.diagram, r.a, g.general FROM reach r JOIN inh g ON r.diagram = g.diagram AND r.b = g.specific),
+  f AS (SELECT diagram, 'attribute' AS element, class, seq, name, redefines FROM d_attributes UNION ALL SELECT diagram, 'operation', class, op, name, redefines FROM d_operations),
+  sig AS (SELECT diagram, op, string_agg(coalesce(type_, 'null'), ',' ORDER BY pos, coalesce(type_, 'null')) AS types FROM d_parameters WHERE direction <> 'return' GROUP BY 1, 2),
+  shape AS (SELECT diagram, assoc_id, count(*) AS n, count(*) FILTER (aggregation = 'composition') AS c, count(*) FILTER (aggregation <> 'none') AS a FROM d_association_ends GROUP BY 1, 2),
+  violations AS (SELECT diagram, 0 AS rule_order, 'multiplicity' AS rule, CAST(assoc_id AS VARCHAR) AS subject, end_no AS place, multiplicity AS detail FROM d_association_ends WHERE multiplicity = '5..3'
+  UNION ALL SELECT diagram, 0, 'value', class, seq, 'n/a' FROM d_attributes WHERE initial_value = 'n/a' AND type_ IN ('int', 'double')
+  UNION ALL SELECT diagram, 0, 'self', source, 0, relation FROM rel WHERE source = target
+  UNION ALL SELECT o.diagram, 0, 'stereotype', o.class, op, stereotype FROM d_operations o JOIN d_classifiers c ON o.diagram = c.diagram AND o.class = c.class
+    WHERE stereotype = 'interface' AND NOT is_abstract OR stereotype = 'utility' AND scope <> 'classifier' OR stereotype IN ('dataType', 'enumeration') AND NOT (is_query AND scope = 'classifier')
+  UNION ALL SELECT a.diagram, 0, 'stereotype', a.class, a.seq, stereotype FROM d_attributes a JOIN d_classifiers c ON a.diagram = c.diagram AND a.class = c.class WHERE stereotype = 'utility' AND scope <> 'classifier'
+  UNION ALL SELECT diagram, 0, 'signature', class, 0, name FROM (SELECT o.diagram, class, name, coalesce(types, '') FROM d_operations o LEFT JOIN sig s ON o.diagram = s.diagram AND o.op = s.op GROUP BY 1, 2, 3, 4 HAVING count(*) > 1)
+  UNION ALL SELECT diagram, 0, 'association', CAST(assoc_id AS VARCHAR), 0, CASE WHEN n < 2 THEN 'fewer than two ends' WHEN a > 0 AND n <> 2 THEN 'aggregated but not binary' WHEN c > 1 THEN 'several compositions' ELSE 'several aggregations' END
+    FROM shape WHERE n < 2 OR c > 1 OR a > 1 OR (a > 0 AND n <> 2)
+  UNION ALL SELECT diagram, 0, 'subset', CAST(assoc_id AS VARCHAR), end_no, subsets FROM d_association_ends e WHERE subsets IS NOT NULL AND NOT EXISTS (SELECT 1 FROM d_association_ends f WHERE f.assoc_id = e.assoc_id AND (f.role = e.subsets OR f.participant = e.subsets))
+  UNION ALL SELECT diagram, 1, 'cycle', a, 0, 'inheritance cycle' FROM reach WHERE a = b
+  UNION ALL SELECT diagram, 2, 'composition', participant, 0, count(*) || ' compositions' FROM d_association_ends WHERE aggregation <> 'composition' AND assoc_id IN (SELECT assoc_id FROM d_association_ends WHERE aggregation = 'composition') GROUP BY diagram, participant HAVING count(*) > 1
+  UNION ALL SELECT g.diagram, 3, 'conflict', specific, 0, name FROM d_generalizations g JOIN d_attributes a ON g.diagram = a.diagram AND g.general = a.class
+    WHERE (g.diagram, specific) IN (SELECT (diagram, specific) FROM d_generalizations GROUP BY diagram, specific HAVING count(*) > 1) GROUP BY g.diagram, specific, name HAVING count(DISTINCT coalesce(type_, '<null>')) > 1
+  UNION ALL SELECT diagram, 4, 'redefines', class, seq, redefines FROM f x WHERE redefines IS NOT NULL AND EXISTS (SELECT 1 FROM inh i WHERE i.diagram = x.diagram AND i.specific = x.class)
+    AND NOT EXISTS (SELECT 1 FROM reach r JOIN f y ON r.diagram = y.diagram AND r.b = y.class WHERE r.diagram = x.diagram AND r.a = x.class AND y.name = x.redefines AND y.element = x.element)
+  UNION ALL SELECT diagram, 5, 'attribute type', class, seq, type_ FROM d_attributes a WHERE type_ <> '' AND type_ NOT IN {_PRIM} AND NOT EXISTS (SELECT 1 FROM d_classifiers c WHERE c.diagram = a.diagram AND c.class = a.type_)
+  UNION ALL SELECT p.diagram, 6, 'parameter type', CAST(op AS VARCHAR), place, CASE WHEN c.class IS NULL THEN 'unknown ' ELSE 'not a class ' END || type_ {_PROBLEM % "SELECT diagram, op, CAST(pos AS INT) AS place, type_ FROM d_parameters UNION ALL SELECT diagram, op, 0, return_type FROM d_operations"}
+  UNION ALL SELECT p.diagram, 7, 'template type', p.class, place, CASE WHEN c.class IS NULL THEN 'unknown ' ELSE 'not a class ' END || type_ {_PROBLEM % "SELECT diagram, class, pos * 2 AS place, type_ FROM d_template_parameters UNION ALL SELECT diagram, class, pos * 2 + 1, default_value FROM d_template_parameters"}
+  UNION ALL SELECT diagram, 8, 'end', class, 0, relation FROM (SELECT diagram, relation, unnest([source, target]) AS class FROM rel UNION ALL SELECT diagram, 'association', participant FROM d_association_ends) e
+    WHERE NOT EXISTS (SELECT 1 FROM d_classifiers c WHERE c.diagram = e.diagram AND c.class = e.class))"""
+
+
+def _diagrams(v):
+    tables = {n: v.spark.sql(re.sub(r"FROM \w+", "FROM {t}", text), t=v(_BASES[n])) for n, text in _DIAGRAMS.items()}
+    grouped = tables["generalization_sets"].groupBy("diagram", "general").agg(F.collect_list(F.struct("specific", "general")).alias("generalizations"))
+    return {**tables, "generalization_sets": grouped}
 
 
-_ALL = " UNION ALL ".join(f"SELECT {model} AS model, {order} AS rule_order, {seq} AS seq, {detail} AS detail FROM ({ORACLES[name]})" for order, name, model, seq, detail in _RULES)
-
-
-@query("first_error", "", f"SELECT model, rule_order, detail FROM (SELECT *, row_number() OVER (PARTITION BY model ORDER BY rule_order, seq, detail) AS r FROM ({_ALL})) WHERE r = 1")
+@query(
+    "first_error", "classifiers generalizations dependencies realizations association_ends attributes operations parameters",
+    f"""WITH RECURSIVE {_VIOLATIONS} SELECT CAST(diagram AS VARCHAR) AS diagram, rule_order, rule, subject, detail, rule_order = min(rule_order) OVER (PARTITION BY diagram) AS raised
+    FROM (SELECT *, row_number() OVER (PARTITION BY diagram, rule_order ORDER BY place, rule, subject, detail) AS r FROM violations) WHERE r = 1""",
+)
 def first_error(v):
-    return op.first_error(_violations(v))
+    return op.first_by_step(op.diagram_violations(_diagrams(v)))
 
 
 @query(
@@ -257,9 +294,12 @@ def edge_list(v):
     return op.edge_list(v("association_ends"), _ends(v), v("classifiers"))
 
 
-@query("inheritance_edges", "generalizations realizations", "SELECT specific, general FROM generalizations UNION ALL SELECT implementer, interface FROM realizations")
+@query("inheritance_edges", "generalizations", "SELECT specific, general FROM generalizations")
 def inheritance_edges(v):
-    return op.inheritance_edges(v("generalizations"), v("realizations").select(F.col("implementer").alias("specific"), F.col("interface").alias("general")))
+    """Two sevenths of the generalizations are members of sets, one for each general class and label."""
+    alone, members = v("generalizations").where("specific % 7 > 1"), v("generalizations").where("specific % 7 <= 1")
+    sets = members.groupBy("general", F.expr("specific % 7 = 0 as complete")).agg(F.collect_list(F.struct("specific", "general")).alias("generalizations"))
+    return op.inheritance_edges(alone, sets)
 
 
 _PTEXT = "(CASE WHEN direction <> 'in' THEN direction || ' ' ELSE '' END || name || CASE WHEN type_ IS NOT NULL THEN ' : ' || type_ ELSE '' END || CASE WHEN default_value IS NOT NULL THEN '  = ' || default_value ELSE '' END)"

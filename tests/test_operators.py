@@ -93,6 +93,12 @@ def test_class_rules(spark):
     g = spark.createDataFrame([(3, 1), (3, 2)], "specific long, general long")
     a = spark.createDataFrame([(1, "x", "String"), (2, "x", None)], "class long, name string, type_ string")
     assert [tuple(r) for r in classmodel.inheritance_conflicts(g, a).collect()] == [(3, "x", 2)]
+    # One of several parents may conflict with itself; a class with one parent is not checked.
+    two = spark.createDataFrame([(1, "x", "String"), (1, "x", "int"), (1, "y", None), (2, "z", None)], a.schema)
+    assert [tuple(r) for r in classmodel.inheritance_conflicts(g, two).collect()] == [(3, "x", 2)]
+    assert classmodel.inheritance_conflicts(g.limit(1), two).isEmpty()
+    ends = spark.createDataFrame([(1, 1, "w", "composition"), (1, 2, "p", "none"), (1, 3, "p", "none"), (2, 1, "w", "composition"), (2, 2, "q", "none")], "assoc_id long, end_no long, participant string, aggregation string")
+    assert [tuple(r) for r in classmodel.composition_parts(ends).collect()] == [("p", 2)]
     m = spark.createDataFrame([("",), (None,), ("*",), ("2",), ("1..*",), ("0..5",), ("5..3",), ("-1",), ("x",)], "t string")
     got = {r.t: (r.m.lower, r.m.upper, r.bad) for r in m.select("t", fn.multiplicity(F.col("t")).alias("m"), fn.bad_multiplicity(F.col("t")).alias("bad")).collect()}
     assert got == {"": (0, None, False), None: (0, None, False), "*": (0, None, False), "2": (2, 2, False), "1..*": (1, None, False), "0..5": (0, 5, False), "5..3": (5, 3, True), "-1": (-1, -1, True), "x": (None, None, True)}
@@ -375,3 +381,54 @@ def test_results_of_builds(spark):
     said = lambda rows: spark.createDataFrame(rows, "id long, seq long, text string")
     got = workspace.build_results(ids, text([(1, "{}"), (2, "{}")], "json"), text([(1, "@")], "puml"), said([(2, 9, "late"), (2, 3, "first")]), said([(1, 5, "b"), (1, 2, "\x1b[1ma\x1b[0m"), (2, 1, "c")]))
     assert sorted(map(tuple, got.collect())) == [(1, True, "{}", "@", ["a", "b"], None), (2, False, None, None, [], "first"), (3, True, None, None, [], None)]
+
+
+def test_redefines_of_operations_and_generalizations_in_sets(spark):
+    attributes = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "y", "f"), ("b", 3, "z", "x")], "class string, seq long, name string, redefines string")
+    operations = spark.createDataFrame([("a", 4, "f", None), ("b", 5, "g", "f"), ("b", 6, "h", "x")], "class string, op long, name string, redefines string")
+    sets = spark.createDataFrame([(1, [("b", "a")]), (2, []), (3, None)], "id int, generalizations array<struct<specific:string,general:string>>")
+    up = classmodel.inheritance_edges(spark.createDataFrame([], "specific string, general string"), sets)
+    assert [tuple(r) for r in up.collect()] == [("b", "a")]
+    got = classmodel.redefines_unknown(classmodel.features(attributes, operations), up)
+    assert sorted((r.element, r.seq) for r in got.collect()) == [("attribute", 2), ("operation", 6)]
+
+
+def diagrams(spark, **rows):
+    """Tables of a corpus of diagrams; those not given are empty."""
+    kinds = {
+        "classifiers": "class string, kind string, stereotype string",
+        "generalizations": "specific string, general string",
+        "generalization_sets": "generalizations array<struct<specific:string,general:string>>",
+        "dependencies": "client string, supplier string",
+        "realizations": "implementer string, interface string",
+        "association_ends": "assoc_id long, end_no long, participant string, aggregation string, multiplicity string, role string, subsets string",
+        "attributes": "class string, seq long, name string, type_ string, initial_value string, scope string, redefines string",
+        "operations": "class string, op long, name string, return_type string, is_abstract boolean, is_query boolean, scope string, redefines string",
+        "parameters": "op long, pos long, type_ string, direction string, default_value string",
+        "template_parameters": "class string, pos long, type_ string, default_value string",
+    }
+    return {name: spark.createDataFrame(rows.get(name, []), "diagram string, " + kind) for name, kind in kinds.items()}
+
+
+def test_diagrams_are_checked_apart(spark):
+    def found(**rows):
+        return sorted(tuple(r) for r in classmodel.diagram_violations(diagrams(spark, **rows)).drop("place").collect())
+
+    assert found() == []
+    both = [(d, c, "Class", None) for d in ("a/1", "a%2F1", None) for c in ("A", "B")]
+    # Names of one diagram mean nothing in another; ids with slashes and null ids keep apart.
+    assert found(classifiers=both, generalizations=[("a/1", "A", "B"), ("a%2F1", "B", "A")]) == []
+    ring = found(classifiers=both, generalizations=[("a/1", "A", "B")], generalization_sets=[("a/1", [("B", "A")])])
+    assert ring == [("a/1", 1, "cycle", "A", "inheritance cycle"), ("a/1", 1, "cycle", "B", "inheritance cycle")]
+    only = [*both, ("d", "C", "Classifier", None), ("d", " ", "Class", None)]
+    attributes = [("a/1", "A", 1, "x", "C", None, "instance", None), ("d", "C", 2, "x", "C", None, "instance", None), (None, "A", 3, "x", "int", "n/a", "instance", None)]
+    operations = [("d", "C", 7, "f", "C", False, False, "instance", None), ("a/1", "A", 7, "f", "A", False, False, "instance", None)]
+    got = found(classifiers=only, attributes=attributes, operations=operations, parameters=[("a/1", 7, 1, "C", "in", None)], template_parameters=[("a/1", "B", 1, "String", "Z")])
+    assert got == [
+        ("", 0, "value", "A", "n/a"), ("a/1", 5, "attribute type", "A", "C"), ("a/1", 6, "parameter type", "7", "unknown C"), ("a/1", 7, "template type", "B", "unknown Z"),
+        ("d", 0, "name", " ", "blank or too long"), ("d", 6, "parameter type", "7", "not a class C"),
+    ]
+    ends = [("a/1", 1, 1, "A", "none", None, "r", None), ("a/1", 1, 2, "B", "none", None, None, "A"), ("d", 1, 1, "C", "none", "3..1", None, None), ("d", 1, 2, "A", "none", None, None, "r")]
+    assert found(classifiers=only[:-1], association_ends=ends) == [("d", 0, "multiplicity", "1", "3..1"), ("d", 0, "subset", "1", "r"), ("d", 8, "end", "A", "association")]
+    firsts = classmodel.first_by_step(classmodel.diagram_violations(diagrams(spark, classifiers=only[:-1], association_ends=ends)))
+    assert sorted((r.diagram, r.rule_order, r.detail, r.raised) for r in firsts.collect()) == [("d", 0, "3..1", True), ("d", 8, "association", False)]
