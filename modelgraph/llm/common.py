@@ -146,3 +146,8 @@ def unused(df: DataFrame, name: str) -> str:
 def letters(col: str = "text"):
     """The text column, null read as empty."""
     return F.coalesce(F.col(col), F.lit(""))
+
+
+def light(df: DataFrame, most_mb: float) -> bool:
+    """Whether the rows of df, written as JSON, have at most most_mb megabytes: the bound behind a broadcast."""
+    return (df.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))))).first()[0] or 0) <= most_mb * 1e6

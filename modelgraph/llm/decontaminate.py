@@ -17,7 +17,7 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelgraph.llm.common import checkpointed, chosen, table
+from modelgraph.llm.common import checkpointed, chosen, light, table
 
 # Marks of the slots (private-use letters) and the units.
 NUMBER, UNIT, NAME = "", "", ""
@@ -90,7 +90,7 @@ def item_windows(items: DataFrame, size: int) -> DataFrame:
 
 
 def contaminated(
-    docs: DataFrame, benchmark: DataFrame, size: int = 8, least_windows: int = 6, least_words: int = 4, most_broadcast: int = 500_000
+    docs: DataFrame, benchmark: DataFrame, size: int = 8, least_windows: int = 6, least_words: int = 4, most_mb: float = 64
 ) -> DataFrame:
     """docs(doc_id, text, ...), benchmark(item_id, text, ...) -> one row per document and item:
     doc_id, item_id, n_windows (most item windows found along one alignment), n_slots (slots
@@ -103,8 +103,8 @@ def contaminated(
     size words is one window of its own length, in which only strict slots change; items without
     a usable window are searched
     word for word. Null and empty texts match nothing, rows of null doc_id or item_id are left out, repeated rows
-    count once, other columns are not read. The benchmark's windows are broadcast up to
-    most_broadcast rows and joined by shuffle beyond."""
+    count once, other columns are not read. The benchmark's windows (and their
+    hashes) are broadcast up to most_mb megabytes and joined by shuffle beyond."""
     texts = checkpointed(tokens(benchmark.where("item_id is not null").select("item_id", "text").distinct(), "item_id", 1))
     n_words = F.least(F.size("raw"), F.lit(size))
     sizes = sorted(r.n for r in texts.select(n_words.alias("n")).distinct().collect()) or [size]
@@ -117,8 +117,10 @@ def contaminated(
     items = checkpointed(items.join(totals, ["item_id", "form", "size"]))
     searched = {r["size"]: r["f"] for r in items.groupBy("size").agg(F.max("form").alias("f")).collect()} or {size: 1}
     keys = items.select("h").distinct()
-    if items.count() <= most_broadcast:
-        items, keys = F.broadcast(items), F.broadcast(keys)
+    if light(items, most_mb):
+        items = F.broadcast(items)
+    if light(keys, most_mb):
+        keys = F.broadcast(keys)
 
     docs = docs.where("doc_id is not null").select("doc_id", "text")
     arrays = tokens(docs, "doc_id", min(searched))

@@ -9,9 +9,10 @@ There are no labels in the corpus, so two sets of examples are put together: the
 base matches (positive if they pass their check) and generated sentences (`labelled`) whose loose
 candidates are known to be personal data or to be versions, order and serial numbers, hashes or
 plain words of the same form. Examples are counted by feature cell; the cells are bounded (the
-product of the features' values), so boosted trees are fitted on the counts on the driver,
-thresholds are calibrated on the generated candidates, and the trees go back to the executors as
-SQL expressions. A fifth of the generated sentences is held out (`held_out_report`).
+product of the features' values), so boosted trees are fitted on the counts on the driver, and
+the trees go back to the executors as SQL expressions. The generated sentences are in three parts:
+three fifths to fit the trees, a fifth to calibrate the thresholds on, a fifth to report on
+(`held_out_report`, which also reports on sentences with other words around the candidates).
 """
 
 from __future__ import annotations
@@ -22,7 +23,7 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from modelgraph.llm.common import checkpointed, letters, table, unused
+from modelgraph.llm.common import checkpointed, letters, table
 
 #: Fixed order of the kinds.
 KINDS = ("email", "ip", "card", "phone")
@@ -178,9 +179,10 @@ def _counted(c: DataFrame, positive: Column, negative: Column) -> list[tuple]:
     return sorted((tuple(r[k] for k in keys), r.pos, r.neg) for r in rows)
 
 
-def labelled(spark: SparkSession, n: int = 20_000) -> DataFrame:
+def labelled(spark: SparkSession, n: int = 20_000, other: bool = False) -> DataFrame:
     """id, kind, label, text: n generated sentences with one candidate of a loose form each, and
-    whether it is personal data. Both sorts come with telling words, misleading ones and none."""
+    whether it is personal data. Both sorts come with telling words, misleading ones and none;
+    the other construction uses none of the words that the features look for on their own."""
 
     def number(salt: int, below: int) -> Column:
         return F.pmod(F.xxhash64("id", F.lit(salt)), F.lit(below))
@@ -209,29 +211,43 @@ def labelled(spark: SparkSession, n: int = 20_000) -> DataFrame:
     reach = F.when(F.col("kind") == 4, pick(61, 'token = "', "secret: ", "api_key=", "password ")).otherwise(pick(61, "call ", "contact: ", "mail ", "card ", "address "))
     thing = F.when(F.col("kind") == 0, pick(62, "look ", "arrive ")).otherwise(pick(62, "order ", "part ", "serial ", "version ", "no. ", "commit ", "ref. "))
     neutral = pick(63, "and ", "the ", "with ", "", "; ")
+    if other:
+        reach = F.when(F.col("kind") == 4, pick(61, "AUTH_TOKEN=", "set the api secret to ", "pwd: ")).otherwise(pick(61, "reach me at ", "my inbox: ", "dial ", "billed to ", "login from "))
+        thing = pick(62, "lot ", "see chapter ", "rev. ", "ticket id ", "build no. ", "article ")
+        neutral = pick(63, "(", "a, b, ", "then\n", "or maybe ")
     lead = F.when(number(64, 100) < 70, F.when(good, reach).otherwise(thing)).when(number(64, 100) > 97, F.when(good, thing).otherwise(reach)).otherwise(neutral)
     rows = spark.range(n).withColumn("kind", number(1, len(NAMES)).cast("int")).withColumn("label", number(2, 2) == 0)
     text = join(pick(71, "You may ", "", "As said, ", "1 "), lead, what, F.when(lead.endswith('"'), t('"')).otherwise(t("")), pick(72, " today.", ", please", "", " or later"))
+    if other:
+        text = join(pick(71, "Dear all,\n", "> ", "When in doubt ", "2) "), lead, what, F.when(lead.endswith("("), t(")")).otherwise(t("")), pick(72, "\n--\nsent later", "; thanks", "?", " (new)"))
     return rows.select("id", "kind", "label", text.alias("text"))
 
 
-def _generated(spark: SparkSession, held_out: bool) -> DataFrame:
-    """The loose candidates of the sentences' own kind, with their labels."""
-    rows = labelled(spark).where((F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5)) == 0) == F.lit(held_out))
-    c = rows.select("label", F.col("kind").alias("k"), F.explode(candidates(F.col("text"))).alias("c"))
+def _generated(spark: SparkSession, part: str, other: bool = False) -> DataFrame:
+    """The loose candidates of the sentences' own kind, with their labels. Parts: fit (three fifths
+    of the sentences), calibrate and report (a fifth each)."""
+    fifth = F.pmod(F.xxhash64("id", F.lit(3)), F.lit(5))
+    wanted = {"report": fifth == 0, "calibrate": fifth == 1, "fit": fifth > 1}[part]
+    c = labelled(spark, other=other).where(wanted).select("label", F.col("kind").alias("k"), F.explode(candidates(F.col("text"))).alias("c"))
     return c.where("c.loose = 1 and c.kind = k").select("label", "c.*")
 
 
 def examples_for(cands: DataFrame) -> list[tuple]:
-    """Cells of the documents' base candidates and of the generated ones to learn from."""
-    made = _generated(cands.sparkSession, False)
+    """Cells of the documents' base candidates and of the generated ones to fit trees on."""
+    made = _generated(cands.sparkSession, "fit")
     return sorted(cells(cands) + _counted(made, F.col("label"), ~F.col("label")))
 
 
-def held_out_report(spark: SparkSession, trees: list[tuple], limits: list[float]) -> dict[str, tuple[float, float]]:
-    """Precision and recall of the selected among the held-out generated candidates, by kind."""
+def calibration(spark: SparkSession) -> list[tuple]:
+    """Cells of the generated candidates that no tree was fitted on, for the thresholds."""
+    return _counted(_generated(spark, "calibrate"), F.col("label"), ~F.col("label"))
+
+
+def held_out_report(spark: SparkSession, trees: list[tuple], limits: list[float], other: bool = False) -> dict[str, tuple[float, float]]:
+    """Precision and recall, by kind, of the selected among generated candidates that neither trees
+    nor thresholds have seen; `other`: in sentences of the other construction."""
     test, keys = selected(trees, limits), ["kind", "loose", *list(FEATURES)[2:]]
-    c = _generated(spark, True).select("label", "kind", test(F.struct(*keys)).alias("taken"))
+    c = _generated(spark, "report", other).select("label", "kind", test(F.struct(*keys)).alias("taken"))
     rows = c.groupBy("kind").agg(F.count_if(F.col("taken") & F.col("label")).alias("hit"), F.count_if("taken").alias("taken"), F.count_if("label").alias("all")).collect()
     return {NAMES[r.kind]: (r.hit / max(r.taken, 1), r.hit / max(r["all"], 1)) for r in rows}
 
@@ -265,7 +281,12 @@ def boost(examples: list[tuple], rounds: int = 30, rate: float = 0.3, leaf: floa
 
 
 def evaluate(trees: list[tuple], x: tuple) -> float:
-    return sum(v[2 * (x[a[0]] == a[1]) + (x[b[0]] == b[1])] for a, b, v in trees)
+    """The trees' sum of a cell, added one by one as the expression adds: built-in sum() rounds
+    otherwise, and thresholds are scores that candidates reach exactly."""
+    out = 0.0
+    for a, b, v in trees:
+        out += v[2 * (x[a[0]] == a[1]) + (x[b[0]] == b[1])]
+    return out
 
 
 def thresholds(trees: list[tuple], examples: list[tuple], precision: float = 0.95) -> list[float]:
@@ -309,19 +330,45 @@ def selected(trees: list[tuple], limits: list[float]):
     return test
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+def unbeaten(spans: Column, beats) -> Column:
+    """Of structs with start and end, sorted by start, those that no overlapping one beats, in the
+    order of their ends. One sweep: only spans that reach behind the present start are held
+    (a kind's own spans don't overlap, so at most one a generator)."""
+    flagged = F.transform(spans, lambda x: F.struct(x.alias("s"), F.lit(False).alias("beaten")))
+
+    def step(acc, y):
+        open_ = F.filter(acc.held, lambda x: x.s.end > y.s.start)
+        still = F.transform(open_, lambda x: F.struct(x.s.alias("s"), (x.beaten | beats(y.s, x.s)).alias("beaten")))
+        now = F.struct(y.s.alias("s"), F.exists(open_, lambda x: beats(x.s, y.s)).alias("beaten"))
+        left = F.exists(acc.held, lambda x: (x.s.end <= y.s.start) & ~x.beaten)
+        out = F.when(left, F.concat(acc.out, F.filter(acc.held, lambda x: (x.s.end <= y.s.start) & ~x.beaten))).otherwise(acc.out)
+        return F.struct(F.concat(still, F.array(now)).alias("held"), out.alias("out"))
+
+    def done(acc):
+        return F.transform(F.concat(acc.out, F.filter(acc.held, lambda x: ~x.beaten)), lambda x: x.s)
+
+    return let(flagged, lambda f: F.aggregate(f, F.struct(F.slice(f, 1, 0).alias("held"), F.slice(f, 1, 0).alias("out")), step, done))
+
+
 def chosen_spans(c: Column, trees: list[tuple], limits: list[float]) -> Column:
     """array<struct<kind, start, end>> by kind and start: base spans that pass, and selected
     candidates that overlap no base span and no selected one of a higher score (of equal ones
     that which starts first stays, then the first kind)."""
-    base = F.filter(c, lambda x: x.ok)
     test, total = selected(trees, limits), total_score(trees)
-    meets = lambda x, y: (y.start < x.end) & (x.start < y.end)
-    more = F.filter(c, lambda x: test(x) & ~F.exists(base, lambda b: meets(x, b)))
-    more = F.transform(more, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"), F.struct(total(x).alias("s"), (-x.start).alias("a"), (-x.kind).alias("k")).alias("rank")))
-    best = lambda a: F.filter(a, lambda x: ~F.exists(a, lambda y: meets(x, y) & (y.rank > x.rank)))
-    more = F.flatten(F.transform(F.array(more), best))
-    bare = lambda a: F.transform(a, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end")))
-    return F.array_sort(F.concat(bare(base), bare(more)))
+
+    def ranked(x):
+        rank = F.struct(F.when(x.ok, 0.0).otherwise(total(x)).alias("s"), (-x.start).alias("a"), (-x.kind).alias("k"))
+        return F.struct(x.start.alias("start"), x.kind.alias("kind"), x.end.alias("end"), x.ok.alias("base"), rank.alias("rank"))
+
+    taken = F.array_sort(F.transform(F.filter(c, lambda x: x.ok | test(x)), ranked))
+    free = unbeaten(taken, lambda y, x: y.base & ~x.base)
+    best = unbeaten(F.array_sort(free), lambda y, x: ~y.base & ~x.base & (y.rank > x.rank))
+    return F.array_sort(F.transform(best, lambda x: F.struct(x.kind.alias("kind"), x.start.alias("start"), x.end.alias("end"))))
 
 
 def as_text(spans: Column) -> Column:
@@ -331,17 +378,16 @@ def as_text(spans: Column) -> Column:
 
 def fit(docs: DataFrame) -> tuple[list[tuple], list[float]]:
     """Trees and thresholds from all documents' candidates and the generated ones."""
-    examples = examples_for(docs.select(candidates(letters()).alias("c")))
-    trees = boost(examples)
-    return trees, thresholds(trees, examples)
+    trees = boost(examples_for(docs.select(candidates(letters()).alias("c"))))
+    return trees, thresholds(trees, calibration(docs.sparkSession))
 
 
 def redact(docs: DataFrame, trees: list[tuple], limits: list[float]) -> DataFrame:
     """docs with every chosen span of text replaced by its kind in brackets ([EMAIL], ...);
     overlapping spans become one, named by the first. Null texts stay null, texts without spans
     and all other columns stay as they are."""
-    text, cands = F.col("text"), unused(docs, "candidates")
-    by_place = F.array_sort(F.transform(chosen_spans(F.col(cands), trees, limits), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
+    text = F.col("text")
+    by_place = F.array_sort(F.transform(chosen_spans(candidates(text), trees, limits), lambda s: F.struct(s.start.alias("start"), s.end.alias("end"), s.kind.alias("kind"))))
 
     def join(acc, s):
         last = F.element_at(acc, -1)
@@ -355,9 +401,7 @@ def redact(docs: DataFrame, trees: list[tuple], limits: list[float]) -> DataFram
         pieces = F.transform(m, lambda s, i: F.concat(F.substring(text, F.when(i == 0, 1).otherwise(F.try_element_at(m, F.greatest(i, F.lit(1))).end + 1), s.start - F.when(i == 0, 0).otherwise(F.try_element_at(m, F.greatest(i, F.lit(1))).end)), F.element_at(names, s.kind + 1)))
         return F.concat(F.array_join(pieces, ""), F.substring(text, F.element_at(m, -1).end + 1, F.length(text)))
 
-    new = F.element_at(F.transform(F.array(merged), cut), 1)
-    out = docs.withColumn(cands, candidates(text))
-    return out.withColumn("text", F.when(F.size(cands) > 0, F.when(F.size(chosen_spans(F.col(cands), trees, limits)) > 0, new).otherwise(text)).otherwise(text)).drop(cands)
+    return docs.withColumn("text", let(merged, lambda m: F.when(F.size(m) > 0, cut(m)).otherwise(text)))
 
 
 def find(docs: DataFrame) -> DataFrame:
@@ -366,9 +410,8 @@ def find(docs: DataFrame) -> DataFrame:
     give repeated rows; other columns are not read. Candidates are computed once and written,
     texts are read once."""
     cands = checkpointed(docs.select("doc_id", candidates(letters()).alias("c")))
-    examples = examples_for(cands)
-    trees = boost(examples)
-    limits = thresholds(trees, examples)
+    trees = boost(examples_for(cands))
+    limits = thresholds(trees, calibration(docs.sparkSession))
     return cands.select("doc_id", chosen_spans(F.filter("c", lambda x: x.ok), [], [math.inf] * 4).alias("base"), chosen_spans(F.col("c"), trees, limits).alias("spans"))
 
 

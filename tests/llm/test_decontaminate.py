@@ -28,7 +28,7 @@ def test_templates(spark):
     assert set(got) == {(1, 10), (2, 10), (8, 10)}
     assert got[1, 10].exact and not got[2, 10].exact
     assert got[2, 10].n_changed == 3
-    assert {r.doc_id for r in d.contaminated(docs, bench, most_broadcast=0).collect()} == {1, 2, 8}
+    assert {r.doc_id for r in d.contaminated(docs, bench, most_mb=0).collect()} == {1, 2, 8}
     assert d.contaminated(docs.limit(0), bench).count() == 0 == d.contaminated(docs, bench.limit(0)).count()
 
 

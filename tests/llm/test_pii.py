@@ -128,3 +128,35 @@ def test_secrets_of_any_length(spark):
     secret = pii.NAMES.index("secret")
     assert [(s.start, s.end) for s in got[1] if s.kind == secret] == [(8, 8 + len(token))]
     assert [(s.start, s.end) for s in got[2] if s.kind == secret] == [(5, 25)] and not [s for s in got[3] if s.kind == secret]
+
+
+def test_parts_are_apart_and_other_words_are_reported(spark):
+    docs = spark.read.parquet(f"{SF}/documents.parquet")
+    trees, limits = pii.fit(docs)
+    rows = pii.labelled(spark)
+    n = {part: pii._generated(spark, part).count() for part in ("fit", "calibrate", "report")}
+    assert n["fit"] > n["calibrate"] > 3000 < n["report"] and sum(n.values()) <= rows.count()
+    assert limits == pii.thresholds(trees, pii.calibration(spark))
+    report = pii.held_out_report(spark, trees, limits, other=True)
+    print(report)
+    assert set(report) == set(pii.NAMES) and all(p >= 0.85 for p, _ in report.values())
+
+
+def test_many_spans_of_one_text(spark):
+    """Thousands of spans, overlapping across kinds: as by comparing all pairs."""
+    piece = "call (212) 555-0199, token = Ab0_212-555-0199_Ab0_Ab0_Ab0 card 4111.1111.1111.1111 x@y.zz (at) example.com 10[.]0[.]0[.]7; "
+    docs = spark.createDataFrame([(1, piece * 400), (2, piece), (3, None), (4, "")], "doc_id long, text string")
+    trees, limits = pii.fit(docs)
+    limits = [min(x, 0.0) for x in limits]
+    got = {r.doc_id: [tuple(s) for s in r.s] for r in docs.select("doc_id", pii.chosen_spans(pii.candidates(F.col("text")), trees, limits).alias("s")).collect()}
+    for r in docs.where("doc_id = 2").select(pii.candidates(F.col("text")).alias("c")).collect():
+        score = lambda x: pii.evaluate(trees, tuple(x[k] for k in pii.FEATURES))
+        meets = lambda x, y: x.start < y.end and y.start < x.end
+        base_ = [x for x in r.c if x.ok]
+        more = [x for x in r.c if x.loose and score(x) >= limits[x.kind] and not any(meets(x, b) for b in base_)]
+        rank = lambda x: (score(x), -x.start, -x.kind)
+        kept = base_ + [x for x in more if not any(meets(x, y) and rank(y) > rank(x) for y in more)]
+        assert got[2] == sorted((x.kind, x.start, x.end) for x in kept) and len(kept) >= 4
+    assert len(got[1]) >= 400 * (len(got[2]) - 1) and got[3] == got[4] == []
+    text = pii.redact(docs, trees, limits).where("doc_id = 1").first().text
+    assert text.count("[") >= 400 * 4 and "x@y.zz" not in text
