@@ -44,7 +44,9 @@ def test_statements(spark):
     assert [(r.name, [tuple(i) for i in r.inputs], r.output_term, r.output_label, r.type) for r in f] == [
         ("F1", [(1, "Child", "in1"), (2, "Child", "")], "Parent", "out", "inheritance"), ("F2", [], "Parent", "x (y)", None)
     ]
-    assert [tuple(r)[2:] for r in extract.relationships(x).orderBy("line").collect()] == [(None, "Parent", "composition", "Child", None), ("r1", "Child", "association", "Parent", "backward")]
+    found = extract.relationships(x).orderBy("line")
+    assert [tuple(r) for r in found.select("name", "parent", "relationship", "child", "direction").collect()] == [(None, "Parent", "composition", "Child", None), ("r1", "Child", "association", "Parent", "backward")]
+    assert [tuple(r) for r in found.select("color", "title", "leftChar", "rightChar").collect()] == [(None,) * 4] * 2
     assert [(r.figure, r.member) for r in extract.figures(x).orderBy("line").collect()] == [("First", "Parent"), ("First", "r1")]
     assert [tuple(r)[2:] for r in extract.imports(x).orderBy("line", "name").collect()] == [("base.ontol", False, "a", None), ("base.ontol", False, "b", "c"), ("http://x.org/o.ontol", True, None, None)]
     assert [r.text for r in extract.unparsed(x).collect()] == ["broken line"]
