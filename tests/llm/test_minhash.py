@@ -1,4 +1,6 @@
 import random
+import re
+import string
 
 import numpy as np
 
@@ -83,3 +85,40 @@ def test_several_texts_of_one_document(spark):
     rows = [(1, "a b c d"), (2, "e f g h"), (2, "A  b c d"), (3, "e f g h"), (3, "e f g h")]
     got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
     assert sorted((r.doc_id, r.component_id, r.kept) for r in got) == [(1, 1, True), (2, 1, False), (2, 2, True), (3, 2, False), (3, 2, False)]
+
+
+def test_query_matches_brute_force(spark):
+    """Every document of the table and all pairs, by a plain reading of the contract."""
+    sf = "/root/testdata/sf0.01"
+    docs = [(r.doc_id, r.text) for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect()]
+    lower = str.maketrans(string.ascii_uppercase, string.ascii_lowercase)
+    sets = []
+    for _, text in docs:
+        words = re.findall(r"[^\x20\x09-\x0D]+", (text or "").translate(lower))
+        sets.append({tuple(words[i : i + 2]) for i in range(len(words) - 1)} or ({tuple(words)} if words else set()))
+    low = [d for d, _ in docs]
+    links = []
+    for i, a in enumerate(sets):
+        for j in range(i):
+            b = sets[j]
+            if a and 5 * min(len(a), len(b)) >= 4 * max(len(a), len(b)):
+                common = len(a & b)
+                if 100 * common >= 80 * (len(a) + len(b) - common):
+                    links.append((i, j))
+    while any(low[i] != low[j] for i, j in links):
+        for i, j in links:
+            low[i] = low[j] = min(low[i], low[j])
+    want = sorted((d, len(s), c, d == c) for (d, _), s, c in zip(docs, sets, low))
+    got = minhash.op8_minhash_near_duplicates(spark, sf).select("doc_id", "n_shingles", "component_id", "kept").collect()
+    assert links and sorted(map(tuple, got)) == want
+
+
+def test_long_texts_of_different_shingles(spark):
+    rng = random.Random(8)
+    words = [f"w{rng.getrandbits(60):x}" for _ in range(60_000)]
+    near = [w if i % 50 else "other" for i, w in enumerate(words)]
+    far = [w if i % 5 else "other" for i, w in enumerate(words)]
+    rows = [(5, " ".join(words)), (3, " ".join(near)), (4, " ".join(far))]
+    got = minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string"), k=2).collect()
+    assert {r.doc_id: r.component_id for r in got} == {5: 3, 3: 3, 4: 4}
+    assert {r.doc_id: r.n_shingles for r in got} == {d: len(minhash.shingles(t, 2)) for d, t in rows}
