@@ -64,3 +64,23 @@ def test_documents(spark, library):
     back = {r.doc_id: r.text for r in bpe.decode_documents(enc, PATH).collect()}
     assert back == {i: t or "" for i, t in enumerate(TEXTS)}
     assert bpe.encode_documents(docs.limit(0), PATH, public_tokenizers.PATTERN).count() == 0
+
+
+def test_query_matches_the_library(spark, library):
+    sf = "/root/testdata/sf0.01"
+    want = []
+    for r in spark.read.parquet(f"{sf}/documents.parquet").select("doc_id", "text").collect():
+        text = r.text or ""
+        ids = library.encode_ordinary(text)
+        digests = [hashlib.sha256(x).hexdigest() for x in (np.array(ids, "<u4").tobytes(), text.encode())]
+        want.append((r.doc_id, len(ids), *digests))
+    got = bpe.op6_bpe_prefix(spark, sf).select("doc_id", "n_tokens", "ids_sha256", "decoded_sha256").collect()
+    assert sorted(map(tuple, got)) == sorted(want)
+
+
+def test_long_texts(spark, library):
+    rng = random.Random(6)
+    texts = [" ".join("".join(rng.choices("abcdeé'0 9", k=7)) for _ in range(40_000)), "x" * 20_000]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = bpe.encode_documents(docs, PATH, public_tokenizers.PATTERN).collect()
+    assert {r.doc_id: r.ids for r in got} == {i: library.encode_ordinary(t) for i, t in enumerate(texts)}
