@@ -65,3 +65,17 @@ def test_query_matches_brute_force(spark):
     df = spark.createDataFrame(rows, "doc_id long, text string")
     got = suffixes.remove_repeats(df, keep=False).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_whole_table_matches_brute_force(spark):
+    rows = [(r.doc_id, r.text) for r in spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text").collect()]
+    got = suffixes.op9_suffix_sort_dedup(spark, SF).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256").collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_long_texts(spark):
+    rng = random.Random(9)
+    long = "".join(rng.choices("abcdefgh ", k=200_000))
+    rows = [(1, long[50_000:50_090] + "?"), (2, long), (3, "!" + long[:120_000] + "!" + long[120_000:]), (4, long[::-1])]
+    got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=False).collect()
+    assert sorted(map(tuple, got), key=str) == brute(rows)
