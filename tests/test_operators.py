@@ -434,3 +434,12 @@ def test_diagrams_are_checked_apart(spark):
     assert found(classifiers=only[:-1], association_ends=ends) == [("d", 0, "multiplicity", "1", "3..1"), ("d", 0, "subset", "1", "r"), ("d", 8, "end", "A", "association")]
     firsts = classmodel.first_by_step(classmodel.diagram_violations(diagrams(spark, classifiers=only[:-1], association_ends=ends)))
     assert sorted((r.diagram, r.rule_order, r.detail, r.raised) for r in firsts.collect()) == [("d", 0, "3..1", True), ("d", 8, "association", False)]
+
+
+def test_first_broken_rule_of_an_association(spark):
+    """One association breaks several rules: the one checked first is reported, whatever its name."""
+    ends = [("a", 1, 1, "A", "composition", None, None, None), ("b", 2, 1, "A", "composition", None, None, None), ("b", 2, 2, "B", "composition", None, None, None)]
+    known = [(d, c, "Class", None) for d in "ab" for c in "AB"]
+    rows = classmodel.diagram_violations(diagrams(spark, classifiers=known, association_ends=ends))
+    assert rows.where("rule = 'association'").count() == 4
+    assert sorted((r.diagram, r.detail) for r in classmodel.first_by_step(rows).where("rule_order = 0").collect()) == [("a", "fewer than two ends"), ("b", "several compositions")]
