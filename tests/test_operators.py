@@ -443,3 +443,17 @@ def test_first_broken_rule_of_an_association(spark):
     rows = classmodel.diagram_violations(diagrams(spark, classifiers=known, association_ends=ends))
     assert rows.where("rule = 'association'").count() == 4
     assert sorted((r.diagram, r.detail) for r in classmodel.first_by_step(rows).where("rule_order = 0").collect()) == [("a", "fewer than two ends"), ("b", "several compositions")]
+
+
+def test_long_texts_are_joined_in_pieces(spark, monkeypatch):
+    """No task of the first step sees a whole text; the text and its order are the same."""
+    monkeypatch.setattr(exports, "PIECE", 10)
+    rows = [(k, s, i * (1000 if i > 90 else 1) - 7, None if i == 50 else f"{k}{s}.{i}") for k in (1, 2) for s in (0, 3) for i in range(100)] + [(3, 0, 5, None), (4, 3, 1, "b"), (4, 3, 1, "a")]
+    lines = spark.createDataFrame(rows, "k long, section int, seq long, line string").repartition(5)
+    want = {k: "\n".join(f"{k}{s}.{i}" for s in (0, 3) for i in range(100) if i != 50) for k in (1, 2)} | {3: "", 4: "a\nb"}
+    assert {r.k: r.t for r in exports.joined(lines, "k", "t").collect()} == want
+    assert exports.pieces(lines, "k", "\n").where("k = 1").count() > 2
+    kinds = spark.createDataFrame([(7, "figures", 1, "f"), (7, "terms", 2, "b"), (7, "terms", 1, "a"), (8, "meta", 0, "m")], "ontology_id long, kind string, seq long, json string")
+    got = {r.ontology_id: r.json for r in exports.json_documents(kinds).collect()}
+    assert got[8] == '{"meta":m,"terms":[],"functions":[],"hierarchy":[],"figures":[]}'
+    assert got[7].endswith('},"terms":[a,b],"functions":[],"hierarchy":[],"figures":[f]}')
