@@ -457,3 +457,28 @@ def test_long_texts_are_joined_in_pieces(spark, monkeypatch):
     got = {r.ontology_id: r.json for r in exports.json_documents(kinds).collect()}
     assert got[8] == '{"meta":m,"terms":[],"functions":[],"hierarchy":[],"figures":[]}'
     assert got[7].endswith('},"terms":[a,b],"functions":[],"hierarchy":[],"figures":[f]}')
+
+
+def shuffled_rows(spark, run):
+    """The rows that the stages of a call write to shuffles."""
+    gw, store = spark.sparkContext._gateway, spark.sparkContext._jsc.sc().statusStore()
+
+    def rows():
+        stages = store.stageList(None, False, False, gw.new_array(gw.jvm.double, 0), gw.jvm.java.util.ArrayList())
+        return {(s.stageId(), s.attemptId()): s.shuffleWriteRecords() for s in (stages.apply(i) for i in range(stages.size()))}
+
+    before = rows()
+    run()
+    spark.sparkContext._jsc.sc().listenerBus().waitUntilEmpty()
+    return sum(n for k, n in rows().items() if k not in before)
+
+
+def test_closure_makes_each_pair_about_once(spark):
+    n = 257
+    edges = spark.range(n - 1).selectExpr("id as a", "id + 1 as b")
+    out = []
+    written = shuffled_rows(spark, lambda: out.append(graph.closure(edges).count()))
+    assert out == [n * (n - 1) // 2] and written < 8 * out[0], written
+    ring = spark.range(9).selectExpr("id as a", "(id + 1) % 9 as b").union(spark.createDataFrame([(20, 0), (5, 30), (7, 7)], "a long, b long"))
+    want = {(a, b) for a in range(9) for b in range(9)} | {(20, b) for b in range(9)} | {(a, 30) for a in (*range(9), 20)}
+    assert [tuple(r) for r in sorted(graph.closure(ring).collect())] == sorted(want)
