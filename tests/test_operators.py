@@ -482,3 +482,13 @@ def test_closure_makes_each_pair_about_once(spark):
     ring = spark.range(9).selectExpr("id as a", "(id + 1) % 9 as b").union(spark.createDataFrame([(20, 0), (5, 30), (7, 7)], "a long, b long"))
     want = {(a, b) for a in range(9) for b in range(9)} | {(20, b) for b in range(9)} | {(a, 30) for a in (*range(9), 20)}
     assert [tuple(r) for r in sorted(graph.closure(ring).collect())] == sorted(want)
+
+
+def test_small_tables_of_long_texts_are_dealt_out(spark):
+    n = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    one = spark.range(40).coalesce(1)
+    drawings = one.selectExpr("id as doc", "'<svg><g data-type=\"class\" data-id=\"1\"/></svg>' as svg")
+    assert extract.svg_elements(drawings).rdd.getNumPartitions() == n and extract.svg_findings(drawings).count() == 0
+    sources = one.selectExpr("id as file", "concat('класс c', id, ' конец класс') as content")
+    found = extract.tdl_statements(sources)
+    assert found.rdd.getNumPartitions() == n and extract.tdl_classes(found).count() == 40
