@@ -492,3 +492,20 @@ def test_small_tables_of_long_texts_are_dealt_out(spark):
     sources = one.selectExpr("id as file", "concat('класс c', id, ' конец класс') as content")
     found = extract.tdl_statements(sources)
     assert found.rdd.getNumPartitions() == n and extract.tdl_classes(found).count() == 40
+
+
+def test_attribute_blocks_are_read_once(spark):
+    line = "a inheritance b, { color: '#1', title: 'color: x', color: '#2' }"
+    lines = spark.createDataFrame([(1, 0, "hierarchy", line)], "file long, line int, section string, text string")
+    found = extract.relationships(lines)
+    assert [(r.color, r.title, r.direction) for r in found.collect()] == [("#2", "color: x", None)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("regexp_extract_all") == 1, plan
+    odd = spark.createDataFrame([(1, " \t\r\n# c\n\t# '\n a # x\n'#'\n\n{\n}\nb")], "file long, content string")
+    assert [r.text for r in extract.logical_lines(odd).orderBy("line").collect()] == ["a", "'#'", "{}", "b"]
+
+
+def test_statements_are_taken_as_they_are(spark):
+    sources = spark.createDataFrame([(1, 'зависимость a -> b "use" агрегация a [1] -- b')], "file long, content string")
+    found = extract.tdl_statements(sources)
+    assert extract.tdl_relations(found).count() == extract.tdl_associations(found).count() == 1
