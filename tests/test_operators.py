@@ -385,6 +385,18 @@ def test_results_of_builds(spark):
     assert sorted(map(tuple, got.collect())) == [(1, True, "{}", "@", ["a", "b"], None), (2, False, None, None, [], "first"), (3, True, None, None, [], None)]
 
 
+def test_results_put_exports_together_from_their_pieces_without_joins(spark):
+    ids = spark.createDataFrame([(1,), (2,)], "id long")
+    said = spark.createDataFrame([], "id long, seq long, text string")
+    piece = lambda rows: spark.createDataFrame(rows, "id long, section int, piece long, text string")
+    json = piece([(1, 3, 0, "e"), (1, 1, 10, "c,d"), (1, 1, 2, "a,b"), (1, 2, 0, None)])
+    puml = piece([(1, 9, 0, "}"), (1, 4, 1, "y"), (1, 0, 0, "{"), (1, 4, 0, "x\nx")])
+    got = workspace.build_results(ids, json, puml, said, said)
+    none = ",".join(f'"{t}":null' for t in ("version", "title", "author", "description", "type", "date"))
+    assert sorted((r.id, r.json, r.puml) for r in got.collect()) == [(1, f'{{"meta":{{{none}}},"terms":[a,b,c,d],"functions":[],"hierarchy":[e],"figures":[]}}', "{\nx\nx\ny\n}"), (2, None, None)]
+    assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
+
+
 def test_redefines_of_operations_and_generalizations_in_sets(spark):
     attributes = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "y", "f"), ("b", 3, "z", "x")], "class string, seq long, name string, redefines string")
     operations = spark.createDataFrame([("a", 4, "f", None), ("b", 5, "g", "f"), ("b", 6, "h", "x")], "class string, op long, name string, redefines string")
