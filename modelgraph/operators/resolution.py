@@ -4,6 +4,7 @@ imports are. No join is by name alone; the file is always part of the key."""
 from __future__ import annotations
 
 from collections.abc import Callable
+from itertools import count
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -35,34 +36,50 @@ def by_level(files: DataFrame, edges: DataFrame, step: Callable[[DataFrame, Data
     raise RuntimeError(f"imports deeper than {most_rounds}")
 
 
+#: What rows carry of their file: its level, and whether any file imports it.
+_FILE = ("file_id", "imported")
+
+
+def import_levels(files: DataFrame, edges: DataFrame, most_rounds: int = 1000) -> tuple[DataFrame, int]:
+    """file_id, level, imported of each file, and the number of levels. Found on the edges alone, so that
+    everything else is told by level once and not joined with each level's files."""
+    n = count()
+    levels = by_level(files, edges, lambda ready, done: ready.withColumn("level", F.lit(next(n))), most_rounds)
+    targets = edges.select(F.col("target_id").alias("file_id")).distinct().withColumn("imported", F.lit(True))
+    return settled(levels.join(targets, "file_id", "left").withColumn("imported", F.coalesce("imported", F.lit(False)))), next(n)
+
+
 def _part_key(name: Column, body: Column) -> Column:
     return F.concat_ws("\u0000", name, body)
 
 
 def _imported(statements: DataFrame, done: DataFrame) -> DataFrame:
-    """What import statements bring, under its new names: file_id, place, kind, name, body, parts and at
-    (place in the target). Of a name listed twice in a statement the first listing counts. A part
-    that is itself an aliased term of the statement shows the alias."""
-    listed = statements.where("name is not null").groupBy("file_id", "target_id", "seq", "name").agg(F.min_by("alias", "pos").alias("alias"))
-    starred = statements.where("name is null").select("file_id", "target_id", "seq").distinct()
-    rows = done.where("name is not null").withColumnsRenamed({"file_id": "target_id", "place": "at"})
+    """What import statements bring, under its new names: file_id, imported, level (of the importing file), place,
+    kind, name, body, parts and at (place in the target). Of a name listed twice in a statement the first
+    listing counts. A part that is itself an aliased term of the statement shows the alias."""
+    who = [*_FILE, "level", "target_id", "seq"]
+    listed = statements.where("name is not null").groupBy(*who, "name").agg(F.min_by("alias", "pos").alias("alias"))
+    starred = statements.where("name is null").select(*who).distinct()
+    rows = done.where("name is not null").select(F.col("file_id").alias("target_id"), F.col("place").alias("at"), "kind", "name", "body", "parts")
     found = starred.join(rows, "target_id").withColumn("alias", F.lit(None).cast("string"))
     found = found.unionByName(listed.join(rows, ["target_id", "name"]))
-    new = found.where("kind = 'term' and alias is not null").groupBy("file_id", "seq").agg(F.map_from_entries(F.collect_set(F.struct(_part_key(F.col("name"), F.col("body")), "alias"))).alias("new"))
+    # Aliases are in the statements; only the terms that have one are looked at for them.
+    renamed = listed.where("alias is not null").join(rows.where("kind = 'term'").select("target_id", "name", "body"), ["target_id", "name"])
+    new = renamed.groupBy("file_id", "seq").agg(F.map_from_entries(F.collect_set(F.struct(_part_key(F.col("name"), F.col("body")), "alias"))).alias("new"))
     found = found.join(new, ["file_id", "seq"], "left")
     part = lambda p: F.struct(F.coalesce(F.try_element_at("new", _part_key(p["name"], p["body"])), p["name"]).alias("name"), p["body"].alias("body"))
-    return found.select("file_id", F.col("seq").alias("place"), "kind", F.coalesce("alias", "name").alias("name"), "body", F.when(F.col("new").isNull(), F.col("parts")).otherwise(F.transform("parts", part)).alias("parts"), "at")
+    return found.select(*_FILE, "level", F.col("seq").alias("place"), "kind", F.coalesce("alias", "name").alias("name"), "body", F.when(F.col("new").isNull(), F.col("parts")).otherwise(F.transform("parts", part)).alias("parts"), "at")
 
 
 def _brought_along(imported: DataFrame, local: DataFrame) -> DataFrame:
     """Terms that imported functions and relationships use, where their names are still free: not
     declared or imported before or by the statement itself. Of several ones of a name the first
     comes: by statement, kind, place in the target and place in the list."""
-    parts = imported.where("kind <> 'term'").withColumn("k", F.expr(KIND_ORDER)).select("file_id", "place", "k", "at", F.posexplode("parts").alias("i", "p")).where("p.body is not null")
-    first = parts.groupBy("file_id", F.col("p.name").alias("name")).agg(F.min(F.struct("place", "k", "at", "i", F.col("p.body").alias("body"))).alias("f"))
+    parts = imported.where("kind <> 'term'").withColumn("k", F.expr(KIND_ORDER)).select(*_FILE, "place", "k", "at", F.posexplode("parts").alias("i", "p")).where("p.body is not null")
+    first = parts.groupBy(*_FILE, F.col("p.name").alias("name")).agg(F.min(F.struct("place", "k", "at", "i", F.col("p.body").alias("body"))).alias("f"))
     taken = imported.select("file_id", "name", "place").unionByName(local.where("name is not null").select("file_id", "name", F.col("seq").alias("place"))).groupBy("file_id", "name").agg(F.min("place").alias("taken"))
     free = first.join(taken, ["file_id", "name"], "left").where("taken is null or taken > f.place")
-    return free.select("file_id", "f.place", F.lit("term").alias("kind"), "name", "f.body", F.array().cast("array<struct<name:string,body:string>>").alias("parts"))
+    return free.select(*_FILE, "f.place", F.lit("term").alias("kind"), "name", "f.body", F.array().cast("array<struct<name:string,body:string>>").alias("parts"))
 
 
 def resolved(imports: DataFrame, definitions: DataFrame, most_rounds: int = 1000) -> DataFrame:
@@ -80,27 +97,36 @@ def resolved(imports: DataFrame, definitions: DataFrame, most_rounds: int = 1000
     (body null: undefined), and travel with the row, so equality is deep. An imported
     function or relationship brings its terms along where their names are free. Two contents of a
     name are a conflict; both are kept. Unnamed relationships are not imported."""
-    statements = settled(imports.select("file_id", "target_id", F.col("seq").cast("long").alias("seq"), "pos", "name", "alias").distinct())
-    declared = settled(definitions.select("file_id", F.col("seq").cast("long").alias("seq"), "kind", "name", "body", "uses"))
-
-    def step(ready: DataFrame, done: DataFrame | None) -> DataFrame:
-        local = declared.join(ready, "file_id", "left_semi")
+    asked = settled(imports.select("file_id", "target_id", F.col("seq").cast("long").alias("seq"), "pos", "name", "alias").distinct())
+    definitions = definitions.select("file_id", F.col("seq").cast("long").alias("seq"), "kind", "name", "body", "uses")
+    levels, n = import_levels(definitions.select("file_id").unionByName(asked.select("file_id")), asked.select("file_id", "target_id"), most_rounds)
+    # Each declaration and statement gets its level once; a level's rows are then told without a shuffle.
+    declared = settled(definitions.join(levels, "file_id"))
+    statements = settled(asked.join(levels, "file_id").join(levels.select(F.col("file_id").alias("target_id"), F.col("level").alias("from")), "target_id"))
+
+    def step(local: DataFrame, found: DataFrame | None) -> DataFrame:
         no_parts = F.array().cast("array<struct<name:string,body:string>>").alias("parts")
-        terms = local.where("kind = 'term'").select("file_id", F.col("seq").alias("place"), "kind", "name", "body", no_parts)
+        terms = local.where("kind = 'term'").select(*_FILE, F.col("seq").alias("place"), "kind", "name", "body", no_parts)
         rows = terms
-        if done is not None:
-            found = settled(_imported(statements.join(ready, "file_id", "left_semi"), done))
+        if found is not None:
             terms = terms.unionByName(found.where("kind = 'term'").drop("at")).unionByName(_brought_along(found, local))
             rows = terms.unionByName(found.where("kind <> 'term'").drop("at"))
         first = terms.groupBy("file_id", F.col("name").alias("use")).agg(F.min(F.struct("place", "body")).alias("t"))
-        others = local.where("kind <> 'term'").select("file_id", "seq", "kind", "name", "body", F.posexplode_outer("uses").alias("i", "use")).join(first, ["file_id", "use"], "left")
+        others = local.where("kind <> 'term'").select(*_FILE, "seq", "kind", "name", "body", F.posexplode_outer("uses").alias("i", "use")).join(first, ["file_id", "use"], "left")
         part = F.struct("i", F.struct(F.col("use").alias("name"), F.when(F.col("t.place") < F.col("seq"), F.col("t.body")).alias("body")).alias("p"))
-        others = others.groupBy("file_id", F.col("seq").alias("place"), "kind", "name", "body").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), part))).alias("ps"))
-        rows = rows.unionByName(others.select("file_id", "place", "kind", "name", "body", F.transform("ps", lambda p: p["p"]).alias("parts")))
-        return rows.groupBy("file_id", "kind", "name", "body", "parts").agg(F.min("place").alias("place")).select("file_id", "place", "kind", "name", "body", "parts")
-
-    every = declared.select("file_id").unionByName(statements.select("file_id"))
-    return by_level(every, statements, step, most_rounds)
+        others = others.groupBy(*_FILE, F.col("seq").alias("place"), "kind", "name", "body").agg(F.array_sort(F.collect_list(F.when(F.col("i").isNotNull(), part))).alias("ps"))
+        rows = rows.unionByName(others.select(*_FILE, "place", "kind", "name", "body", F.transform("ps", lambda p: p["p"]).alias("parts")))
+        return rows.groupBy(*_FILE, "kind", "name", "body", "parts").agg(F.min("place").alias("place")).select(*_FILE, "place", "kind", "name", "body", "parts")
+
+    # What a level gives is taken to the files that import it at once, whatever their levels, and only what is imported.
+    done, brought = None, None
+    for k in range(max(n, 1)):
+        rows = settled(step(declared.where(F.col("level") == k), None if brought is None else brought.where(F.col("level") == k).drop("level")))
+        done = rows if done is None else done.unionByName(rows)
+        if k < n - 1:
+            new = settled(_imported(statements.where(F.col("from") == k), rows.where("imported")))
+            brought = new if brought is None else brought.unionByName(new)
+    return done.drop("imported")
 
 
 def collected_warnings(imports: DataFrame, warnings: DataFrame, most_rows: int = 1_000_000_000, most_rounds: int = 1000) -> DataFrame:

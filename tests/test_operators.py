@@ -397,6 +397,12 @@ def test_results_put_exports_together_from_their_pieces_without_joins(spark):
     assert "Join" not in got._jdf.queryExecution().optimizedPlan().toString()
 
 
+def test_levels_of_imports_and_what_is_imported(spark):
+    edges = spark.createDataFrame([("a", "b"), ("b", "c"), ("a", "c"), ("d", "gone")], "file_id string, target_id string")
+    levels, n = resolution.import_levels(spark.createDataFrame([(x,) for x in "abcd"], "file_id string"), edges)
+    assert n == 3 and sorted(map(tuple, levels.collect())) == [("a", 2, False), ("b", 1, True), ("c", 0, True), ("d", 0, False)]
+
+
 def test_redefines_of_operations_and_generalizations_in_sets(spark):
     attributes = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "y", "f"), ("b", 3, "z", "x")], "class string, seq long, name string, redefines string")
     operations = spark.createDataFrame([("a", 4, "f", None), ("b", 5, "g", "f"), ("b", 6, "h", "x")], "class string, op long, name string, redefines string")
