@@ -403,6 +403,15 @@ def test_levels_of_imports_and_what_is_imported(spark):
     assert n == 3 and sorted(map(tuple, levels.collect())) == [("a", 2, False), ("b", 1, True), ("c", 0, True), ("d", 0, False)]
 
 
+def test_walks_end_in_cycles_and_are_none_for_names_that_no_class_has(spark, monkeypatch):
+    up = spark.createDataFrame([("a", "b"), ("b", "c"), ("c", "d"), ("d", "b"), ("a", "d"), ("d", "e"), ("e", "f"), ("x", "f")], "specific string, general string")
+    rows = [("a", 1, "p", "far"), ("a", 2, "q", "other"), ("a", 3, "q", "nowhere"), ("f", 4, "far", None), ("x", 5, "other", "far")]
+    attributes = spark.createDataFrame(rows, "class string, seq int, name string, redefines string")
+    for few in (0, 100):
+        monkeypatch.setattr(classmodel, "FEW", few)
+        assert sorted(r.seq for r in classmodel.redefines_unknown(attributes, up).collect()) == [2, 3]
+
+
 def test_redefines_of_operations_and_generalizations_in_sets(spark):
     attributes = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "y", "f"), ("b", 3, "z", "x")], "class string, seq long, name string, redefines string")
     operations = spark.createDataFrame([("a", 4, "f", None), ("b", 5, "g", "f"), ("b", 6, "h", "x")], "class string, op long, name string, redefines string")
