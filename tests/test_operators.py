@@ -1,11 +1,14 @@
 """Small cases of the operators, with the results a single-file tool would give."""
 
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
 from modelgraph.functions import classmodel as fn
 from modelgraph.functions import render
 from modelgraph.operators import classmodel, definitions, exports, extract, graph, imports, resolution, suggestions, workspace
+from modelgraph.plans import texts as plans_texts
 from modelgraph.sources.files import read_models
 from modelgraph.streaming import edits
 
@@ -412,6 +415,13 @@ def test_walks_end_in_cycles_and_are_none_for_names_that_no_class_has(spark, mon
         assert sorted(r.seq for r in classmodel.redefines_unknown(attributes, up).collect()) == [2, 3]
 
 
+def test_texts_are_written_by_all_tasks(spark):
+    texts = spark.range(40).select(F.col("id").alias("file"), F.lit("x").alias("content")).coalesce(1)
+    views = type("V", (), {"spark": spark})
+    found = plans_texts._read_back(views, texts)
+    assert found.count() == 40 and len({Path(f).name.split("-")[1] for f in found.inputFiles()}) > 1
+
+
 def test_redefines_of_operations_and_generalizations_in_sets(spark):
     attributes = spark.createDataFrame([("a", 1, "x", None), ("b", 2, "y", "f"), ("b", 3, "z", "x")], "class string, seq long, name string, redefines string")
     operations = spark.createDataFrame([("a", 4, "f", None), ("b", 5, "g", "f"), ("b", 6, "h", "x")], "class string, op long, name string, redefines string")
