@@ -7,7 +7,8 @@ equal anchors at equal places, and neighbouring strings mostly share theirs, so
 position in fifteen is an anchor.
 
 1. Blocks of documents send their distinct anchor hashes, packed, to buckets by hash; buckets
-   answer which ones occur in several documents.
+   answer which ones occur in several documents. 32 bits of a hash are told apart in a bucket: two
+   hashes taken for one only bring in contexts that nothing shares.
 2. Blocks send the distinct contexts of those anchors (the strings around one anchor, as one
    piece of text of less than 2 * length bytes) with their smallest doc_id.
 3. A bucket sorts the suffixes of its contexts: suffixes that share an anchor at the same place
@@ -26,10 +27,10 @@ import hashlib
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from modelgraph.llm.common import U64, POWERS, checkpointed, chosen, letters, mix64, prefix_hash, substring_hash, table
+from modelgraph.llm.common import U64, POWERS, checkpointed, letters, mix64, prefix_hash, substring_hash, table
 
 _A, _B, _C = (U64(x) for x in (0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9))
 
@@ -61,6 +62,11 @@ def anchors(data: bytes, length: int, k: int):
     return low[first], first, last, place[first]
 
 
+def short_keys(key: np.ndarray, buckets: int) -> np.ndarray:
+    """A bucket above 32 further bits of each hash: equal hashes have equal short keys."""
+    return ((key % U64(buckets)) << U64(32)) | (key >> U64(32))
+
+
 def context_keys(data: bytes, key: np.ndarray, first: np.ndarray, last: np.ndarray, length: int) -> np.ndarray:
     """A hash of each anchor with its context data[first:last + length]."""
     p = prefix_hash(np.frombuffer(data, np.uint8))
@@ -169,7 +175,7 @@ def _anchors_of_block(length: int, k: int, buckets: int):
         for number, text in zip(pd.factorize(pdf["doc_id"])[0], pdf["text"]):
             data = text.encode()
             if len(data) >= length:
-                found = np.unique(anchors(data, length, k)[0])
+                found = np.unique(short_keys(anchors(data, length, k)[0], buckets))
                 keys.append(found)
                 owner.append(np.full(len(found), number, np.int32))
         if not keys:
@@ -181,19 +187,18 @@ def _anchors_of_block(length: int, k: int, buckets: int):
         # Owners of a key lie in ascending order: several if the last is another than the first.
         several = owner[np.concatenate((head[1:], [len(keys)])) - 1] != owner[head]
         keys = keys[head]
-        bucket = (keys % U64(buckets)).astype(np.int64)
-        order = np.argsort(bucket, kind="stable")
-        cut = np.searchsorted(bucket[order], np.arange(buckets + 1))
-        parts = [order[cut[i] : cut[i + 1]] for i in range(buckets)]
-        at = [i for i in range(buckets) if len(parts[i])]
-        return pd.DataFrame({"bucket": at, "block": key[0], "keys": [keys[parts[i]].tobytes() for i in at], "several": [np.packbits(several[parts[i]]).tobytes() for i in at]})
+        low = keys.astype(np.uint32)  # the bits below the bucket
+        cut = np.searchsorted(keys, np.arange(buckets + 1, dtype=U64) << U64(32))
+        at = [i for i in range(buckets) if cut[i] < cut[i + 1]]
+        parts = [slice(cut[i], cut[i + 1]) for i in at]
+        return pd.DataFrame({"bucket": at, "block": key[0], "keys": [low[p].tobytes() for p in parts], "several": [np.packbits(several[p]).tobytes() for p in parts]})
 
     return run
 
 
 def _shared_keys(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     """For each block its keys that occur in several documents."""
-    keys = [np.frombuffer(x, U64) for x in pdf["keys"]]
+    keys = [np.frombuffer(x, np.uint32) for x in pdf["keys"]]
     flag = [np.unpackbits(np.frombuffer(x, np.uint8), count=len(n)).astype(bool) for x, n in zip(pdf["several"], keys)]
     every, flags = np.concatenate(keys), np.concatenate(flag)
     order = np.argsort(every)
@@ -201,20 +206,22 @@ def _shared_keys(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
     shared = np.unique(np.concatenate([every[1:][every[1:] == every[:-1]], every[flags]]))
     got = [(int(b), n[np.isin(n, shared, assume_unique=True)]) for b, n in zip(pdf["block"], keys)]
     got = [(b, n) for b, n in got if len(n)]
-    return pd.DataFrame({"block": [b for b, _ in got], "keys": [n.tobytes() for _, n in got]})
+    return pd.DataFrame({"bucket": key[0], "block": [b for b, _ in got], "keys": [n.tobytes() for _, n in got]})
 
 
 def _contexts_of_block(length: int, k: int, buckets: int):
     def run(key: tuple, docs: pd.DataFrame, replies: pd.DataFrame) -> pd.DataFrame:
-        shared = np.sort(np.concatenate([np.frombuffer(x, U64) for x in replies["keys"]] or [np.zeros(0, U64)]))
+        parts = [(U64(b) << U64(32)) | np.frombuffer(x, np.uint32).astype(U64) for b, x in zip(replies["bucket"], replies["keys"])]
+        shared = np.sort(np.concatenate(parts or [np.zeros(0, U64)]))
         seen: dict[int, list] = {}  # context key -> [anchor key, number of strings, smallest doc_id, place, bytes]
         for doc_id, text in zip(docs["doc_id"], docs["text"]) if len(shared) else ():
             data = text.encode()
             if len(data) < length:
                 continue
             h, first, last, place = anchors(data, length, k)
-            at = np.minimum(np.searchsorted(shared, h), len(shared) - 1)
-            at = np.flatnonzero(shared[at] == h)
+            short = short_keys(h, buckets)
+            at = np.minimum(np.searchsorted(shared, short), len(shared) - 1)
+            at = np.flatnonzero(shared[at] == short)
             if not len(at):
                 continue
             names = context_keys(data, h[at], first[at], last[at], length).tolist()
@@ -360,10 +367,15 @@ def remove_repeats(docs: DataFrame, length: int = 50, block_mb: float = 2, keep:
     copies = checkpointed(copies.join(checkpointed(mixed), "doc_id", "left_anti"))
 
     block = F.pmod(F.xxhash64("doc_id"), F.lit(blocks)).cast("int")
-    main = chosen(rows.where("doc_id is not null"), copies.select("doc_id"), how="left_anti").select(block.alias("block"), "doc_id", "text")
+    # Copies are marked by rows of their own and left out within blocks, so that one exchange of the
+    # texts serves this and all that follows (a join by doc_id would need another).
+    marks = copies.select("doc_id").distinct().select("doc_id", F.lit(None).cast("string").alias("text"), F.lit(True).alias("gone"))
+    marked = rows.where("doc_id is not null").withColumn("gone", F.lit(False)).unionByName(marks)
+    marked = marked.withColumn("block", block).repartition("block")
+    main = marked.withColumn("gone", F.max("gone").over(Window.partitionBy("block", "doc_id"))).where("not gone").select("block", "doc_id", "text")
     by_block = main.groupBy("block")
     sent = by_block.applyInPandas(_anchors_of_block(length, _K, buckets), "bucket int, block int, keys binary, several binary")
-    shared = sent.groupBy("bucket").applyInPandas(_shared_keys, "block int, keys binary")
+    shared = sent.groupBy("bucket").applyInPandas(_shared_keys, "bucket int, block int, keys binary")
     sent = by_block.cogroup(shared.groupBy("block")).applyInPandas(
         _contexts_of_block(length, _K, buckets), "bucket int, block int, names binary, anchors binary, strings binary, docs binary, places binary, texts binary"
     )

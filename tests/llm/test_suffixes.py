@@ -1,5 +1,6 @@
 import hashlib
 import random
+import re
 
 import numpy as np
 
@@ -79,3 +80,27 @@ def test_long_texts(spark):
     rows = [(1, long[50_000:50_090] + "?"), (2, long), (3, "!" + long[:120_000] + "!" + long[120_000:]), (4, long[::-1])]
     got = suffixes.remove_repeats(spark.createDataFrame(rows, "doc_id long, text string"), keep=False).collect()
     assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_texts_are_shuffled_once(spark):
+    rows = [(i, f"text {i % 7} " * 20) for i in range(60)] + [(None, "x" * 60)]
+    df = spark.createDataFrame(rows, "doc_id long, text string")
+    # Broadcasts hide the exchanges that large tables need.
+    limit = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        cut = suffixes.remove_repeats(df, keep=False)
+        got = cut.collect()
+    finally:
+        spark.conf.set("spark.sql.autoBroadcastJoinThreshold", limit)
+    plan = cut._jdf.queryExecution().executedPlan().toString().split("== Initial Plan ==")[0]
+    assert "Join" not in plan
+    assert len(re.findall(r"(?<!, )Exchange hashpartitioning\(block#\d+, \d+\), REPARTITION_BY_COL", plan)) == 1
+    assert sorted(map(tuple, got), key=str) == brute(rows)
+
+
+def test_short_keys_are_equal_for_equal_hashes():
+    h = np.random.default_rng(1).integers(0, 2**64, 10_000, np.uint64)
+    short = suffixes.short_keys(h, 777)
+    assert (short >> np.uint64(32) == h % np.uint64(777)).all()
+    assert (short.astype(np.uint32) == (h >> np.uint64(32)).astype(np.uint32)).all()
