@@ -546,3 +546,17 @@ def test_statements_are_taken_as_they_are(spark):
     sources = spark.createDataFrame([(1, 'зависимость a -> b "use" агрегация a [1] -- b')], "file long, content string")
     found = extract.tdl_statements(sources)
     assert extract.tdl_relations(found).count() == extract.tdl_associations(found).count() == 1
+
+
+def test_lines_are_sorted_by_native_functions(spark):
+    rows = [(1, 0, 2, "b"), (1, 0, 1, "z"), (1, 0, 2, "a"), (1, 3, 0, None), (1, 4, 5, "last"), (2, 0, 1, None)]
+    lines = spark.createDataFrame(rows, "k long, section int, seq long, line string")
+    out = exports.joined(lines, "k", "text")
+    assert {r.k: r.text for r in out.collect()} == {1: "z\na\nb\nlast", 2: ""}
+    assert "lambdafunction" not in out._jdf.queryExecution().executedPlan().toString()
+
+
+def test_statements_keep_all_but_comments_and_breaks(spark):
+    text = "a: 'x # \"\n' \"#'\" # c ' d\nb: {k: 'v' # c }\n, l: \"#\"} # it's\nc 'open # c\n#\n\nd (x\n) # \"\n' # e"
+    got = extract.logical_lines(spark.createDataFrame([("f", text)], "file string, content string")).orderBy("line").collect()
+    assert [r.text for r in got] == ["a: 'x # \"\n' \"#'\"", "b: {k: 'v' , l: \"#\"}", "c 'open # c\n#\n\nd (x\n) # \"\n'"]
