@@ -5,10 +5,12 @@ from pathlib import Path
 import pytest
 from pyspark.sql import functions as F
 
+from modelgraph import plans
 from modelgraph.functions import classmodel as fn
 from modelgraph.functions import render
 from modelgraph.operators import classmodel, definitions, exports, extract, graph, imports, resolution, suggestions, workspace
 from modelgraph.plans import texts as plans_texts
+from modelgraph.plans.views import Views
 from modelgraph.sources.files import read_models
 from modelgraph.streaming import edits
 
@@ -560,3 +562,23 @@ def test_statements_keep_all_but_comments_and_breaks(spark):
     text = "a: 'x # \"\n' \"#'\" # c ' d\nb: {k: 'v' # c }\n, l: \"#\"} # it's\nc 'open # c\n#\n\nd (x\n) # \"\n' # e"
     got = extract.logical_lines(spark.createDataFrame([("f", text)], "file string, content string")).orderBy("line").collect()
     assert [r.text for r in got] == ["a: 'x # \"\n' \"#'\"", "b: {k: 'v' , l: \"#\"}", "c 'open # c\n#\n\nd (x\n) # \"\n'"]
+
+
+def test_long_sources_come_in_pieces(spark, monkeypatch):
+    """A header holds for the pieces behind it, and no row of the fixture is a whole source."""
+    rows = [
+        ("f", 1, 0, "title: 'types:'\n  types:  # 'x'\na: 'A', ''"), ("f", 1, 1, "b: 'B', 'hierarchy:\nfunctions:'"), ("f", 1, 2, "# hierarchy:\n\n"), ("f", 3, 0, "c: 'C', ''\nfigure 'F' : \n a\nfigure G:"),
+        ("f", 3, 7, "b"), ("f", 5, 0, "hierarchy:"), ("f", 5, 1, "a is b, {color: 'x', color: 'y'\n}"), ("g", 1, 0, "types"), ("g", 1, 1, "title: 'T'"),
+    ]
+    found = extract.sections(spark.createDataFrame(rows, "file string, block int, piece long, content string").repartition(4)).cache()
+    got = [(r.file, r.section, r.text) for r in found.orderBy("file", "block", "piece", "line").collect()]
+    assert got == [
+        ("f", "meta", "title: 'types:'"), ("f", "types", "a: 'A', ''"), ("f", "types", "b: 'B', 'hierarchy:\nfunctions:'"), ("f", "types", "c: 'C', ''"), ("f", "figure 'F'", "a"), ("f", "figure G", "b"),
+        ("f", "hierarchy", "a is b, {color: 'x', color: 'y'}"), ("g", "meta", "types"), ("g", "meta", "title: 'T'"),
+    ]
+    assert sorted((r.name, r.block) for r in extract.terms(found).collect()) == [("a", 1), ("b", 1), ("c", 3)]
+    assert [r.color for r in extract.relationships(found).collect()] == ["y"] and [r.value for r in extract.attributes(found).collect()] == ["y"]
+    monkeypatch.setattr(exports, "PIECE", 500)
+    v = Views(spark, "/root/testdata/sf0.001")
+    assert plans_texts._sources(v, (5, "hierarchy", plans_texts._named(v))).count() > 500
+    assert plans.QUERIES["section_of_line"](spark, "/root/testdata/sf0.001").where("section = 'functions'").count() == v("functions").count()
