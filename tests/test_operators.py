@@ -582,3 +582,11 @@ def test_long_sources_come_in_pieces(spark, monkeypatch):
     v = Views(spark, "/root/testdata/sf0.001")
     assert plans_texts._sources(v, (5, "hierarchy", plans_texts._named(v))).count() > 500
     assert plans.QUERIES["section_of_line"](spark, "/root/testdata/sf0.001").where("section = 'functions'").count() == v("functions").count()
+
+
+def test_files_are_written_without_a_folder_or_checksum_for_each(spark):
+    texts = spark.createDataFrame([(7, "7\n8"), (8, ""), (9, None), (None, "abc"), (10, "a\n")], "file long, content string")
+    found = plans_texts._read_back(type("V", (), {"spark": spark}), texts)
+    assert sorted(map(str, found.select("file", "n").collect())) == sorted(f"Row(file={f}, n={n})" for f, n in ((7, 3), (8, 0), (9, 0), (None, 3), (10, 1)))
+    folders = {Path(f.removeprefix("file:")).parent for f in found.inputFiles()}
+    assert len(folders) == 1 and not [f for f in folders.pop().iterdir() if f.is_dir() or f.name.startswith(".part-")]
