@@ -584,6 +584,15 @@ def test_long_sources_come_in_pieces(spark, monkeypatch):
     assert plans.QUERIES["section_of_line"](spark, "/root/testdata/sf0.001").where("section = 'functions'").count() == v("functions").count()
 
 
+def test_whole_texts_are_made_in_their_aggregation(spark):
+    """No column holds the pieces of a whole document beside it."""
+    kinds = spark.createDataFrame([(k, "terms", i, f"t{i}") for k in range(40) for i in range(30)], "ontology_id long, kind string, seq long, json string")
+    lines = spark.createDataFrame([(k, 1, i, f"t{i}") for k in range(40) for i in range(30)], "ontology_id long, section int, seq long, line string")
+    for made, want in ((exports.json_documents(kinds), '"terms":[' + ",".join(f"t{i}" for i in range(30)) + "]"), (exports.joined(lines, "ontology_id", "text"), "\n".join(f"t{i}" for i in range(30)))):
+        assert [want in r[1] for r in made.collect()] == [True] * 40
+        assert made._jdf.queryExecution().optimizedPlan().toString().startswith("Aggregate")
+
+
 def test_files_are_written_without_a_folder_or_checksum_for_each(spark):
     texts = spark.createDataFrame([(7, "7\n8"), (8, ""), (9, None), (None, "abc"), (10, "a\n")], "file long, content string")
     found = plans_texts._read_back(type("V", (), {"spark": spark}), texts)
